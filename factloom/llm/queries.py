@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, secrets, sharding
+from . import ann, bpe, decontaminate, langid, quality, secrets, sharding
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -47,6 +47,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = sharding.shard_documents(docs, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
@@ -61,7 +66,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_decontamination, op9_sharding, op10_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_decontamination, op8_nearest, op9_sharding, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
