@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, jaccard, langid, quality, secrets, sharding
+from . import ann, bpe, decontaminate, jaccard, langid, passages, quality, secrets, sharding
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -51,6 +51,10 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
     return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -70,7 +74,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_decontamination, op6_jaccard, op8_nearest, op9_sharding, op10_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_decontamination, op6_jaccard, op7_passages, op8_nearest, op9_sharding, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
