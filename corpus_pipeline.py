@@ -1,6 +1,76 @@
-STAGES = []
+"""Documents to token ids: five stages, each reading what the one before has written.
+
+Each stage takes (spark, docs, sf_dir) and works on all of docs. All but the last
+return the columns of ``documents``. Documents without an id can't be named by a
+decision, so they pass the stages that drop documents by id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.llm import bpe, decontaminate, jaccard, langid, scratch, secrets
+from factloom.llm.components import near
+from factloom.llm.queries import PATTERN, VOCABULARY
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but those with the given ids; texts aren't moved while the ids are few."""
+    return docs.join(near(scratch.keep(ids.where("doc_id IS NOT NULL").distinct(), "dropped")), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents whose language is rejected; those without a letter or text among them."""
+    model = langid.train(*langid.sample(docs))
+    return langid.identify(docs, model, out="_language").where(~F.col("_language.rejected")).select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of similar ones, and all that link with none."""
+    groups = scratch.keep(jaccard.jaccard_components(docs), "groups")
+    left = _without(docs, groups.where("doc_id != component_id").select("doc_id"))
+    again = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = scratch.keep(again, "again")
+    if again.isEmpty():
+        return left
+    return _without(left, again).union(left.join(near(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents of which passages of the benchmark cover a twentieth or more."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("contaminated").select("doc_id"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets in the texts; all documents stay."""
+    return secrets.mask_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text and how many they are."""
+    coded = bpe.encode_documents(docs, VOCABULARY, PATTERN)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("language", language),
+    ("one_of_each", one_of_each),
+    ("decontaminated", decontaminated),
+    ("without_secrets", without_secrets),
+    ("tokens", tokens),
+]
+#: SQL can't say the trained, hashed and token-level stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = scratch.keep(docs, f"stage-{name}")
+    return docs

@@ -10,9 +10,9 @@ on rows kept out of the descent, and a prediction is rejected below a score
 that nearly all right predictions among those rows reach.
 
 Defined results: null texts and texts without a letter get ``und``, score 0 and
-are rejected. Repeated rows are predicted each. An empty table gives no rows; a
-table without labelled rows can't be learned from and raises ValueError. Other
-columns pass through.
+are rejected. Repeated rows are predicted each. An empty table gives no rows. With
+no labelled row to learn from, every text gets ``und`` with score 0, and only those
+without a letter are rejected. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 4, rate: float = 0.5) -> Model:
     """Fits on texts and on short passages of them; every fourth row calibrates."""
     if not texts:
-        raise ValueError("no labelled rows to learn languages from")
+        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     labels = sorted(set(langs))
     y_of = {x: i for i, x in enumerate(labels)}
@@ -196,27 +196,28 @@ def predictor(spark, model: Model):
         m = shared.value
         for texts in batches:
             data, off = _lower(texts)
-            best, score = [], []
+            best, score, silent = [], [], []
             for i, j in textbuf.chunks(off):
                 part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 b, own = _grams(part, o)
                 n = j - i
                 counts = np.bincount(own, minlength=n)
-                z = np.stack([np.bincount(own, m.table[b, k], n) for k in range(len(m.labels))], 1)
-                z = z / np.maximum(counts, 1)[:, None] + m.bias
+                z = np.stack([np.bincount(own, m.table[b, k], n) for k in range(len(m.labels))] or [np.zeros(n)], 1)
+                z = z / np.maximum(counts, 1)[:, None] + (m.bias if m.labels else 0)
                 e = np.exp((z - z.max(1, keepdims=True)) / m.temperature)
                 p = e / e.sum(1, keepdims=True)
-                y, s = p.argmax(1), p.max(1)
+                y, s = p.argmax(1), p.max(1) * bool(m.labels)
                 ascii_letter = np.add.reduceat(np.append((part >= 97) & (part < 123), False), o[:-1]) if n else np.zeros(0)
                 ascii_letter[np.diff(o) == 0] = 0
+                mute = np.zeros(n, bool)
                 for k in np.flatnonzero(ascii_letter == 0):
-                    if not _has_letter(part[o[k] : o[k + 1]].tobytes()):
-                        y[k], s[k] = len(m.labels), 0.0
+                    mute[k] = not _has_letter(part[o[k] : o[k + 1]].tobytes())
+                y[mute], s[mute] = len(m.labels), 0.0
                 best.append(y)
                 score.append(s)
-            y = np.concatenate(best) if best else np.zeros(0, np.int64)
-            s = np.concatenate(score) if score else np.zeros(0)
-            yield pa.StructArray.from_arrays([names.take(pa.array(y)), pa.array(s), pa.array(s < m.threshold) if not len(y) else pa.array((s < m.threshold) | (y == len(m.labels)))], ["lang", "score", "rejected"])
+                silent.append(mute | (s < m.threshold))
+            y, s, r = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((best, np.int64), (score, float), (silent, bool)))
+            yield pa.StructArray.from_arrays([names.take(pa.array(y)), pa.array(s), pa.array(r)], ["lang", "score", "rejected"])
 
     return predict
 

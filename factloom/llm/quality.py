@@ -8,9 +8,9 @@ logistic curve on rows kept out of the descent turns margins into scores.
 
 Defined results: null and empty texts have no features and get the score of a
 zero vector. Repeated rows are scored each; of repeated labels any one row
-counts as often as it is there. An empty table gives no rows; without rows of
-both classes the model can't be fitted and ValueError is raised. Other columns
-pass through.
+counts as often as it is there. An empty table gives no rows. Without labelled
+rows of both classes every text gets one score, the smoothed share of class 1.
+Other columns pass through.
 """
 
 from __future__ import annotations
@@ -106,7 +106,8 @@ def train(rows: list[np.ndarray], y: np.ndarray) -> Model:
     if len({*y[~held]}) < 2 or len({*y[held]}) < 2:
         held[:] = False
     if len({*y[~held]}) < 2:
-        raise ValueError("rows of both classes are needed")
+        share = (np.sum(y > 0) + 1) / (len(y) + 2)
+        return Model(np.zeros(1 << BITS, np.float32), np.ones(1 << BITS, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
     pos, neg = (np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(~held & (y == c))]), minlength=1 << BITS) + SMOOTHING for c in (1, -1))
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
     fit = np.flatnonzero(~held)

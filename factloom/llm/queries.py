@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, jaccard, langid, passages, quality, secrets, sharding
+from . import ann, bpe, decontaminate, jaccard, langid, passages, quality, secrets, sharding, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -47,6 +47,30 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.page_derivatives(table(spark, sf_dir, "pages"))
+    return out.select(F.col("source").alias("page_id"), "record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "payload_digest", "content_type", "block_digest", "content_length", "block")
+
+
+def _warc_sql() -> str:
+    """The same records in SQL, from the same fixed patterns."""
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    urn = lambda what: f"'<urn:uuid:' || substr(sha256({what}),1,8) || '-' || substr(sha256({what}),9,4) || '-' || substr(sha256({what}),13,4) || '-' || substr(sha256({what}),17,4) || '-' || substr(sha256({what}),21,12) || '>'"
+    text = "body"
+    for pattern, to in warc.HTML_STEPS:
+        text = f"regexp_replace({text}, {lit(pattern)}, {lit(to)}, 'g')"
+    nl = "chr(13) || chr(10)"
+    head = f"'http-header: HTTP/1.1 200 OK' || {nl} || 'http-header: Content-Type: text/html; charset=utf-8' || {nl} || 'http-header: Content-Length: ' || strlen(body) || {nl}"
+    links = f"coalesce(array_to_string(list_transform(regexp_extract_all(body, {lit(warc.LINK)}, 1), lambda x: 'outlink: ' || regexp_replace(x, '[\\r\\n]+', ' ', 'g') || {nl}), ''), '')"
+    meta = f"'title: ' || regexp_replace(regexp_extract(body, {lit(warc.TITLE)}, 1), '\\s+', ' ', 'g') || {nl} || {head} || {links}"
+    return f"""
+WITH r AS (SELECT page_id, url, coalesce(html, '') AS body, {urn("'response|' || page_id || '|' || coalesce(url, '')")} AS rid FROM pages),
+ids AS (SELECT *, {urn("'metadata|' || rid")} AS mid, {urn("'conversion|' || rid")} AS cid FROM r),
+both_ AS (SELECT page_id, 'metadata' AS record_type, mid AS record_id, rid AS refers_to, cid AS concurrent_to, url, body, 'application/warc-fields' AS content_type, {meta} AS block FROM ids
+UNION ALL SELECT page_id, 'conversion', cid, rid, mid, url, body, 'text/plain; charset=utf-8', {text} FROM ids)
+SELECT page_id, record_type, record_id, refers_to, concurrent_to, regexp_replace(url, '[\\r\\n]+', ' ', 'g') AS target_uri, 'sha256:' || sha256(body) AS payload_digest, content_type, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length, block FROM both_"""
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -74,8 +98,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_decontamination, op6_jaccard, op7_passages, op8_nearest, op9_sharding, op10_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_decontamination, op5_warc, op6_jaccard, op7_passages, op8_nearest, op9_sharding, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": _warc_sql()}
