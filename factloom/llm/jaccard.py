@@ -48,8 +48,10 @@ LEAF = 16
 #: Tokens that are dealt to one task, about.
 PART_TOKENS = 500_000
 #: A map task sends its tokens when it has so many.
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 1_000_000
 _CHUNK = 1 << 14
+#: Pairs of sets, and blocks, that Python gets at once.
+VERIFY_BATCH, BLOCK_BATCH = 200, 50
 
 
 def token_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -80,7 +82,8 @@ def token_levels(docs: DataFrame, text: str, n: int) -> np.ndarray:
 
     schema = "chunk int, salt int, counts binary"
     some = docs.select(text).mapInArrow(count, schema).groupBy("chunk", "salt").applyInPandas(add, schema)
-    rows = some.groupBy("chunk").applyInPandas(add, schema).collect()  # 2 ** BUCKET_BITS counts, whatever the input
+    with scratch.batches(docs.sparkSession, 1000):
+        rows = some.groupBy("chunk").applyInPandas(add, schema).collect()  # 2 ** BUCKET_BITS counts, whatever the input
     out = np.zeros(1 << BUCKET_BITS, np.int64)
     for r in rows:
         out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["counts"], np.int64)
@@ -351,8 +354,8 @@ def node_links(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, id_col: st
     heads = filled.where("salt > 0").select("token", F.array_min(F.transform("members", lambda m: F.struct(m["n"], m["row"].alias("row"))))["row"].alias("head"))
     lead = heads.groupBy("token").agg(F.min("head").alias("lead"))
     tried = tried.union(heads.join(lead, "token").where("head != lead").select(F.col("lead").alias("a"), F.col("head").alias("b")))
-    tried = scratch.keep(tried.distinct(), "tried")
-    links = scratch.keep(verify(tried, docs, nodes, id_col, text, n), "links")
+    tried = scratch.keep(tried.distinct(), "tried", BLOCK_BATCH)
+    links = scratch.keep(verify(tried, docs, nodes, id_col, text, n), "links", VERIFY_BATCH)
     comps = components(links)
 
     ranges = blocks.where("salt > 0 OR size(rows) > 2").select("block", F.explode("rows").alias("row")).join(near(comps), F.col("row") == F.col("node"), "left").select("block", "row", F.coalesce("root", "row").alias("root"))
@@ -380,10 +383,10 @@ def node_links(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, id_col: st
         return _pair_array(out)
 
     more = both.select(F.explode(F.arrow_udf(other_links, _PAIRS)("sx", "sy")).alias("p")).select("p.*").distinct()
-    more = scratch.keep(more.join(tried, ["a", "b"], "left_anti"), "more")
+    more = scratch.keep(more.join(tried, ["a", "b"], "left_anti"), "more", 1)
     if more.isEmpty():
         return comps
-    return components(links.union(scratch.keep(verify(more, docs, nodes, id_col, text, n), "links")))
+    return components(links.union(scratch.keep(verify(more, docs, nodes, id_col, text, n), "links", VERIFY_BATCH)))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -20,11 +20,27 @@ def folder(spark: SparkSession) -> str:
     return base
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+#: Rows that Python gets at once where rows are large, so that batches stay within some MB.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def batches(spark: SparkSession, rows: int):
+    """What runs within sends at most so many rows to Python at once."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def keep(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
     """Writes df to a new table of the shared folder and reads it back; the table goes when the session's process ends."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batches(spark, batch):
+        df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
