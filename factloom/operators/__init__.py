@@ -1 +1 @@
-
+"""Operators over facts, each for many probes at once."""

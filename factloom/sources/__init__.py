@@ -1 +1 @@
-
+"""Readers and writers of facts and their records."""

@@ -1 +1 @@
-
+"""Streaming twins of stateful operators."""
