@@ -4,7 +4,8 @@ A document's set is its distinct word shingles. The tokens of a set are hashed t
 groups, and the counts of the groups are a point. Two sets can't overlap by more
 than the sum of the smaller counts, so an R-tree over points, whose nodes hold the
 largest count of each group and the range of sizes, yields all pairs that may be
-similar; the pairs that remain are verified on the sets.
+similar. The pairs that remain are bounded again by count vectors of about as many
+groups as tokens, and the rest is verified on the sets.
 
 To spread the work, trees are built for blocks: a block has the documents that
 share a token among the first fifth of their sets, in an order that puts tokens of
@@ -12,10 +13,11 @@ many documents last. Similar sets always share such a token. Equal sets are one
 node. Of the blocks of one token that would have over BLOCK_ROWS documents, each
 pair is joined, so no block grows with the data and no pair is lost.
 
-A first round verifies for each document one partner of each block: the block's
+A first round names for each document one partner of each block: the block's
 first document if the bound allows it, or else the one that the tree finds with
-the most room. Components of these links are formed, and a second round joins
-all blocks again for pairs of different components only, without a cap. So groups
+the most room. Its most frequent partner is verified, then those of the others
+that are in another component by then. A second round joins all blocks again for
+pairs of different components only, without a cap. So groups
 of copies cost a few links for each copy rather than all pairs.
 
 Defined results: null texts and texts without words have empty sets, link with
@@ -33,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import scratch, textbuf
@@ -50,8 +53,10 @@ PART_TOKENS = 500_000
 #: A map task sends its tokens when it has so many.
 FLUSH_TOKENS = 1_000_000
 _CHUNK = 1 << 14
-#: Pairs of sets, and blocks, that Python gets at once.
-VERIFY_BATCH, BLOCK_BATCH = 200, 50
+#: Pairs that are verified together.
+CHUNK_PAIRS = 256
+#: Texts to be verified, and blocks, that Python gets at once.
+VERIFY_BATCH, BLOCK_BATCH = 500, 50
 
 
 def token_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -106,23 +111,34 @@ def least_overlap(a, b):
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
+def fine_groups(n: int) -> int:
+    """Groups of the finer count vector: a power of 2, n or more, so that few tokens meet in a group."""
+    return max(GROUPS, 1 << max(0, n - 1).bit_length())
+
+
+def fold(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The count vector over fewer groups; tokens go by their lowest bits."""
+    return counts.reshape(-1, groups).sum(0)
+
+
 def pack(counts: np.ndarray) -> bytes:
+    """The width of a count in bytes, and the counts."""
     kind = np.uint8 if counts.max(initial=0) < 256 else np.uint16 if counts.max() < 65536 else np.uint32
-    return counts.astype(kind).tobytes()
+    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // GROUPS]).astype(np.int32)
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int32)
 
 
 def sketches(docs: DataFrame, id_col: str, text: str, n: int, levels: np.ndarray) -> DataFrame:
-    """(row, id, n, fp1, fp2, first, counts): a set's size, fingerprint, first tokens and count vector."""
+    """(row, id, n, fp1, fp2, first, counts, fine): a set's size, fingerprint, first tokens, and count vectors of GROUPS and of about n groups."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         for b in batches:
-            ns, f1, f2, first, ends, vec = [], [], [], [], [0], []
+            ns, f1, f2, first, ends, vec, fine = [], [], [], [], [0], [], []
             for s in token_sets(b.column(1), n):
                 ns.append(len(s))
                 m = textbuf.mix64(s)
@@ -132,13 +148,15 @@ def sketches(docs: DataFrame, id_col: str, text: str, n: int, levels: np.ndarray
                 order = s[np.argsort(lv, kind="stable")] if lv.any() else s
                 first.append(order[: prefix_size(len(s))] if len(s) else s)
                 ends.append(ends[-1] + len(first[-1]))
-                vec.append(pack(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)))
+                many = np.bincount((s & np.uint64(fine_groups(len(s)) - 1)).astype(np.int64), minlength=fine_groups(len(s)))
+                fine.append(pack(many))
+                vec.append(pack(fold(many, GROUPS)))
             flat = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, pa.array(vec, pa.binary())], ["id", "n", "fp1", "fp2", "first", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, pa.array(vec, pa.binary()), pa.array(fine, pa.binary())], ["id", "n", "fp1", "fp2", "first", "counts", "fine"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), text).mapInArrow(sketch, f"id {kind}, n int, fp1 long, fp2 long, first array<long>, counts binary")
+    out = docs.select(F.col(id_col).alias("id"), text).mapInArrow(sketch, f"id {kind}, n int, fp1 long, fp2 long, first array<long>, counts binary, fine binary")
     return scratch.keep(out.select(F.monotonically_increasing_id().alias("row"), "*"), "sketches")
 
 
@@ -276,23 +294,29 @@ def tree_join(s: Tree, t: Tree, step: int = 1 << 15) -> Iterator[np.ndarray]:
                 yield np.stack([a[ok], b[ok]], 1)
 
 
-def _tree(members: list[dict], comps: dict[int, int] | None = None) -> Tree:
-    rows = np.array([m["row"] for m in members], np.int64)
-    own = rows if comps is None else np.array([comps.get(r, r) for r in rows.tolist()], np.int64)
-    return Tree(rows, np.array([m["n"] for m in members], np.int64), own, np.stack([unpack(m["counts"]) for m in members]))
+def block_members(members: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, sizes and points of each block of a column of arrays of (row, n, counts)."""
+    flat, ends = members.flatten(), np.asarray(members.offsets) - members.offsets[0].as_py()
+    rows, sizes = np.asarray(flat.field("row")), np.asarray(flat.field("n")).astype(np.int64)
+    raw = flat.field("counts").to_pylist()
+    if {len(x) for x in raw} == {GROUPS + 1}:
+        points = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, GROUPS + 1)[:, 1:].astype(np.int32)
+    else:
+        points = np.stack([unpack(x) for x in raw]) if raw else np.zeros((0, GROUPS), np.int32)
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield rows[a:b], sizes[a:b], points[a:b]
 
 
-def partners(members: list[dict]) -> list[tuple[int, int]]:
+def partners(rows: np.ndarray, sizes: np.ndarray, points: np.ndarray) -> list[tuple[int, int]]:
     """One link to try for each document of a block but the first."""
-    first = min(members, key=lambda m: (m["n"], m["row"]))
-    head = unpack(first["counts"])
-    out, rest = [], []
-    for m in members:
-        if m is not first:
-            good = np.minimum(head, unpack(m["counts"])).sum() >= least_overlap(first["n"], m["n"]) and 100 * first["n"] >= PERCENT * m["n"]
-            (out.append((m["row"], first["row"])) if good else rest.append(m))
-    if len(rest) > 1:
-        t = _tree(rest)
+    head = int(np.lexsort((rows, sizes))[0])
+    good = _possible(np.broadcast_to(points[head], points.shape), np.full(len(rows), sizes[head]), np.full(len(rows), sizes[head]), points, sizes, sizes)
+    good[head] = False
+    out = [(x, int(rows[head])) for x in rows[good].tolist()]
+    rest = ~good
+    rest[head] = False
+    if rest.sum() > 1:
+        t = Tree(rows[rest], sizes[rest], rows[rest], points[rest])
         best: dict[int, tuple[float, int]] = {}
         for found in tree_join(t, t):
             a, b = found[:, 0], found[:, 1]
@@ -302,35 +326,71 @@ def partners(members: list[dict]) -> list[tuple[int, int]]:
                 if (r, -y) > best.get(x, (0.0, 0)):
                     best[x] = (r, -y)
         out += [(x, -y) for x, (_, y) in best.items()]
-    return [(min(p), max(p)) for p in out]
+    return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have the similarity. Sets are made again from the texts of these nodes."""
-    rows = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    wanted = scratch.keep(nodes.select("row", F.col("id").alias("_id"), "fp1", "fp2").join(near(scratch.keep(rows, "rows")), "row", "left_semi"), "wanted")
+def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the finer count vectors allow."""
+    rows = scratch.keep(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "rows")
+    fine = nodes.select("row", "n", "fine").join(near(rows), "row", "left_semi")
 
-    def pack_sets(texts: pa.Array) -> pa.Array:
-        return pa.array([s.tobytes() for s in token_sets(texts, n)], pa.binary())
+    def allowed(n: pa.Array, x: pa.Array, m: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for a, p, b, q in zip(n.to_pylist(), x.to_pylist(), m.to_pylist(), y.to_pylist(), strict=True):
+            p, q = unpack(p), unpack(q)
+            g = min(len(p), len(q))
+            out.append(bool(np.minimum(fold(p, g), fold(q, g)).sum() >= least_overlap(a, b)))
+        return pa.array(out, pa.bool_())
+
+    left = pairs.join(fine.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa")), "a")
+    both = left.join(fine.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb")), "b")
+    return scratch.keep(both.where(F.arrow_udf(allowed, "boolean")("na", "fa", "nb", "fb")).select("a", "b"), "allowed")
 
-    def finger(sets: pa.Array) -> pa.Array:
-        return pa.array([int(textbuf.mix64(np.frombuffer(x.as_py(), np.uint64)).sum().astype(np.int64)) for x in sets], pa.int64())
 
-    texts = docs.select(F.col(id_col).alias("_t_id"), F.col(text).alias("_t")).where(F.col("_t").isNotNull())
-    got = texts.join(near(wanted), F.col("_t_id").eqNullSafe(F.col("_id"))).withColumn("tokens", F.arrow_udf(pack_sets, "binary")("_t"))
-    got = got.where(F.arrow_udf(finger, "long")("tokens") == F.col("fp1")).select("row", "tokens").dropDuplicates(["row"])
-    sets = scratch.keep(got, "sets")
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have the similarity.
 
-    def similar(x: pa.Array, y: pa.Array) -> pa.Array:
+    Sets are made again from the texts of these nodes, and each is sent where its
+    pairs are: a pair goes by its node of more pairs, whose pairs are dealt to
+    chunks of about CHUNK_PAIRS.
+    """
+    ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b"))
+    degree = scratch.keep(ends.groupBy("row").agg(F.count("*").alias("d")), "degree")
+    wanted = scratch.keep(nodes.select("row", F.col("id").alias("_id"), "fp1").join(near(degree), "row", "left_semi"), "wanted")
+    d = near(degree)
+    both = pairs.join(d.select(F.col("row").alias("a"), F.col("d").alias("da")), "a").join(d.select(F.col("row").alias("b"), F.col("d").alias("db")), "b")
+    first = F.col("da") >= F.col("db")
+    both = both.select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("da", "db").alias("d"))
+    chunk = F.pmod(F.xxhash64("other"), F.ceil(F.col("d") / CHUNK_PAIRS))
+    parts = max(1, -(-pairs.count() // CHUNK_PAIRS))
+    both = scratch.keep(both.select("a", "b", F.pmod(F.xxhash64("hub", chunk), F.lit(parts)).alias("part")), "dealt")
+    needs = scratch.keep(both.select("part", F.col("a").alias("row")).union(both.select("part", "b")).distinct(), "needs")
+
+    def sets_of(texts: pa.Array) -> pa.Array:
+        rows = [(int(textbuf.mix64(s).sum().astype(np.int64)), s.tobytes()) for s in token_sets(texts, n)]
+        return pa.StructArray.from_arrays([pa.array([f for f, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.binary())], ["fp", "tokens"])
+
+    texts = docs.select(F.col(id_col).alias("_t_id"), F.col(text).alias("_t")).where(F.col("_t").isNotNull()).join(near(wanted), F.col("_t_id").eqNullSafe(F.col("_id")))
+    sets = texts.withColumn("s", F.arrow_udf(sets_of, "struct<fp:long,tokens:binary>")("_t")).where("s.fp = fp1").select("row", "s.tokens")
+    sent = sets.join(near(needs), "row").select("part", F.col("row").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
+    sent = sent.union(both.select("part", "a", "b", F.lit(None).cast("binary")))
+
+    def similar(table: pa.Table) -> pa.Table:
+        held: dict[int, np.ndarray] = {}
+        asked = []
+        for a, b, tokens in zip(table["a"].to_pylist(), table["b"].to_pylist(), table["tokens"], strict=True):
+            if b is None:
+                held[a] = np.frombuffer(tokens.as_buffer(), np.uint64)
+            else:
+                asked.append((a, b))
         out = []
-        for a, b in zip(x, y, strict=True):
-            p, q = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-        return pa.array(out, pa.bool_())
+        for a, b in asked:
+            both = len(np.intersect1d(held[a], held[b], assume_unique=True))
+            if 100 * both >= PERCENT * (len(held[a]) + len(held[b]) - both):
+                out.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    left = pairs.join(sets.select(F.col("row").alias("a"), F.col("tokens").alias("x")), "a")
-    return left.join(sets.select(F.col("row").alias("b"), F.col("tokens").alias("y")), "b").where(F.arrow_udf(similar, "boolean")("x", "y")).select("a", "b")
+    return sent.groupBy("part").applyInArrow(similar, "a long, b long")
 
 
 _PAIRS = "array<struct<a:long,b:long>>"
@@ -348,42 +408,58 @@ def node_links(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, id_col: st
     filled = scratch.keep(filled.join(blocks.drop("rows"), "block"), "filled")
 
     def first_links(members: pa.Array) -> pa.Array:
-        return _pair_array([partners(m) for m in members.to_pylist()])
+        return _pair_array([partners(*m) for m in block_members(members)])
 
+    both = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tried = filled.select(F.explode(F.arrow_udf(first_links, _PAIRS)("members")).alias("p")).select("p.*")
     heads = filled.where("salt > 0").select("token", F.array_min(F.transform("members", lambda m: F.struct(m["n"], m["row"].alias("row"))))["row"].alias("head"))
     lead = heads.groupBy("token").agg(F.min("head").alias("lead"))
-    tried = tried.union(heads.join(lead, "token").where("head != lead").select(F.col("lead").alias("a"), F.col("head").alias("b")))
-    tried = scratch.keep(tried.distinct(), "tried", BLOCK_BATCH)
-    links = scratch.keep(verify(tried, docs, nodes, id_col, text, n), "links", VERIFY_BATCH)
+    tried = tried.union(heads.join(lead, "token").where("head != lead").select("head", "lead"))
+    tried = scratch.keep(tried.groupBy(F.col("a").alias("own"), F.col("b").alias("partner")).agg(F.count("*").alias("times")), "tried", BLOCK_BATCH)
+    most = F.row_number().over(W.partitionBy("own").orderBy(F.desc("times"), "partner"))
+    best = scratch.keep(tried.withColumn("n", most).where("n = 1").select(*both("own", "partner")).distinct(), "best")
+    links = scratch.keep(verify(may_link(best, nodes), docs, nodes, id_col, text, n), "links", VERIFY_BATCH)
     comps = components(links)
+    tried = tried.select(*both("own", "partner")).distinct()
+    root = near(comps)
+    ends = tried.join(root.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(root.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    apart = ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
+    apart = may_link(scratch.keep(apart, "apart"), nodes)
+    if not apart.isEmpty():
+        links = links.union(scratch.keep(verify(apart, docs, nodes, id_col, text, n), "links", VERIFY_BATCH))
+        comps = components(links)
 
     ranges = blocks.where("salt > 0 OR size(rows) > 2").select("block", F.explode("rows").alias("row")).join(near(comps), F.col("row") == F.col("node"), "left").select("block", "row", F.coalesce("root", "row").alias("root"))
     mixed = ranges.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     mixed = scratch.keep(mixed.join(blocks.select("block", "token", "salt"), "block"), "mixed")
     one = mixed.where("lo != hi").select(F.col("block").alias("x"), F.col("block").alias("y"))
     x, y = mixed.where("salt > 0").alias("x"), mixed.where("salt > 0").alias("y")
-    apart = (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi")) | (F.col("x.lo") != F.col("y.lo"))
-    two = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.salt") < F.col("y.salt")) & apart).select(F.col("x.block").alias("x"), F.col("y.block").alias("y"))
+    differ = (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi")) | (F.col("x.lo") != F.col("y.lo"))
+    two = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.salt") < F.col("y.salt")) & differ).select(F.col("x.block").alias("x"), F.col("y.block").alias("y"))
     todo = scratch.keep(one.union(two), "todo")
     if todo.isEmpty():
         return comps
     roots = ranges.where("root != row").groupBy("block").agg(F.collect_list(F.struct("row", "root")).alias("roots"))
     side = filled.select("block", "members").join(roots, "block", "left").withColumn("roots", F.coalesce("roots", F.array().cast("array<struct<row:bigint,root:bigint>>")))
     side = side.select("block", F.struct("members", "roots").alias("side"))
-    both = todo.join(side.select(F.col("block").alias("x"), F.col("side").alias("sx")), "x").join(side.select(F.col("block").alias("y"), F.col("side").alias("sy")), "y")
+    sides = todo.join(side.select(F.col("block").alias("x"), F.col("side").alias("sx")), "x").join(side.select(F.col("block").alias("y"), F.col("side").alias("sy")), "y")
+
+    def trees(side: pa.Array) -> Iterator[Tree]:
+        roots = side.field("roots").to_pylist()
+        for (rows, sizes, points), known in zip(block_members(side.field("members")), roots, strict=True):
+            own = {r["row"]: r["root"] for r in known}
+            yield Tree(rows, sizes, np.array([own.get(r, r) for r in rows.tolist()], np.int64), points)
 
     def other_links(xs: pa.Array, ys: pa.Array) -> pa.Array:
         out = []
-        for p, q in zip(xs, ys, strict=True):
-            p, q = p.as_py(), q.as_py()
-            s = _tree(p["members"], {r["row"]: r["root"] for r in p["roots"]})
-            t = s if p["members"][0]["row"] == q["members"][0]["row"] else _tree(q["members"], {r["row"]: r["root"] for r in q["roots"]})
+        for s, t in zip(trees(xs), trees(ys), strict=True):
+            if len(s.rows) == len(t.rows) and (s.rows == t.rows).all():
+                t = s
             out.append([(min(a, b), max(a, b)) for f in tree_join(s, t) for a, b in zip(s.rows[f[:, 0]].tolist(), t.rows[f[:, 1]].tolist(), strict=True)])
         return _pair_array(out)
 
-    more = both.select(F.explode(F.arrow_udf(other_links, _PAIRS)("sx", "sy")).alias("p")).select("p.*").distinct()
-    more = scratch.keep(more.join(tried, ["a", "b"], "left_anti"), "more", 1)
+    more = sides.select(F.explode(F.arrow_udf(other_links, _PAIRS)("sx", "sy")).alias("p")).select("p.*").distinct()
+    more = may_link(scratch.keep(more.join(tried, ["a", "b"], "left_anti"), "more", 10), nodes)
     if more.isEmpty():
         return comps
     return components(links.union(scratch.keep(verify(more, docs, nodes, id_col, text, n), "links", VERIFY_BATCH)))
