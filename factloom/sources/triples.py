@@ -101,12 +101,13 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     A line that can't be read is dropped if none that can comes after it, as a
     torn end; elsewhere the read fails.
     """
-    rows = spark.read.schema("seq long, op string, fact struct<S:string,R:string,O:string>, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
-    at = rows.withColumn("_at", F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n")))
-    last = at.agg(F.max(F.when(F.col("_broken").isNull(), F.col("_at"))).alias("last"))
-    bad = F.col("_broken").isNotNull()
-    ok = at.join(F.broadcast(last)).where(F.when(bad & (F.col("_at") < F.col("last")), F.raise_error(F.concat(F.lit("a broken line within the log: "), "_broken")).cast("boolean")).otherwise(~bad))
-    return ok.select("seq", "op", F.col("fact.S").alias("s"), F.col("fact.R").alias("r"), F.col("fact.O").alias("o"))
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    at = lines.select("value", F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n")).alias("_at"), F.from_json("value", "seq long, op string, fact struct<S:string,R:string,O:string>").alias("x"))
+    bad = F.col("x.op").isNull() | F.col("x.fact").isNull()
+    last = at.agg(F.max(F.when(~bad, F.col("_at"))).alias("last"))
+    broken = F.raise_error(F.concat(F.lit("a broken line within the log: "), "value")).cast("boolean")
+    ok = at.join(F.broadcast(last)).where(F.when(bad & (F.col("_at") < F.col("last")), broken).otherwise(~bad))
+    return ok.select("x.seq", "x.op", F.col("x.fact.S").alias("s"), F.col("x.fact.R").alias("r"), F.col("x.fact.O").alias("o"))
 
 
 def save(tables: dict[str, DataFrame], path: str, version: int = 1) -> None:
