@@ -10,6 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Python workers live on between tasks; the system's pool gives freed memory back, so that idle workers stay small.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes of text that are worked on at once; one longer text is its own chunk.
 CHUNK_BYTES = 1 << 20
 
