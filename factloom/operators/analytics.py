@@ -109,3 +109,31 @@ def active_learning(facts: DataFrame, provenance: DataFrame, gap_rows: DataFrame
     gap = gap_rows.select("s", "r", F.lit("gap").alias("why"), F.col("share").alias("score"))
     best = low.union(bare).union(gap).groupBy("s", "r").agg(F.min(F.struct((-F.col("score")).alias("minus"), "why")).alias("x"))
     return best.select("s", "r", F.col("x.why").alias("why"), (-F.col("x.minus")).alias("score")).orderBy(F.desc("score"), "s", "r").limit(top)
+
+
+def state_hash(facts: DataFrame) -> DataFrame:
+    """(parts, n, hash): a digest of a base that doesn't depend on order; sums of hashes are aggregated before they move."""
+    h = F.conv(F.substring(F.sha2(F.concat_ws("\0", "s", "r", "o").cast("binary"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    return facts.agg(F.count("*").alias("n"), F.sum(h).cast("string").alias("hash"))
+
+
+def curriculum(pairs: DataFrame, difficulty: dict[str, float], tiers: int = 4, longest: int = 256) -> DataFrame:
+    """(task, tier, n) of text pairs (task, draft, target): half by length, half by the task."""
+    hard = F.create_map(*[F.lit(x) for kv in difficulty.items() for x in kv])[F.col("task")]
+    score = 0.5 * (F.length("draft") + F.length("target")) / (2 * longest) + 0.5 * hard
+    tier = F.least(F.lit(tiers - 1), F.greatest(F.lit(0), F.floor(score * tiers))).cast("int")
+    return pairs.groupBy("task", tier.alias("tier")).agg(F.count("*").alias("n"))
+
+
+def vocabulary(texts: DataFrame, words, size: int, least: int = 1) -> DataFrame:
+    """(word, n, id): the most frequent words; ids follow four specials."""
+    n = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    top = n.orderBy(F.desc("n"), "word").limit(size)
+    return top.withColumn("id", F.row_number().over(W.orderBy(F.desc("n"), "word")) + 3)
+
+
+def encode_words(texts: DataFrame, key: str, words, vocab: DataFrame, unknown: int = 3) -> DataFrame:
+    """(key, ids): each word's id, unknown ones the same."""
+    at = texts.select(key, F.posexplode_outer(words).alias("pos", "word")).join(F.broadcast(vocab.select("word", "id")), "word", "left")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))), lambda x: x["id"].cast("string"))
+    return at.where("pos IS NOT NULL").groupBy(key).agg(F.array_join(ids, " ").alias("ids"))

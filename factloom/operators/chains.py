@@ -103,3 +103,38 @@ def round_trip(facts: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
 def beliefs_and_truth(beliefs: DataFrame, facts: DataFrame) -> DataFrame:
     """(b, s, r, o, truth, agrees): what each believer holds beside the stored answer."""
     return beliefs.join(answers(facts).select("s", "r", F.col("answer").alias("truth")), ["s", "r"], "left").select("b", "s", "r", "o", "truth", F.col("o").eqNullSafe(F.col("truth")).alias("agrees"))
+
+
+def best_walk(facts: DataFrame, starts: DataFrame, candidates: list[list[str]]) -> DataFrame:
+    """(start, answer, pattern, confidence): of several chains the surest that arrives; of equals the first given."""
+    all_ = None
+    for k, relations in enumerate(candidates):
+        one = walk(facts, starts, relations).where("answer IS NOT NULL").select("start", "answer", "confidence", F.lit(k).alias("k"), F.lit(",".join(relations)).alias("pattern"))
+        all_ = one if all_ is None else all_.union(one)
+    best = F.min_by(F.struct("answer", "pattern", "confidence"), F.struct(-F.col("confidence"), F.col("k")))
+    return all_.groupBy("start").agg(best.alias("x")).select("start", "x.answer", "x.pattern", "x.confidence")
+
+
+def reached(facts: DataFrame, nodes: DataFrame, relation: str, value: str | None = None) -> DataFrame:
+    """Nodes (column ``node``) that have the relation, or whose first answer to it is the value."""
+    own = answers(facts.where(F.col("r") == relation))
+    if value is not None:
+        own = own.where(F.col("answer") == value)
+    return nodes.join(own.select(F.col("s").alias("node")), "node", "left_semi")
+
+
+def kinship(edges: DataFrame, labels: dict[str, tuple[int, int]]) -> DataFrame:
+    """(path, up, down) of paths (path, step, relation): steps up and down in all; a step down after steps up turns them back no more.
+
+    Steps up that follow steps down cancel them, as the child of a child's parent is a child.
+    """
+    table = F.create_map(*[F.lit(x) for k, (u, d) in labels.items() for x in (k, u * 1000 + d)])
+    steps = edges.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", table[F.col("relation")].alias("c")))), lambda x: x["c"]).alias("cs"))
+    start = F.struct(F.lit(0).alias("up"), F.lit(0).alias("down"))
+
+    def fold(a, c):
+        up, down = F.floor(c / 1000).cast("int"), (c % 1000).cast("int")
+        back = F.least(a["down"], up)
+        return F.struct((a["up"] + up - back).cast("int").alias("up"), (a["down"] - back + down).cast("int").alias("down"))
+
+    return steps.select("path", F.aggregate("cs", start, fold).alias("x")).select("path", "x.up", "x.down")

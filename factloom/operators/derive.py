@@ -148,3 +148,20 @@ def visible(facts: DataFrame, deltas: DataFrame, branches: list[str]) -> DataFra
 
 def ranked_rules(rules: DataFrame, top: int = 20) -> DataFrame:
     return rules.orderBy(F.desc("support"), F.desc("confidence"), F.array_join("body", ",")).limit(top)
+
+
+def skill_stats(skills: DataFrame, least_uses: int = 3, sure: float = 0.8) -> DataFrame:
+    """(pattern, uses, rate, sure) of skills (pattern, success, failure) that were used enough."""
+    uses = F.col("success") + F.col("failure")
+    rate = F.col("success") / uses
+    return skills.where(uses >= least_uses).select(F.array_join("pattern", ",").alias("pattern"), uses.alias("uses"), rate.alias("rate"), (rate >= sure).alias("sure"))
+
+
+def relation_priority(skills: DataFrame) -> DataFrame:
+    """(relation, weight): relations by the successes of the skills that use them."""
+    return skills.select(F.explode("pattern").alias("relation"), "success").groupBy("relation").agg(F.sum("success").alias("weight"))
+
+
+def laplace(rules: DataFrame) -> DataFrame:
+    """Adds the running confidence of rules (success, failure)."""
+    return rules.withColumn("running", (F.col("success") + 1) / (F.col("success") + F.col("failure") + 2))

@@ -88,3 +88,19 @@ def folded(log: DataFrame) -> DataFrame:
     run = log.withColumn("sum", F.sum(step).over(w))
     out = run.groupBy("s", "r", "o").agg(F.max_by("sum", "seq").alias("end"), F.min("sum").alias("low"))
     return out.select("s", "r", "o", (F.col("end") - F.least(F.col("low"), F.lit(0))).alias("n")).where("n > 0")
+
+
+def history(episodes: DataFrame) -> DataFrame:
+    """(subject, relation, states): the states of each signature in order, as text; one row for each signature and day, so that rows stay small."""
+    at = F.struct("ts", "id", "state")
+    by_day = episodes.groupBy(*KEY, F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(at)).alias("x"))
+    return by_day.select(*KEY, F.col("day").cast("string").alias("day"), F.array_join(F.transform("x", lambda e: e["state"]), ",").alias("states"))
+
+
+def promoted(memories: DataFrame, least: int = 3, actor: str = "user", kind: str = "told") -> DataFrame:
+    """(content, n): what an actor has told often enough to be a fact."""
+    return memories.where((F.col("actor") == actor) & (F.col("kind") == kind)).groupBy("content").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def status(episodes: DataFrame) -> DataFrame:
+    return episodes.agg(F.count("*").alias("n"), F.count_if(F.col("state") == "known").alias("known"), F.count_if(F.col("state") == "ambiguous").alias("ambiguous"), F.count_if(F.col("state") == "idk").alias("idk"), F.count_distinct(*KEY).alias("signatures"))

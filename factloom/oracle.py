@@ -263,6 +263,28 @@ def oracle_sql() -> dict[str, str]:
     out["vector_bundles"] = "SELECT label, CAST(i - 1 AS INTEGER) AS pos, round(sum(CAST(embedding[i] AS DOUBLE)), 4) AS total FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2"
     turn = lambda n: f"list_concat(embedding[-{n}:], embedding[:-{n + 1}])"
     out["vector_algebra"] = f"SELECT vec_id, CAST(list_sum(list_transform(list_zip(embedding, {turn(3)}), lambda p: CASE WHEN (p[1] >= 0) = (p[2] >= 0) THEN 1 ELSE -1 END)) AS INTEGER) AS agreement, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({turn(1)} AS DOUBLE[])), 6) AS turned FROM embeddings"
+    out["direction_lookup"] = "SELECT lower(x.n_name) AS a, lower(y.n_name) AS b, CASE WHEN x.n_nationkey % 2 = 0 THEN 'south_of' ELSE 'north_of' END AS direction FROM nation x JOIN nation y ON y.n_nationkey = (x.n_nationkey + 1) % 25"
+    out["best_of_chains"] = f"SELECT s AS start, o AS answer, 'locatedin' AS pattern, CAST(1.0 AS DOUBLE) AS confidence FROM {f('S')} UNION ALL SELECT x.s, y.o, 'partof,locatedin', 0.95 FROM {f('O')} x JOIN {f('C')} y ON x.o = y.s"
+    out["goal_reached"] = f"SELECT s AS node FROM {f('C2')} WHERE o = 'building'"
+    step = lambda k: f"CAST(floor(o_orderkey / {3**k}) AS BIGINT) % 3"
+    u, v = (lambda c: f"(CASE WHEN {c} = 1 THEN 0 ELSE 1 END)"), (lambda c: f"(CASE WHEN {c} = 0 THEN 0 ELSE 1 END)")
+    out["kinship_paths"] = (
+        f"WITH a AS (SELECT o_orderkey AS path, {step(0)} AS c0, {step(1)} AS c1, {step(2)} AS c2 FROM orders), b AS (SELECT *, {u('c0')} AS up, {v('c0')} AS down FROM a), "
+        f"c AS (SELECT path, c2, up + {u('c1')} - least(down, {u('c1')}) AS up, down - least(down, {u('c1')}) + {v('c1')} AS down FROM b) SELECT path, CAST(up + {u('c2')} - least(down, {u('c2')}) AS INTEGER) AS up, CAST(down - least(down, {u('c2')}) + {v('c2')} AS INTEGER) AS down FROM c"
+    )
+    out["skill_statistics"] = f"SELECT r1 || ',' || r2 AS pattern, success + failure AS uses, round(success / (success + failure), 6) AS rate, success / (success + failure) >= 0.8 AS sure FROM {_skills()} WHERE success + failure >= 3"
+    out["relation_priority"] = f"SELECT relation, CAST(sum(success) AS BIGINT) AS weight FROM (SELECT r1 AS relation, success FROM {_skills()} UNION ALL SELECT r2, success FROM {_skills()}) GROUP BY relation"
+    out["rule_feedback"] = f"SELECT r1 || ',' || r2 AS pattern, round((success + 1) / (success + failure + 2), 6) AS running FROM {_skills()}"
+    out["state_histories"] = f"SELECT subject, relation, strftime(ts, '%Y-%m-%d') AS day, string_agg(state, ',' ORDER BY ts, id) AS states FROM ({_EPISODES}) GROUP BY 1, 2, 3"
+    out["promoted_memories"] = "SELECT user_id || ':' || event_type AS content, count(*) AS n FROM events WHERE event_id % 6 = 0 GROUP BY 1 HAVING count(*) >= 3"
+    out["status_report"] = f"SELECT count(*) AS n, count(*) FILTER (state = 'known') AS known, count(*) FILTER (state = 'ambiguous') AS ambiguous, count(*) FILTER (state = 'idk') AS idk, count(DISTINCT (subject, relation)) AS signatures FROM ({_EPISODES})"
+    out["base_state"] = f"SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(s || chr(0) || r || chr(0) || o), 1, 12) AS BIGINT)) AS VARCHAR) AS hash FROM {geo}"
+    hard = "CASE task WHEN 'declare' THEN 0.1 WHEN 'fill' THEN 0.4 WHEN 'ask' THEN 0.6 ELSE 0.9 END"
+    out["curriculum_tiers"] = f"SELECT task, CAST(least(3, greatest(0, floor(4 * (0.5 * (length(draft) + length(target)) / 512 + 0.5 * {hard})))) AS INTEGER) AS tier, count(*) AS n FROM ({out['training_corpus']}) GROUP BY 1, 2"
+    vocab = "(SELECT word, n, CAST(row_number() OVER (ORDER BY n DESC, word) + 3 AS INTEGER) AS id FROM (SELECT unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS word, count(*) AS n FROM benchmark GROUP BY 1 ORDER BY n DESC, word LIMIT 50))"
+    out["word_vocabulary"] = f"SELECT * FROM {vocab}"
+    out["word_encoding"] = f"WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS word, generate_subscripts(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), 1) AS i FROM benchmark) SELECT item_id, string_agg(CAST(coalesce(id, 3) AS VARCHAR), ' ' ORDER BY i) AS ids FROM w LEFT JOIN {vocab} v USING (word) GROUP BY item_id"
+    out["decayed_provenance"] = f"SELECT s, r, o, round(confidence * pow(0.9, 3), 6) AS confidence FROM {prov('C')}"
     out["maintenance"] = (
         f"SELECT 'induced' AS step, count(*) AS n FROM {_cascade(f('O', 'C', 'N', 'C50', 'P', 'P2', 'NEG'), 3)} UNION ALL SELECT 'denied', count(*) FROM ({out['negation_propagation']}) UNION ALL SELECT 'resolved', count(*) FROM ({out['conflict_resolution']}) WHERE NOT keep"
     )

@@ -654,6 +654,101 @@ def vector_clean_up(spark, d):
     return vectors.clean_up(e.select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")), book).withColumn("score", F.round("score", 5)).select("query", "symbol", "score", "rank")
 
 
+# more of the same families
+
+
+@query
+def direction_lookup(spark, d):
+    n = star.table(spark, d, "nation")
+    east = n.select(F.col("n_nationkey").cast("long").alias("seq"), F.lower("n_name").alias("s"), F.when(F.col("n_nationkey") % 2 == 0, "east_of").otherwise("north_of").alias("r"), ((F.col("n_nationkey") + 1) % 25).alias("k"))
+    f = east.join(F.broadcast(n.select(F.col("n_nationkey").alias("k"), F.lower("n_name").alias("o"))), "k").select("seq", "s", "r", "o")
+    f = f.union(f.where("r = 'east_of'").select(F.col("seq") + 100, "s", F.lit("south_of"), "o"))
+    return pattern.direction(f, f.select(F.col("s").alias("a"), F.col("o").alias("b")).distinct())
+
+
+@query
+def best_of_chains(spark, d):
+    f = star.facts(spark, d, "O", "C", "N", "S")
+    starts = star.facts(spark, d, "O", "S").select(F.col("s").alias("start"))
+    return chains.best_walk(f, starts, [["partof", "locatedin", "locatedin"], ["locatedin"], ["partof", "locatedin"]]).withColumn("confidence", _r6("confidence"))
+
+
+@query
+def goal_reached(spark, d):
+    f = star.facts(spark, d, "C", "C2")
+    return chains.reached(f, f.select(F.col("s").alias("node")).distinct(), "category", "building")
+
+
+@query
+def kinship_paths(spark, d):
+    o = star.table(spark, d, "orders").select(F.col("o_orderkey").alias("path"))
+    names = F.array(F.lit("parent"), F.lit("child"), F.lit("sibling"))
+    steps = o.select("path", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("step"))
+    e = steps.select("path", "step", F.element_at(names, (F.floor(F.col("path") / F.pow(F.lit(3), F.col("step"))) % 3 + 1).cast("int")).alias("relation"))
+    return chains.kinship(e, {"parent": (1, 0), "child": (0, 1), "sibling": (1, 1)})
+
+
+@query
+def skill_statistics(spark, d):
+    return derive.skill_stats(_skills(spark, d)).withColumn("rate", _r6("rate"))
+
+
+@query
+def relation_priority(spark, d):
+    return derive.relation_priority(_skills(spark, d))
+
+
+@query
+def rule_feedback(spark, d):
+    return derive.laplace(_skills(spark, d)).select(F.array_join("pattern", ",").alias("pattern"), _r6("running").alias("running"))
+
+
+@query
+def state_histories(spark, d):
+    return episodes.history(star.episodes(spark, d))
+
+
+@query
+def promoted_memories(spark, d):
+    e = star.table(spark, d, "events")
+    return episodes.promoted(e.select(F.when(F.col("event_id") % 2 == 0, "user").otherwise("agent").alias("actor"), F.when(F.col("event_id") % 3 == 0, "told").otherwise("seen").alias("kind"), F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("content")))
+
+
+@query
+def status_report(spark, d):
+    return episodes.status(star.episodes(spark, d))
+
+
+@query
+def base_state(spark, d):
+    return analytics.state_hash(star.facts(spark, d, "O", "C", "N"))
+
+
+@query
+def curriculum_tiers(spark, d):
+    return analytics.curriculum(triples.training_pairs(star.facts(spark, d, "P", "P2")), {"declare": 0.1, "fill": 0.4, "ask": 0.6, "confirm": 0.9})
+
+
+def _words():
+    return F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))
+
+
+@query
+def word_vocabulary(spark, d):
+    return analytics.vocabulary(star.table(spark, d, "benchmark"), _words(), 50)
+
+
+@query
+def word_encoding(spark, d):
+    b = star.table(spark, d, "benchmark")
+    return analytics.encode_words(b, "item_id", _words(), analytics.vocabulary(b, _words(), 50))
+
+
+@query
+def decayed_provenance(spark, d):
+    return provenance.decayed(star.provenance(spark, d, "C"), 0.9, 3).select("s", "r", "o", _r6("confidence").alias("confidence"))
+
+
 # passes and streams
 
 
