@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from factloom import oracle, registry
@@ -23,7 +24,10 @@ def db():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    text = lambda v: "null" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    for c in df.columns:  # nullable numbers come as floats from one side only
+        if pd.api.types.is_numeric_dtype(df[c]) and not pd.api.types.is_bool_dtype(df[c]):
+            df = df.assign(**{c: df[c].astype(float)})
+    text = lambda v: "null" if pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v)
     return sorted(tuple(map(text, r)) for r in df.itertuples(index=False))
 
 
