@@ -18,17 +18,22 @@ def near(df: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for all nodes of links (a, b): root is the smallest node that links reach.
 
-    Each round hangs every root below its smallest neighbour, shortens the paths
-    and draws the links together; links within a component vanish. No component
-    meets in one task: neighbours' minima are aggregated before they are moved.
+    Each round hangs every root below its smallest neighbour, follows the paths to
+    their ends and draws the links together; links within a component vanish, and
+    of the roots that have links at most half stay. No component meets in one task:
+    neighbours' minima are aggregated before they are moved.
     """
     edges = scratch.keep(links.select("a", "b").where("a != b").distinct(), "links")
     labels = scratch.keep(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("root")), "labels")
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         up = scratch.keep(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("p")), "up")
-        for _ in range(2):
-            up = scratch.keep(up.join(near(up.select(F.col("a").alias("p"), F.col("p").alias("q"))), "p").select("a", F.col("q").alias("p")), "up")
+        while True:  # each step halves the paths
+            next_ = near(up.select(F.col("a").alias("p"), F.col("p").alias("q")))
+            jumped = scratch.keep(up.join(next_, "p").select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), "up")
+            up = jumped.select("a", "p")
+            if jumped.where("moved").isEmpty():
+                break
         step = near(up)
         labels = scratch.keep(labels.join(step, F.col("root") == F.col("a"), "left").select("node", F.coalesce("p", "root").alias("root")), "labels")
         moved = edges.join(step.select("a", F.col("p").alias("pa")), "a").join(step.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")

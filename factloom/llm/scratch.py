@@ -1,56 +1,5 @@
 """Tables that cut lineage, in the folder that the cluster shares."""
 
-from __future__ import annotations
+from ..sources.scratch import BATCH, batches, folder, keep, small
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in local runs, a temporary folder becomes it."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="scratch")
-        sc.setCheckpointDir(base)
-    return base
-
-
-#: Rows that Python gets at once where rows are large, so that batches stay within some MB.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-@contextlib.contextmanager
-def batches(spark: SparkSession, rows: int):
-    """What runs within sends at most so many rows to Python at once."""
-    before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH, before)
-
-
-def keep(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
-    """Writes df to a new table of the shared folder and reads it back; the table goes when the session's process ends."""
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with batches(spark, batch):
-        df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the JVM may have ended before
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether a kept table has at most so many rows, and so may be broadcast."""
-    return df.count() <= rows
+__all__ = ["BATCH", "batches", "folder", "keep", "small"]

@@ -229,9 +229,9 @@ def test_tree_finds_all_pairs_of_the_bound():
 
 
 def test_components_of_chains_and_stars(spark):
-    links = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(8, 60)] + [(5, 5)]
+    links = [(k, k + 1) for k in range(100, 400)] + [(7, k) for k in range(8, 60)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert all(got[k] == 100 for k in range(100, 141)) and all(got[k] == 7 for k in range(7, 60)) and 5 not in got
+    assert all(got[k] == 100 for k in range(100, 401)) and all(got[k] == 7 for k in range(7, 60)) and 5 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
