@@ -17,6 +17,16 @@ from factloom.llm.queries import PATTERN, VOCABULARY
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Documents that Python gets at once; the stages' results run later, so the session keeps it.
+BATCH_ROWS = 500
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch size if it is larger, so that batches of long texts stay small."""
+    if int(spark.conf.get(scratch.BATCH)) > BATCH_ROWS:
+        spark.conf.set(scratch.BATCH, str(BATCH_ROWS))
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs but those with the given ids; texts aren't moved while the ids are few."""
     return docs.join(near(scratch.keep(ids.where("doc_id IS NOT NULL").distinct(), "dropped")), "doc_id", "left_anti").select(*COLUMNS)
@@ -24,6 +34,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose language is rejected; those without a letter or text among them."""
+    _small_batches(spark)
     model = langid.train(*langid.sample(docs))
     return langid.identify(docs, model, out="_language").where(~F.col("_language.rejected")).select(*COLUMNS)
 
@@ -47,11 +58,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the texts; all documents stay."""
+    _small_batches(spark)
     return secrets.mask_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text and how many they are."""
+    _small_batches(spark)
     coded = bpe.encode_documents(docs, VOCABULARY, PATTERN)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

@@ -366,12 +366,13 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, tex
     both = scratch.keep(both.select("a", "b", F.pmod(F.xxhash64("hub", chunk), F.lit(parts)).alias("part")), "dealt")
     needs = scratch.keep(both.select("part", F.col("a").alias("row")).union(both.select("part", "b")).distinct(), "needs")
 
-    def sets_of(texts: pa.Array) -> pa.Array:
-        rows = [(int(textbuf.mix64(s).sum().astype(np.int64)), s.tobytes()) for s in token_sets(texts, n)]
-        return pa.StructArray.from_arrays([pa.array([f for f, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.binary())], ["fp", "tokens"])
+    def set_of(texts: pa.Array, prints: pa.Array) -> pa.Array:
+        """The set, or null if it isn't the node's; both sides are arguments, so that it is made after the join."""
+        rows = zip(token_sets(texts, n), prints.to_pylist(), strict=True)
+        return pa.array([s.tobytes() if int(textbuf.mix64(s).sum().astype(np.int64)) == f else None for s, f in rows], pa.binary())
 
     texts = docs.select(F.col(id_col).alias("_t_id"), F.col(text).alias("_t")).where(F.col("_t").isNotNull()).join(near(wanted), F.col("_t_id").eqNullSafe(F.col("_id")))
-    sets = texts.withColumn("s", F.arrow_udf(sets_of, "struct<fp:long,tokens:binary>")("_t")).where("s.fp = fp1").select("row", "s.tokens")
+    sets = texts.select("row", F.arrow_udf(set_of, "binary")("_t", "fp1").alias("tokens")).where("tokens IS NOT NULL")
     sent = sets.join(near(needs), "row").select("part", F.col("row").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
     sent = sent.union(both.select("part", "a", "b", F.lit(None).cast("binary")))
 
