@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import worker
+
 #: Pieces whose tokens a worker remembers: so many new ones, and those of the generation before.
 MEMO_PIECES = 160_000
 #: Longer pieces are encoded anew each time.
@@ -133,16 +135,9 @@ class Ranks:
         return out
 
 
-_loaded: dict[tuple, Ranks] = {}
-
-
 def _ranks(lines: bytes, pattern: str) -> Ranks:
-    """Once for each Python worker."""
-    key = (len(lines), hash(lines), pattern)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Ranks(lines, pattern)
-    return _loaded[key]
+    """Once for each Python worker, as long as it has tasks that encode."""
+    return worker.table((len(lines), hash(lines), pattern), lambda: Ranks(lines, pattern))
 
 
 def _read(spark: SparkSession, path: str) -> bytes:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import scratch, textbuf
+from . import scratch, textbuf, worker
 from .components import components, near
 
 SHINGLE = 5
@@ -61,6 +61,7 @@ VERIFY_BATCH, BLOCK_BATCH = 500, 50
 
 def token_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
+    worker.release()
     data, off = textbuf.buffers(texts)
     for i, j in textbuf.chunks(off):
         h, firsts = textbuf.words(data[off[i] : off[j]], off[i : j + 1] - off[i])

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import textbuf
+from . import textbuf, worker
 
 BUCKET_BITS = 15
 DIM = 16
@@ -193,6 +193,7 @@ def predictor(spark, model: Model):
 
     @F.arrow_udf("struct<lang:string,score:double,rejected:boolean>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker.release()
         m = shared.value
         for texts in batches:
             data, off = _lower(texts)

@@ -1,0 +1,31 @@
+"""The one large table that a Python worker holds between tasks.
+
+Spark gives a worker tasks of one operator after another. A table that takes long to
+build stays for the next tasks of its operator; tasks of the others let go of it, so
+that it doesn't take an executor's memory beside theirs.
+"""
+
+from __future__ import annotations
+
+import gc
+from collections.abc import Callable, Hashable
+from typing import TypeVar
+
+T = TypeVar("T")
+
+_held: dict[Hashable, object] = {}
+
+
+def table(key: Hashable, make: Callable[[], T]) -> T:
+    """The table of this key, made if the worker holds another or none."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Frees the table, if there is one."""
+    if _held:
+        _held.clear()
+        gc.collect()  # tables may refer to themselves

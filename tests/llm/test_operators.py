@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, bpe, decontaminate, jaccard, langid, passages, quality, queries, secrets, sharding, warc
+from factloom.llm import ann, bpe, decontaminate, jaccard, langid, passages, quality, queries, secrets, sharding, warc, worker
 from factloom.llm.components import components
 
 from ..conftest import SF
@@ -64,6 +64,18 @@ def test_bpe_equals_merges_and_decodes(spark):
 # 2, 3
 
 
+def test_a_worker_holds_one_table():
+    made = []
+    make = lambda k: lambda: made.append(k) or [k]
+    assert worker.table("a", make("a")) is worker.table("a", make("a"))
+    assert worker.table("b", make("b")) == ["b"]
+    assert worker.table("a", make("a")) == ["a"]
+    worker.release()
+    worker.release()
+    assert worker.table("a", make("a")) == ["a"]
+    assert made == ["a", "b", "a", "a"]
+
+
 def test_language_is_learned_and_rejected(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(*langid.sample(docs, where=queries.remainder(3) != 1))
