@@ -154,22 +154,18 @@ def _spans(texts: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
 
 
-def _masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    """The texts with each stretch that spans cover put as one ``[SECRET]``."""
-    out = []
-    for text, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-        if found:
-            parts, at, k = [], 0, 0
-            while k < len(found):
-                a, b = found[k]["start"], found[k]["end"]
-                while k + 1 < len(found) and found[k + 1]["start"] < b:
-                    k += 1
-                    b = max(b, found[k]["end"])
-                parts += [text[at:a], "[SECRET]"]
-                at, k = b, k + 1
-            text = "".join([*parts, text[at:]])
-        out.append(text)
-    return pa.array(out, pa.string())
+def mask(text: str) -> str:
+    """The text with each stretch that spans cover put as one ``[SECRET]``."""
+    parts, at, until = [], 0, -1
+    for _, a, b in scan(text):
+        if a >= until:
+            parts += [text[at:a], "[SECRET]"]
+        at = until = max(b, until)
+    return "".join([*parts, text[at:]]) if parts else text
+
+
+def _masked(texts: pa.Array) -> pa.Array:
+    return pa.array([mask(t.as_py()) if t.is_valid else None for t in texts], pa.string())
 
 
 def secret_spans(text: Column) -> Column:
@@ -177,8 +173,9 @@ def secret_spans(text: Column) -> Column:
     return F.arrow_udf(_spans, "array<struct<kind:string,start:int,end:int>>")(text)
 
 
-def masked(text: Column, spans: Column) -> Column:
-    return F.arrow_udf(_masked, "string")(text, spans)
+def masked(text: Column) -> Column:
+    """The text without its secrets; spans and text pass one Python function, so a task needs one worker."""
+    return F.arrow_udf(_masked, "string")(text)
 
 
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
@@ -188,7 +185,7 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets") -> D
 
 def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replaces secrets in the texts; nulls stay."""
-    return docs.withColumn(text, masked(F.col(text), secret_spans(F.col(text))))
+    return docs.withColumn(text, masked(F.col(text)))
 
 
 def span_text(spans: Column) -> Column:
