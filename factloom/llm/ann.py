@@ -5,7 +5,9 @@ means, which gives lists of equal size; the means of the parts are the
 centroids. A vector goes to the list of its nearest centroid, and near a border
 also to the next ones, up to a ratio of the nearest distance. Centroids are found by best-first search in a graph of near centroids that is kept in
 memory. A query visits the lists of its nearest centroids, and those farther than
-a ratio of the nearest distance are pruned. Within lists, inner products are exact.
+a ratio of the nearest distance are pruned. How many it visits, and the ratio, are
+raised until CHECKED queries, held against exact search over all vectors, find
+RECALL of their neighbours. Within lists, inner products are exact.
 
 Equal vectors are indexed once, as a class with its smallest ids: with k wanted,
 only k + 1 of them can ever be among anyone's nearest. Lists and their queries
@@ -23,7 +25,9 @@ are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -41,8 +45,10 @@ LIST_ROWS = 200
 SAMPLE_PER_LIST = 8
 #: A vector's lists: so many at most, and no farther than this ratio of the nearest.
 COPIES, COPY_RATIO = 4, 1.25
-#: A query's lists: so many at most, and no farther than this ratio of the nearest.
+#: A query's lists at first: so many at most, and no farther than this ratio of the nearest.
 PROBES, PROBE_RATIO = 64, 1.3
+#: Queries that are searched exactly too, and the share of their neighbours that the lists visited hold at least.
+CHECKED, RECALL = 256, 0.93
 #: Rows and queries of a block of a list.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
 NEIGHBOURS, ENTRIES, BEAM_MORE = 24, 32, 32
@@ -90,10 +96,14 @@ class Graph:
     def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and squared distances of about the k nearest centroids, nearest first, for all rows at once."""
         n, rows = len(self.centroids), np.arange(len(q))[:, None]
-        k = min(k, n)
+        base = (q**2).sum(1)[:, None]
+        if k >= n:
+            d = np.maximum(base + (self.centroids**2).sum(1) - 2 * q @ self.centroids.T, 0)
+            ids = np.argsort(d, axis=1, kind="stable")
+            return ids, d[rows, ids]
         beam = min(n, k + BEAM_MORE)
+        opened = max(2, k // 32)
         seen = np.zeros((len(q), n), bool)
-        base = (q**2).sum(1)[:, None]
 
         def far(ids: np.ndarray) -> np.ndarray:
             c = self.centroids[ids]
@@ -109,7 +119,7 @@ class Graph:
             todo = np.where(done, np.inf, d)
             if self.links.shape[1] == 0 or not np.isfinite(todo).any():
                 return ids[:, :k], d[:, :k]
-            take = np.argsort(todo, axis=1)[:, :2]
+            take = np.argsort(todo, axis=1)[:, :opened]
             open_ = np.isfinite(todo[rows, take])
             done[rows, take] = True
             new = np.where(open_[:, :, None], self.links[ids[rows, take]], -1).reshape(len(q), -1)
@@ -128,16 +138,32 @@ def lists_of(graph: Graph, x: np.ndarray) -> list[np.ndarray]:
     return _close(graph, x, COPIES, COPY_RATIO)
 
 
-def probes_of(graph: Graph, q: np.ndarray) -> list[np.ndarray]:
+def probes_of(graph: Graph, q: np.ndarray, probes: int = PROBES, ratio: float = PROBE_RATIO) -> list[np.ndarray]:
     """The lists that each query visits."""
-    return _close(graph, q, PROBES, PROBE_RATIO)
+    return _close(graph, q, probes, ratio)
+
+
+def fitting_probes(graph: Graph, q: np.ndarray, held: list[list[list[int]]]) -> tuple[int, float, float]:
+    """Probes and ratio with which the queries reach RECALL, and what they reach; held has the lists of each query's nearest."""
+    n, probes = len(graph.centroids), PROBES
+    total = sum(map(len, held))
+    while True:
+        for ratio in (PROBE_RATIO, PROBE_RATIO**2, float("inf")):
+            visited = [set(p.tolist()) for p in probes_of(graph, q, probes, ratio)]
+            hits = sum(not own.isdisjoint(lists) for own, near in zip(visited, held, strict=True) for lists in near)
+            if hits >= RECALL * total:
+                return probes, ratio, hits / max(1, total)
+        if probes >= n:  # all lists are visited
+            return probes, float("inf"), 1.0
+        probes *= 2
 
 
 def _close(graph: Graph, x: np.ndarray, k: int, ratio: float) -> list[np.ndarray]:
-    out = []
-    for i in range(0, len(x), SEARCH_ROWS):
-        ids, d = graph.search(x[i : i + SEARCH_ROWS], k)
-        out += [a[ok] for a, ok in zip(ids, d <= ratio**2 * d[:, :1] + 1e-12, strict=True)]
+    out, rows = [], max(16, SEARCH_ROWS * PROBES // max(k, PROBES))
+    for i in range(0, len(x), rows):
+        ids, d = graph.search(x[i : i + rows], k)
+        far = np.inf if ratio == np.inf else ratio**2 * d[:, :1] + 1e-12
+        out += [a[ok] for a, ok in zip(ids, d <= far, strict=True)]
     return out
 
 
@@ -154,6 +180,31 @@ def _usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return vectors.where(ok).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
 
 
+def _exact(classes: DataFrame, asking: DataFrame, dim: int, k: int) -> tuple[pa.Table, DataFrame]:
+    """CHECKED queries (cls, v) chosen by hash, and (query, cls) of the k nearest other classes of each, found among all."""
+    some = asking.orderBy(F.xxhash64("cls", F.lit("checked"))).limit(CHECKED).select("cls", "v").toArrow()
+    own = np.asarray(some["cls"]).astype(np.int64)
+    q = classes.sparkSession.sparkContext.broadcast((own, np.asarray(some["v"].combine_chunks().flatten()).reshape(-1, dim).astype(np.float64)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = q.value
+        cls, score = np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0))
+        for b in batches:
+            y = np.asarray(b.column(1).flatten()).reshape(-1, dim).astype(np.float64)
+            new = np.asarray(b.column(0))
+            dots = np.where(new == ids[:, None], -np.inf, x @ y.T)
+            cls, score = np.hstack([cls, np.tile(new, (len(x), 1))]), np.hstack([score, dots])
+            m = min(k, score.shape[1])
+            at = np.argpartition(-score, m - 1, axis=1)[:, :m] if m else np.zeros((len(x), 0), np.int64)
+            cls, score = np.take_along_axis(cls, at, 1), np.take_along_axis(score, at, 1)
+        ok = np.isfinite(score)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, cls.shape[1])[ok.ravel()]), pa.array(cls[ok]), pa.array(score[ok])], ["query", "cls", "score"])
+
+    found = classes.select("cls", "v").mapInArrow(best, "query long, cls long, score double")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "cls"))
+    return some, found.withColumn("_r", rank).where(F.col("_r") <= k).select("query", "cls")
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score) of each query's k nearest others; is_query is a condition on column ``id``."""
     spark = vectors.sparkSession
@@ -183,10 +234,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
         return udf
 
-    rows_in = classes.select("cls", "v", F.explode(dealt(lists_of, False)("v")).alias("list"))
+    rows_in = scratch.keep(classes.select("cls", "v", F.explode(dealt(lists_of, False)("v")).alias("list")), "lists")
     asking = classes.join(members.select("cls").distinct(), "cls", "left_semi")
-    asked = asking.select(F.col("cls").alias("query"), F.col("v").alias("q"), F.explode(dealt(probes_of, True)("v")).alias("list"))
-    rows_in, asked = scratch.keep(rows_in, "lists"), scratch.keep(asked, "probes")
+    some, exact = _exact(classes, asking, dim, k)
+    held: dict[int, list[list[int]]] = {i: [] for i in some["cls"].to_pylist()}
+    for r in rows_in.join(F.broadcast(exact), "cls").groupBy("query", "cls").agg(F.collect_list("list").alias("lists")).collect():  # k rows for each query checked
+        held[r["query"]].append(r["lists"])
+    probes, ratio, _ = fitting_probes(graph.value, _matrix(some["v"].combine_chunks(), dim, lift, True), list(held.values())) if held else (PROBES, PROBE_RATIO, 1.0)
+    visit = partial(probes_of, probes=probes, ratio=ratio)
+    asked = scratch.keep(asking.select(F.col("cls").alias("query"), F.col("v").alias("q"), F.explode(dealt(visit, True)("v")).alias("list")), "probes")
     parts = rows_in.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("np"))
     qparts = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("nq"))
     sizes = F.broadcast(parts.join(qparts, "list"))  # a row for each centroid

@@ -317,6 +317,23 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert ann.nearest(odd, F.col("id") % 20 == 0).count() == 0
 
 
+def test_nearest_recall_where_lists_outnumber_probes(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 8)
+    monkeypatch.setattr(ann, "CHECKED", 64)
+    x = np.random.default_rng(11).normal(size=(6000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.nearest(rows, F.col("id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    hit = 0
+    for k in range(0, 6000, 20):
+        s = x @ x[k]
+        s[k] = -2
+        hit += len(got[k] & set(np.argsort(-s)[:20].tolist()))
+    assert hit / 20 / 300 >= 0.9
+
+
 # 9
 
 
