@@ -278,6 +278,32 @@ def test_passages_that_repeat_are_found(spark):
     assert passages.repeated_passages(table(spark, [None, "a b"])).count() == 0
 
 
+def test_passages_with_a_replaced_word_are_verified():
+    rng = np.random.default_rng(4)
+
+    def tokens(words):
+        return np.array([hash(tuple(words[i : i + 5])) & 0xFFFFFFFF for i in range(len(words) - 4)], np.uint32)
+
+    def similarity(a, b):
+        return len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+
+    for n in (50, 52, 55, 60, 65, 70, 75):
+        for at in range(n):
+            a = rng.integers(0, 10**9, n).tolist()
+            b = [*a[:at], -1, *a[at + 1 :]]
+            assert similarity(tokens(a), tokens(b)) >= 0.8
+            for around in (0, 30):
+                sides = rng.integers(0, 10**9, (4, around)).tolist()
+                x, y = tokens(sides[0] + a + sides[1]), tokens(sides[2] + b + sides[3])
+                got = passages.passages(x, y)
+                assert got, (n, at, around)
+                for i, j, k, m in got:
+                    assert min(j - i, m - k) >= 50 and similarity(x[i : j - 4], y[k : m - 4]) >= 0.8
+                assert around or max(j - i for i, j, _, _ in got) >= n - 5
+    a, (b, c, d, e) = rng.integers(0, 10**9, 44).tolist(), rng.integers(0, 10**9, (4, 40)).tolist()
+    assert passages.passages(tokens(b + a + c), tokens(d + a + e)) == []  # too little for 50 words
+
+
 def test_compact_windows_stand_for_all_stretches():
     rng = np.random.default_rng(2)
     tokens = np.append(rng.integers(0, 40, 150).astype(np.uint64), np.uint64(0))
