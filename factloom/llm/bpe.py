@@ -16,6 +16,7 @@ each; other columns, whatever their names, pass through.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,14 +25,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import worker
+from . import textbuf
 
-#: Pieces whose tokens a worker remembers: so many new ones, and those of the generation before.
+#: Pieces whose tokens a task remembers: so many new ones, and those of the generation before.
 MEMO_PIECES = 160_000
 #: Longer pieces are encoded anew each time.
 MEMO_CHARS = 48
 #: Remembered pairs of adjacent tokens.
 MEMO_PAIRS = 400_000
+#: Bytes of text whose ids are made before they are sent on.
+SLICE_BYTES = 1 << 20
+
+
+def _entries(lines: bytes) -> list[tuple[int, bytes]]:
+    return [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, lines.splitlines())]
 
 
 class Ranks:
@@ -41,7 +48,7 @@ class Ranks:
         import ahocorasick
         import regex
 
-        entries = sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, lines.splitlines()))
+        entries = sorted(_entries(lines))
         self.tokens = [t for _, t in entries]
         self.ids = [i for i, _ in entries]
         self.index = {t: k for k, t in enumerate(self.tokens)}
@@ -135,11 +142,6 @@ class Ranks:
         return out
 
 
-def _ranks(lines: bytes, pattern: str) -> Ranks:
-    """Once for each Python worker, as long as it has tasks that encode."""
-    return worker.table((len(lines), hash(lines), pattern), lambda: Ranks(lines, pattern))
-
-
 def _read(spark: SparkSession, path: str) -> bytes:
     """The vocabulary file, read by Spark, so that any store will do."""
     import os
@@ -150,23 +152,42 @@ def _read(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The batch in parts of about SLICE_BYTES, so that the ids of one part at a time are held."""
+    at = 0
+    for i, j in textbuf.chunks(textbuf.buffers(texts)[1], SLICE_BYTES):
+        at = j
+        yield texts.slice(i, j - i)
+    if not at:
+        yield texts
+
+
+def _encoded(ranks: Ranks, texts: pa.Array) -> pa.ListArray:
+    ids, ends = array("i"), [0]
+    for text in texts:
+        ids.extend(ranks.encode(text.as_py() or ""))
+        ends.append(len(ids))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
+
+
+def _decoded(table: dict[int, bytes], ids: pa.ListArray) -> pa.Array:
+    return pa.array([b"".join(map(table.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else None for x in ids], pa.binary())
+
+
 def encoder(spark: SparkSession, path: str, pattern: str):
-    """A column function from text to ids (array<int>), without special tokens."""
+    """A column function from text to ids (array<int>), without special tokens.
+
+    A task makes the vocabulary's tables and frees them when it ends, so that they
+    don't stay in Python workers beside the tasks of other operators.
+    """
     shared = spark.sparkContext.broadcast(_read(spark, path))
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ranks = _ranks(shared.value, pattern)
+        ranks = Ranks(shared.value, pattern)
         for texts in batches:
-            ids, ends = [], [0]
-            total = 0
-            for text in texts:
-                got = np.array(ranks.encode(text.as_py() or ""), np.int32)
-                total += len(got)
-                ids.append(got)
-                ends.append(total)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            for part in _slices(texts):
+                yield _encoded(ranks, part)
 
     return encode
 
@@ -180,14 +201,29 @@ def decoder(spark: SparkSession, path: str):
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        rows = [x.split() for x in shared.value.splitlines()]
-        table = {int(b): base64.b64decode(a) for a, b in rows}
-        for arrays in batches:
-            yield pa.array([None if not x.is_valid else b"".join(map(table.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) for x in arrays], pa.binary())
+        table = dict(_entries(shared.value))
+        for ids in batches:
+            yield _decoded(table, ids)
 
     return decode
 
 
+def round_trip(spark: SparkSession, path: str, pattern: str):
+    """A column function from text to struct(ids, decoded): both directions in one Python worker and with one vocabulary."""
+    shared = spark.sparkContext.broadcast(_read(spark, path))
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ranks = Ranks(shared.value, pattern)
+        table = dict(zip(ranks.ids, ranks.tokens, strict=True))
+        for texts in batches:
+            for part in _slices(texts):
+                ids = _encoded(ranks, part)
+                yield pa.StructArray.from_arrays([ids, _decoded(table, ids)], ["ids", "decoded"])
+
+    return both
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds the ids of each whole text; a column named ``out`` is replaced."""
     return docs.withColumn(out, encoder(docs.sparkSession, path, pattern)(F.col(text)))
@@ -198,6 +234,11 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids", out: str = "d
     return docs.withColumn(out, decoder(docs.sparkSession, path)(F.col(ids)))
 
 
+def round_trip_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "coded") -> DataFrame:
+    """Adds a struct of the ids of each whole text and the bytes decoded from them; a column named ``out`` is replaced."""
+    return docs.withColumn(out, round_trip(docs.sparkSession, path, pattern)(F.col(text)))
+
+
 def id_text(ids: Column) -> Column:
     """Decimal ids joined by commas."""
     return F.array_join(ids.cast("array<string>"), ",")

@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode_documents(bpe.encode_documents(docs, VOCABULARY, PATTERN), VOCABULARY)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.id_text(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.round_trip_documents(docs, VOCABULARY, PATTERN)
+    return coded.select("doc_id", F.size("coded.ids").cast("long").alias("n_tokens"), F.sha2(bpe.id_text(F.col("coded.ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2("coded.decoded", 256).alias("decoded_sha256"))
 
 
 def remainder(n: int):
