@@ -4,8 +4,11 @@ Three base kinds are found by pattern in the whole text: ``assign`` (a value
 given to a password-like name), ``access`` (access key ids) and ``hex`` (long
 runs of hex digits). Further spans are reported only if their decoded structure
 confirms them: base64 or hex candidates are decoded and must parse as a private
-or public key's DER encoding, nested lengths included, and dotted tokens must
-have a header and claims that decode to JSON objects, with an algorithm named.
+or public key's DER encoding or as an OpenSSH private key, nested lengths
+included, and dotted tokens must have a header and claims that decode to JSON
+objects, with an algorithm named. Keys in base64 (of either alphabet) may go on
+over line ends, indented or escaped; a key's span ends where its stated length
+does, padding included, and only if no further digit follows there.
 
 Spans are (kind, start, end) in code points, end exclusive, ordered by start and
 then by kind as KINDS lists them. Nulls count as empty texts; repeated rows are
@@ -39,11 +42,19 @@ _HEXED = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 _B64ED = bytes(1 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=-_.\r\n" else 0 for b in range(256))
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-#: Candidates for keys: base64 over lines, from a first byte 0x30 ("M"), or hex from "30".
-KEY_B64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{15,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+#: Where keys may begin: base64 of a first byte 0x30 ("M") or of OpenSSH's magic, or hex from "30".
+_DIGIT = r"A-Za-z0-9+/_-"
+KEY_B64 = re.compile(rf"(?:(?<![{_DIGIT}])|(?<=\\[nr]))(?:M[{_DIGIT}]{{15}}|b3BlbnNzaC1rZXktdjEA)")
 KEY_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{30,}")
-#: Object identifiers that name key algorithms: RSA, EC, Ed25519, X25519, DSA.
+_RUN = re.compile(rf"[{_DIGIT}]+")
+#: What may stand between the lines of a key.
+_BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+_PADS = re.compile("={0,2}")
+_PLAIN = str.maketrans("-_", "+/")
+#: Object identifiers that name key algorithms (RSA, EC, Ed25519, X25519, DSA), and the begins of those that name encryption by password (PKCS #5, PKCS #12).
 _OIDS = tuple(bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b6570", "2b656e", "2a8648ce380401"))
+_SEALED = tuple(bytes.fromhex(x) for x in ("2a864886f70d0105", "2a864886f70d010c01"))
+_OPENSSH = b"openssh-key-v1\0"
 
 
 def _element(b: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -65,7 +76,7 @@ def _element(b: bytes, at: int, end: int) -> tuple[int, int, int] | None:
 def _children(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
     out = []
     while at < end:
-        if (e := _element(b, at, end)) is None or len(out) > 64:
+        if (e := _element(b, at, end)) is None:
             return None
         out.append(e)
         at = e[2]
@@ -83,14 +94,18 @@ def key_kind(b: bytes) -> tuple[str, int] | None:
     tags = [t for t, _, _ in parts]
     small = lambda e: e[0] == 2 and e[2] - e[1] == 1 and b[e[1]] <= 2
 
+    def named(e: tuple[int, int, int]) -> bytes:
+        """The object identifier that a sequence begins with."""
+        inner = _children(b, e[1], e[2]) if e[0] == 0x30 else None
+        return b[inner[0][1] : inner[0][2]] if inner and inner[0][0] == 6 else b""
+
     def names_algorithm(e: tuple[int, int, int]) -> bool:
-        if e[0] != 0x30:
-            return False
-        inner = _children(b, e[1], e[2])
-        return bool(inner) and inner[0][0] == 6 and b[inner[0][1] : inner[0][2]] in _OIDS
+        return named(e) in _OIDS
 
     if len(parts) >= 3 and small(parts[0]) and names_algorithm(parts[1]) and tags[2] == 4:
         return "private_key", top[2]  # PKCS #8
+    if tags == [0x30, 4] and named(parts[0]).startswith(_SEALED):
+        return "private_key", top[2]  # encrypted PKCS #8
     if len(parts) >= 9 and small(parts[0]) and set(tags[:9]) == {2}:
         return "private_key", top[2]  # PKCS #1
     if len(parts) >= 2 and small(parts[0]) and b[parts[0][1]] == 1 and tags[1] == 4 and parts[1][2] - parts[1][1] >= 16:
@@ -118,15 +133,74 @@ def is_signed_token(header: str, claims: str) -> bool:
     return isinstance(h, dict) and isinstance(c, dict) and isinstance(h.get("alg"), str)
 
 
+def _digits(text: str, at: int, want: int) -> tuple[str, int]:
+    """Up to so many base64 digits from a place, over line ends, and where the last one ends."""
+    parts, have = [], 0
+    while m := _RUN.match(text, at):
+        parts.append(m[0][: want - have])
+        have += len(parts[-1])
+        at += len(parts[-1])
+        if have == want or not (gap := _BREAK.match(text, at)) or not _RUN.match(text, gap.end()):
+            break
+        at = gap.end()
+    return "".join(parts), at
+
+
+def _bytes_at(text: str, at: int, n: int) -> tuple[bytes, int]:
+    """Up to n bytes decoded from a place, and where their digits end."""
+    digits, end = _digits(text, at, -(-4 * n // 3))
+    digits = digits[: len(digits) - (len(digits) % 4 == 1)].translate(_PLAIN)
+    return base64.b64decode(digits + "=" * (-len(digits) % 4))[:n], end
+
+
+def _stated(head: bytes) -> int:
+    """Bytes that the DER element takes of which these are the first, by the length it states; 0 if it states none."""
+    if len(head) < 6 or head[1] < 128:
+        return 2 + head[1] if len(head) > 1 else 0
+    k = head[1] & 127
+    return 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 4 else 0
+
+
+def _openssh_size(b: bytes) -> int:
+    """Bytes of the OpenSSH private key that b begins with: magic, three names, keys and the private part, each after its length; 0 if there is none."""
+    at, left, keys = len(_OPENSSH), 3, False
+    while b.startswith(_OPENSSH) and at + 4 <= len(b):
+        n = int.from_bytes(b[at : at + 4], "big")
+        at += 4
+        if left == 0 and not keys:  # how many public keys there are; the private part comes after them
+            keys, left = True, n + 1
+            continue
+        at, left = at + n, left - 1
+        if left == 0 and keys:
+            return at if at <= len(b) else 0
+    return 0
+
+
+def _key_at(text: str, at: int) -> tuple[str, int] | None:
+    """The kind of the base64 key that begins at a place, and where it ends."""
+    if text[at] == "M":
+        raw, end = _bytes_at(text, at, _stated(_bytes_at(text, at, 6)[0]))
+        found = key_kind(raw)
+        kind = found[0] if found and found[1] == len(raw) else None
+    else:
+        size = _openssh_size(_bytes_at(text, at, len(text))[0])
+        kind, end = "private_key" if size else None, _bytes_at(text, at, size)[1]
+    if kind is None:
+        return None
+    end = _PADS.match(text, end).end()
+    return None if _RUN.match(text, end) else (kind, end)
+
+
 def _structures(text: str) -> Iterator[tuple[str, int, int]]:
     for m in TOKEN.finditer(text):
         if is_signed_token(m[1], m[2]):
             yield "signed_token", *m.span()
-    for m in KEY_B64.finditer(text):
-        body = re.sub(r"[\r\n]", "", m[0]).rstrip("=")
-        raw = base64.b64decode(body[: len(body) // 4 * 4] + (body[len(body) // 4 * 4 :] + "==" if len(body) % 4 == 2 else body[len(body) // 4 * 4 :] + "=" if len(body) % 4 == 3 else ""))
-        if (found := key_kind(raw)) and (len(raw) - found[1]) <= 2:
-            yield found[0], *m.span()
+    at = 0
+    while m := KEY_B64.search(text, at):
+        at = m.end()
+        if found := _key_at(text, m.start()):
+            kind, at = found
+            yield kind, m.start(), at
     for m in KEY_HEX.finditer(text):
         if found := key_kind(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
             yield found[0], m.start(), m.start() + 2 * found[1]

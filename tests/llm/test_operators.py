@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, bpe, decontaminate, jaccard, langid, passages, quality, queries, secrets, sharding, warc, worker
+from factloom.llm import ann, bpe, decontaminate, jaccard, langid, passages, quality, queries, secrets, sharding, warc
 from factloom.llm.components import components
 
 from ..conftest import SF
@@ -58,24 +58,15 @@ def test_bpe_equals_merges_and_decodes(spark):
     for i, t in enumerate(texts):
         assert got[i]["ids"] == enc.encode_ordinary(t or "")
         assert bytes(got[i]["decoded"]) == (t or "").encode()
+    both = by_id(bpe.round_trip_documents(table(spark, texts), queries.VOCABULARY, queries.PATTERN))
+    assert all((list(both[i]["coded"]["ids"]), bytes(both[i]["coded"]["decoded"])) == (got[i]["ids"], bytes(got[i]["decoded"])) for i in range(len(texts)))
     assert bpe.encode_documents(table(spark, []), queries.VOCABULARY, queries.PATTERN).count() == 0
+    assert bpe.round_trip_documents(table(spark, []), queries.VOCABULARY, queries.PATTERN).count() == 0
 
 
 # 2, 3
 
 
-def test_a_worker_holds_one_table():
-    made = []
-    make = lambda k: lambda: made.append(k) or [k]
-    assert worker.table("a", make("a")) is worker.table("a", make("a"))
-    assert worker.table("b", make("b")) == ["b"]
-    assert worker.table("a", make("a")) == ["a"]
-    worker.release()
-    worker.release()
-    assert worker.table("a", make("a")) == ["a"]
-    assert made == ["a", "b", "a", "a"]
-
-
 def test_language_is_learned_and_rejected(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.train(*langid.sample(docs, where=queries.remainder(3) != 1))
@@ -179,6 +170,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.page_derivatives(pages.limit(0)).count() == 0
 
 
+def test_html_text_equals_the_steps(spark):
+    rng = random.Random(3)
+    bits = ["<p>", "</P >", "<!-- x -- <b> -->", "<!--", "<script>a<b</script>", "<STYLE x>p{}</style >", "<span>", "<header id=1>", "<head>", "<hr/>", "<h7>", "<pre\n>", "<prefix>", "<a href=\"x\">", "<", ">", "&amp;", "&#38;", "amp;", "lt;", "#38;", "&lt;", "&#60;", "&nbsp;", "&#x27;", "&middot;", "&copy;", "&", "\u2028", "\u0085", " ", "  ", "\t", "\r\n", "\n", " \n ", "word", "é", "日本", "$1", "\\"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    want = []
+    for t in texts:
+        for pattern, to in warc.HTML_STEPS:
+            t = re.sub(pattern.replace("$", r"\Z"), lambda m, to=to: to, t)
+        want.append(t)
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, html string").select("i", warc.html_text(F.col("html")).alias("t")).collect()
+    assert [r["t"] for r in sorted(got)] == want
+
+
 # 6
 
 
@@ -401,6 +405,31 @@ def der(tag, body):
     return bytes([tag]) + size + body
 
 
+def sized(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+def test_keys_in_all_their_forms():
+    oid = lambda x: der(6, bytes.fromhex(x))
+    pkcs8 = der(0x30, der(2, b"\x00") + der(0x30, oid("2b6570")) + der(4, der(4, bytes(range(32)))))
+    sealed = der(0x30, der(0x30, oid("2a864886f70d01050d") + der(0x30, der(4, bytes(16)))) + der(4, bytes(range(160))))
+    public = der(0x30, der(0x30, oid("2a8648ce3d0201") + oid("2a8648ce3d030107")) + der(3, b"\x00\x04" + bytes(range(64))))
+    many = der(0x30, der(2, b"\x00") + b"".join(der(2, b"\x01" + bytes(9)) for _ in range(90)))
+    ssh = b"openssh-key-v1\0" + sized(b"none") * 2 + sized(b"") + (1).to_bytes(4, "big") + sized(bytes(range(51))) + sized(bytes(range(144)))
+    for raw, kind in ((pkcs8, "private_key"), (sealed, "private_key"), (public, "public_key"), (many, "private_key"), (ssh, "private_key")):
+        full = base64.b64encode(raw).decode()
+        url = base64.urlsafe_b64encode(raw).decode()
+        lines = [full[k : k + 64] for k in range(0, len(full), 64)]
+        forms = [full, full.rstrip("="), url.rstrip("="), "\n".join(lines), "\r\n".join(lines), "\n    ".join(lines), "\\n".join(lines)]
+        for form in forms:
+            for before, after in (("", ""), ("key ", " end"), ("-----BEGIN PRIVATE KEY-----\n", "\n-----END PRIVATE KEY-----"), ("x: ", "\nNext line"), ('"-----\\n', '\\n-----"'), ("MNOPQRSTUVWXYZabcdef\n", ",")):
+                got = [x for x in secrets.scan(before + form + after) if x[0] not in secrets.BASE]
+                assert got == [(kind, len(before), len(before + form))], (kind, form, before)
+        broken = full[:-8]
+        assert not [x for x in secrets.scan(broken) if x[0] not in secrets.BASE]
+        assert not [x for x in secrets.scan(full.rstrip("=") + "AAAAAAAA") if x[0] not in secrets.BASE]
+
+
 def test_secrets(spark):
     number = lambda n: der(2, b"\x01" + bytes(range(n)))
     rsa = der(0x30, der(2, b"\x00") + b"".join(number(n) for n in (120, 2, 120, 60, 60, 60, 60, 60)))
