@@ -255,12 +255,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             return pd.DataFrame({"query": [], "cls": [], "score": []})
         q, y = np.stack(a["q"].to_numpy()).astype(np.float64), np.stack(b["v"].to_numpy()).astype(np.float64)
         dots = q @ y.T
-        m = min(k + 4, len(y))  # some more, as the sums below round otherwise
-        at = np.argpartition(-dots, m - 1, axis=1)[:, :m]
-        score = np.stack([(q[i] * y[at[i]]).sum(-1) for i in range(len(q))])
-        cls = b["cls"].to_numpy()[at]
-        order = np.lexsort((cls, -score))[:, : k + 1] if m > k + 1 else np.tile(np.arange(m), (len(q), 1))
-        return pd.DataFrame({"query": np.repeat(a["query"].to_numpy(), order.shape[1]), "cls": np.take_along_axis(cls, order, 1).ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+        m = min(k + 1, len(y))
+        last = np.partition(dots, len(y) - m, axis=1)[:, len(y) - m]
+        last -= 1e-12 * np.sqrt((q**2).sum(1) * (y**2).sum(1).max())  # the sums below may round otherwise
+        own, at = np.nonzero(dots >= last[:, None])  # all that may tie with the last one
+        score, cls = (q[own] * y[at]).sum(1), b["cls"].to_numpy()[at]
+        order = np.lexsort((cls, -score, own))
+        own, score, cls = own[order], score[order], cls[order]
+        first = np.searchsorted(own, np.arange(len(q)))
+        ok = np.arange(len(own)) - first[own] < m
+        return pd.DataFrame({"query": a["query"].to_numpy()[own[ok]], "cls": cls[ok], "score": score[ok]})
 
     keys = ["list", "part", "qpart"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, "query long, cls long, score double")
