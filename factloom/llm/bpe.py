@@ -19,6 +19,7 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -102,44 +103,49 @@ class Ranks:
         raw = piece.encode("utf-8")
         if (k := self.index.get(raw)) is not None:
             return (self.ids[k],)
-        longest = [-1] * len(raw)
+        size, shorter, compatible = self.size, self.shorter, self.compatible
+        n = len(raw)
+        longest = [-1] * n
         for end, k in self.automaton.iter(raw.decode("latin-1")):
-            longest[end + 1 - self.size[k]] = k  # later ends are longer
+            longest[end + 1 - size[k]] = k  # later ends are longer
         out: list[int] = []
-        dead, at, token, n = set(), 0, longest[0], len(raw)
+        dead, at, token = set(), 0, longest[0]
         while at < n:
             before = out[-1] if out else -1
             while token >= 0:
-                if at + self.size[token] not in dead and (before < 0 or self.compatible(before, token)):
+                if (not dead or at + size[token] not in dead) and (before < 0 or compatible(before, token)):
                     break
-                token = self.shorter[token]
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at += self.size[token]
+                at += size[token]
                 token = longest[at] if at < n else -1
             else:
                 if not out:
                     raise ValueError("the vocabulary lacks a byte of the text")
                 dead.add(at)
                 token = out.pop()
-                at -= self.size[token]
-                token = self.shorter[token]
-        return tuple(self.ids[k] for k in out)
+                at -= size[token]
+                token = shorter[token]
+        ids = self.ids
+        return tuple([ids[k] for k in out])
+
+    def _fresh(self, piece: str) -> tuple[int, ...]:
+        if (got := self.memo.get(piece)) is not None:  # twice in one text
+            return got
+        got = self.old.get(piece) or self.encode_piece(piece)
+        if len(piece) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO_PIECES:
+                self.old, self.memo = self.memo, {}
+            self.memo[piece] = got
+        return got
 
     def encode(self, text: str) -> list[int]:
-        memo, out = self.memo, []
-        get = memo.get
-        for piece in self.findall(text):
-            got = get(piece)
-            if got is None:
-                got = self.old.get(piece) or self.encode_piece(piece)
-                if len(piece) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_PIECES:
-                        self.old, self.memo = memo, {}
-                        memo, get = self.memo, self.memo.get
-                    memo[piece] = got
-            out += got
-        return out
+        pieces = self.findall(text)
+        rows = list(map(self.memo.get, pieces))
+        if None in rows:
+            rows = [self._fresh(p) if r is None else r for p, r in zip(pieces, rows, strict=True)]
+        return list(chain.from_iterable(rows))
 
 
 def _read(spark: SparkSession, path: str) -> bytes:
