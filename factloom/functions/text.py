@@ -9,7 +9,7 @@ from .traits import NUMBER_WORDS
 
 #: Fixed patterns.
 TOKEN = r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"
-NEGATION = r"(?i)\b(?:not|isn't|aren't|never|nothing)\b"
+NEGATION = r"(?i)\b(?:not|isn'?t|aren'?t|never|nothing)\b"
 
 
 def tokens(text: Column) -> Column:
@@ -73,6 +73,11 @@ def is_prime(n: Column) -> Column:
     return (n >= 2) & ~F.exists(odd, lambda d: (d < n) & (n % d == 0))
 
 
+def lcm(a: Column, b: Column) -> Column:
+    """0 if either number is 0."""
+    return F.when((a == 0) | (b == 0), F.lit(0).cast("long")).otherwise(F.abs(a.cast("long") / gcd(a, b) * b).cast("long"))
+
+
 def gcd(a: Column, b: Column) -> Column:
     """Euclid's steps; 64-bit numbers need fewer than 93."""
     begin = F.struct(F.abs(a).cast("long").alias("x"), F.abs(b).cast("long").alias("y"))
@@ -85,7 +90,7 @@ def has_negation(text: Column) -> Column:
 
 
 def strip_negation(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, NEGATION, ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(text, NEGATION + r"\s*", ""))
 
 
 def cache_key(text: Column) -> Column:

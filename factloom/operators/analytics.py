@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import traits
+from ..sources import scratch
 
 
 def positive(facts: DataFrame) -> DataFrame:
@@ -28,12 +29,25 @@ def cooccurrence(facts: DataFrame, least: int = 2) -> DataFrame:
 
 
 def similar(facts: DataFrame, subjects: DataFrame | None = None, least: int = 1, top: int = 10) -> DataFrame:
-    """(s, other, overlap, jaccard, rank): subjects by shared (r, o). Only subjects asked for are on the left side."""
+    """(s, other, overlap, jaccard, rank): subjects by shared (r, o). Only subjects asked for are on the left side.
+
+    Subjects with the same set of (r, o) are one class, so that pairs are made of
+    classes; a class needs to know only top + 1 of its members to name anyone's others.
+    """
     attrs = positive(facts).where("r != 'isa'").select("s", "r", "o").distinct()
-    size = attrs.groupBy("s").agg(F.count("*").alias("n"))
-    left = attrs if subjects is None else attrs.join(subjects.select("s").distinct(), "s", "left_semi")
-    both = left.join(attrs.withColumnRenamed("s", "other"), ["r", "o"]).where("s != other").groupBy("s", "other").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
-    out = both.join(size, "s").join(size.select(F.col("s").alias("other"), F.col("n").alias("m")), "other").withColumn("jaccard", F.col("overlap") / (F.col("n") + F.col("m") - F.col("overlap")))
+    own = attrs.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("r", "o"))).alias("set"))
+    own = scratch.keep(own.select("s", "set", F.sha2(F.to_json("set").cast("binary"), 256).alias("c")), "sets")
+    first = own.select("c", "s").withColumn("n", F.row_number().over(W.partitionBy("c").orderBy("s"))).where(F.col("n") <= top + 1).select("c", F.col("s").alias("other"))
+    classes = scratch.keep(own.groupBy("c").agg(F.first("set").alias("set")), "classes")
+    size = classes.select("c", F.size("set").alias("n"))
+    parts = classes.select("c", F.explode("set").alias("x")).select("c", "x.r", "x.o")
+    left = parts if subjects is None else parts.join(own.join(subjects.select("s").distinct(), "s", "left_semi").select("c").distinct(), "c", "left_semi")
+    both = left.join(parts.withColumnRenamed("c", "d"), ["r", "o"]).groupBy("c", "d").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
+    both = both.join(size, "c").join(size.select(F.col("c").alias("d"), F.col("n").alias("m")), "d").withColumn("jaccard", F.col("overlap") / (F.col("n") + F.col("m") - F.col("overlap")))
+    order = W.partitionBy("c").orderBy(F.desc("overlap"), F.desc("jaccard"), "other")
+    named = both.join(first.withColumnRenamed("c", "d"), "d").withColumn("k", F.row_number().over(order)).where(F.col("k") <= top + 1).select("c", "other", "overlap", "jaccard")
+    asking = own.select("s", "c") if subjects is None else own.select("s", "c").join(subjects.select("s").distinct(), "s", "left_semi")
+    out = asking.join(named, "c").where("s != other")
     return out.withColumn("rank", F.row_number().over(W.partitionBy("s").orderBy(F.desc("overlap"), F.desc("jaccard"), "other"))).where(F.col("rank") <= top).select("s", "other", "overlap", "jaccard", "rank")
 
 
@@ -59,6 +73,28 @@ def gaps(facts: DataFrame, least_share: float = 0.4, least_siblings: int = 3, re
     return want.join(own, ["s", "r"], "left_anti").select("s", "r", "support", "siblings", (F.col("support") / F.col("siblings")).alias("share"))
 
 
+#: Relations whose objects make siblings.
+PARENTS = ("isa", "kind", "category")
+
+
+def expectations(facts: DataFrame, least_agreement: float = 0.4, least_siblings: int = 3, parents: int = 3, most: int = 50) -> DataFrame:
+    """(s, r, hits, siblings, agreement): relations that enough siblings have and the subject lacks.
+
+    Siblings share one of a subject's first parents of each relation; a parent names
+    its first children only, as many as ``most``, by relation. The numbers are the
+    feature's, so no parent gives more than ``most`` siblings to a subject.
+    """
+    kids = facts.where(F.col("r").isin(*PARENTS)).groupBy("s", "r", "o").agg(F.min("seq").alias("seq"))
+    up = kids.withColumn("n", F.row_number().over(W.partitionBy("s", "r").orderBy("seq", "o"))).where(F.col("n") <= parents).select("s", F.col("o").alias("parent")).distinct()
+    down = kids.withColumn("n", F.row_number().over(W.partitionBy("r", "o").orderBy("seq", "s"))).where(F.col("n") <= most).select(F.col("o").alias("parent"), F.col("s").alias("sibling")).distinct()
+    pairs = scratch.keep(up.join(down, "parent").where("s != sibling").select("s", "sibling").distinct(), "siblings")
+    enough = pairs.groupBy("s").agg(F.count("*").alias("siblings")).where(F.col("siblings") >= least_siblings)
+    own = facts.where(~F.col("r").isin(*PARENTS)).select("s", "r").distinct()
+    hits = pairs.join(own.withColumnRenamed("s", "sibling"), "sibling").groupBy("s", "r").agg(F.count("*").alias("hits"))
+    out = hits.join(enough, "s").withColumn("agreement", F.col("hits") / F.col("siblings")).where(F.col("agreement") >= least_agreement)
+    return out.join(own, ["s", "r"], "left_anti").select("s", "r", "hits", "siblings", "agreement")
+
+
 def abstractions(facts: DataFrame, least: int = 3, relation: str = "isa") -> DataFrame:
     """(parent, r, o, support, known): what enough children of a parent share, and whether the parent has it already."""
     kids = facts.where(F.col("r") == relation).select("s", F.col("o").alias("parent")).distinct()
@@ -126,14 +162,14 @@ def curriculum(pairs: DataFrame, difficulty: dict[str, float], tiers: int = 4, l
 
 
 def vocabulary(texts: DataFrame, words, size: int, least: int = 1) -> DataFrame:
-    """(word, n, id): the most frequent words; ids follow four specials."""
+    """(word, n, id): the most frequent words; ids follow four specials. The rows are as many as ``size`` at most."""
     n = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     top = n.orderBy(F.desc("n"), "word").limit(size)
     return top.withColumn("id", F.row_number().over(W.orderBy(F.desc("n"), "word")) + 3)
 
 
 def encode_words(texts: DataFrame, key: str, words, vocab: DataFrame, unknown: int = 3) -> DataFrame:
-    """(key, ids): each word's id, unknown ones the same."""
-    at = texts.select(key, F.posexplode_outer(words).alias("pos", "word")).join(F.broadcast(vocab.select("word", "id")), "word", "left")
+    """(key, ids): each word's id, unknown ones the same. The vocabulary is a bounded table; Spark broadcasts it if it is small enough."""
+    at = texts.select(key, F.posexplode_outer(words).alias("pos", "word")).join(vocab.select("word", "id"), "word", "left")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))), lambda x: x["id"].cast("string"))
     return at.where("pos IS NOT NULL").groupBy(key).agg(F.array_join(ids, " ").alias("ids"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Scores are grouped by so many digits, so that tables of scores have a bound.
-DIGITS = 4
+from ..plans import ranks
 
 
 def tally(samples: DataFrame, know: float = 0.20, think: float = 0.10, guess: float = 0.05) -> DataFrame:
@@ -19,10 +18,21 @@ def tally(samples: DataFrame, know: float = 0.20, think: float = 0.10, guess: fl
     return samples.groupBy(category.alias("category")).agg(F.count_if("correct").alias("n_right"), F.count_if(~F.col("correct")).alias("n_wrong"))
 
 
-def reliability(samples: DataFrame, bins: int = 10) -> DataFrame:
-    """(bin, n, mean_score, accuracy) over bins of equal width."""
-    b = F.least(F.lit(bins - 1), F.floor(F.col("score") * bins)).cast("int")
-    return samples.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
+def reliability(samples: DataFrame, key: str, bins: int = 10) -> DataFrame:
+    """(bin, n, mean_score, accuracy, calibrated) over bins of equal counts, in the order of scores and then of key.
+
+    The first bins take one sample more if counts can't be equal; calibrated is the
+    probability that the isotonic steps of the same samples give the mean score.
+    """
+    places = ranks.numbered(samples.select("score", "correct", F.col(key).alias("_key")), "score", "_key")
+    each, more = divmod(samples.count(), bins)
+    at, head = F.col("place"), more * (each + 1)
+    b = F.when(at < head, F.floor(at / (each + 1))).otherwise(more + F.floor((at - head) / max(each, 1))).cast("int")
+    rows = places.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
+    steps = isotonic(samples).join(F.broadcast(rows.select("bin", "mean_score")))  # a row for each bin
+    above = F.when(F.col("upto") >= F.col("mean_score"), F.col("upto"))
+    of = F.coalesce(F.min_by("probability", above), F.max_by("probability", "upto"))
+    return rows.join(F.broadcast(steps.groupBy("bin").agg(of.alias("calibrated"))), "bin", "left")
 
 
 def brier(samples: DataFrame) -> DataFrame:
@@ -32,26 +42,36 @@ def brier(samples: DataFrame) -> DataFrame:
     return samples.agg(F.count("*").alias("n"), F.avg(F.pow(p - F.col("correct").cast("double"), 2)).alias("brier"))
 
 
+def _pooled(blocks: Iterable[tuple[float, float, float]]) -> list[tuple[float, float, float]]:
+    """Blocks (upto, sum, weight) in order, each pooled with those before it while their mean is not below its own."""
+    out: list[tuple[float, float, float]] = []
+    for upto, total, n in blocks:
+        while out and out[-1][1] * n >= total * out[-1][2]:
+            _, t, m = out.pop()
+            total, n = total + t, n + m
+        out.append((upto, total, n))
+    return out
+
+
 def isotonic(samples: DataFrame, smoothing: float = 1.0) -> DataFrame:
-    """(upto, probability, n): steps that rise with the score, by pooling adjacent violators over at most 10 ** DIGITS + 1 grouped scores."""
-    table = samples.groupBy(F.round("score", DIGITS).alias("score")).agg(F.sum(F.col("correct").cast("double")).alias("right"), F.count("*").cast("double").alias("n"))
+    """(upto, probability, n): steps that rise with the score, by pooling adjacent violators.
+
+    Equal scores are one block from the start. Violators are pooled within ranges of
+    scores first, and then over the blocks that are left; blocks are smoothed by so
+    many samples of either outcome, and pooled again where that breaks their order.
+    """
+    table = samples.groupBy("score").agg(F.sum(F.col("correct").cast("double")).alias("right"), F.count("*").cast("double").alias("n"))
 
     def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame(_pooled(r for b in batches for r in b.itertuples(index=False)), columns=["score", "right", "n"])
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"score": [], "right": [], "n": []}), *batches]).sort_values("score")
-        blocks: list[list[float]] = []
-        for score, right, n in rows.itertuples(index=False):
-            blocks.append([score, right, n])
-            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-                top = blocks.pop()
-                blocks[-1] = [top[0], blocks[-1][1] + top[1], blocks[-1][2] + top[2]]
-        out = [(b[0], (b[1] + smoothing) / (b[2] + 2 * smoothing), b[2]) for b in blocks]
-        best = 0.0
-        for k, (upto, p, n) in enumerate(out):  # smoothing may break the order
-            best = max(best, p)
-            out[k] = (upto, best, n)
-        yield pd.DataFrame(out, columns=["upto", "probability", "n"])
-
-    return table.coalesce(1).mapInPandas(pool, "upto double, probability double, n double")
+        steps = [(upto, (right + smoothing) / (n + 2 * smoothing) * n, n) for upto, right, n in _pooled(rows.itertuples(index=False))]
+        yield pd.DataFrame([(upto, t / n, n) for upto, t, n in _pooled(steps)], columns=["upto", "probability", "n"])
+
+    ranges = table.repartitionByRange("score").sortWithinPartitions("score").mapInPandas(pool, "score double, right double, n double")
+    return ranges.repartition(1).mapInPandas(finish, "upto double, probability double, n double")
 
 
 def accuracy(samples: DataFrame, sure: float = 0.20) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import confidence as conf
+from ..sources import scratch
 from .pattern import answers
 
 
@@ -31,34 +32,56 @@ def walk(facts: DataFrame, starts: DataFrame, relations: list[str], directions:
 def discover(facts: DataFrame, probes: DataFrame, depth: int = 4, reverse: bool = False, top: int = 3) -> DataFrame:
     """(probe, relations, nodes, hops, confidence, rank) of probes (probe, start, goal): simple paths, shortest first.
 
-    All probes grow at once; a path that has come to its goal does not grow on.
-    Of paths with the same relations the first by nodes is kept.
+    Paths grow once for each start, whatever its goals; a simple path ends at its
+    goal, so paths that go on beyond a goal are other probes' only. Each depth is
+    stored. Of paths with the same relations the first by nodes is kept.
     """
     edges = facts.select("s", "r", "o").distinct()
     if reverse:
         edges = edges.union(facts.select("o", F.concat(F.lit("~"), "r"), "s").distinct())
-    edges = edges.withColumnRenamed("s", "at")
-    front = probes.select("probe", "goal", F.lower("start").alias("at")).withColumn("relations", F.array().cast("array<string>")).withColumn("nodes", F.array("at"))
+    edges = scratch.keep(edges.withColumnRenamed("s", "at"), "edges")
+    asked = probes.select("probe", F.lower("start").alias("start"), F.col("goal").alias("at"))
+    front = asked.select("start").distinct().select("start", F.col("start").alias("at"), F.array().cast("array<string>").alias("relations"), F.array("start").alias("nodes"))
     found = None
     for _ in range(depth):
         grown = front.join(edges, "at").where(~F.array_contains("nodes", F.col("o")))
-        front = grown.select("probe", "goal", F.col("o").alias("at"), F.concat("relations", F.array("r")).alias("relations"), F.concat("nodes", F.array("o")).alias("nodes"))
-        hits = front.where("at = goal")
-        found = hits if found is None else found.unionByName(hits)
-        front = front.where("at != goal")
-    one = found.groupBy("probe", "relations").agg(F.min("nodes").alias("nodes")).withColumn("hops", F.size("relations"))
+        front = scratch.keep(grown.select("start", F.col("o").alias("at"), F.concat("relations", F.array("r")).alias("relations"), F.concat("nodes", F.array("o")).alias("nodes")), "paths")
+        found = front if found is None else found.unionByName(front)
+        if front.isEmpty():
+            break
+    one = asked.join(found, ["start", "at"]).groupBy("probe", "relations").agg(F.min("nodes").alias("nodes")).withColumn("hops", F.size("relations"))
     ranked = one.withColumn("rank", F.row_number().over(W.partitionBy("probe").orderBy("hops", F.array_join("relations", ","))))
     return ranked.where(F.col("rank") <= top).select("probe", F.array_join("relations", ",").alias("relations"), F.array_join("nodes", ">").alias("nodes"), "hops", conf.combine(F.array_repeat(F.lit(1.0), F.col("hops"))).alias("confidence"), "rank")
 
 
+def nearest_goal(facts: DataFrame, starts: DataFrame, goal: Column, depth: int = 4) -> DataFrame:
+    """(start, node, hops): the nodes of least distance from each start that meet a condition on column ``node``; any expression or UDF will do."""
+    step = scratch.keep(facts.select(F.col("s").alias("node"), F.col("o").alias("next")).distinct(), "edges")
+    front = scratch.keep(starts.select("start").distinct().select("start", F.lower("start").alias("node"), F.lit(0).alias("hops")), "front")
+    seen, found = front, None
+    for d in range(1, depth + 1):
+        new = front.join(step, "node").select("start", F.col("next").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        reached = scratch.keep(new.select("start", "node", F.lit(d).alias("hops"), goal.alias("goal")), "front")
+        hits = reached.where("goal").drop("goal")
+        found = hits if found is None else found.union(hits)
+        front = reached.where("NOT goal OR goal IS NULL").drop("goal").join(hits.select("start").distinct(), "start", "left_anti")
+        if front.isEmpty():
+            break
+        seen = seen.union(reached.drop("goal"))
+    return found
+
+
 def effects(facts: DataFrame, starts: DataFrame, depth: int = 3, relation: str = "causes", backward: bool = False) -> DataFrame:
     """(start, node, depth, score): what follows from each start, or what it follows from; the first visit counts."""
     a, b = ("o", "s") if backward else ("s", "o")
-    step = facts.where(F.col("r") == relation).select(F.col(a).alias("at"), F.col(b).alias("next")).distinct()
-    front = starts.select("start").distinct().withColumn("at", F.col("start"))
+    step = scratch.keep(facts.where(F.col("r") == relation).select(F.col(a).alias("at"), F.col(b).alias("next")).distinct(), "edges")
+    front = scratch.keep(starts.select("start").distinct().withColumn("at", F.col("start")), "front")
     seen = front.select("start", F.col("at").alias("node"), F.lit(0).alias("depth"))
     for d in range(1, depth + 1):
-        front = front.join(step, "at").select("start", F.col("next").alias("at")).distinct().join(seen.select("start", F.col("node").alias("at")), ["start", "at"], "left_anti")
+        new = front.join(step, "at").select("start", F.col("next").alias("at")).distinct()
+        front = scratch.keep(new.join(seen.select("start", F.col("node").alias("at")), ["start", "at"], "left_anti"), "front")
+        if front.isEmpty():
+            break
         seen = seen.union(front.select("start", "at", F.lit(d)))
     return seen.where("depth > 0").withColumn("score", F.lit(1.0))
 
@@ -92,6 +115,17 @@ def analogy(facts: DataFrame, probes: DataFrame, k: int = 3) -> DataFrame:
     return joint.withColumn("probability", share).groupBy("probe").agg(F.min_by(F.struct("r", "answer", "probability"), F.struct(-F.col("probability"), F.col("n"))).alias("x")).select("probe", F.col("x.r").alias("relation"), F.col("x.answer").alias("answer"), F.col("x.probability").alias("probability"))
 
 
+def by_slots(lessons: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, output, n_slots, n_known) of asked (id, place, slot, value): the outputs that lessons (seq, slot, value, output) give single slots, joined in order.
+
+    The first lesson of a slot and value counts; slots without a lesson add nothing.
+    """
+    one = lessons.groupBy("slot", "value").agg(F.min_by("output", "seq").alias("output"))
+    got = asked.join(one, ["slot", "value"], "left")
+    parts = F.array_sort(F.collect_list(F.when(F.col("output").isNotNull(), F.struct("place", "output"))))
+    return got.groupBy("id").agg(F.array_join(F.transform(parts, lambda x: x["output"]), "").alias("output"), F.count("*").alias("n_slots"), F.count("output").alias("n_known"))
+
+
 def round_trip(facts: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
     """(s, r, o, forward, reverse): 1 / rank of o among the first k objects, and of s among the first k subjects; 0 if beyond."""
     once = facts.groupBy("s", "r", "o").agg(F.min("seq").alias("seq"))

@@ -44,10 +44,19 @@ def gates(chains: DataFrame, facts: DataFrame, least: float = 0.2) -> DataFrame:
     return rows.withColumn("verdict", verdict).drop("denied")
 
 
+#: Relations that a chain of two that has a head can begin and end with.
+BEGINS = frozenset({*traits.TRANSITIVE, *(x for firsts, _ in traits.TRANSFERS for x in firsts if x in traits.LIFTING)})
+ENDS = frozenset({*traits.TRANSITIVE, *(x for _, lasts in traits.TRANSFERS for x in lasts)})
+
+
 def two_hops(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Chains of two facts (s, r, o) that the gates of relations and cycles let through, with their head."""
-    a = left.select("s", F.col("r").alias("r1"), F.col("o").alias("mid"))
-    b = right.select(F.col("s").alias("mid"), F.col("r").alias("r2"), "o")
+    """Chains of two facts (s, r, o) that the gates of relations and cycles let through, with their head.
+
+    Facts that can't begin or end such a chain are left out before the join. A node
+    in the middle of very many facts is a skewed key of a join, which Spark splits.
+    """
+    a = left.where(_in(F.col("r"), BEGINS)).select("s", F.col("r").alias("r1"), F.col("o").alias("mid"))
+    b = right.where(_in(F.col("r"), ENDS)).select(F.col("s").alias("mid"), F.col("r").alias("r2"), "o")
     out = a.join(b, "mid").where("s != o AND mid != o AND s != mid")
     out = out.where(F.coalesce(traits.inverse(F.col("r1")) != F.col("r2"), F.lit(True)))
     return out.withColumn("r", head(F.col("r1"), F.col("r2"), F.col("r1") == F.col("r2"))).where("r IS NOT NULL")
@@ -100,6 +109,52 @@ def instantiate(facts: DataFrame, body: list[str], head_relation: str) -> DataFr
     return found.join(stored, ["s", "r", "o"], "left_anti")
 
 
+def rule_cascade(facts: DataFrame, rules: list[tuple[list[str], str]], rounds: int = 4) -> DataFrame:
+    """(s, r, o, round): what rules (body, head) give, applied to what they have given before, until nothing is new.
+
+    Rounds are synchronous and stored. Rules are few and known to the driver; a rule
+    is applied again only if the last round gave a relation of its body.
+    """
+    known, added, fresh = facts.select("s", "r", "o"), None, None
+    for k in range(1, rounds + 1):
+        due = [(body, head_) for body, head_ in rules if fresh is None or fresh & set(body)]
+        if not due:
+            break
+        found = None
+        for body, head_ in due:
+            one = instantiate(known, body, head_)
+            found = one if found is None else found.union(one)
+        new = scratch.keep(found.distinct(), "rules")
+        step = new.withColumn("round", F.lit(k))
+        added = step if added is None else added.union(step)
+        if new.isEmpty():
+            break
+        fresh = {head_ for _, head_ in due}
+        known = known.union(new)
+    return added
+
+
+def promoted_families(skills: DataFrame, prefix: int = 2, members: int = 2, least: float = 0.7) -> DataFrame:
+    """(body, head, support, confidence): families of skills that are sure enough, as rules; families without a head give none."""
+    body = F.slice("pattern", 1, prefix)
+    own = skills.where(F.size("pattern") >= prefix).groupBy(body.alias("body")).agg(F.count("*").alias("members"), F.sum("success").alias("support"), F.sum("failure").alias("failure")).where(F.col("members") >= members)
+    rate = F.col("support") / (F.col("support") + F.col("failure"))
+    same = F.size(F.array_distinct("body")) == 1
+    out = own.select("body", head(F.element_at("body", 1), F.element_at("body", -1), same).alias("head"), "support", rate.alias("confidence"))
+    return out.where((F.col("confidence") >= least) & F.col("head").isNotNull())
+
+
+def merged_rules(rules: DataFrame) -> DataFrame:
+    """(body, head, support, confidence): rules of the same body and head are one, with the most of each."""
+    return rules.groupBy("body", "head").agg(F.max("support").alias("support"), F.max("confidence").alias("confidence"))
+
+
+def pruned_rules(rules: DataFrame, least: float = 0.30, attempts: int = 3) -> DataFrame:
+    """rules (success, failure) without those that were tried often enough and have a running confidence below ``least``."""
+    tried = F.col("success") + F.col("failure")
+    return laplace(rules).where((tried < attempts) | (F.col("running") >= least))
+
+
 def compose_rules(rules: DataFrame, most: int = 5) -> DataFrame:
     """(body, head, support, confidence): rules whose head begins another's body, put in its place."""
     a = rules.select(F.col("body").alias("b1"), F.col("head").alias("h1"), F.col("support").alias("s1"), F.col("confidence").alias("c1"))

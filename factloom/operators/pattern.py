@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text, traits
+from ..sources import scratch
 
 ROLES = ("s", "r", "o")
 
@@ -15,11 +16,19 @@ def query(facts: DataFrame, probes: DataFrame, unknown: str, k: int | None = 3)
     """(probe, value, score, rank): the first k distinct values of a role for each probe.
 
     probes have a column ``probe`` and one for each known role; k None takes all.
+    Without a known role each probe gets the first k values of all facts; all of them
+    for all probes would be a cross product, so k must be given there.
     """
     known = [c for c in ROLES if c in probes.columns]
     if unknown in known:
         raise ValueError("the unknown role can't be known")
-    hits = facts.join(probes, known) if known else facts.crossJoin(F.broadcast(probes.limit(1)))
+    if not known:
+        if k is None:
+            raise ValueError("probes without a known role need k")
+        first = facts.groupBy(F.col(unknown).alias("value")).agg(F.min("seq").alias("seq")).orderBy("seq", "value").limit(k)
+        ranked = first.select("value", F.row_number().over(W.orderBy("seq", "value")).alias("rank"))  # k rows
+        return probes.select("probe").distinct().join(F.broadcast(ranked)).select("probe", "value", F.lit(1.0).alias("score"), "rank")
+    hits = facts.join(probes, known)
     values = hits.groupBy("probe", F.col(unknown).alias("value")).agg(F.min("seq").alias("seq"))
     ranked = values.withColumn("rank", F.row_number().over(W.partitionBy("probe").orderBy("seq", "value")))
     if k is not None:
@@ -64,13 +73,16 @@ def without_denied(facts: DataFrame) -> DataFrame:
 
 
 def ancestors(facts: DataFrame, starts: DataFrame, depth: int, edges: tuple[str, ...] = traits.ANCESTOR_EDGES) -> DataFrame:
-    """(s, ancestor, depth, seq): nearest first; each round looks only at what the one before has found anew."""
+    """(s, ancestor, depth, seq): nearest first; each round looks only at what the one before has found anew, which is stored."""
     up = facts.where(F.col("r").isin(*edges)).groupBy(F.col("s").alias("node"), F.col("o").alias("next")).agg(F.min("seq").alias("step"))
+    up = scratch.keep(up, "edges")
     seen = starts.select("s").distinct().select("s", F.col("s").alias("ancestor"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("seq"))
-    front = seen
+    front = seen = scratch.keep(seen, "front")
     for d in range(1, depth + 1):
         new = front.join(up, front["ancestor"] == up["node"]).select("s", F.col("next").alias("ancestor"), F.lit(d).alias("depth"), F.col("step").alias("seq"))
-        front = new.groupBy("s", "ancestor", "depth").agg(F.min("seq").alias("seq")).join(seen.select("s", "ancestor"), ["s", "ancestor"], "left_anti")
+        front = scratch.keep(new.groupBy("s", "ancestor", "depth").agg(F.min("seq").alias("seq")).join(seen.select("s", "ancestor"), ["s", "ancestor"], "left_anti"), "front")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen.where("depth > 0")
 
@@ -119,6 +131,23 @@ def threshold(facts: DataFrame, relation: str, op: str, bound: float) -> DataFra
     return numeric(facts, relation).where(test)
 
 
+def compare_numeric(facts: DataFrame, pairs: DataFrame, relation: str) -> DataFrame:
+    """(a, b, value_a, value_b, winner) of pairs (a, b): the one with the larger number, tie, or unknown if either has none."""
+    own = numeric(facts, relation)
+    both = pairs.join(own.select(F.col("s").alias("a"), F.col("value").alias("value_a")), "a", "left").join(own.select(F.col("s").alias("b"), F.col("value").alias("value_b")), "b", "left")
+    x, y = F.col("value_a"), F.col("value_b")
+    winner = F.when(x.isNull() | y.isNull(), "unknown").when(x > y, F.col("a")).when(x < y, F.col("b")).otherwise("tie")
+    return both.select("a", "b", "value_a", "value_b", winner.alias("winner"))
+
+
+def compare_subjects(facts: DataFrame, pairs: DataFrame, most: int = 15) -> DataFrame:
+    """(a, b, r, value_a, value_b, n) of pairs (a, b): the relations both have, by name and at most so many, with the last object of each."""
+    last = facts.groupBy("s", "r").agg(F.max_by("o", "seq").alias("value"))
+    both = pairs.join(last.select(F.col("s").alias("a"), "r", F.col("value").alias("value_a")), "a").join(last.select(F.col("s").alias("b"), "r", F.col("value").alias("value_b")), ["b", "r"])
+    n = F.row_number().over(W.partitionBy("a", "b").orderBy("r"))
+    return both.withColumn("n", n).where(F.col("n") <= most).select("a", "b", "r", "value_a", "value_b", "n")
+
+
 def inside(facts: DataFrame, pairs: DataFrame, depth: int = 6, relation: str = "locatedin") -> DataFrame:
     """(contained, container, depth) of the pairs that hold."""
     up = ancestors(facts, pairs.select(F.col("contained").alias("s")), depth, (relation,))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 #: Fixed value: share of the doubt that each sight of a fact takes away.
 REINFORCE = 0.1
 
@@ -34,11 +36,14 @@ def pruned(facts: DataFrame, provenance: DataFrame, least: float = 0.1, few: int
 
 def explain(derivations: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
     """(root, fact, depth, leaf) of derivations (fact, premise): the tree below each root, each fact at its least depth."""
-    front = roots.select("root").distinct().withColumn("fact", F.col("root"))
+    front = scratch.keep(roots.select("root").distinct().withColumn("fact", F.col("root")), "front")
     seen = front.withColumn("depth", F.lit(0))
-    step = derivations.select("fact", "premise").distinct()
+    step = scratch.keep(derivations.select("fact", "premise").distinct(), "edges")
     for d in range(1, depth + 1):
-        front = front.join(step, "fact").select("root", F.col("premise").alias("fact")).distinct().join(seen.select("root", "fact"), ["root", "fact"], "left_anti")
+        new = front.join(step, "fact").select("root", F.col("premise").alias("fact")).distinct()
+        front = scratch.keep(new.join(seen.select("root", "fact"), ["root", "fact"], "left_anti"), "front")
+        if front.isEmpty():
+            break
         seen = seen.union(front.withColumn("depth", F.lit(d)))
     inner = step.select("fact", F.lit(False).alias("leaf")).distinct()
     return seen.join(inner, "fact", "left").select("root", "fact", "depth", F.coalesce("leaf", F.lit(True)).alias("leaf"))

@@ -48,7 +48,7 @@ def _head(a: str, b: str) -> str:
 
 _INV = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in dict.fromkeys([*traits.INVERSES, *((b, a) for a, b in traits.INVERSES)])) + ") inv(a, b)"
 _BELIEFS = "(SELECT DISTINCT lower(s_name) AS b, 'part#' || l_partkey AS s, 'madeof' AS r, 'brand#' || CAST((l_partkey + l_suppkey) % 25 + 1 AS VARCHAR) AS o FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"
-_SAMPLES = "(SELECT least(1.0, n_chars / 20000.0) AS score, quality = 1 AS correct FROM documents JOIN labels USING (doc_id))"
+_SAMPLES = "(SELECT doc_id, least(1.0, n_chars / 20000.0) AS score, quality = 1 AS correct FROM documents JOIN labels USING (doc_id))"
 _HEDGE = "CASE WHEN {c} >= 0.30 THEN 'strong' WHEN {c} >= 0.10 THEN 'moderate' WHEN {c} >= 0.03 THEN 'weak' ELSE 'uncertain' END"
 _SUMMARY = "count(*) AS n, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects"
 
@@ -58,6 +58,26 @@ def _skills() -> str:
     return f"(SELECT a.r AS r1, b.r AS r2, count(*) FILTER (a.seq % 4 <> 0) AS success, count(*) FILTER (a.seq % 4 = 0) AS failure FROM {v} a JOIN {v} b ON a.o = b.s GROUP BY 1, 2)"
 
 
+def _long_skills() -> str:
+    v = f("O", "C", "C2", "N", "L", "P", "P2")
+    good = "count(*) FILTER (a.seq % 9 <> 0) AS success, count(*) FILTER (a.seq % 9 = 0) AS failure"
+    return f"(WITH v AS (SELECT * FROM {v}) SELECT a.r AS r1, b.r AS r2, NULL AS r3, {good} FROM v a JOIN v b ON a.o = b.s GROUP BY 1, 2 UNION ALL SELECT a.r, b.r, c.r, {good} FROM v a JOIN v b ON a.o = b.s JOIN v c ON b.o = c.s GROUP BY 1, 2, 3)"
+
+
+def _pav(rows: str) -> str:
+    """(upto, fit, n) of rows (upto, total, n): the rising fit of least squares by its min-max form, a row for each level."""
+    return (
+        f"(WITH g AS (SELECT * FROM {rows}), x AS (SELECT *, row_number() OVER (ORDER BY upto) AS i, sum(total) OVER (ORDER BY upto) AS st, sum(n) OVER (ORDER BY upto) AS sn FROM g), "
+        "p AS (SELECT a.i AS j, b.i AS k, (b.st - a.st + a.total) / (b.sn - a.sn + a.n) AS m FROM x a JOIN x b ON a.i <= b.i), q AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS lo FROM p), "
+        "y AS (SELECT k AS i, round(max(lo), 12) AS fit FROM q GROUP BY k) SELECT max(upto) AS upto, fit, sum(total) AS total, sum(n) AS n FROM y JOIN x USING (i) GROUP BY fit)"
+    )
+
+
+def _steps() -> str:
+    first = _pav(f"(SELECT score AS upto, CAST(sum(CAST(correct AS INTEGER)) AS DOUBLE) AS total, CAST(count(*) AS DOUBLE) AS n FROM {_SAMPLES} GROUP BY score)")
+    return _pav(f"(SELECT upto, (total + 1) / (n + 2) * n AS total, n FROM {first})")
+
+
 def _rules() -> str:
     lift, trans = names(traits.LIFTING), names(traits.TRANSITIVE)
     return (
@@ -110,8 +130,22 @@ def oracle_sql() -> dict[str, str]:
     out["forget_first"] = f"SELECT s, r, o FROM (SELECT *, row_number() OVER (PARTITION BY s, r, o ORDER BY seq) AS n FROM {f('C', 'C50')}) x WHERE NOT (n = 1 AND EXISTS (SELECT 1 FROM {f('C')} y WHERE y.seq % 7 = 0 AND y.s = x.s AND y.o = x.o))"
     out["html_pages"] = r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&[a-zA-Z#0-9]+;', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages"
     sym = lambda c: f"regexp_replace({c}, '[^A-Za-z0-9]+', '_', 'g')"
-    out["open_extraction"] = f"SELECT seq AS id, {sym('s')} AS s, r, {sym('o')} AS o FROM {f('N', 'C', 'P')}"
-    out["corrections"] = "SELECT op, 'part' || p_partkey AS s, 'isa' AS r, o FROM part, (VALUES ('store', 'good'), ('forget', 'bad')) v(op, o)"
+    out["open_extraction"] = f"SELECT seq AS id, {sym('s')} AS s, r, {sym('o')} AS o FROM {f('N', 'C', 'S', 'P', 'P2', 'P3')}"
+    out["corrections"] = (
+        "SELECT op, 'part' || p_partkey AS s, r, o FROM part JOIN (VALUES (0, 'store', 'is', 'good'), (0, 'forget', 'is', 'bad'), (1, 'store', 'price', 'high'), (1, 'forget', 'price', 'low'), (2, 'store', 'is', 'good'), (3, 'store', 'is', 'gear')) v(k, op, r, o) ON p_partkey % 5 = k"
+    )
+    out["jsonl_source"] = f"SELECT s, r, o FROM {f('C', 'O')}"
+    out["csv_source"] = f"SELECT s, r, o FROM {f('C', 'O')} WHERE seq % 5 <> 0"
+    out["graph_source"] = f"SELECT {sym('s')} AS s, r, {sym('o')} AS o, (seq % 6) / 2.0 AS weight, least((seq % 6) / 2.0 / 4, 1.0) AS confidence FROM {f('P', 'P2', 'C')} WHERE seq % 4 <> 0 AND (seq % 6) / 2.0 >= 1"
+    out["graph_source"] = f"SELECT s, r, o, CAST(weight AS DOUBLE) AS weight, CAST(confidence AS DOUBLE) AS confidence FROM ({out['graph_source']})"
+    out["text_source"] = f"SELECT {sym('lower(n_name)')} AS s, 'home' AS r, 'earth' AS o FROM nation"
+    out["log_recovery"] = f"SELECT s, r, o, CAST(1 AS BIGINT) AS n FROM {f('O')} WHERE (seq % {K}) % 7 <> 0"
+    out["pattern_unknown"] = f"WITH v AS (SELECT o, min(seq) AS q FROM {f('C', 'S')} GROUP BY o), t AS (SELECT o, CAST(row_number() OVER (ORDER BY q, o) AS INTEGER) AS rank FROM v) SELECT s AS probe, t.o AS value, CAST(1.0 AS DOUBLE) AS score, rank FROM {f('N')}, t WHERE rank <= 3"
+    out["compare_numbers"] = (
+        "WITH q AS (SELECT 'part#' || p_partkey AS a, 'part#' || (p_partkey + 1) AS b, p_size * 1000.0 AS x, (SELECT z.p_size * 1000.0 FROM part z WHERE z.p_partkey = part.p_partkey + 1) AS y FROM part) "
+        "SELECT a, b, CAST(x AS DOUBLE) AS value_a, CAST(y AS DOUBLE) AS value_b, CASE WHEN y IS NULL THEN 'unknown' WHEN x > y THEN a WHEN x < y THEN b ELSE 'tie' END AS winner FROM q"
+    )
+    out["compare_pairs"] = f"WITH t AS (SELECT * FROM {f('P', 'P2', 'P3')}) SELECT 'part#' || p_partkey AS a, 'part#' || (p_partkey + 1) AS b, x.r, x.o AS value_a, y.o AS value_b, CASE x.r WHEN 'isa' THEN 1 WHEN 'madeof' THEN 2 ELSE 3 END AS n FROM part JOIN t x ON x.s = 'part#' || p_partkey JOIN t y ON y.s = 'part#' || (p_partkey + 1) AND y.r = x.r"
     out["log_fold"] = f"SELECT s, r, o, count(*) AS n FROM {f('O')} WHERE (seq % {K}) % 7 <> 0 GROUP BY s, r, o"
     say = "s || ' ' || r || ' ' || o"
     out["training_corpus"] = " UNION ALL ".join(f"SELECT '{t}' AS task, {a} AS draft, {b} AS target FROM {f('P', 'P2')}" for t, a, b in (("declare", say, say + " || '.'"), ("ask", "'what is the ' || r || ' of ' || s || '?'", "o"), ("fill", "s || ' ' || r || ' ___'", "o"), ("confirm", "'is it true that ' || " + say + " || '?'", "'yes'")))
@@ -154,6 +188,13 @@ def oracle_sql() -> dict[str, str]:
         "SELECT start, answer, CAST(CASE WHEN answer IS NULL THEN 1 ELSE 2 END AS INTEGER) AS hops, CASE WHEN answer IS NULL THEN 'unknown' ELSE 'strong' END AS hedge FROM a LEFT JOIN b USING (m)"
     )
     out["discover_paths"] = f"SELECT x.s || '>' || z.o AS probe, 'partof,locatedin,locatedin' AS relations, x.s || '>' || y.s || '>' || z.s || '>' || z.o AS nodes, 3 AS hops, round(0.95 * 0.95, 6) AS confidence, 1 AS rank FROM {f('O')} x JOIN {f('C')} y ON x.o = y.s JOIN {f('N')} z ON y.o = z.s"
+    out["discover_reverse"] = f"SELECT x.s || '>' || y.s AS probe, 'locatedin,~locatedin' AS relations, x.s || '>' || x.o || '>' || y.s AS nodes, 2 AS hops, 1 AS rank FROM {f('N')} x JOIN {f('N')} y ON x.o = y.o AND x.s <> y.s"
+    out["custom_goal"] = (
+        f"SELECT x.s AS start, CASE WHEN starts_with(y.o, 'a') THEN y.o ELSE z.o END AS node, CASE WHEN starts_with(y.o, 'a') THEN 2 ELSE 3 END AS hops FROM {f('O')} x JOIN {f('C')} y ON x.o = y.s JOIN {f('N')} z ON y.o = z.s WHERE starts_with(y.o, 'a') OR starts_with(z.o, 'a')"
+    )
+    out["slot_outputs"] = (
+        "SELECT p_partkey AS id, 'b' || regexp_extract(p_brand, '(\\d+)', 1) || CASE WHEN p_size % 2 = 0 THEN 's' || p_size ELSE '' END AS output, CAST(2 AS BIGINT) AS n_slots, CAST(CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_known FROM part"
+    )
     out["causal_effects"] = _effects("s", "o")
     out["root_causes"] = _effects("o", "s")
     out["ancestor_closure"] = f"SELECT s, ancestor, CAST(depth AS INTEGER) AS depth FROM {_ancestors(geo, f('O'), ('partof', 'locatedin'), 3)}"
@@ -170,7 +211,7 @@ def oracle_sql() -> dict[str, str]:
         "SELECT r1, r2, k AS \"both\", x.n - k AS only1, y.n - k AS only2, round(k / (x.n + y.n - k), 6) AS jaccard FROM p JOIN n x ON x.r = r1 JOIN n y ON y.r = r2 WHERE k >= 2"
     )
     out["similar_entities"] = (
-        f"WITH d AS (SELECT DISTINCT s, r, o FROM {f('P2', 'P3')}), q AS (SELECT s FROM {f('P')} WHERE seq % 50 = 0), p AS (SELECT a.s, b.s AS other, count(*) AS overlap FROM d a JOIN d b ON a.r = b.r AND a.o = b.o AND a.s <> b.s WHERE a.s IN (SELECT s FROM q) GROUP BY 1, 2 HAVING count(*) >= 2) "
+        f"WITH d AS (SELECT DISTINCT s, r, o FROM {f('P2', 'P3')}), q AS (SELECT s FROM {f('P')}), p AS (SELECT a.s, b.s AS other, count(*) AS overlap FROM d a JOIN d b ON a.r = b.r AND a.o = b.o AND a.s <> b.s WHERE a.s IN (SELECT s FROM q) GROUP BY 1, 2 HAVING count(*) >= 2) "
         "SELECT s, other, overlap, round(overlap / (4 - overlap), 6) AS jaccard, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY overlap DESC, other) AS rank FROM p) WHERE rank <= 10"
     )
     out["subject_importance"] = (
@@ -179,6 +220,16 @@ def oracle_sql() -> dict[str, str]:
     )
     some = f"({_VIEWS['P']} UNION ALL {_VIEWS['P2']} UNION ALL SELECT * FROM ({_VIEWS['P3']}) WHERE seq % 3 <> 0)"
     out["knowledge_gaps"] = f"SELECT s, r, support, siblings, round(share, 6) AS share FROM {_gaps(some)}"
+    out["expected_relations"] = (
+        f"WITH x AS (SELECT * FROM {some}), k AS (SELECT s, r, o, min(seq) AS q FROM x WHERE r IN ('isa', 'kind', 'category') GROUP BY s, r, o), u AS (SELECT DISTINCT s, o FROM (SELECT *, row_number() OVER (PARTITION BY s, r ORDER BY q, o) AS n FROM k) WHERE n <= 3), "
+        "w AS (SELECT DISTINCT o, s AS sib FROM (SELECT *, row_number() OVER (PARTITION BY r, o ORDER BY q, s) AS n FROM k) WHERE n <= 50), p AS (SELECT DISTINCT s, sib FROM u JOIN w USING (o) WHERE s <> sib), e AS (SELECT s, count(*) AS siblings FROM p GROUP BY s HAVING count(*) >= 3), "
+        "own AS (SELECT DISTINCT s, r FROM x WHERE r NOT IN ('isa', 'kind', 'category')), h AS (SELECT p.s, own.r, count(*) AS hits FROM p JOIN own ON own.s = p.sib GROUP BY 1, 2) "
+        "SELECT h.s, h.r, hits, siblings, round(hits / siblings, 6) AS agreement FROM h JOIN e USING (s) WHERE hits / siblings >= 0.4 AND NOT EXISTS (SELECT 1 FROM own WHERE own.s = h.s AND own.r = h.r)"
+    )
+    byte = "list_transform(range(1, strlen(s || chr(0) || r) + 1), lambda i: ascii(substr(s || chr(1) || r, CAST(i AS INTEGER), 1)))"
+    table = "(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t)"
+    fold = f"xor(4294967295, list_reduce(list_prepend(4294967295, {byte}), lambda c, b: xor(c // 256, t[CAST(xor(c % 256, CASE WHEN b = 1 THEN 0 ELSE b END) AS INTEGER) + 1])))"
+    out["shard_balance"] = f"WITH h AS (SELECT {fold} % 16 AS shard FROM {f('O', 'C')}, {table}) SELECT CAST(g.shard AS INTEGER) AS shard, count(h.shard) AS n FROM (SELECT unnest(range(16)) AS shard) g LEFT JOIN h ON g.shard = h.shard GROUP BY 1"
     out["abstraction"] = "SELECT lower(p_type) AS parent, r, o, count(*) AS support, false AS known FROM (SELECT p_type, 'part#' || p_partkey AS s FROM part) JOIN " + f("P2", "P3") + " USING (s) GROUP BY 1, 2, 3 HAVING count(*) >= 3"
     out["source_report"] = f"SELECT source, count(*) AS n, round(avg(confidence), 6) AS confidence, round(avg(count), 6) AS reinforcement FROM {prov('C', 'P')} GROUP BY source"
     out["subject_summaries"] = f"SELECT s, count(*) FILTER (NOT starts_with(r, 'not_')) AS n_facts, count(*) FILTER (starts_with(r, 'not_')) AS n_denials, count(DISTINCT CASE WHEN NOT starts_with(r, 'not_') THEN r END) AS n_relations, coalesce(string_agg(DISTINCT CASE WHEN r = 'isa' THEN o END, ','), '') AS parents FROM {f('P', 'P2', 'P3', 'D40')} GROUP BY s"
@@ -207,7 +258,19 @@ def oracle_sql() -> dict[str, str]:
     out["negation_propagation"] = f"SELECT DISTINCT p.s, n.r, n.o FROM {f('P')} p JOIN {f('NEG')} n ON p.o = n.s WHERE NOT EXISTS (SELECT 1 FROM {f('P2')} x WHERE x.s = p.s AND x.o = n.o)"
     out["rule_extraction"] = f"SELECT r1 || ',' || r2 AS body, head, support, round(confidence, 6) AS confidence FROM {_rules()}"
     out["rule_composition"] = f"SELECT a.r1 || ',' || a.r2 || ',' || b.r2 AS body, b.head, least(a.support, b.support) AS support, round(a.confidence * b.confidence, 6) AS confidence FROM {_rules()} a JOIN {_rules()} b ON a.head = b.r1 AND NOT (a.r1 = b.r1 AND a.r2 = b.r2 AND a.head = b.head)"
-    out["skill_families"] = f"SELECT r1 AS family, count(*) AS members, CAST(sum(success) AS BIGINT) AS success, CAST(sum(failure) AS BIGINT) AS failure FROM {_skills()} GROUP BY r1 HAVING count(*) >= 2"
+    out["skill_families"] = f"SELECT r1 AS family, count(*) AS members, CAST(sum(success) AS BIGINT) AS success, CAST(sum(failure) AS BIGINT) AS failure FROM {_long_skills()} GROUP BY r1 HAVING count(*) >= 2"
+    promoted = (
+        f"(SELECT r1 || ',' || r2 AS body, {_head('r1', 'r2')} AS head, CAST(sum(success) AS BIGINT) AS support, sum(success) / (sum(success) + sum(failure)) AS confidence FROM {_long_skills()} "
+        f"GROUP BY r1, r2 HAVING count(*) >= 2 AND sum(success) / (sum(success) + sum(failure)) >= 0.7 AND {_head('r1', 'r2')} IS NOT NULL)"
+    )
+    out["skill_promotion"] = f"SELECT body, head, support, round(confidence, 6) AS confidence FROM {promoted}"
+    out["rules_merged"] = f"SELECT body, head, max(support) AS support, round(max(confidence), 6) AS confidence FROM (SELECT r1 || ',' || r2 AS body, head, support, confidence FROM {_rules()} UNION ALL SELECT body, head, support, confidence FROM {promoted}) GROUP BY 1, 2"
+    tried = f"(SELECT r1 || ',' || r2 AS pattern, CASE WHEN r1 = 'has' THEN 0 ELSE success END AS success, failure FROM {_skills()})"
+    out["rules_pruned"] = f"SELECT pattern, success, failure, round((success + 1) / (success + failure + 2), 6) AS running FROM {tried} WHERE success + failure < 3 OR (success + 1) / (success + failure + 2) >= 0.3"
+    out["rule_rounds"] = (
+        f"SELECT x.s, 'locatedin' AS r, y.o, 1 AS round FROM {f('O')} x JOIN {f('C')} y ON x.o = y.s UNION SELECT y.s, 'locatedin', z.o, 1 FROM {f('C')} y JOIN {f('N')} z ON y.o = z.s "
+        f"UNION SELECT x.s, 'locatedin', z.o, 2 FROM {f('O')} x JOIN {f('C')} y ON x.o = y.s JOIN {f('N')} z ON y.o = z.s"
+    )
     cn = f("C", "N")
     earth = "UNION SELECT lower(r_name), 'locatedin', 'earth' FROM region"
     out["what_if"] = f"SELECT * FROM {_cascade(cn, 2, earth)} EXCEPT SELECT * FROM {_cascade(cn, 2)}"
@@ -215,7 +278,7 @@ def oracle_sql() -> dict[str, str]:
     out["provenance_reinforced"] = "SELECT 'user#' || user_id AS s, 'did' AS r, event_type AS o, CASE WHEN count(DISTINCT event_id % 2) > 1 THEN 'multi' WHEN min(event_id % 2) = 0 THEN 'user' ELSE 'external' END AS source, round(1 - (1 - arg_min(value, event_id) / 1000) * pow(0.9, count(*) - 1), 6) AS confidence, count(*) AS count, max(event_id) AS last_seen FROM events GROUP BY user_id, event_type"
     out["pruned_facts"] = f"SELECT s, r, o FROM {f('C', 'P', 'P2')} x WHERE NOT EXISTS (SELECT 1 FROM {prov('C', 'P', 'P2')} p WHERE p.s = x.s AND p.r = x.r AND p.o = x.o AND confidence < 0.5 AND count <= 2 AND source <> 'user')"
     out["explain_tree"] = (
-        f"WITH RECURSIVE e AS (SELECT * FROM {f('E')}), w AS (SELECT o AS root, o AS fact, 0 AS depth FROM e WHERE seq % 10 = 0 UNION SELECT w.root, e.s, w.depth + 1 FROM w JOIN e ON e.o = w.fact WHERE w.depth < 5) "
+        f"WITH RECURSIVE e AS (SELECT * FROM {f('E')}), w AS (SELECT o AS root, o AS fact, 0 AS depth FROM e UNION SELECT w.root, e.s, w.depth + 1 FROM w JOIN e ON e.o = w.fact WHERE w.depth < 5) "
         "SELECT root, fact, CAST(min(depth) AS INTEGER) AS depth, NOT EXISTS (SELECT 1 FROM e WHERE e.o = fact) AS leaf FROM w GROUP BY root, fact"
     )
 
@@ -232,17 +295,21 @@ def oracle_sql() -> dict[str, str]:
     )
     out["last_episodes"] = f"SELECT id, subject, relation, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY subject, relation ORDER BY ts DESC, id DESC) AS n FROM ({_EPISODES})) WHERE n <= 2"
     out["episodes_between"] = f"SELECT id, state FROM ({_EPISODES}) WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'"
-    out["carried_context"] = "WITH t AS (SELECT DISTINCT conv_id, turn, role, CASE WHEN role = 'user' THEN turn END AS said FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) SELECT *, last_value(said IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM t"
+    out["carried_context"] = "WITH t AS (SELECT DISTINCT conv_id, turn, role, CASE WHEN role = 'user' THEN turn END AS said FROM conversations) SELECT *, last_value(said IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM t"
     month = lambda step: f"lower(strftime(date_trunc('month', o_orderdate) + INTERVAL '{step} month', '%B'))"
     out["ring_neighbours"] = f"SELECT o_orderkey, {month(0)} AS month, {month(-1)} AS before, {month(1)} AS after FROM orders"
     out["ngram_successors"] = (
-        "WITH t AS (SELECT regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS w FROM benchmark), g AS (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) > 2), n AS (SELECT w[i] || ' ' || w[i + 1] AS context, w[i + 2] AS next, count(*) AS n FROM g GROUP BY 1, 2) "
+        "WITH t AS (SELECT regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS w FROM documents), g AS (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) > 2), n AS (SELECT w[i] || ' ' || w[i + 1] AS context, w[i + 2] AS next, count(*) AS n FROM g GROUP BY 1, 2) "
         "SELECT context, next, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY n DESC, next) AS rank FROM n) WHERE rank <= 2"
     )
     out["user_topics"] = f"SELECT subject, topic, n, CAST(rank AS INTEGER) AS rank FROM (SELECT subject, relation AS topic, count(*) AS n, row_number() OVER (PARTITION BY subject ORDER BY count(*) DESC, relation) AS rank FROM ({_EPISODES}) GROUP BY 1, 2) WHERE rank <= 3"
 
     out["calibration_tally"] = f"SELECT CASE WHEN score >= 0.2 THEN 'know' WHEN score >= 0.1 THEN 'think' WHEN score >= 0.05 THEN 'guess' ELSE 'none' END AS category, count(*) FILTER (correct) AS n_right, count(*) FILTER (NOT correct) AS n_wrong FROM {_SAMPLES} GROUP BY 1"
-    out["reliability"] = f"SELECT CAST(least(9, floor(score * 10)) AS INTEGER) AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy FROM {_SAMPLES} GROUP BY 1"
+    out["reliability"] = (
+        f"WITH s AS MATERIALIZED (SELECT upto, fit FROM {_steps()}), b AS (SELECT CAST(k - 1 AS INTEGER) AS bin, count(*) AS n, avg(score) AS m, avg(CAST(correct AS DOUBLE)) AS a FROM (SELECT *, ntile(10) OVER (ORDER BY score, doc_id) AS k FROM {_SAMPLES}) GROUP BY 1) "
+        "SELECT bin, n, round(m, 6) AS mean_score, round(a, 6) AS accuracy, round(coalesce((SELECT arg_min(fit, upto) FROM s WHERE upto >= m), (SELECT arg_max(fit, upto) FROM s)), 6) AS calibrated FROM b"
+    )
+    out["isotonic_steps"] = f"SELECT round(upto, 6) AS upto, round(fit, 6) AS probability, round(n, 6) AS n FROM {_steps()}"
     out["brier_score"] = f"SELECT count(*) AS n, round(avg(pow(CASE WHEN score >= 0.3 THEN 0.95 WHEN score >= 0.2 THEN 0.9 WHEN score >= 0.1 THEN 0.7 ELSE 3 * score END - CAST(correct AS DOUBLE), 2)), 6) AS brier FROM {_SAMPLES}"
     out["answer_accuracy"] = f"SELECT count(*) AS n, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy, round(avg(CAST(score >= 0.2 AND NOT correct AS DOUBLE)), 6) AS confident_wrong FROM {_SAMPLES}"
 
@@ -251,7 +318,7 @@ def oracle_sql() -> dict[str, str]:
     out["word_forms"] = f"SELECT w, {one('(w || chr(115))')} AS one, {one('(w || chr(105) || chr(101) || chr(115))')} AS other FROM (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part)"
     out["number_words"] = "SELECT p_partkey, CAST(CASE p_partkey % 6 WHEN 0 THEN 1234 WHEN 1 THEN 25 WHEN 2 THEN 200 WHEN 3 THEN 3000 WHEN 4 THEN 12.5 END AS DOUBLE) AS value FROM part"
     out["arithmetic"] = "SELECT p_partkey, round(CAST(CASE p_partkey % 4 WHEN 0 THEN p_partkey + b WHEN 1 THEN p_partkey - b WHEN 2 THEN p_partkey * b ELSE CASE WHEN b = 0 THEN NULL ELSE p_partkey / b END END AS DOUBLE), 6) AS value FROM (SELECT p_partkey, p_size % 3 AS b FROM part)"
-    out["integer_math"] = "SELECT p_partkey, p_partkey >= 2 AND NOT list_bool_or(list_transform(range(2, greatest(3, CAST(floor(sqrt(p_partkey)) AS BIGINT) + 1)), lambda d: d < p_partkey AND p_partkey % d = 0)) AS prime, CAST(gcd(p_partkey, 360) AS BIGINT) AS gcd FROM part"
+    out["integer_math"] = "SELECT p_partkey, p_partkey >= 2 AND NOT list_bool_or(list_transform(range(2, greatest(3, CAST(floor(sqrt(p_partkey)) AS BIGINT) + 1)), lambda d: d < p_partkey AND p_partkey % d = 0)) AS prime, CAST(gcd(p_partkey, 360) AS BIGINT) AS gcd, CAST(lcm(p_partkey, 360) AS BIGINT) AS lcm FROM part"
     out["negated_questions"] = f"SELECT s, seq % 2 = 0 AS negated, 'is ' || s || ' a ' || o AS plain FROM {f('P')}"
     out["relation_names"] = f"SELECT t.r, inv.b AS inverse, CASE WHEN starts_with(t.r, 'not_') THEN t.r ELSE 'not_' || t.r END AS negated, regexp_replace(t.r, '^not_', '') AS plain FROM (SELECT DISTINCT r FROM {f('N', 'C2', 'P', 'P2', 'NEG')}) t LEFT JOIN {_INV} ON t.r = inv.a"
     decay = "pow(0.95, len(x) - 1)"
@@ -281,11 +348,44 @@ def oracle_sql() -> dict[str, str]:
     out["base_state"] = f"SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(s || chr(0) || r || chr(0) || o), 1, 12) AS BIGINT)) AS VARCHAR) AS hash FROM {geo}"
     hard = "CASE task WHEN 'declare' THEN 0.1 WHEN 'fill' THEN 0.4 WHEN 'ask' THEN 0.6 ELSE 0.9 END"
     out["curriculum_tiers"] = f"SELECT task, CAST(least(3, greatest(0, floor(4 * (0.5 * (length(draft) + length(target)) / 512 + 0.5 * {hard})))) AS INTEGER) AS tier, count(*) AS n FROM ({out['training_corpus']}) GROUP BY 1, 2"
-    vocab = "(SELECT word, n, CAST(row_number() OVER (ORDER BY n DESC, word) + 3 AS INTEGER) AS id FROM (SELECT unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS word, count(*) AS n FROM benchmark GROUP BY 1 ORDER BY n DESC, word LIMIT 50))"
+    vocab = "(SELECT word, n, CAST(row_number() OVER (ORDER BY n DESC, word) + 3 AS INTEGER) AS id FROM (SELECT unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS word, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, word LIMIT 50000))"
     out["word_vocabulary"] = f"SELECT * FROM {vocab}"
-    out["word_encoding"] = f"WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS word, generate_subscripts(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), 1) AS i FROM benchmark) SELECT item_id, string_agg(CAST(coalesce(id, 3) AS VARCHAR), ' ' ORDER BY i) AS ids FROM w LEFT JOIN {vocab} v USING (word) GROUP BY item_id"
+    out["word_encoding"] = f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS word, generate_subscripts(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), 1) AS i FROM documents) SELECT doc_id, string_agg(CAST(coalesce(id, 3) AS VARCHAR), ' ' ORDER BY i) AS ids FROM w LEFT JOIN {vocab} v USING (word) GROUP BY doc_id"
     out["decayed_provenance"] = f"SELECT s, r, o, round(confidence * pow(0.9, 3), 6) AS confidence FROM {prov('C')}"
     out["maintenance"] = (
         f"SELECT 'induced' AS step, count(*) AS n FROM {_cascade(f('O', 'C', 'N', 'C50', 'P', 'P2', 'NEG'), 3)} UNION ALL SELECT 'denied', count(*) FROM ({out['negation_propagation']}) UNION ALL SELECT 'resolved', count(*) FROM ({out['conflict_resolution']}) WHERE NOT keep"
     )
+    base = f("O", "C", "N", "C50", "P", "P2", "NEG")
+    out["maintained_base"] = (
+        f"WITH lost AS (SELECT s, r, o FROM ({out['conflict_resolution']}) WHERE NOT keep) SELECT s, r, o, 'told' AS how FROM (SELECT s, r, o FROM {base} EXCEPT SELECT s, r, o FROM lost) "
+        f"UNION ALL SELECT s, r, o, 'induced' FROM {_cascade(base, 3)} UNION ALL SELECT s, r, o, 'denied' FROM ({out['negation_propagation']})"
+    )
+    told = f"{f('C', 'C50', 'P', 'P2', 'P3')}"
+    up = f"(SELECT parent AS s, r, o FROM (SELECT k.o AS parent, y.r, y.o FROM {f('P')} k JOIN {f('P2', 'P3')} y USING (s) GROUP BY 1, 2, 3 HAVING count(*) >= 5))"
+    gone = f"(SELECT DISTINCT s, r, o FROM {prov('C', 'P')} WHERE confidence * 0.9 < 0.2)"
+    out["consolidated_base"] = f"SELECT s, r, o FROM {told} UNION SELECT * FROM {up} EXCEPT SELECT * FROM {gone}"
+    out["consolidation_report"] = (
+        f"SELECT 'promotions' AS step, count(*) AS n FROM (SELECT subject, relation FROM ({_EPISODES}) GROUP BY 1, 2 HAVING count(*) >= 3) UNION ALL SELECT 'contradictions', count(*) FROM (SELECT s FROM {f('C', 'C50')} GROUP BY s HAVING count(DISTINCT o) >= 2) "
+        f"UNION ALL SELECT 'duplicates', count(*) FROM {f('C')} WHERE seq % 3 = 0 UNION ALL SELECT 'abstractions', count(*) FROM {up} UNION ALL SELECT 'forgotten', count(*) FROM {gone}"
+    )
+    out["decision_replay"] = "SELECT s AS probe, v AS verdict, a AS against FROM " + f("C", "S") + ", (VALUES ('verified', 'same'), ('state mismatch', 'other')) t(v, a)"
+    pick = lambda rows: f"SELECT * FROM (SELECT DISTINCT * FROM ({rows}) ORDER BY question, answer NULLS FIRST LIMIT 5)"
+    kinds = f"(SELECT s, r, o FROM {f('C', 'N', 'P', 'P3')} UNION ALL SELECT s, 'kind', string_split(o, ' ')[-1] FROM {f('P')})"
+    out["hard_questions"] = " UNION ALL ".join(
+        (
+            pick(f"SELECT 'negation' AS category, 'what is not a ' || o || '?' AS question, 'answer' AS expected, NULL AS answer FROM {kinds} WHERE r IN ('isa', 'kind')"),
+            pick(f"SELECT 'compound' AS category, 'what is the ' || y.r || ' of the ' || x.r || ' of ' || x.s || '?' AS question, 'answer' AS expected, y.o AS answer FROM {kinds} x JOIN {kinds} y ON x.o = y.s"),
+            pick(f"SELECT 'polysemy' AS category, 'what is ' || s || '?' AS question, 'ask' AS expected, NULL AS answer FROM {kinds} WHERE r IN ('isa', 'kind') GROUP BY s HAVING count(DISTINCT o) > 1"),
+            pick(
+                f"WITH z AS (SELECT r, min(o) AS lo, max(o) AS hi FROM {kinds} WHERE r IN ('isa', 'kind', 'size') GROUP BY r) "
+                f"SELECT 'contradiction' AS category, 'is the ' || r || ' of ' || s || ' ' || CASE WHEN o = lo THEN hi ELSE lo END || '?' AS question, 'refuse' AS expected, NULL AS answer FROM {kinds} JOIN z USING (r) WHERE lo <> hi"
+            ),
+        )
+    )
+    out["stream_tally"] = f"SELECT date_trunc('day', ts) AS begin, state, count(*) AS n FROM ({_EPISODES}) GROUP BY 1, 2"
+    out["vector_clean_up"] = (
+        "WITH p AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), b AS (SELECT label, i, sum(CAST(x AS DOUBLE)) AS x FROM p GROUP BY 1, 2), w AS (SELECT label, list(x ORDER BY i) AS w FROM b GROUP BY label), "
+        "z AS (SELECT vec_id, w.label AS symbol, list_cosine_similarity(CAST(embedding AS DOUBLE[]), w) AS score FROM embeddings, w) "
+        "SELECT vec_id AS query, symbol, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, symbol) AS rank FROM z) WHERE rank <= 3"
+    )
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import confidence, text, traits
-from .operators import analytics, beliefs, calibrate, chains, derive, episodes, pattern, provenance, sets, vectors
+from .operators import analytics, beliefs, calibrate, chains, derive, episodes, pattern, provenance, sets, upkeep, vectors
 from .oracle import oracle_sql  # noqa: F401
 from .plans import star
 from .sources import scratch, triples
@@ -65,16 +65,22 @@ def html_pages(spark, d):
 
 @query
 def open_extraction(spark, d):
-    f = star.facts(spark, d, "N", "C", "P")
-    say = F.when(F.col("r") == "isa", F.lit(" is a ")).otherwise(" is located in ")
-    rows = f.select("seq", F.concat(text.symbol(F.col("s")), say, text.symbol(F.col("o")), F.lit(".")).alias("text"))
+    f = star.facts(spark, d, "N", "C", "S", "P", "P2", "P3").withColumn("s", text.symbol(F.col("s"))).withColumn("o", text.symbol(F.col("o")))
+    r, k = F.col("r"), F.pmod("seq", F.lit(3))
+    say = lambda *xs: F.concat(*[F.lit(x) if i % 2 == 0 else F.col(x) for i, x in enumerate(xs)])
+    place = F.when(k == 0, say("The ", "s", " is located in ", "o", ".")).when(k == 1, say("", "s", " is in the ", "o")).otherwise(say("", "o", " is the ", "r", " of ", "s", "."))
+    other = F.when(k == 0, say("The ", "r", " of ", "s", " is ", "o", ".")).otherwise(say("", "o", " is the ", "r", " of ", "s"))
+    said = F.when(r == "locatedin", place).when(r == "isa", say("", "s", " is a ", "o", ".")).when(r == "madeof", say("", "s", " is made of ", "o", " .")).otherwise(other)
+    rows = f.select("seq", said.alias("text"))
     return triples.extract_facts(rows, "text", "seq").withColumnRenamed("seq", "id")
 
 
 @query
 def corrections(spark, d):
-    rows = star.table(spark, d, "part").select(F.concat(F.lit("Part"), F.col("p_partkey").cast("string"), F.lit(" is good, not bad.")).alias("text"))
-    return triples.corrections(rows, "text")
+    name = F.concat(F.lit("Part"), F.col("p_partkey").cast("string"))
+    shapes = (("Actually, the ", " is good, not bad."), ("The price of ", " is high not low"), ("No ", " is good."), ("", " is actually a gear."), ("", " is good."))
+    said = F.element_at(F.array(*[F.concat(F.lit(a), name, F.lit(b)) for a, b in shapes]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return triples.corrections(star.table(spark, d, "part").select(said.alias("text")), "text")
 
 
 @query
@@ -90,9 +96,82 @@ def training_corpus(spark, d):
     return triples.training_pairs(star.facts(spark, d, "P", "P2", "NEG"))
 
 
+def _folder(spark, name: str) -> str:
+    return f"{scratch.folder(spark)}/{name}-{scratch.uuid.uuid4().hex}"
+
+
+@query
+def jsonl_source(spark, d):
+    path = _folder(spark, "jsonl")
+    star.facts(spark, d, "C", "O").select(F.upper("s").alias("s"), "r", F.concat("o", F.lit(" ")).alias("o"), F.lit(1).alias("n")).write.json(path)
+    return triples.read_jsonl(spark, path)
+
+
+@query
+def csv_source(spark, d):
+    path = _folder(spark, "csv")
+    star.facts(spark, d, "C", "O").select(F.upper("s").alias("s"), "r", F.when(F.pmod("seq", F.lit(5)) != 0, F.col("o")).alias("o")).write.option("header", True).csv(path)
+    return triples.read_csv(spark, path)
+
+
+@query
+def graph_source(spark, d):
+    path = _folder(spark, "graph")
+    f = star.facts(spark, d, "P", "P2", "C", "C2").withColumn("s", text.symbol(F.col("s"))).withColumn("o", text.symbol(F.col("o")))
+    rel = F.element_at(F.create_map(*[F.lit(x) for x in ("isa", "IsA", "madeof", "MadeOf", "locatedin", "AtLocation", "category", "ExternalURL")]), F.col("r"))
+    lang = F.when(F.pmod("seq", F.lit(4)) == 0, "fr").otherwise("en")
+    meta = F.concat(F.lit('{"weight": '), (F.pmod("seq", F.lit(6)) / 2).cast("string"), F.lit("}"))
+    node = lambda l, c: F.concat(F.lit("/c/"), l, F.lit("/"), c, F.lit("/n"))
+    line = F.concat_ws("\t", F.concat(F.lit("/a/"), F.col("seq").cast("string")), F.concat(F.lit("/r/"), rel), node(lang, F.col("s")), node(F.lit("en"), F.col("o")), meta)
+    f.select(line).write.text(path)
+    return triples.read_weighted_graph(spark, path)
+
+
+@query
+def text_source(spark, d):
+    path = _folder(spark, "texts")
+    p = star.table(spark, d, "nation")
+    p.select(F.concat(F.lit("The home of "), text.symbol(F.lower("n_name")), F.lit(" is earth.\nno facts here")).alias("value"), "n_nationkey").repartition(5, "n_nationkey").select("value").write.text(path)
+    found = triples.extract_facts(triples.read_texts(spark, f"{path}/*.txt").select("file", F.explode(F.split("text", "\n")).alias("line")), "line", "file")
+    return found.select("s", "r", "o")
+
+
+@query
+def log_recovery(spark, d):
+    """A snapshot of half the facts, and a log from before and after it."""
+    path = _folder(spark, "log")
+    f = star.facts(spark, d, "O")
+    key = F.pmod("seq", F.lit(star.STEP))
+    upto = 8 * star.STEP + 30_000
+    more = f.where(key % 7 == 0).select((F.col("seq") + 10 * star.STEP).alias("seq"), F.lit("forget").alias("op"), "s", "r", "o")
+    triples.write_log(f.select("seq", F.lit("store").alias("op"), "s", "r", "o").union(more), path)
+    return triples.recover(f.where(F.col("seq") <= upto).select("s", "r", "o"), upto, triples.read_log(spark, path))
+
+
 # patterns
 
 
+@query
+def pattern_unknown(spark, d):
+    probes = star.facts(spark, d, "N").select(F.col("s").alias("probe"))
+    return pattern.query(star.facts(spark, d, "C", "S"), probes, "o", 3)
+
+
+@query
+def compare_numbers(spark, d):
+    p = star.table(spark, d, "part")
+    key = lambda k: F.concat(F.lit("part#"), k.cast("string"))
+    f = p.select(F.col("p_partkey").alias("seq"), key(F.col("p_partkey")).alias("s"), F.lit("length").alias("r"), F.format_number(F.col("p_size") * 1000, 0).alias("o"))
+    return pattern.compare_numeric(f, p.select(key(F.col("p_partkey")).alias("a"), key(F.col("p_partkey") + 1).alias("b")), "length")
+
+
+@query
+def compare_pairs(spark, d):
+    p = star.table(spark, d, "part")
+    key = lambda k: F.concat(F.lit("part#"), k.cast("string"))
+    return pattern.compare_subjects(star.facts(spark, d, "P", "P2", "P3"), p.select(key(F.col("p_partkey")).alias("a"), key(F.col("p_partkey") + 1).alias("b")))
+
+
 @query
 def pattern_point(spark, d):
     f = star.facts(spark, d, "O", "O2", "L")
@@ -163,7 +242,7 @@ def numeric_threshold(spark, d):
 @query
 def containment(spark, d):
     f = star.facts(spark, d, "C", "N")
-    pairs = star.facts(spark, d, "C").select(F.col("s").alias("contained")).join(F.broadcast(star.table(spark, d, "region").select(F.lower("r_name").alias("container"))))
+    pairs = star.facts(spark, d, "C").select(F.col("s").alias("contained")).join(star.table(spark, d, "region").select(F.lower("r_name").alias("container")))
     return pattern.inside(f, pairs)
 
 
@@ -254,11 +333,34 @@ def chain_reverse(spark, d):
 @query
 def discover_paths(spark, d):
     f = _geo(spark, d)
-    o = star.facts(spark, d, "O").select(F.col("s").alias("start")).join(F.broadcast(star.table(spark, d, "region").select(F.lower("r_name").alias("goal"))))
+    o = star.facts(spark, d, "O").select(F.col("s").alias("start")).join(star.table(spark, d, "region").select(F.lower("r_name").alias("goal")))
     probes = o.select(F.concat_ws(">", "start", "goal").alias("probe"), "start", "goal")
     return chains.discover(f, probes, depth=3).select("probe", "relations", "nodes", "hops", _r6("confidence").alias("confidence"), "rank")
 
 
+@query
+def discover_reverse(spark, d):
+    f = star.facts(spark, d, "N", "S")
+    n = star.facts(spark, d, "N").select("s", "o")
+    pairs = n.join(n.select(F.col("s").alias("t"), "o"), "o").where("s != t")
+    probes = pairs.select(F.concat_ws(">", "s", "t").alias("probe"), F.col("s").alias("start"), F.col("t").alias("goal"))
+    return chains.discover(f, probes, depth=2, reverse=True).select("probe", "relations", "nodes", "hops", "rank")
+
+
+@query
+def custom_goal(spark, d):
+    return chains.nearest_goal(_geo(spark, d), star.facts(spark, d, "O").select(F.col("s").alias("start")), F.col("node").startswith("a"))
+
+
+@query
+def slot_outputs(spark, d):
+    p = star.table(spark, d, "part")
+    values = F.array(F.struct(F.lit(1).alias("place"), F.lit("brand").alias("slot"), F.lower("p_brand").alias("value")), F.struct(F.lit(2).alias("place"), F.lit("size").alias("slot"), F.col("p_size").cast("string").alias("value")))
+    asked = p.select(F.col("p_partkey").alias("id"), F.explode(values).alias("x")).select("id", "x.*")
+    lessons = asked.where("slot = 'brand' OR CAST(value AS INT) % 2 = 0").select(F.col("id").alias("seq"), "slot", "value", F.concat(F.substring("slot", 1, 1), F.regexp_extract("value", r"(\d+)", 1)).alias("output"))
+    return chains.by_slots(lessons, asked)
+
+
 @query
 def causal_effects(spark, d):
     e = star.facts(spark, d, "E")
@@ -323,7 +425,7 @@ def relation_cooccurrence(spark, d):
 
 @query
 def similar_entities(spark, d):
-    return analytics.similar(star.facts(spark, d, "P2", "P3"), star.facts(spark, d, "P").where("seq % 50 = 0"), least=2).withColumn("jaccard", _r6("jaccard"))
+    return analytics.similar(star.facts(spark, d, "P2", "P3"), star.facts(spark, d, "P"), least=2).withColumn("jaccard", _r6("jaccard"))
 
 
 @query
@@ -337,6 +439,12 @@ def knowledge_gaps(spark, d):
     return analytics.gaps(f).withColumn("share", _r6("share"))
 
 
+@query
+def expected_relations(spark, d):
+    f = star.facts(spark, d, "P", "P2").union(star.facts(spark, d, "P3").where("seq % 3 != 0"))
+    return analytics.expectations(f).withColumn("agreement", _r6("agreement"))
+
+
 @query
 def abstraction(spark, d):
     return analytics.abstractions(star.facts(spark, d, "P", "P2", "P3"))
@@ -442,9 +550,41 @@ def rule_composition(spark, d):
     return _flat(derive.compose_rules(derive.extract_rules(_skills(spark, d))))
 
 
+def _long_skills(spark, d):
+    """Skills of two and of three relations."""
+    f = star.facts(spark, d, "O", "C", "C2", "N", "L", "P", "P2")
+    step = lambda k: f.select(F.col("s").alias(f"n{k - 1}"), F.col("r").alias(f"r{k}"), F.col("o").alias(f"n{k}"), F.pmod("seq", F.lit(9)).alias(f"q{k}"))
+    two = step(1).join(step(2), "n1")
+    three = two.join(step(3), "n2")
+    n = lambda df, pattern: df.groupBy(pattern.alias("pattern")).agg(F.count_if(F.col("q1") != 0).alias("success"), F.count_if(F.col("q1") == 0).alias("failure"))
+    return n(two, F.array("r1", "r2")).union(n(three, F.array("r1", "r2", "r3")))
+
+
 @query
 def skill_families(spark, d):
-    return derive.skill_families(_skills(spark, d), 1)
+    return derive.skill_families(_long_skills(spark, d), 1)
+
+
+@query
+def skill_promotion(spark, d):
+    return _flat(derive.promoted_families(_long_skills(spark, d)))
+
+
+@query
+def rules_merged(spark, d):
+    return _flat(derive.merged_rules(derive.extract_rules(_skills(spark, d)).union(derive.promoted_families(_long_skills(spark, d)))))
+
+
+@query
+def rules_pruned(spark, d):
+    tried = _skills(spark, d).withColumn("success", F.when(F.col("pattern")[0] == "has", F.lit(0)).otherwise(F.col("success")))
+    return derive.pruned_rules(tried).select(F.array_join("pattern", ",").alias("pattern"), "success", "failure", _r6("running").alias("running"))
+
+
+@query
+def rule_rounds(spark, d):
+    rules = [(["partof", "locatedin"], "locatedin"), (["locatedin", "locatedin"], "locatedin")]
+    return derive.rule_cascade(star.facts(spark, d, "O", "C", "N"), rules)
 
 
 @query
@@ -482,7 +622,7 @@ def pruned_facts(spark, d):
 @query
 def explain_tree(spark, d):
     e = star.facts(spark, d, "E")
-    return provenance.explain(e.select(F.col("o").alias("fact"), F.col("s").alias("premise")), e.where("seq % 10 = 0").select(F.col("o").alias("root")))
+    return provenance.explain(e.select(F.col("o").alias("fact"), F.col("s").alias("premise")), e.select(F.col("o").alias("root")))
 
 
 # episodes
@@ -525,7 +665,7 @@ def episodes_between(spark, d):
 
 @query
 def carried_context(spark, d):
-    turns = star.table(spark, d, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL").withColumn("said", F.when(F.col("role") == "user", F.col("turn")))
+    turns = star.table(spark, d, "conversations").withColumn("said", F.when(F.col("role") == "user", F.col("turn")))
     return episodes.carried(turns.select("conv_id", "turn", "role", "said").distinct(), "conv_id", "turn", "said")
 
 
@@ -538,7 +678,7 @@ def ring_neighbours(spark, d):
 
 @query
 def ngram_successors(spark, d):
-    return episodes.successors(star.table(spark, d, "benchmark"), "item_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)), 2, 2)
+    return episodes.successors(star.table(spark, d, "documents"), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)), 2, 2)
 
 
 @query
@@ -551,7 +691,7 @@ def user_topics(spark, d):
 
 def _samples(spark, d):
     docs = star.table(spark, d, "documents").select("doc_id", F.least(F.lit(1.0), F.col("n_chars") / 20000).alias("score"))
-    return docs.join(star.table(spark, d, "labels"), "doc_id").select("score", (F.col("quality") == 1).alias("correct"))
+    return docs.join(star.table(spark, d, "labels"), "doc_id").select("doc_id", "score", (F.col("quality") == 1).alias("correct"))
 
 
 @query
@@ -561,7 +701,8 @@ def calibration_tally(spark, d):
 
 @query
 def reliability(spark, d):
-    return calibrate.reliability(_samples(spark, d)).select("bin", "n", _r6("mean_score").alias("mean_score"), _r6("accuracy").alias("accuracy"))
+    out = calibrate.reliability(_samples(spark, d), "doc_id")
+    return out.select("bin", "n", *[_r6(c).alias(c) for c in ("mean_score", "accuracy", "calibrated")])
 
 
 @query
@@ -576,7 +717,7 @@ def answer_accuracy(spark, d):
 
 @query
 def isotonic_steps(spark, d):
-    return calibrate.isotonic(_samples(spark, d))
+    return calibrate.isotonic(_samples(spark, d)).select(*[_r6(c).alias(c) for c in ("upto", "probability", "n")])
 
 
 # text
@@ -608,7 +749,7 @@ def arithmetic(spark, d):
 
 @query
 def integer_math(spark, d):
-    return star.table(spark, d, "part").select("p_partkey", text.is_prime(F.col("p_partkey")).alias("prime"), text.gcd(F.col("p_partkey"), F.lit(360)).alias("gcd"))
+    return star.table(spark, d, "part").select("p_partkey", text.is_prime(F.col("p_partkey")).alias("prime"), text.gcd(F.col("p_partkey"), F.lit(360)).alias("gcd"), text.lcm(F.col("p_partkey"), F.lit(360)).alias("lcm"))
 
 
 @query
@@ -729,19 +870,23 @@ def curriculum_tiers(spark, d):
     return analytics.curriculum(triples.training_pairs(star.facts(spark, d, "P", "P2")), {"declare": 0.1, "fill": 0.4, "ask": 0.6, "confirm": 0.9})
 
 
+#: Words that a vocabulary holds at most, beside the specials.
+VOCABULARY = 50_000
+
+
 def _words():
     return F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
 @query
 def word_vocabulary(spark, d):
-    return analytics.vocabulary(star.table(spark, d, "benchmark"), _words(), 50)
+    return analytics.vocabulary(star.table(spark, d, "documents"), _words(), VOCABULARY)
 
 
 @query
 def word_encoding(spark, d):
-    b = star.table(spark, d, "benchmark")
-    return analytics.encode_words(b, "item_id", _words(), analytics.vocabulary(b, _words(), 50))
+    docs = star.table(spark, d, "documents")
+    return analytics.encode_words(docs, "doc_id", _words(), scratch.keep(analytics.vocabulary(docs, _words(), VOCABULARY), "vocabulary"))
 
 
 @query
@@ -755,11 +900,57 @@ def decayed_provenance(spark, d):
 @query
 def maintenance(spark, d):
     f = star.facts(spark, d, "O", "C", "N", "C50", "P", "P2", "NEG")
-    new = derive.cascade(f.select("s", "r", "o"), 3)
-    neg = derive.propagate_negations(f)
-    lost = beliefs.resolve(f, star.provenance(spark, d, "C", "C50")).where("NOT keep")
-    counts = [new.agg(F.lit("induced").alias("step"), F.count("*").alias("n")), neg.agg(F.lit("denied"), F.count("*")), lost.agg(F.lit("resolved"), F.count("*"))]
-    return counts[0].union(counts[1]).union(counts[2])
+    return upkeep.maintained(f, star.provenance(spark, d, "C", "C50"))["report"]
+
+
+@query
+def maintained_base(spark, d):
+    """The base that a pass leaves, written and read again."""
+    f = star.facts(spark, d, "O", "C", "N", "C50", "P", "P2", "NEG")
+    return scratch.keep(upkeep.maintained(f, star.provenance(spark, d, "C", "C50"))["facts"], "base")
+
+
+def _consolidated(spark, d):
+    f = star.facts(spark, d, "C", "C50", "P", "P2", "P3").union(star.facts(spark, d, "C").where("seq % 3 = 0").withColumn("seq", F.col("seq") + 50 * star.STEP))
+    return upkeep.consolidated(f, star.provenance(spark, d, "C", "P"), star.episodes(spark, d), factor=0.9, forget=0.2)
+
+
+@query
+def consolidation_report(spark, d):
+    return _consolidated(spark, d)["report"]
+
+
+@query
+def consolidated_base(spark, d):
+    return scratch.keep(_consolidated(spark, d)["facts"], "base")
+
+
+@query
+def decision_replay(spark, d):
+    """Decisions over one base, held against the same base and against another."""
+    f = star.facts(spark, d, "C", "C50")
+    probes = star.facts(spark, d, "C", "S").select(F.col("s").alias("probe"), "s", "r")
+    records = scratch.keep(upkeep.decisions(f, probes), "decisions")
+    same = upkeep.replayed(records, f).withColumn("against", F.lit("same"))
+    return same.union(upkeep.replayed(records, star.facts(spark, d, "C")).withColumn("against", F.lit("other")))
+
+
+@query
+def hard_questions(spark, d):
+    f = star.facts(spark, d, "C", "N", "P", "P3")
+    kinds = star.facts(spark, d, "P").select((F.col("seq") + 20 * star.STEP).alias("seq"), "s", F.lit("kind").alias("r"), F.element_at(F.split("o", " "), -1).alias("o"))
+    return upkeep.hard_questions(f.union(kinds))
+
+
+@query
+def stream_tally(spark, d):
+    """Counts of states by day, as a stream keeps them."""
+    base = _folder(spark, "stream")
+    star.episodes(spark, d).write.parquet(f"{base}/in")
+    rows = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
+    at = rows.withColumn("ts", F.col("ts").cast("timestamp"))  # event time is told by instants
+    twins.run_once(twins.tally_stream(at), lambda df, k: df.write.mode("overwrite").parquet(f"{base}/out"), f"{base}/checkpoint", "complete")
+    return spark.read.parquet(f"{base}/out").withColumn("begin", F.col("begin").cast("timestamp_ntz"))
 
 
 @query

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in local runs, a temporary folder becomes it."""
+    """spark.checkpoint.dir; where it is unset, a local run gets a temporary folder, and a cluster an error, as executors share no local folder."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="scratch")
         sc.setCheckpointDir(base)
     return base

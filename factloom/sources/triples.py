@@ -3,12 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Relation names of the weighted graph source, and ours.
+from ..plans import ranks
+
+#: Relation names of the weighted graph source, and ours. Relations that it lacks are left out, as their meaning isn't known.
 GRAPH_RELATIONS = {
-    "IsA": "isa", "PartOf": "partof", "HasA": "has", "UsedFor": "usedfor", "CapableOf": "capableof", "AtLocation": "locatedin", "Causes": "causes",
-    "HasProperty": "has", "MadeOf": "madeof", "CreatedBy": "author", "SimilarTo": "similarto", "Synonym": "synonym", "Antonym": "antonym", "LocatedNear": "near",
+    "IsA": "isa",
+    "HasA": "has",
+    "AtLocation": "locatedin",
+    "Causes": "causes",
+    "HasProperty": "is",
+    "MadeOf": "madeof",
+    "PartOf": "partof",
+    "UsedFor": "usedfor",
+    "CapableOf": "can",
+    "Desires": "desires",
+    "MotivatedByGoal": "motivated_by",
+    "HasSubevent": "has_subevent",
+    "HasPrerequisite": "requires",
+    "CausesDesire": "causes_desire",
+    "Synonym": "synonym",
+    "Antonym": "antonym",
+    "DerivedFrom": "derived_from",
+    "HasContext": "has_context",
+    "SimilarTo": "similar_to",
+    "InstanceOf": "isa",
+    "MemberOf": "memberof",
+    "DefinedAs": "definedas",
+    "Entails": "entails",
+    "SymbolOf": "symbolof",
+    "RelatedTo": "related_to",
+    "FormOf": "form_of",
+    "EtymologicallyRelatedTo": "etymologically_related_to",
+    "Desire": "desires",
+    "HasFirstSubevent": "first_subevent",
+    "HasLastSubevent": "last_subevent",
+    "NotHasProperty": "is_not",
+    "NotCapableOf": "cannot",
+    "NotDesires": "does_not_desire",
+    "CreatedBy": "createdby",
+    "ReceivesAction": "receives_action",
 }
 
 
@@ -19,8 +55,8 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Adds seq, which rises with the order of the input's partitions."""
-    return df.select(F.monotonically_increasing_id().alias("seq"), "s", "r", "o")
+    """Adds seq by the order of s, r and o, so that it doesn't depend on partitions; equal facts are one row."""
+    return ranks.numbered(df.select("s", "r", "o").distinct(), "s", "r", "o", out="seq").select("seq", "s", "r", "o")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -53,29 +89,30 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
-#: Fixed patterns of sentences, tried in order, with the relation they give; None takes the second group as relation.
+#: Fixed patterns of sentences, tried in order, and which groups, or which relation, give subject, relation and object.
 CLAUSES = (
-    (r"^(\w+) is located in (\w+)$", "locatedin"),
-    (r"^(\w+) is made of (\w+)$", "madeof"),
-    (r"^(\w+) is part of (\w+)$", "partof"),
-    (r"^(\w+) is used for (\w+)$", "usedfor"),
-    (r"^the capital of (\w+) is (\w+)$", "capital"),
-    (r"^the (\w+) of (\w+) is (\w+)$", None),
-    (r"^(\w+) is (?:a|an) (?:kind of )?(\w+)$", "isa"),
-    (r"^(\w+) (?:has|have) (?:a |an )?(\w+)$", "has"),
-    (r"^(\w+) causes (\w+)$", "causes"),
-    (r"^(\w+) wrote (\w+)$", "wrote"),
-    (r"^(\w+) invented (\w+)$", "invented"),
+    (r"(?:the\s+)?(\w+)\s+of\s+(?:the\s+)?(\w+)\s+is\s+(\w+)", (2, 1, 3)),
+    (r"(?:the\s+)?(\w+)\s+is\s+the\s+(\w+)\s+of\s+(\w+)", (3, 2, 1)),
+    (r"(?:the\s+)?(\w+)\s+is\s+an?\s+(\w+)", (1, "isa", 2)),
+    (r"(?:the\s+)?(\w+)\s+is\s+in\s+(?:the\s+)?(\w+)", (1, "locatedin", 2)),
+    (r"(?:the\s+)?(\w+)\s+is\s+located\s+in\s+(?:the\s+)?(\w+)", (1, "locatedin", 2)),
+    (r"(\w+)\s+lives\s+in\s+(?:the\s+)?(\w+)", (1, "lives_in", 2)),
+    (r"(?:the\s+)?(\w+)\s+is\s+made\s+of\s+(\w+)", (1, "madeof", 2)),
+    (r"(?:the\s+)?(\w+)\s+is\s+used\s+for\s+(\w+)", (1, "usedfor", 2)),
+    (r"(?:the\s+)?(\w+)\s+causes\s+(?:the\s+)?(\w+)", (1, "causes", 2)),
+    (r"(?:the\s+)?(\w+)\s+is\s+(\w+)", (1, "is", 2)),
+    (r"(?:the\s+)?(\w+)\s+has\s+(?:an?\s+)?(\w+)", (1, "has", 2)),
+    (r"(\w+)\s+(wrote|composed|painted|directed|invented|founded|discovered|designed)\s+(?:the\s+)?(\w+)", (1, 2, 3)),
 )
 
 
 def extract(sentence: Column) -> Column:
     """struct(s, r, o) by the first clause that the whole sentence fits, or null."""
-    plain = F.regexp_replace(F.lower(F.trim(sentence)), r"[.!?]+$", "")
+    plain = F.regexp_replace(F.lower(F.trim(sentence)), r"\s*\.*$", "")
     out = None
-    for pattern, relation in CLAUSES:
-        g = lambda k, p=pattern: F.regexp_extract(plain, p, k)
-        fact = F.struct(g(1).alias("s"), F.lit(relation).alias("r"), g(2).alias("o")) if relation else F.struct(g(2).alias("s"), g(1).alias("r"), g(3).alias("o"))
+    for clause, roles in CLAUSES:
+        pattern = f"(?U)^{clause}$"
+        fact = F.struct(*[(F.lit(x) if isinstance(x, str) else F.regexp_extract(plain, pattern, x)).alias(c) for c, x in zip("sro", roles, strict=True)])
         out = F.when(plain.rlike(pattern), fact) if out is None else out.when(plain.rlike(pattern), fact)
     return out
 
@@ -88,11 +125,26 @@ def extract_facts(texts: DataFrame, text: str, key: str) -> DataFrame:
     return found.where("f IS NOT NULL").select(key, "f.s", "f.r", "f.o")
 
 
+#: Fixed patterns of corrections, tried in order: subject, relation, new and old object, by group or as they are.
+CORRECTIONS = (
+    (r"(?:actually|no),?\s+(?:the\s+)?(\w+)\s+is\s+(\w+),?\s+not\s+(\w+)", (1, "is", 2, 3)),
+    (r"(?:the\s+)?(\w+)\s+of\s+(\w+)\s+is\s+(\w+),?\s+not\s+(\w+)", (2, 1, 3, 4)),
+    (r"(?:actually|no),?\s+(?:the\s+)?(\w+)\s+is\s+(\w+)", (1, "is", 2, None)),
+    (r"(?:the\s+)?(\w+)\s+is\s+actually\s+(?:an?\s+)?(\w+)", (1, "is", 2, None)),
+)
+
+
 def corrections(texts: DataFrame, text: str) -> DataFrame:
-    """(op, s, r, o) of "X is Y, not Z": Y is stored, Z forgotten."""
-    p = r"^(?i)(?:no[, ]+)?(\w+) is (?:a |an )?(\w+),? not (?:a |an )?(\w+)[.!]?$"
-    rows = texts.where(F.col(text).rlike(p)).select(*[F.lower(F.regexp_extract(text, p, k)).alias(c) for k, c in ((1, "s"), (2, "o"), (3, "old"))])
-    return rows.select(F.explode(F.array(F.struct(F.lit("store").alias("op"), "s", F.lit("isa").alias("r"), "o"), F.struct(F.lit("forget").alias("op"), "s", F.lit("isa").alias("r"), F.col("old").alias("o")))).alias("x")).select("x.*")
+    """(op, s, r, o) of corrections: the new object is stored, and the old one, if it is told, forgotten. Other texts give nothing."""
+    plain, found = F.lower(F.trim(text)), None
+    for clause, roles in CORRECTIONS:
+        pattern = rf"(?U)^{clause}\s*\.?$"
+        value = lambda x, p=pattern: F.lit(None).cast("string") if x is None else F.lit(x) if isinstance(x, str) else F.regexp_extract(plain, p, x)
+        row = F.struct(*[value(x).alias(c) for c, x in zip(("s", "r", "o", "old"), roles, strict=True)])
+        found = F.when(plain.rlike(pattern), row) if found is None else found.when(plain.rlike(pattern), row)
+    rows = texts.select(found.alias("c")).where("c IS NOT NULL").select("c.*")
+    both = F.array(F.struct(F.lit("store").alias("op"), F.col("o").alias("v")), F.struct(F.lit("forget").alias("op"), F.col("old").alias("v")))
+    return rows.select("s", "r", F.explode(both).alias("x")).where("x.v IS NOT NULL").select("x.op", "s", "r", F.col("x.v").alias("o"))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -110,6 +162,21 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return ok.select("x.seq", "x.op", F.col("x.fact.S").alias("s"), F.col("x.fact.R").alias("r"), F.col("x.fact.O").alias("o"))
 
 
+def write_log(rows: DataFrame, path: str) -> None:
+    """Appends rows (seq, op, s, r, o) as log lines that read_log reads."""
+    line = F.struct("seq", "op", F.struct(F.col("s").alias("S"), F.col("r").alias("R"), F.col("o").alias("O")).alias("fact"))
+    rows.select(F.to_json(line).alias("value")).write.mode("append").text(path)
+
+
+def recover(facts: DataFrame, upto: int, log: DataFrame) -> DataFrame:
+    """(s, r, o, n): copies of each fact after the log's rows beyond ``upto`` have been applied, in the order of seq, to a snapshot's facts."""
+    from ..operators.episodes import folded
+
+    copy = F.row_number().over(W.partitionBy("s", "r", "o").orderBy(F.lit(0)))
+    base = facts.select((F.lit(upto).cast("long") - copy).alias("seq"), F.lit("store").alias("op"), "s", "r", "o")  # equal copies, each at its own place
+    return folded(base.union(log.where(F.col("seq") > upto).select("seq", "op", "s", "r", "o")))
+
+
 def save(tables: dict[str, DataFrame], path: str, version: int = 1) -> None:
     """A snapshot: a folder of tables, and last a table with the version, by which a whole snapshot is known."""
     for name, df in tables.items():

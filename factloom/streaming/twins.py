@@ -31,15 +31,15 @@ def drift_stream(episodes: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(["ts", "id"])
-        was = state.get if state.exists else None
-        out = []
-        for r in rows.itertuples():
-            now = (r.state, r.symbol)
-            if was is not None and tuple(was) != now:
-                out.append((r.id, *key, was[0], now[0], was[1], now[1]))
-            was = now
-        state.update(was)
-        yield pd.DataFrame(out, columns=["id", "subject", "relation", "was_state", "state", "was_symbol", "symbol"])
+        if state.exists:
+            before = pd.DataFrame([state.get], columns=["state", "symbol"])
+            rows = pd.concat([before, rows], ignore_index=True)
+        was, now = rows[["state", "symbol"]].shift(), rows[["state", "symbol"]]
+        moved = ((was != now) & ~(was.isna() & now.isna())).any(axis=1)
+        moved.iloc[0] = False
+        out = pd.DataFrame({"id": rows["id"], "subject": key[0], "relation": key[1], "was_state": was["state"], "state": now["state"], "was_symbol": was["symbol"], "symbol": now["symbol"]})[moved]
+        state.update(tuple(now.iloc[-1]))
+        yield out.astype({"id": "int64"})
 
     return episodes.groupBy("subject", "relation").applyInPandasWithState(step, "id long, subject string, relation string, was_state string, state string, was_symbol string, symbol string", "state string, symbol string", "append", GroupStateTimeout.NoTimeout)
 
@@ -48,9 +48,9 @@ def fold_stream(log: DataFrame) -> DataFrame:
     """(s, r, o, n): copies left of each fact after each micro-batch of a log (seq, op, s, r, o), in update mode."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        for op in pd.concat(list(frames)).sort_values("seq")["op"]:
-            n = n + 1 if op == "store" else max(0, n - 1)
+        ops = pd.concat(list(frames)).sort_values("seq")["op"]
+        run = (state.get[0] if state.exists else 0) + ops.eq("store").mul(2).sub(1).cumsum()
+        n = int(run.iloc[-1] - min(0, run.min()))
         state.update((n,))
         yield pd.DataFrame([(*key, n)], columns=["s", "r", "o", "n"])
 
