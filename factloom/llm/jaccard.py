@@ -44,8 +44,9 @@ from .components import components, near
 SHINGLE = 5
 #: Similarity of at least PERCENT / 100.
 PERCENT = 80
-GROUPS = 64
-BUCKET_BITS = 20
+GROUPS = 256
+#: Buckets of tokens that are counted: about so many tokens in one, of so many bytes each, and bounds of their number.
+BUCKET_TOKENS, WORD_BYTES, LEAST_BITS, MOST_BITS = 16, 7, 18, 24
 BLOCK_ROWS = 20_000
 LEAF = 16
 #: Tokens that are dealt to one task, about.
@@ -57,6 +58,11 @@ _CHUNK = 1 << 14
 CHUNK_PAIRS = 256
 #: Texts to be verified, and blocks, that Python gets at once.
 VERIFY_BATCH, BLOCK_BATCH = 500, 50
+#: First tokens of a node that its blocks know.
+HEADS = 3
+#: Pairs with the most room that a block names for two components, and pairs that are tried of those.
+NAMED, TRIED = 3, 4
+_NONE = np.iinfo(np.int64).max
 
 
 def token_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -68,37 +74,54 @@ def token_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield np.unique(s)
 
 
-def token_levels(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """0 for hash buckets of rare tokens, and the more, the more documents a bucket's tokens have; and the counts."""
+def bucket_bits(docs: DataFrame, text: str) -> int:
+    """Bits of so many buckets that about BUCKET_TOKENS tokens meet in one, within bounds."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return int(np.clip(np.ceil(np.log2(max(1, size / WORD_BYTES / BUCKET_TOKENS))), LEAST_BITS, MOST_BITS))
+
+
+def bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each token, by its highest bits."""
+    return (tokens.view(np.uint64) >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+
+
+def token_counts(docs: DataFrame, text: str, n: int, bits: int) -> np.ndarray:
+    """In how many sets, in all, the tokens of each bucket are; at most 2 ** MOST_BITS numbers, whatever the input."""
+
+    def rows(total: np.ndarray, salt: int) -> pa.RecordBatch:
+        parts = range(0, len(total), _CHUNK)
+        return pa.RecordBatch.from_arrays([pa.array([p // _CHUNK for p in parts], pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([pack(total[p : p + _CHUNK]) for p in parts], pa.binary())], ["chunk", "salt", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for b in batches:
-            tokens = np.concatenate([np.zeros(0, np.uint64), *token_sets(b.column(0), n)])
-            total += np.bincount((tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
+            for tokens in token_sets(b.column(0), n):
+                np.add.at(total, bucket(tokens, len(total)), 1)
         if total.any():
-            parts = range(0, len(total), _CHUNK)
-            salt = TaskContext.get().partitionId() // 256
-            yield pa.RecordBatch.from_arrays([pa.array([p // _CHUNK for p in parts], pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([total[p : p + _CHUNK].tobytes() for p in parts], pa.binary())], ["chunk", "salt", "counts"])
+            yield rows(total, TaskContext.get().partitionId() // 256)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "salt": [pdf["salt"].iloc[0]], "counts": [total.tobytes()]})
+        total = sum(unpack(x).astype(np.int64) for x in pdf["counts"])
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "salt": [pdf["salt"].iloc[0]], "counts": [pack(total)]})
 
     schema = "chunk int, salt int, counts binary"
     some = docs.select(text).mapInArrow(count, schema).groupBy("chunk", "salt").applyInPandas(add, schema)
     with scratch.batches(docs.sparkSession, 1000):
-        rows = some.groupBy("chunk").applyInPandas(add, schema).collect()  # 2 ** BUCKET_BITS counts, whatever the input
-    out = np.zeros(1 << BUCKET_BITS, np.int64)
-    for r in rows:
-        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["counts"], np.int64)
+        got = some.groupBy("chunk").applyInPandas(add, schema).collect()
+    out = np.zeros(1 << bits, np.uint32)
+    for r in got:
+        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = unpack(r["counts"])
     return out
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
-    mean = counts.mean()
-    usual = mean + 8 * np.sqrt(mean) + 16
-    return np.where(counts > usual, np.clip(1 + np.log2(np.maximum(counts, 1) / usual).astype(int), 1, 60), 0).astype(np.uint8)
+    """0 for buckets of rare tokens, and the more, the more documents a bucket's tokens have."""
+    mean = float(counts.mean())
+    usual = mean + 4 * np.sqrt(mean) + 6
+    out = np.zeros(len(counts), np.uint8)
+    many = np.flatnonzero(counts > usual)
+    out[many] = np.clip(1 + np.log2(counts[many] / usual), 1, 60)
+    return out
 
 
 def prefix_size(n: int) -> int:
@@ -132,31 +155,32 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text: str, n: int, levels: np.ndarray) -> DataFrame:
-    """(row, id, n, fp1, fp2, first, counts, fine): a set's size, fingerprint, first tokens, and count vectors of GROUPS and of about n groups."""
+    """(row, id, hash, n, fp1, fp2, first, heads, counts, fine): a text's hash, its set's size, fingerprint, first tokens, the HEADS of them, and count vectors of GROUPS and of about n groups."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
         for b in batches:
-            ns, f1, f2, first, ends, vec, fine = [], [], [], [], [0], [], []
+            ns, f1, f2, first, ends, heads, vec, fine = [], [], [], [], [0], [], [], []
             for s in token_sets(b.column(1), n):
                 ns.append(len(s))
                 m = textbuf.mix64(s)
                 f1.append(int(m.sum().astype(np.int64)))
                 f2.append(int(textbuf.mix64(m ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64)))
-                lv = level[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                lv = level[bucket(s, len(level))]
                 order = s[np.argsort(lv, kind="stable")] if lv.any() else s
                 first.append(order[: prefix_size(len(s))] if len(s) else s)
                 ends.append(ends[-1] + len(first[-1]))
+                heads.append(np.sort(first[-1].view(np.int64))[:HEADS].tobytes())
                 many = np.bincount((s & np.uint64(fine_groups(len(s)) - 1)).astype(np.int64), minlength=fine_groups(len(s)))
                 fine.append(pack(many))
                 vec.append(pack(fold(many, GROUPS)))
             flat = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, pa.array(vec, pa.binary()), pa.array(fine, pa.binary())], ["id", "n", "fp1", "fp2", "first", "counts", "fine"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ns, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), lists, pa.array(heads, pa.binary()), pa.array(vec, pa.binary()), pa.array(fine, pa.binary())], ["id", "hash", "n", "fp1", "fp2", "first", "heads", "counts", "fine"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), text).mapInArrow(sketch, f"id {kind}, n int, fp1 long, fp2 long, first array<long>, counts binary, fine binary")
+    out = docs.select(F.col(id_col).alias("id"), text, F.xxhash64(text)).mapInArrow(sketch, f"id {kind}, hash long, n int, fp1 long, fp2 long, first array<long>, heads binary, counts binary, fine binary")
     return scratch.keep(out.select(F.monotonically_increasing_id().alias("row"), "*"), "sketches")
 
 
@@ -168,16 +192,21 @@ def blocks_of(nodes: DataFrame, counts: np.ndarray, block_rows: int) -> DataFram
     spark = nodes.sparkSession
     total = nodes.agg(F.sum(F.size("first"))).first()[0] or 0
     parts = max(1, -(-total // PART_TOKENS))
-    shared = spark.sparkContext.broadcast(np.minimum(-(-counts // block_rows), 65_535).astype(np.uint16))
+    large, buckets = np.flatnonzero(counts > block_rows), len(counts)
+    shared = spark.sparkContext.broadcast((large, np.minimum(-(-counts[large].astype(np.int64) // block_rows), 65_535)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = shared.value
+        large, blocks = shared.value
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def send() -> pa.RecordBatch:
             token, row, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            of = split[(token.view(np.uint64) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+            of = np.ones(len(token), np.int64)
+            if len(large):
+                own = bucket(token, buckets)
+                at = np.minimum(np.searchsorted(large, own), len(large) - 1)
+                of[large[at] == own] = blocks[at[large[at] == own]]
             salt = np.where(of > 1, 1 + (textbuf.mix64(row.view(np.uint64)) % np.maximum(of, 1).astype(np.uint64)).astype(np.int64), 0).astype(np.uint16)
             part = (textbuf.mix64(token.view(np.uint64) + salt.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((row, part))
@@ -227,7 +256,7 @@ def blocks_of(nodes: DataFrame, counts: np.ndarray, block_rows: int) -> DataFram
 class Tree:
     """An R-tree over count vectors: halved by the widest group until LEAF points are left, all leaves at one depth."""
 
-    def __init__(self, rows: np.ndarray, sizes: np.ndarray, comps: np.ndarray, points: np.ndarray):
+    def __init__(self, rows: np.ndarray, sizes: np.ndarray, comps: np.ndarray, points: np.ndarray, heads: np.ndarray | None = None):
         m = len(rows)
         self.depth = max(0, int(np.ceil(np.log2(max(1, m) / LEAF))))
         order = np.lexsort((rows, sizes))
@@ -241,6 +270,7 @@ class Tree:
                     order[a:b] = own[np.argpartition(points[own, wide], c - a)]
             cuts = np.sort(np.concatenate([cuts, mids]))
         self.rows, self.sizes, self.comps, self.points = rows[order], sizes[order], comps[order], points[order]
+        self.heads = heads[order] if heads is not None else None
         level, self.levels = cuts, []
         while True:
             a = level[:-1]
@@ -294,17 +324,36 @@ def tree_join(s: Tree, t: Tree, step: int = 1 << 15) -> Iterator[np.ndarray]:
                 yield np.stack([a[ok], b[ok]], 1)
 
 
-def block_members(members: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows, sizes and points of each block of a column of arrays of (row, n, counts)."""
+def block_members(members: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, sizes, points and heads of each block of a column of arrays of (row, n, counts, heads)."""
     flat, ends = members.flatten(), np.asarray(members.offsets) - members.offsets[0].as_py()
     rows, sizes = np.asarray(flat.field("row")), np.asarray(flat.field("n")).astype(np.int64)
     raw = flat.field("counts").to_pylist()
     if {len(x) for x in raw} == {GROUPS + 1}:
-        points = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, GROUPS + 1)[:, 1:].astype(np.int32)
+        points = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, GROUPS + 1)[:, 1:]
     else:
         points = np.stack([unpack(x) for x in raw]) if raw else np.zeros((0, GROUPS), np.int32)
+    pad = np.full(HEADS, _NONE).tobytes()
+    heads = np.frombuffer(b"".join((x + pad)[: len(pad)] for x in flat.field("heads").to_pylist()), np.int64).reshape(-1, HEADS)
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        yield rows[a:b], sizes[a:b], points[a:b]
+        yield rows[a:b], sizes[a:b], points[a:b], heads[a:b]
+
+
+def named_before(s: Tree, t: Tree, i: np.ndarray, j: np.ndarray, token: int) -> np.ndarray:
+    """Whether pairs of places in both trees have a common token among their heads that comes before the block's."""
+    x, y = s.heads[i], t.heads[j]
+    x = np.where(x < token, x, _NONE)
+    return ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] != _NONE)).any((1, 2))
+
+
+def most_room(s: Tree, t: Tree, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The NAMED pairs with the most room of each two components, as places among the pairs."""
+    room = np.minimum(s.points[i], t.points[j]).sum(1) / least_overlap(s.sizes[i], t.sizes[j])
+    a, b = np.minimum(s.comps[i], t.comps[j]), np.maximum(s.comps[i], t.comps[j])
+    order = np.lexsort((t.rows[j], s.rows[i], -room, b, a))
+    new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return order[np.arange(len(order)) - first < NAMED]
 
 
 def partners(rows: np.ndarray, sizes: np.ndarray, points: np.ndarray) -> list[tuple[int, int]]:
@@ -356,7 +405,7 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, tex
     """
     ends = pairs.select(F.col("a").alias("row")).union(pairs.select("b"))
     degree = scratch.keep(ends.groupBy("row").agg(F.count("*").alias("d")), "degree")
-    wanted = scratch.keep(nodes.select("row", F.col("id").alias("_id"), "fp1").join(near(degree), "row", "left_semi"), "wanted")
+    wanted = scratch.keep(nodes.select("row", F.col("id").alias("_id"), F.col("hash").alias("_hash"), "fp1").join(near(degree), "row", "left_semi"), "wanted")
     d = near(degree)
     both = pairs.join(d.select(F.col("row").alias("a"), F.col("d").alias("da")), "a").join(d.select(F.col("row").alias("b"), F.col("d").alias("db")), "b")
     first = F.col("da") >= F.col("db")
@@ -371,7 +420,8 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, tex
         rows = zip(token_sets(texts, n), prints.to_pylist(), strict=True)
         return pa.array([s.tobytes() if int(textbuf.mix64(s).sum().astype(np.int64)) == f else None for s, f in rows], pa.binary())
 
-    texts = docs.select(F.col(id_col).alias("_t_id"), F.col(text).alias("_t")).where(F.col("_t").isNotNull()).join(near(wanted), F.col("_t_id").eqNullSafe(F.col("_id")))
+    texts = docs.select(F.col(id_col).alias("_t_id"), F.col(text).alias("_t")).where(F.col("_t").isNotNull())
+    texts = texts.join(near(wanted), F.col("_t_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_t") == F.col("_hash")))  # ids may be null or repeat
     sets = texts.select("row", F.arrow_udf(set_of, "binary")("_t", "fp1").alias("tokens")).where("tokens IS NOT NULL")
     sent = sets.join(near(needs), "row").select("part", F.col("row").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
     sent = sent.union(both.select("part", "a", "b", F.lit(None).cast("binary")))
@@ -404,12 +454,12 @@ def _pair_array(rows: list[list[tuple[int, int]]]) -> pa.Array:
 def node_links(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, id_col: str, text: str, n: int, block_rows: int) -> DataFrame:
     """(node, root): components of the nodes that have links."""
     blocks = blocks_of(nodes, counts, block_rows)
-    member = blocks.select("block", F.explode("rows").alias("row")).join(nodes.select("row", "n", "counts"), "row")
-    filled = member.groupBy("block").agg(F.collect_list(F.struct("row", "n", "counts")).alias("members"))  # at most about BLOCK_ROWS each
+    member = blocks.select("block", F.explode("rows").alias("row")).join(nodes.select("row", "n", "counts", "heads"), "row")
+    filled = member.groupBy("block").agg(F.collect_list(F.struct("row", "n", "counts", "heads")).alias("members"))  # at most about BLOCK_ROWS each
     filled = scratch.keep(filled.join(blocks.drop("rows"), "block"), "filled")
 
     def first_links(members: pa.Array) -> pa.Array:
-        return _pair_array([partners(*m) for m in block_members(members)])
+        return _pair_array([partners(*m[:3]) for m in block_members(members)])
 
     both = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tried = filled.select(F.explode(F.arrow_udf(first_links, _PAIRS)("members")).alias("p")).select("p.*")
@@ -430,6 +480,30 @@ def node_links(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, id_col: st
         links = links.union(scratch.keep(verify(apart, docs, nodes, id_col, text, n), "links", VERIFY_BATCH))
         comps = components(links)
 
+    tried = scratch.keep(tried, "tried")
+    for few in (True, False):
+        more = apart_pairs(blocks, filled, comps, few)
+        if more is None:
+            break
+        more = more.join(near(tried), ["a", "b"], "left_anti")
+        if few:
+            of = F.pmod(F.xxhash64("a", "b"), F.lit(TRIED))
+            more = more.groupBy("ra", "rb", of).agg(F.max(F.struct("times", "a", "b")).alias("p")).select("p.a", "p.b")
+        more = scratch.keep(more.select("a", "b"), "more", 10)
+        tried = tried.union(more)
+        allowed = may_link(more, nodes)
+        if not allowed.isEmpty():
+            links = links.union(scratch.keep(verify(allowed, docs, nodes, id_col, text, n), "links", VERIFY_BATCH))
+            comps = components(links)
+    return comps
+
+
+def apart_pairs(blocks: DataFrame, filled: DataFrame, comps: DataFrame, few: bool) -> DataFrame | None:
+    """(a, b, ra, rb, times): pairs of nodes of different components that blocks propose, their components, and by how many blocks.
+
+    With few, each block names for two components the pairs with the most room only;
+    otherwise all that the bound allows. None if no block has several components.
+    """
     ranges = blocks.where("salt > 0 OR size(rows) > 2").select("block", F.explode("rows").alias("row")).join(near(comps), F.col("row") == F.col("node"), "left").select("block", "row", F.coalesce("root", "row").alias("root"))
     mixed = ranges.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     mixed = scratch.keep(mixed.join(blocks.select("block", "token", "salt"), "block"), "mixed")
@@ -439,36 +513,42 @@ def node_links(docs: DataFrame, nodes: DataFrame, counts: np.ndarray, id_col: st
     two = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.salt") < F.col("y.salt")) & differ).select(F.col("x.block").alias("x"), F.col("y.block").alias("y"))
     todo = scratch.keep(one.union(two), "todo")
     if todo.isEmpty():
-        return comps
+        return None
     roots = ranges.where("root != row").groupBy("block").agg(F.collect_list(F.struct("row", "root")).alias("roots"))
-    side = filled.select("block", "members").join(roots, "block", "left").withColumn("roots", F.coalesce("roots", F.array().cast("array<struct<row:bigint,root:bigint>>")))
-    side = side.select("block", F.struct("members", "roots").alias("side"))
-    sides = todo.join(side.select(F.col("block").alias("x"), F.col("side").alias("sx")), "x").join(side.select(F.col("block").alias("y"), F.col("side").alias("sy")), "y")
+    side = filled.select("block", "token", "members").join(roots, "block", "left").withColumn("roots", F.coalesce("roots", F.array().cast("array<struct<row:bigint,root:bigint>>")))
+    side = side.select("block", "token", F.struct("members", "roots").alias("side"))
+    sides = todo.join(side.select(F.col("block").alias("x"), "token", F.col("side").alias("sx")), "x").join(side.select(F.col("block").alias("y"), F.col("side").alias("sy")), "y")
 
     def trees(side: pa.Array) -> Iterator[Tree]:
         roots = side.field("roots").to_pylist()
-        for (rows, sizes, points), known in zip(block_members(side.field("members")), roots, strict=True):
+        for (rows, sizes, points, heads), known in zip(block_members(side.field("members")), roots, strict=True):
             own = {r["row"]: r["root"] for r in known}
-            yield Tree(rows, sizes, np.array([own.get(r, r) for r in rows.tolist()], np.int64), points)
+            yield Tree(rows, sizes, np.array([own.get(r, r) for r in rows.tolist()], np.int64), points, heads)
 
-    def other_links(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        out = []
-        for s, t in zip(trees(xs), trees(ys), strict=True):
+    def propose(tokens: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:
+        cols, ends = [[np.zeros(0, np.int64)] for _ in range(4)], [0]
+        for token, s, t in zip(tokens.to_pylist(), trees(xs), trees(ys), strict=True):
             if len(s.rows) == len(t.rows) and (s.rows == t.rows).all():
                 t = s
-            out.append([(min(a, b), max(a, b)) for f in tree_join(s, t) for a, b in zip(s.rows[f[:, 0]].tolist(), t.rows[f[:, 1]].tolist(), strict=True)])
-        return _pair_array(out)
-
-    more = sides.select(F.explode(F.arrow_udf(other_links, _PAIRS)("sx", "sy")).alias("p")).select("p.*").distinct()
-    more = may_link(scratch.keep(more.join(tried, ["a", "b"], "left_anti"), "more", 10), nodes)
-    if more.isEmpty():
-        return comps
-    return components(links.union(scratch.keep(verify(more, docs, nodes, id_col, text, n), "links", VERIFY_BATCH)))
+            found = [f if few else f[~named_before(s, t, f[:, 0], f[:, 1], token)] for f in tree_join(s, t)]
+            i, j = np.concatenate(found).T if found else (np.zeros(0, np.int64),) * 2
+            if few and len(i):
+                best = most_room(s, t, i, j)
+                i, j = i[best], j[best]
+            a, b, ra, rb = s.rows[i], t.rows[j], s.comps[i], t.comps[j]
+            for col, u, v, way in zip(cols, (a, a, ra, ra), (b, b, rb, rb), (np.minimum, np.maximum) * 2, strict=True):
+                col.append(way(u, v))
+            ends.append(ends[-1] + len(i))
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["a", "b", "ra", "rb"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+
+    pairs = sides.select(F.explode(F.arrow_udf(propose, "array<struct<a:long,b:long,ra:long,rb:long>>")("token", "sx", "sy")).alias("p"))
+    return pairs.select("p.*").groupBy("a", "b", "ra", "rb").agg(F.count("*").alias("times"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, n_shingles, component_id) of all documents."""
-    counts = token_levels(docs, text, shingle)
+    counts = token_counts(docs, text, shingle, bucket_bits(docs, text))
     all_rows = sketches(docs, id_col, text, shingle, levels_of(counts))
     full = all_rows.where("n > 0")
     sets = full.groupBy("fp1", "fp2", "n").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.count("*").alias("copies"))
