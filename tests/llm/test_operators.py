@@ -233,6 +233,19 @@ def test_jaccard_of_nothing(spark):
     assert [r["component_id"] for r in jaccard.jaccard_components(table(spark, [None, "", None])).orderBy("doc_id").collect()] == [0, 1, 2]
 
 
+def test_jaccard_without_ids_and_with_one_id(spark):
+    rng = random.Random(17)
+    base = [prose(60, rng) for _ in range(40)]
+    texts = [*base, *(edited(b, 1, rng) for b in base), *base]
+    want = classes(shingle_sets(texts))
+    for ids in ([None] * len(texts), [7] * len(texts), [None if k % 3 else k for k in range(len(texts))]):
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(5)
+        got = jaccard.jaccard_components(docs).collect()
+        assert len(got) == len(texts)
+        named = [min((ids[j] for j in range(len(texts)) if want[j] == want[i] and ids[j] is not None), default=None) for i in range(len(texts))]
+        assert sorted((r["n_shingles"], str(r["component_id"])) for r in got) == sorted((56, str(x)) for x in named)
+
+
 def test_tree_finds_all_pairs_of_the_bound():
     rng = np.random.default_rng(1)
     points = np.concatenate([rng.poisson(3, (60, jaccard.GROUPS)), np.repeat(rng.poisson(3, (5, jaccard.GROUPS)), 8, 0)])

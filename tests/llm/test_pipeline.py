@@ -59,10 +59,14 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, folder):
             assert sorted(out.columns) == sorted(docs.columns)
 
 
-def test_rows_without_ids_and_repeated_rows(spark, folder):
-    path = folder[0]
-    text = " ".join(WORDS[:40])
-    rows = [(None, text, "xx", "s", 1), (3, text, "xx", "s", 1), (3, text, "xx", "s", 1), (4, text, "xx", "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    left = corpus_pipeline.one_of_each(spark, docs, path).collect()
-    assert sorted(r["doc_id"] or -1 for r in left) == [-1, 3]
+def test_rows_are_decided_by_id_and_text(spark, folder):
+    path, _, item = folder
+    rng = random.Random(23)
+    text, other, bad = (" ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(3))
+    rows = [(None, text), (3, text), (3, text), (4, text), (3, other), (None, other + " end"), (7, bad), (7, item), (None, item), (None, None), (None, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "xx", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    left = corpus_pipeline.one_of_each(spark, docs, path)
+    got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+    assert got == sorted([(3, text), (3, other), (7, bad), (7, item), (None, None), (None, None), (5, ""), (5, "")], key=str)
+    clean = corpus_pipeline.decontaminated(spark, docs, path).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in clean), key=str) == sorted((r for r in rows if r[1] != item), key=str)
