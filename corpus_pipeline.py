@@ -1,8 +1,8 @@
 """Documents to token ids: five stages, each reading what the one before has written.
 
 Each stage takes (spark, docs, sf_dir) and works on all of docs. All but the last
-return the columns of ``documents``. Documents without an id can't be named by a
-decision, so they pass the stages that drop documents by id.
+return the columns of ``documents``. Decisions name rows by KEY, id and text, so that
+rows whose ids are null or repeat are decided each; rows equal in both share a decision.
 """
 
 from __future__ import annotations
@@ -27,9 +27,17 @@ def _small_batches(spark: SparkSession) -> None:
         spark.conf.set(scratch.BATCH, str(BATCH_ROWS))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but those with the given ids; texts aren't moved while the ids are few."""
-    return docs.join(near(scratch.keep(ids.where("doc_id IS NOT NULL").distinct(), "dropped")), "doc_id", "left_anti").select(*COLUMNS)
+KEY = "_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds what tells rows apart; keys with an id come before those without."""
+    return docs.withColumn(KEY, F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", F.xxhash64("text").alias("hash")))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Keyed docs but those with the given keys; texts aren't moved while the keys are few."""
+    return docs.join(near(scratch.keep(keys.select(KEY).distinct(), "dropped")), KEY, "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,20 +48,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of similar ones, and all that link with none."""
-    groups = scratch.keep(jaccard.jaccard_components(docs), "groups")
-    left = _without(docs, groups.where("doc_id != component_id").select("doc_id"))
-    again = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = scratch.keep(again, "again")
+    """Keeps the document with the smallest id of each group of similar ones, once if it repeats, and all that link with none."""
+    docs = _keyed(docs)
+    groups = scratch.keep(jaccard.jaccard_components(docs, KEY), "groups")
+    left = _without(docs, groups.where(F.col(KEY) != F.col("component_id")))
+    again = scratch.keep(groups.where(F.col("n_shingles") > 0).groupBy(KEY).count().where("count > 1").select(KEY), "again")
     if again.isEmpty():
-        return left
-    return _without(left, again).union(left.join(near(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS))
+        return left.select(*COLUMNS)
+    once = left.join(near(again), KEY, "left_semi").dropDuplicates([KEY])
+    return _without(left, again).select(*COLUMNS).union(once.select(*COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents of which passages of the benchmark cover a twentieth or more."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated").select("doc_id"))
+    docs = _keyed(docs)
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), KEY)
+    return _without(docs, found.where("contaminated")).select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
