@@ -47,6 +47,40 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def _lowered(text: str) -> str:
+    return f"translate(coalesce({text}, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}')"
+
+
+def _contamination_sql() -> str:
+    """All windows of items beside all stretches of as many words of documents."""
+    words = rf"regexp_extract_all({_lowered('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    stretch = lambda k: f"array_to_string(w[i : i + {k} - 1], ' ')"
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, {words} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item, k, {stretch('k')} AS win FROM (SELECT item, w, least({decontaminate.WINDOW}, len(w)) AS k, unnest(range(1, len(w) - least({decontaminate.WINDOW}, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT k FROM wins),
+spots AS (SELECT row, k, i, {stretch('k')} AS win FROM (SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, lens WHERE len(w) >= k)),
+hits AS (SELECT row, k, i, item FROM spots JOIN wins USING (k, win)),
+places AS (SELECT row, count(*) AS n_hit FROM (SELECT DISTINCT row, unnest(range(i, i + k)) AS place FROM hits) GROUP BY row),
+found AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN places USING (row) LEFT JOIN found USING (row)"""
+
+
+def _jaccard_sql() -> str:
+    """All pairs that share a shingle, and what links reach."""
+    n = jaccard.SHINGLE
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_lowered('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, array_to_string(w[i : i + {n} - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {n} + 2, 2))) AS i FROM d WHERE len(w) > 0)),
+sets AS (SELECT DISTINCT doc_id, s FROM t), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * k >= {jaccard.PERCENT} * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(max(n), 0) AS n_shingles, min(b) AS component_id FROM d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.page_derivatives(table(spark, sf_dir, "pages"))
     return out.select(F.col("source").alias("page_id"), "record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "payload_digest", "content_type", "block_digest", "content_length", "block")
@@ -102,4 +136,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": _warc_sql()}
+    return {"op4_decontamination": _contamination_sql(), "op5_warc": _warc_sql(), "op6_jaccard": _jaccard_sql()}

@@ -15,18 +15,15 @@ tables give no rows; extra columns are not looked at.
 
 from __future__ import annotations
 
-import gzip
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Responses made from pages have no date of their own.
 DATE = "1970-01-01T00:00:00Z"
 NEWLINE = "\r\n"
-#: Files over this size are refused by read_warc, as one task reads one file.
-MAX_FILE_BYTES = 1 << 28
+BLANK = NEWLINE * 2
+#: What stands between two records, up to the version of the second.
+RECORD = f"{BLANK}WARC/1."
 
 #: Fixed patterns, in the order in which they are applied to HTML: what they match, and what it becomes.
 HTML_STEPS = (
@@ -127,36 +124,32 @@ def write_derivatives(records: DataFrame, path: str) -> None:
     records.select(F.expr(f"substring(record, 1, length(record) - {len(NEWLINE)})").alias("value")).write.text(path, compression="gzip", lineSep=NEWLINE)
 
 
-def parse_records(raw: bytes) -> Iterator[dict]:
-    """The records of a WARC file's bytes; the block of a response is split into its HTTP headers and payload."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    at = 0
-    while (at := raw.find(b"WARC/1.", at)) >= 0:
-        end = raw.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        head = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]))
-        n = int(head.get("content-length", "0"))
-        block = raw[end + 4 : end + 4 + n]
-        at = end + 4 + n
-        http, cut, payload = block.partition(b"\r\n\r\n") if head.get("content-type", "").startswith("application/http") else (b"", b"", block)
-        yield {"type": head.get("warc-type"), "record_id": head.get("warc-record-id"), "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "refers_to": head.get("warc-refers-to"), "http_headers": http.decode("utf-8", "replace") or None, "payload": payload.decode("utf-8", "replace"), "payload_digest": head.get("warc-payload-digest"), "block_digest": head.get("warc-block-digest")}
+def _field(head: Column, name: str) -> Column:
+    """A header's value, or null."""
+    return F.nullif(F.trim(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)), F.lit(""))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, plain or compressed; ``source`` is the file. Payloads that aren't UTF-8 get replacement characters."""
-    names = ("type", "record_id", "target_uri", "date", "refers_to", "http_headers", "payload", "payload_digest", "block_digest")
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for file, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = [{"source": file} | r for r in parse_records(raw.as_py())]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([(n, pa.string()) for n in ("source", *names)]))
-
-    files = spark.read.format("binaryFile").load(path)
-    ok = files.where(F.when(F.col("length") > MAX_FILE_BYTES, F.raise_error(F.concat(F.lit("too large for one task: "), F.col("path"))).cast("boolean")).otherwise(F.lit(True)))
-    return ok.select("path", "content").mapInArrow(parse, ", ".join(f"{n} string" for n in ("source", *names)))
+    """Records (source, type, record_id, target_uri, date, refers_to, http_headers, payload, payload_bytes, payload_digest, block_digest, truncated) of WARC files, plain or compressed.
+
+    Files are read as text whose lines end where the next record begins, so that Spark
+    streams compressed files and splits plain ones, and a task holds records, not
+    files. Bytes stay as they are; ``payload`` shows those that aren't UTF-8 by
+    replacement characters. ``source`` is the file. A record whose file ends, or
+    whose content holds the begin of a record, before its stated length is truncated.
+    """
+    lines = spark.read.option("lineSep", RECORD).text(path).select(F.input_file_name().alias("source"), "value")
+    rows = lines.select("source", F.substring_index("value", BLANK, 1).alias("head"), F.col("value").cast("binary").alias("raw")).where(F.col("head").rlike(r"^(WARC/1\.)?\d+\r\n"))
+    rows = rows.withColumn("n", F.coalesce(_field(F.col("head"), "Content-Length").try_cast("long"), F.lit(0)).cast("int"))
+    rows = rows.withColumn("block", F.expr(f"substring(raw, octet_length(head) + {len(BLANK) + 1}, n)")).drop("raw")
+    is_http = F.lower(F.coalesce(_field(F.col("head"), "Content-Type"), F.lit(""))).startswith("application/http")
+    rows = rows.withColumn("http", F.when(is_http, F.substring_index(F.col("block").cast("string"), BLANK, 1)))
+    rows = rows.withColumn("payload_bytes", F.when(is_http, F.expr(f"substring(block, octet_length(http) + {len(BLANK) + 1}, n)")).otherwise(F.col("block")))
+    own = lambda name, as_: _field(F.col("head"), name).alias(as_)
+    return rows.select(
+        "source", own("WARC-Type", "type"), own("WARC-Record-ID", "record_id"), own("WARC-Target-URI", "target_uri"), own("WARC-Date", "date"), own("WARC-Refers-To", "refers_to"), F.make_valid_utf8("http").alias("http_headers"),
+        F.make_valid_utf8(F.col("payload_bytes").cast("string")).alias("payload"), "payload_bytes", own("WARC-Payload-Digest", "payload_digest"), own("WARC-Block-Digest", "block_digest"), (F.octet_length("block") < F.col("n")).alias("truncated"),
+    )
 
 
 def page_derivatives(pages: DataFrame) -> DataFrame:

@@ -170,6 +170,29 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.page_derivatives(pages.limit(0)).count() == 0
 
 
+def test_warc_files_of_all_kinds(spark, tmp_path):
+    import gzip
+
+    def record(kind, block, more=b""):
+        return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:x>\r\n" + more + b"Content-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>\xff\xfea\r\n\r\nb</p>"
+    parts = [record(b"warcinfo", b"software: x\r\n"), record(b"response", http, b"WARC-Target-URI: http://a/\r\ncontent-type: application/http; msgtype=response\r\n"), record(b"resource", b""), record(b"metadata", "é\r\n\r\n".encode())]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    (tmp_path / "c.warc").write_bytes(parts[1][:-20])
+    (tmp_path / "d.warc").write_bytes(b"")
+    got = {}
+    for r in warc.read_warc(spark, str(tmp_path / "*.warc*")).collect():
+        got.setdefault(r["source"].rsplit("/", 1)[-1], []).append(r)
+    for name in ("a.warc", "b.warc.gz"):
+        kinds = {r["type"]: r for r in got[name]}
+        assert len(got[name]) == 4 and bytes(kinds["response"]["payload_bytes"]) == b"<p>\xff\xfea\r\n\r\nb</p>" and "\ufffd" in kinds["response"]["payload"]
+        assert kinds["response"]["target_uri"] == "http://a/" and kinds["response"]["http_headers"].endswith("text/html") and kinds["resource"]["payload"] == "" and kinds["metadata"]["payload"] == "é\r\n\r\n"
+        assert not any(r["truncated"] for r in got[name])
+    assert [r["truncated"] for r in got["c.warc"]] == [True] and "d.warc" not in got
+
+
 def test_html_text_equals_the_steps(spark):
     rng = random.Random(3)
     bits = ["<p>", "</P >", "<!-- x -- <b> -->", "<!--", "<script>a<b</script>", "<STYLE x>p{}</style >", "<span>", "<header id=1>", "<head>", "<hr/>", "<h7>", "<pre\n>", "<prefix>", "<a href=\"x\">", "<", ">", "&amp;", "&#38;", "amp;", "lt;", "#38;", "&lt;", "&#60;", "&nbsp;", "&#x27;", "&middot;", "&copy;", "&", "\u2028", "\u0085", " ", "  ", "\t", "\r\n", "\n", " \n ", "word", "é", "日本", "$1", "\\"]
@@ -321,6 +344,37 @@ def test_passages_with_a_replaced_word_are_verified():
     assert passages.passages(tokens(b + a + c), tokens(d + a + e)) == []  # too little for 50 words
 
 
+def test_near_passages_are_found_as_brute_force_finds_them(spark):
+    """Groups of passages with words replaced: 0.95 of the words and pairs at least that a comparison of all pairs gives."""
+    rng = random.Random(31)
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts, groups = [], []
+    for _ in range(25):
+        base, own = prose(rng.randint(52, 110), rng).split(), []
+        for _ in range(rng.choice([2, 3, 6, 25])):
+            w = edited(" ".join(base), rng.randint(0, 3), rng).split()
+            head = prose(rng.randint(1, 90), rng).split()
+            own.append((len(texts), len(head), len(head) + len(w), sets(w)))
+            texts.append(" ".join([*head, *w, *prose(rng.randint(1, 90), rng).split()]))
+        groups.append(own)
+    clean = len(texts)
+    texts += [prose(rng.randint(60, 200), rng) for _ in range(60)]
+    found = {}
+    for r in passages.repeated_passages(table(spark, texts)).collect():
+        found.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"], r["class_id"]))
+    words = covered = pairs = joined = 0
+    for own in groups:
+        alike = [(x, y) for x in own for y in own if x[0] < y[0] and 100 * len(x[3] & y[3]) >= 80 * len(x[3] | y[3])]
+        for i, a, b, _ in {x[0]: x for p in alike for x in p}.values():
+            words += b - a
+            covered += len({k for s, e, _ in found.get(i, []) for k in range(max(s, a), min(e, b))})
+        for x, y in alike:
+            pairs += 1
+            joined += bool({c for *_, c in found.get(x[0], [])} & {c for *_, c in found.get(y[0], [])})
+    assert pairs > 500 and covered >= 0.95 * words and joined >= 0.95 * pairs
+    assert not [i for i in found if i >= clean]
+
+
 def test_compact_windows_stand_for_all_stretches():
     rng = np.random.default_rng(2)
     tokens = np.append(rng.integers(0, 40, 150).astype(np.uint64), np.uint64(0))
@@ -360,6 +414,13 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert ann.nearest(odd, F.col("id") % 20 == 0).count() == 0
 
 
+def test_nearest_ties_go_to_smaller_ids(spark):
+    rows = [(0, [1.0, 0.0]), *((k, [0.5, k / 1000]) for k in range(1, 101)), *((k, [0.5, 0.05]) for k in range(200, 230)), (300, [0.4, 0.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted((r["rank"], r["id"], r["score"]) for r in ann.nearest(docs, F.col("id") == 0).collect())
+    assert got == [(k, k, 0.5) for k in range(1, 21)]
+
+
 def test_nearest_recall_where_lists_outnumber_probes(spark, monkeypatch):
     monkeypatch.setattr(ann, "LIST_ROWS", 8)
     monkeypatch.setattr(ann, "CHECKED", 64)
@@ -400,6 +461,17 @@ def test_shards(spark):
     assert sharding.shard_documents(docs.limit(0), w).count() == 0
 
 
+def test_shards_of_rows_without_ids(spark):
+    rows = [(None, f"t{k % 7}") for k in range(9000)] + [(5, f"u{k}") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    one, two = (sharding.shard_documents(d, [1.0] * 24, [1.0] * 25).collect() for d in (docs, docs.repartition(3)))
+    assert sorted(map(str, one)) == sorted(map(str, two)) and len(one) == 10_000
+    slots = {}
+    for r in one:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(slots) <= 2 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 # 10
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
