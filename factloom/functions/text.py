@@ -93,6 +93,16 @@ def strip_negation(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, NEGATION + r"\s*", ""))
 
 
+def negated_question(text: Column) -> Column:
+    """struct(question, negated): the positive question, and whether its verdict is to be turned."""
+    return F.struct(F.when(has_negation(text), strip_negation(text)).otherwise(text).alias("question"), has_negation(text).alias("negated"))
+
+
+def turned(verdict: Column, negated: Column) -> Column:
+    """The verdict on a negated question; an open one stays open."""
+    return F.when(negated, ~verdict).otherwise(verdict)
+
+
 def cache_key(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 

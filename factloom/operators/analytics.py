@@ -114,6 +114,15 @@ def summaries(facts: DataFrame) -> DataFrame:
     return facts.groupBy("s").agg(F.count_if(~neg).alias("n_facts"), F.count_if(neg).alias("n_denials"), F.count_distinct(F.when(~neg, F.col("r"))).alias("n_relations"), parents.alias("parents"))
 
 
+def told_by(facts: DataFrame, provenance: DataFrame, names: DataFrame, most: int = 12) -> DataFrame:
+    """(name, summary, n) of names (name): the first facts whose source is the name or holds it, as sentences, at most so many."""
+    own = facts.groupBy("s", "r", "o").agg(F.min("seq").alias("seq")).join(provenance.select("s", "r", "o", "source"), ["s", "r", "o"])
+    kinds = own.select("source").distinct().join(names.select("name").distinct(), F.contains("source", "name"))  # sources are few beside facts
+    first = own.join(kinds, "source").withColumn("n", F.row_number().over(W.partitionBy("name").orderBy("seq", "s", "r", "o"))).where(F.col("n") <= most)
+    line = F.struct("n", F.concat_ws(" ", "s", "r", "o").alias("line"))
+    return first.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.concat(x["line"], F.lit("."))), " ").alias("summary"), F.count("*").alias("n"))
+
+
 def relation_stats(facts: DataFrame) -> DataFrame:
     return facts.groupBy("r").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"), F.count_distinct("o").alias("objects"))
 
@@ -173,3 +182,11 @@ def encode_words(texts: DataFrame, key: str, words, vocab: DataFrame, unknown: i
     at = texts.select(key, F.posexplode_outer(words).alias("pos", "word")).join(vocab.select("word", "id"), "word", "left")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))), lambda x: x["id"].cast("string"))
     return at.where("pos IS NOT NULL").groupBy(key).agg(F.array_join(ids, " ").alias("ids"))
+
+
+def decode_words(encoded: DataFrame, key: str, vocab: DataFrame, unknown: str = "<unk>") -> DataFrame:
+    """(key, text): the words of ids (column ``ids``), joined by blanks; ids that the vocabulary lacks give the unknown word."""
+    at = encoded.select(key, F.posexplode(F.split("ids", " ")).alias("pos", "id")).withColumn("id", F.col("id").cast("int"))
+    got = at.join(vocab.select("id", "word"), "id", "left")
+    words = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("word", F.lit(unknown)).alias("word")))), lambda x: x["word"])
+    return got.groupBy(key).agg(F.array_join(words, " ").alias("text"))

@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import ranks
 
 
-def tally(samples: DataFrame, know: float = 0.20, think: float = 0.10, guess: float = 0.05) -> DataFrame:
-    """(category, n_right, n_wrong)."""
-    s = F.col("score")
-    category = F.when(s >= know, "know").when(s >= think, "think").when(s >= guess, "guess").otherwise("none")
-    return samples.groupBy(category.alias("category")).agg(F.count_if("correct").alias("n_right"), F.count_if(~F.col("correct")).alias("n_wrong"))
+def category(score: Column, know: float = 0.20, think: float = 0.10, guess: float = 0.05) -> Column:
+    return F.when(score >= know, "know").when(score >= think, "think").when(score >= guess, "guess").otherwise("none")
+
+
+def tally(samples: DataFrame, *by: str) -> DataFrame:
+    """(category, n_right, n_wrong), for each value of the columns ``by`` if there are any; over a stream these are running counts."""
+    return samples.groupBy(*by, category(F.col("score")).alias("category")).agg(F.count_if("correct").alias("n_right"), F.count_if(~F.col("correct")).alias("n_wrong"))
 
 
 def reliability(samples: DataFrame, key: str, bins: int = 10) -> DataFrame:

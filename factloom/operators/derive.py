@@ -144,6 +144,12 @@ def promoted_families(skills: DataFrame, prefix: int = 2, members: int = 2, leas
     return out.where((F.col("confidence") >= least) & F.col("head").isNotNull())
 
 
+def effectiveness(rules: DataFrame, top: int = 20) -> DataFrame:
+    """(pattern, uses, running) of rules (pattern, success, failure): the most used ones, the surest of equals first."""
+    out = laplace(rules).select(F.array_join("pattern", ",").alias("pattern"), (F.col("success") + F.col("failure")).alias("uses"), "running")
+    return out.orderBy(F.desc("uses"), F.desc("running"), "pattern").limit(top)
+
+
 def merged_rules(rules: DataFrame) -> DataFrame:
     """(body, head, support, confidence): rules of the same body and head are one, with the most of each."""
     return rules.groupBy("body", "head").agg(F.max("support").alias("support"), F.max("confidence").alias("confidence"))

@@ -351,6 +351,16 @@ def oracle_sql() -> dict[str, str]:
     vocab = "(SELECT word, n, CAST(row_number() OVER (ORDER BY n DESC, word) + 3 AS INTEGER) AS id FROM (SELECT unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS word, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, word LIMIT 50000))"
     out["word_vocabulary"] = f"SELECT * FROM {vocab}"
     out["word_encoding"] = f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS word, generate_subscripts(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), 1) AS i FROM documents) SELECT doc_id, string_agg(CAST(coalesce(id, 3) AS VARCHAR), ' ' ORDER BY i) AS ids FROM w LEFT JOIN {vocab} v USING (word) GROUP BY doc_id"
+    some = vocab.replace("GROUP BY 1 ORDER BY", "GROUP BY 1 HAVING count(*) >= 3 ORDER BY")
+    out["word_decoding"] = f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS word, generate_subscripts(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), 1) AS i FROM documents) SELECT doc_id, string_agg(CASE WHEN id IS NULL THEN '<unk>' ELSE word END, ' ' ORDER BY i) AS text FROM w LEFT JOIN {some} v USING (word) GROUP BY doc_id"
+    out["source_summaries"] = (
+        f"SELECT left(source, 4) AS name, string_agg(s || ' ' || r || ' ' || o || '.', ' ' ORDER BY k) AS summary, count(*) AS n FROM (SELECT p.*, row_number() OVER (PARTITION BY source ORDER BY seq) AS k FROM {f('C', 'P')} JOIN {prov('C', 'P')} p USING (s, r, o)) WHERE k <= 12 GROUP BY source"
+    )
+    out["rule_effectiveness"] = f"SELECT pattern, uses, running FROM (SELECT r1 || ',' || r2 || coalesce(',' || r3, '') AS pattern, success + failure AS uses, round((success + 1) / (success + failure + 2), 6) AS running FROM {_long_skills()}) ORDER BY uses DESC, running DESC, pattern LIMIT 20"
+    out["negated_verdicts"] = (
+        f"WITH p AS (SELECT s, o, seq % 3 = 0 AS n FROM {f('P3')}) SELECT s || CASE WHEN n THEN ' isnt' ELSE ' is' END || ' tiny' AS q, s || CASE WHEN n THEN ' tiny' ELSE ' is tiny' END AS question, n AS negated, (o = 'tiny') <> n AS verdict FROM p"
+    )
+    out["stream_calibration"] = "SELECT event_type AS relation, CASE WHEN value / 500 >= 0.2 THEN 'know' WHEN value / 500 >= 0.1 THEN 'think' WHEN value / 500 >= 0.05 THEN 'guess' ELSE 'none' END AS category, count(*) FILTER (event_id % 3 = 0) AS n_right, count(*) FILTER (event_id % 3 <> 0) AS n_wrong FROM events GROUP BY 1, 2"
     out["decayed_provenance"] = f"SELECT s, r, o, round(confidence * pow(0.9, 3), 6) AS confidence FROM {prov('C')}"
     out["maintenance"] = (
         f"SELECT 'induced' AS step, count(*) AS n FROM {_cascade(f('O', 'C', 'N', 'C50', 'P', 'P2', 'NEG'), 3)} UNION ALL SELECT 'denied', count(*) FROM ({out['negation_propagation']}) UNION ALL SELECT 'resolved', count(*) FROM ({out['conflict_resolution']}) WHERE NOT keep"

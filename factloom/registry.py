@@ -889,6 +889,45 @@ def word_encoding(spark, d):
     return analytics.encode_words(docs, "doc_id", _words(), scratch.keep(analytics.vocabulary(docs, _words(), VOCABULARY), "vocabulary"))
 
 
+@query
+def word_decoding(spark, d):
+    """Texts of the known words, from ids of a vocabulary of the more frequent half of them."""
+    docs = star.table(spark, d, "documents")
+    vocab = scratch.keep(analytics.vocabulary(docs, _words(), VOCABULARY, least=3), "vocabulary")
+    return analytics.decode_words(analytics.encode_words(docs, "doc_id", _words(), vocab), "doc_id", vocab)
+
+
+@query
+def source_summaries(spark, d):
+    names = star.provenance(spark, d, "C", "P").select(F.substring("source", 1, 4).alias("name")).distinct()
+    return analytics.told_by(star.facts(spark, d, "C", "P"), star.provenance(spark, d, "C", "P"), names)
+
+
+@query
+def rule_effectiveness(spark, d):
+    return derive.effectiveness(_long_skills(spark, d)).withColumn("running", _r6("running"))
+
+
+@query
+def negated_verdicts(spark, d):
+    f = star.facts(spark, d, "P", "P2", "P3")
+    asked = star.facts(spark, d, "P3").select(F.concat("s", F.when(F.pmod("seq", F.lit(3)) == 0, F.lit(" isnt")).otherwise(" is"), F.lit(" tiny")).alias("q"), "s", "r", F.lit("tiny").alias("o"))
+    asked = asked.withColumn("x", text.negated_question(F.col("q"))).withColumn("probe", F.col("s"))
+    verdicts = pattern.boolean(f, asked.select("probe", "s", "r", "o"))
+    return asked.join(verdicts, "probe").select("q", F.col("x.question").alias("question"), F.col("x.negated").alias("negated"), text.turned(F.col("verdict"), F.col("x.negated")).alias("verdict"))
+
+
+@query
+def stream_calibration(spark, d):
+    """Outcomes by relation and category of score, as a stream counts them."""
+    base = _folder(spark, "stream")
+    e = star.table(spark, d, "events").select(F.col("event_type").alias("relation"), (F.col("value") / 500).alias("score"), (F.col("event_id") % 3 == 0).alias("correct"))
+    e.write.parquet(f"{base}/in")
+    rows = spark.readStream.schema(e.schema).parquet(f"{base}/in")
+    twins.run_once(calibrate.tally(rows, "relation"), lambda df, k: df.write.mode("overwrite").parquet(f"{base}/out"), f"{base}/checkpoint", "complete")
+    return spark.read.parquet(f"{base}/out")
+
+
 @query
 def decayed_provenance(spark, d):
     return provenance.decayed(star.provenance(spark, d, "C"), 0.9, 3).select("s", "r", "o", _r6("confidence").alias("confidence"))
