@@ -44,7 +44,7 @@ def _r6(c):
 
 @query
 def facts_all(spark, d):
-    return star.facts(spark, d, "N", "C", "C2", "S", "P", "P2", "P3", "O", "O2", "L", "E", "NEG").groupBy("r").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"), F.count_distinct("o").alias("objects"))
+    return analytics.relation_stats(star.facts(spark, d, "N", "C", "C2", "S", "P", "P2", "P3", "O", "O2", "L", "E", "NEG"))
 
 
 @query
