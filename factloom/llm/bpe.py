@@ -16,20 +16,18 @@ each; other columns, whatever their names, pass through.
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbuf
 
 #: Pieces whose tokens a task remembers: so many new ones, and those of the generation before.
-MEMO_PIECES = 160_000
+MEMO_PIECES = 200_000
 #: Longer pieces are encoded anew each time.
 MEMO_CHARS = 48
 #: Remembered pairs of adjacent tokens.
@@ -52,20 +50,21 @@ class Ranks:
         entries = sorted(_entries(lines))
         self.tokens = [t for _, t in entries]
         self.ids = [i for i, _ in entries]
-        self.index = {t: k for k, t in enumerate(self.tokens)}
+        self.coded = [np.int32(i).tobytes() for i in self.ids]
+        self.index = {t.decode("latin-1"): k for k, t in enumerate(self.tokens)}
         self.size = [len(t) for t in self.tokens]
         self.findall = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
-        for k, t in enumerate(self.tokens):
-            self.automaton.add_word(t.decode("latin-1"), k)
+        for t, k in self.index.items():
+            self.automaton.add_word(t, k)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], int] = {}
         self.left, self.right = list(range(len(self.tokens))), list(range(len(self.tokens)))
-        self.shorter = [self._prefix(t) for t in self.tokens]
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-        self.compatible = lru_cache(MEMO_PAIRS)(self._compatible)
-        for k, t in enumerate(self.tokens):
+        self.shorter = [self._prefix(t) for t in self.index]
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.known: dict[int, bool] = {}
+        for t, k in self.index.items():
             head = self.shorter[k]
             while head >= 0:
                 tail = self.index.get(t[self.size[head] :], k)
@@ -75,12 +74,21 @@ class Ranks:
                     break
                 head = self.shorter[head]
 
-    def _prefix(self, token: bytes) -> int:
+    def _prefix(self, token: str) -> int:
         for n in range(len(token) - 1, 0, -1):
             if (k := self.index.get(token[:n])) is not None:
                 return k
         return -1
 
+    def compatible(self, a: int, b: int) -> bool:
+        """The remembered answer of _compatible, under one number for both tokens."""
+        key = a * len(self.tokens) + b
+        if (ok := self.known.get(key)) is None:
+            if len(self.known) >= MEMO_PAIRS:
+                self.known.clear()
+            ok = self.known[key] = self._compatible(a, b)
+        return ok
+
     def _compatible(self, a: int, b: int) -> bool:
         """Whether a and b stay apart when their joined bytes are merged by rank.
 
@@ -99,38 +107,36 @@ class Ranks:
             else:
                 return True
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8")
+    def encode_piece(self, piece: str) -> bytes:
+        """The ids of a piece, four bytes each."""
+        raw = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
         if (k := self.index.get(raw)) is not None:
-            return (self.ids[k],)
-        size, shorter, compatible = self.size, self.shorter, self.compatible
-        n = len(raw)
-        longest = [-1] * n
-        for end, k in self.automaton.iter(raw.decode("latin-1")):
-            longest[end + 1 - size[k]] = k  # later ends are longer
-        out: list[int] = []
-        dead, at, token = set(), 0, longest[0]
+            return self.coded[k]
+        find, prefix, size, shorter, compatible = self.index.get, self.automaton.longest_prefix, self.size, self.shorter, self.compatible
+        n, out, before, at, token = len(raw), [], -1, 0, -1
+        dead: set[int] = set()
+        fresh = True
         while at < n:
-            before = out[-1] if out else -1
-            while token >= 0:
-                if (not dead or at + size[token] not in dead) and (before < 0 or compatible(before, token)):
-                    break
+            if fresh:  # the longest match here: the longest way into the automaton, cut to an entry
+                end = at + prefix(raw[at:])
+                while end > at and (token := find(raw[at:end], -1)) < 0:
+                    end -= 1
+            while token >= 0 and (dead and at + size[token] in dead or before >= 0 and not compatible(before, token)):
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += size[token]
-                token = longest[at] if at < n else -1
+                before, fresh = token, True
             else:
                 if not out:
                     raise ValueError("the vocabulary lacks a byte of the text")
                 dead.add(at)
-                token = out.pop()
-                at -= size[token]
-                token = shorter[token]
-        ids = self.ids
-        return tuple([ids[k] for k in out])
+                last = out.pop()
+                at -= size[last]
+                token, before, fresh = shorter[last], out[-1] if out else -1, False
+        return b"".join([self.coded[k] for k in out])
 
-    def _fresh(self, piece: str) -> tuple[int, ...]:
+    def _fresh(self, piece: str) -> bytes:
         if (got := self.memo.get(piece)) is not None:  # twice in one text
             return got
         got = self.old.get(piece) or self.encode_piece(piece)
@@ -140,12 +146,13 @@ class Ranks:
             self.memo[piece] = got
         return got
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, four bytes each."""
         pieces = self.findall(text)
         rows = list(map(self.memo.get, pieces))
         if None in rows:
             rows = [self._fresh(p) if r is None else r for p, r in zip(pieces, rows, strict=True)]
-        return list(chain.from_iterable(rows))
+        return b"".join(rows)
 
 
 def _read(spark: SparkSession, path: str) -> bytes:
@@ -169,15 +176,26 @@ def _slices(texts: pa.Array) -> Iterator[pa.Array]:
 
 
 def _encoded(ranks: Ranks, texts: pa.Array) -> pa.ListArray:
-    ids, ends = array("i"), [0]
-    for text in texts:
-        ids.extend(ranks.encode(text.as_py() or ""))
-        ends.append(len(ids))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
+    rows = [ranks.encode(text.as_py() or "") for text in texts]
+    ends = np.cumsum([0, *map(len, rows)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+
+class _Words:
+    """What ids stand for, taken and joined by Arrow."""
 
+    def __init__(self, entries: list[tuple[int, bytes]]):
+        self.ids = np.array([i for i, _ in entries])
+        self.tokens = pa.array([t for _, t in entries], pa.large_binary())
 
-def _decoded(table: dict[int, bytes], ids: pa.ListArray) -> pa.Array:
-    return pa.array([b"".join(map(table.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else None for x in ids], pa.binary())
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        flat = np.asarray(ids.flatten())
+        at = np.minimum(np.searchsorted(self.ids, flat), len(self.ids) - 1)
+        if (self.ids[at] != flat).any():
+            raise KeyError("an id that the vocabulary lacks")
+        lens = np.asarray(pc.fill_null(pc.list_value_length(ids), 0))
+        rows = pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *lens]), pa.int64()), self.tokens.take(pa.array(at)))
+        return pc.if_else(ids.is_valid(), pc.binary_join(rows, pa.scalar(b"", pa.large_binary())), None).cast(pa.binary())
 
 
 def encoder(spark: SparkSession, path: str, pattern: str):
@@ -207,9 +225,9 @@ def decoder(spark: SparkSession, path: str):
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = dict(_entries(shared.value))
+        words = _Words(sorted(_entries(shared.value)))
         for ids in batches:
-            yield _decoded(table, ids)
+            yield words.decode(ids)
 
     return decode
 
@@ -221,11 +239,11 @@ def round_trip(spark: SparkSession, path: str, pattern: str):
     @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ranks = Ranks(shared.value, pattern)
-        table = dict(zip(ranks.ids, ranks.tokens, strict=True))
+        words = _Words(list(zip(ranks.ids, ranks.tokens, strict=True)))
         for texts in batches:
             for part in _slices(texts):
                 ids = _encoded(ranks, part)
-                yield pa.StructArray.from_arrays([ids, _decoded(table, ids)], ["ids", "decoded"])
+                yield pa.StructArray.from_arrays([ids, words.decode(ids)], ["ids", "decoded"])
 
     return both
 

@@ -348,7 +348,8 @@ def named_before(s: Tree, t: Tree, i: np.ndarray, j: np.ndarray, token: int) ->
 
 def most_room(s: Tree, t: Tree, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The NAMED pairs with the most room of each two components, as places among the pairs."""
-    room = np.minimum(s.points[i], t.points[j]).sum(1) / least_overlap(s.sizes[i], t.sizes[j])
+    both = np.concatenate([np.minimum(s.points[i[k : k + _CHUNK]], t.points[j[k : k + _CHUNK]]).sum(1) for k in range(0, len(i), _CHUNK)])
+    room = both / least_overlap(s.sizes[i], t.sizes[j])
     a, b = np.minimum(s.comps[i], t.comps[j]), np.maximum(s.comps[i], t.comps[j])
     order = np.lexsort((t.rows[j], s.rows[i], -room, b, a))
     new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
@@ -416,13 +417,16 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, tex
     needs = scratch.keep(both.select("part", F.col("a").alias("row")).union(both.select("part", "b")).distinct(), "needs")
 
     def set_of(texts: pa.Array, prints: pa.Array) -> pa.Array:
-        """The set, or null if it isn't the node's; both sides are arguments, so that it is made after the join."""
+        """The set, or null if it isn't the node's; both sides are arguments, so that it is made after the join.
+
+        It is declared as not deterministic, or the filter on it would make it a second time.
+        """
         rows = zip(token_sets(texts, n), prints.to_pylist(), strict=True)
         return pa.array([s.tobytes() if int(textbuf.mix64(s).sum().astype(np.int64)) == f else None for s, f in rows], pa.binary())
 
     texts = docs.select(F.col(id_col).alias("_t_id"), F.col(text).alias("_t")).where(F.col("_t").isNotNull())
     texts = texts.join(near(wanted), F.col("_t_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_t") == F.col("_hash")))  # ids may be null or repeat
-    sets = texts.select("row", F.arrow_udf(set_of, "binary")("_t", "fp1").alias("tokens")).where("tokens IS NOT NULL")
+    sets = texts.select("row", F.arrow_udf(set_of, "binary").asNondeterministic()("_t", "fp1").alias("tokens")).where("tokens IS NOT NULL")
     sent = sets.join(near(needs), "row").select("part", F.col("row").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
     sent = sent.union(both.select("part", "a", "b", F.lit(None).cast("binary")))
 

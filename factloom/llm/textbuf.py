@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 pa.set_memory_pool(pa.system_memory_pool())
 
 #: Bytes of text that are worked on at once; one longer text is its own chunk.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POW_LEN = 1 << 12
