@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, jaccard, langid, passages, quality, secrets, sharding, warc
+from . import ann, audit, bpe, decontaminate, jaccard, langid, merkle, passages, quality, secrets, sharding, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -131,9 +131,58 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256"), secrets.span_text(F.col("secrets")).alias("spans"))
 
 
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _audit_sql() -> str:
+    """Every document taken through every order, by the definition."""
+    bits = lambda cols: " + ".join(f"CASE WHEN {c} THEN {1 << k} ELSE 0 END" for k, c in enumerate(cols))
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, len(w) < {audit.LEAST_WORDS} AS a, 100 * len(list_distinct(w)) < {audit.DISTINCT_PERCENT} * len(w) AS b, 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > {audit.UPPER_PERCENT} * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, {bits("abcde")} AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+one AS (SELECT unnest(range(5)) AS k), letters AS (SELECT substr('{audit.FILTERS}', CAST(k AS INT) + 1, 1) AS x, CAST(1 << k AS INT) AS bit FROM one),
+orders AS (SELECT p.x || q.x || r.x || s.x || u.x AS filter_order, [p.bit, q.bit, r.bit, s.bit, u.bit] AS bits FROM letters p, letters q, letters r, letters s, letters u WHERE p.bit + q.bit + r.bit + s.bit + u.bit = 31 AND len(list_distinct([p.bit, q.bit, r.bit, s.bit, u.bit])) = 5),
+steps AS (SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS bit, coalesce(list_sum(bits[1 : step - 1]), 0)::INT AS earlier FROM (SELECT filter_order, bits, unnest(range(1, 6)) AS step FROM orders)),
+shares AS (SELECT part, bit, CAST(sum(n) AS BIGINT) AS shapley FROM (SELECT part, bit, count(*) AS n FROM m, steps WHERE mask & bit <> 0 AND mask & earlier = 0 GROUP BY part, bit) GROUP BY part, bit)
+SELECT part, filter_order, step, count_if(mask & (bit | earlier) = 0)::BIGINT AS kept, count_if(mask & bit <> 0 AND mask & earlier = 0)::BIGINT AS removed, count_if(mask & bit <> 0 AND mask & earlier <> 0)::BIGINT AS redundant, count_if(mask = bit)::BIGINT AS unique_fails,
+coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & earlier = 0), 0)::BIGINT AS toxic_lost, coalesce(max(shapley), 0)::BIGINT AS shapley
+FROM (SELECT * FROM m, steps) LEFT JOIN shares USING (part, bit) GROUP BY part, filter_order, step"""
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(remainder(2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    out = merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+    hexed = [merkle.hex_text(F.col(c)).alias(name) for c, name in (("leaf", "leaf"), ("subroot", "subroot"), ("root", "root"), ("proof", "proof_sha256"), ("folded", "folded_root"))]
+    return out.select("doc_id", *hexed, (F.col("folded") == F.col("root")).alias("verified"))
+
+
+def _merkle_sql() -> str:
+    """Both trees level by level in one recursion each, and proofs folded row by row. DuckDB has no crc32; it is worked out bit by bit."""
+    n = merkle.FANOUT
+    one = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    of = lambda t: "sha256(" + " || ".join(one(t if c == "text" else c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+    bit = "list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(strlen(CAST(doc_id AS VARCHAR))), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i AS INT) + 1, 1)) AS BIGINT)), lambda c, x: list_reduce([xor(c, x)] || list_transform(range(8), lambda j: CAST(j AS BIGINT)), lambda v, j: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))"
+    up = lambda name, base: f"{name} AS (SELECT 0 AS k, grp, size AS m, i, h FROM {base} UNION ALL SELECT k + 1, grp, (m + {n - 1}) // {n}, i // {n}, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE m > 1 GROUP BY k, grp, m, i // {n})"
+    runs = lambda name, of: f"{name} AS (SELECT k, grp, i // {n} AS p, list(h ORDER BY i) AS hs FROM {of} WHERE m > 1 GROUP BY k, grp, i // {n})"
+    fold = lambda name, base, of: f"{name} AS (SELECT row, 0 AS k, grp, i, x, '' AS proof, keep FROM {base} UNION ALL SELECT row, f.k + 1, f.grp, f.i // {n}, sha256(array_to_string(hs[1 : f.i % {n}], '') || x || array_to_string(hs[f.i % {n} + 2 :], '')), proof || array_to_string(hs[1 : f.i % {n}], '') || array_to_string(hs[f.i % {n} + 2 :], ''), keep FROM {name} f JOIN {of} r ON f.k = r.k AND f.grp = r.grp AND f.i // {n} = r.p)"
+    ends = lambda name: f"(SELECT row, max_by(x, k) AS x, max_by(proof, k) AS proof, any_value(keep) AS keep FROM {name} GROUP BY row)"
+    return f"""
+WITH RECURSIVE lines AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp, {of("text")} AS h, CASE WHEN (1 - {bit} & 1) = 0 THEN {of("replace(text, chr(10), '')")} END AS other FROM documents),
+leaves AS (SELECT doc_id, grp, h, coalesce(other, h) AS x, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY grp) AS size, row_number() OVER () AS row FROM lines),
+{up("low", "leaves")}, subs AS (SELECT -1 AS grp, (SELECT count(DISTINCT grp) FROM leaves) AS size, grp AS i, h, h AS x FROM low WHERE m = 1), {up("high", "subs")},
+{runs("low_runs", "low")}, {runs("high_runs", "high")},
+{fold("a", "(SELECT row, grp, i, x, grp AS keep FROM leaves)", "low_runs")},
+{fold("b", "(SELECT e.row, -1 AS grp, e.keep AS i, e.x, e.proof AS keep FROM " + ends("a") + " e)", "high_runs")}
+SELECT doc_id, l.h AS leaf, s.h AS subroot, t.h AS root, sha256(e.keep || e.proof) AS proof_sha256, e.x AS folded_root, e.x = t.h AS verified
+FROM {ends("b")} e JOIN leaves l USING (row) JOIN subs s ON s.i = l.grp JOIN (SELECT h FROM high WHERE m = 1) t ON true"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_decontamination, op5_warc, op6_jaccard, op7_passages, op8_nearest, op9_sharding, op10_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_decontamination, op5_warc, op6_jaccard, op7_passages, op8_nearest, op9_sharding, op10_secrets, op12_audit, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _contamination_sql(), "op5_warc": _warc_sql(), "op6_jaccard": _jaccard_sql()}
+    return {"op4_decontamination": _contamination_sql(), "op5_warc": _warc_sql(), "op6_jaccard": _jaccard_sql(), "op12_audit": _audit_sql(), "op13_merkle": _merkle_sql()}
