@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, bpe, decontaminate, jaccard, langid, merkle, passages, quality, secrets, sharding, warc
+from . import ann, audit, bpe, decontaminate, jaccard, langid, merkle, passages, perplexity, quality, secrets, sharding, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -131,6 +131,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(secrets.span_text(base).cast("binary"), 256).alias("base_sha256"), secrets.span_text(F.col("secrets")).alias("spans"))
 
 
+def op11_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perplexity.judged(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *perplexity.COUNTS, "base_failed", "kept", "log_perplexity")
+
+
 def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -181,7 +186,7 @@ FROM {ends("b")} e JOIN leaves l USING (row) JOIN subs s ON s.i = l.grp JOIN (SE
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_decontamination, op5_warc, op6_jaccard, op7_passages, op8_nearest, op9_sharding, op10_secrets, op12_audit, op13_merkle)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_id, op3_quality, op4_decontamination, op5_warc, op6_jaccard, op7_passages, op8_nearest, op9_sharding, op10_secrets, op11_perplexity, op12_audit, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
