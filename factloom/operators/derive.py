@@ -109,31 +109,6 @@ def instantiate(facts: DataFrame, body: list[str], head_relation: str) -> DataFr
     return found.join(stored, ["s", "r", "o"], "left_anti")
 
 
-def rule_cascade(facts: DataFrame, rules: list[tuple[list[str], str]], rounds: int = 4) -> DataFrame:
-    """(s, r, o, round): what rules (body, head) give, applied to what they have given before, until nothing is new.
-
-    Rounds are synchronous and stored. Rules are few and known to the driver; a rule
-    is applied again only if the last round gave a relation of its body.
-    """
-    known, added, fresh = facts.select("s", "r", "o"), None, None
-    for k in range(1, rounds + 1):
-        due = [(body, head_) for body, head_ in rules if fresh is None or fresh & set(body)]
-        if not due:
-            break
-        found = None
-        for body, head_ in due:
-            one = instantiate(known, body, head_)
-            found = one if found is None else found.union(one)
-        new = scratch.keep(found.distinct(), "rules")
-        step = new.withColumn("round", F.lit(k))
-        added = step if added is None else added.union(step)
-        if new.isEmpty():
-            break
-        fresh = {head_ for _, head_ in due}
-        known = known.union(new)
-    return added
-
-
 def promoted_families(skills: DataFrame, prefix: int = 2, members: int = 2, least: float = 0.7) -> DataFrame:
     """(body, head, support, confidence): families of skills that are sure enough, as rules; families without a head give none."""
     body = F.slice("pattern", 1, prefix)

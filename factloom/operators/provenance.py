@@ -15,7 +15,7 @@ def reinforced(sights: DataFrame) -> DataFrame:
     """(s, r, o, source, confidence, count, last_seen) of sights (s, r, o, source, confidence, ts): the first sight's confidence, grown by each later one."""
     first = F.min_by("confidence", "ts")
     return sights.groupBy("s", "r", "o").agg(
-        F.when(F.count_distinct("source") > 1, "multi").otherwise(F.min("source")).alias("source"),
+        F.when(F.min("source") != F.max("source"), "multi").otherwise(F.min("source")).alias("source"),
         (1 - (1 - first) * F.pow(F.lit(1 - REINFORCE), F.count("*") - 1)).alias("confidence"), F.count("*").alias("count"), F.max("ts").alias("last_seen"),
     )
 

@@ -9,14 +9,39 @@ from pyspark.sql import functions as F
 from ..sources import scratch
 
 
-def numbered(df: DataFrame, *order: str, out: str = "place") -> DataFrame:
+def numbered(df: DataFrame, *order: str, out: str = "place", sums: dict[str, str] | None = None) -> DataFrame:
     """Adds the place of each row, from 0, in the order of columns that together tell rows apart.
 
+    ``sums`` names further columns, each the sum of another over the rows before.
     Rows are dealt to ranges of the order; a range is numbered on its own and begins
     where those before it end. Only a row for each range is moved to one task.
     """
+    sums = sums or {}
     dealt = scratch.keep(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    begins = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    totals = dealt.groupBy("_range").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_n_{k}") for k, c in sums.items()])
+    begins = totals.select("_range", *[F.coalesce(F.sum(f"_n{x}").over(before), F.lit(0)).alias(f"_begin{x}") for x in ("", *[f"_{k}" for k in sums])])
     own = W.partitionBy("_range").orderBy(*order)
-    return dealt.withColumn("_at", F.row_number().over(own)).join(F.broadcast(begins), "_range").withColumn(out, (F.col("_begin") + F.col("_at") - 1).cast("long")).drop("_range", "_at", "_begin")
+    upto = own.rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.withColumn("_at", F.row_number().over(own)).join(F.broadcast(begins), "_range").withColumn(out, (F.col("_begin") + F.col("_at") - 1).cast("long"))
+    for k, c in sums.items():
+        placed = placed.withColumn(k, F.col(f"_begin_{k}") + F.coalesce(F.sum(c).over(upto), F.lit(0)))
+    return placed.drop("_range", "_at", "_begin", *[f"_begin_{k}" for k in sums])
+
+
+def carried(df: DataFrame, key: str, order: str, values: dict[str, str]) -> DataFrame:
+    """Adds, by name, the last value of a column before the row within its key, nulls passed over.
+
+    Rows are dealt to ranges of (key, order), so that a key with very many rows is
+    worked on by many tasks. What a range begins with is made from a row for each
+    range and key.
+    """
+    dealt = scratch.keep(df.repartitionByRange(key, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
+    ends = dealt.groupBy(key, "_range").agg(*[last(c).alias(f"_last_{k}") for k, c in values.items()])
+    before = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    begins = ends.select(key, "_range", *[F.last(f"_last_{k}", ignorenulls=True).over(before).alias(f"_from_{k}") for k in values])
+    own = W.partitionBy("_range", key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    inner = dealt.select("*", *[F.last(c, ignorenulls=True).over(own).alias(k) for k, c in values.items()])
+    out = inner.join(begins.withColumnRenamed(key, "_key"), (F.col(key).eqNullSafe(F.col("_key"))) & (inner["_range"] == begins["_range"]), "left")
+    return out.select(*df.columns, *[F.coalesce(k, f"_from_{k}").alias(k) for k in values])

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .functions import confidence, text, traits
-from .operators import analytics, beliefs, calibrate, chains, derive, episodes, pattern, provenance, sets, upkeep, vectors
-from .oracle import oracle_sql  # noqa: F401
+from .operators import analytics, beliefs, calibrate, chains, derivations, derive, episodes, pattern, provenance, sets, upkeep, vectors
 from .plans import star
 from .sources import scratch, triples
 from .streaming import twins
@@ -24,7 +24,18 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | {name: f for module in catalog() for name, f in module.QUERIES.items()}
+
+
+def catalog() -> tuple:
+    from .catalog import derivations as derived
+    from .catalog import dialogue, replay, search, streams
+
+    return (derived, replay, search, dialogue, streams)
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.oracle_sql() | {name: sql for module in catalog() for name, sql in module.sql().items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -584,7 +595,7 @@ def rules_pruned(spark, d):
 @query
 def rule_rounds(spark, d):
     rules = [(["partof", "locatedin"], "locatedin"), (["locatedin", "locatedin"], "locatedin")]
-    return derive.rule_cascade(star.facts(spark, d, "O", "C", "N"), rules)
+    return derivations.rule_rounds(star.facts(spark, d, "O", "C", "N"), rules)
 
 
 @query

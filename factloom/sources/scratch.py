@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -56,3 +57,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 def small(df: DataFrame, rows: int) -> bool:
     """Whether a kept table has at most so many rows, and so may be broadcast."""
     return df.count() <= rows
+
+
+def near(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A kept table to be broadcast if it has at most so many rows, and as it is beyond."""
+    return F.broadcast(df) if small(df, rows) else df

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructType
 
 
 def tally_stream(episodes: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
@@ -57,7 +58,47 @@ def fold_stream(log: DataFrame) -> DataFrame:
     return log.groupBy("s", "r", "o").applyInPandasWithState(step, "s string, r string, o string, n long", "n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Drives a stream over what there is; write gets each micro-batch once."""
+def session_stream(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """(subject, begin, end, n) of events (subject, ts): runs without a longer gap, in append mode.
+
+    A session is given once the watermark has passed its end; its state goes then.
+    """
+    at = events.withWatermark("ts", late).groupBy("subject", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    return at.select("subject", F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n")
+
+
+def distinct_stream(events: DataFrame, key: str = "id", late: str = "1 day") -> DataFrame:
+    """Each event once, however often it arrives within the watermark; the state holds keys only as long."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def referred(turns: DataFrame, late: str = "1 day", keep_ms: int = 86_400_000) -> DataFrame:
+    """Read turns (conv, turn, ts, ..., own_entity, own_relation) with last_entity and last_relation of their conversation, in append mode.
+
+    A conversation's turns come in order. Its state ends when the watermark is so far
+    past its last turn, and what comes later begins anew.
+    """
+    schema = StructType(list(turns.schema.fields)).add("last_entity", StringType()).add("last_relation", StringType())
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values("turn", ignore_index=True)
+        before, ends = state.get if state.exists else (None, None), []
+        for was, name in zip(before, ("entity", "relation"), strict=True):
+            seen = pd.Series([was, *rows[f"own_{name}"]], dtype=object).ffill()
+            rows[f"last_{name}"] = seen.iloc[:-1].reset_index(drop=True)
+            ends.append(None if pd.isna(seen.iloc[-1]) else seen.iloc[-1])
+        state.update(tuple(ends))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + keep_ms)
+        yield rows
+
+    return turns.withWatermark("ts", late).groupBy("conv").applyInPandasWithState(step, schema, "entity string, relation string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_once(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> int:
+    """Drives a stream over what there is; write gets each micro-batch once. Returns how many rows came after their watermark and were left out."""
     q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])

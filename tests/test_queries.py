@@ -7,11 +7,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from factloom import oracle, registry
+from factloom import registry
 
 from .conftest import SF
 
-QUERIES, SQL = registry.queries(), oracle.oracle_sql()
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

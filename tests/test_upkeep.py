@@ -5,7 +5,7 @@ import math
 import pytest
 
 from factloom.functions import text
-from factloom.operators import analytics, calibrate, chains, derive, pattern, upkeep, vectors
+from factloom.operators import analytics, calibrate, chains, derivations, derive, pattern, upkeep, vectors
 from factloom.plans import ranks
 from factloom.sources import triples
 
@@ -91,9 +91,9 @@ def test_sentences_and_corrections(spark):
 
 def test_rules_cascade_until_nothing_is_new(spark):
     f = facts(spark, ("a", "in", "b"), ("b", "in", "c"), ("c", "in", "d"), ("d", "in", "e"), ("a", "not_far", "e"))
-    got = {(r["s"], r["r"], r["o"]): r["round"] for r in derive.rule_cascade(f, [(["in", "in"], "in"), (["in", "in", "in"], "far")]).collect()}
+    got = {(r["s"], r["r"], r["o"]): r["round"] for r in derivations.rule_rounds(f, [(["in", "in"], "in"), (["in", "in", "in"], "far")]).collect()}
     assert got[("a", "in", "c")] == 1 and got[("a", "in", "e")] == 2 and ("a", "far", "e") not in got and got[("a", "far", "d")] == 1
-    assert derive.rule_cascade(f.limit(0), [(["in", "in"], "in")]).count() == 0
+    assert derivations.rule_rounds(f.limit(0), [(["in", "in"], "in")]).count() == 0
 
 
 def test_nearest_goal_stops_at_its_depth(spark):
