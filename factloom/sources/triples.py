@@ -177,21 +177,6 @@ def recover(facts: DataFrame, upto: int, log: DataFrame) -> DataFrame:
     return folded(base.union(log.where(F.col("seq") > upto).select("seq", "op", "s", "r", "o")))
 
 
-def save(tables: dict[str, DataFrame], path: str, version: int = 1) -> None:
-    """A snapshot: a folder of tables, and last a table with the version, by which a whole snapshot is known."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version, sorted(tables))], "version int, tables array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/_snapshot")
-
-
-def load(spark: SparkSession, path: str, version: int = 1) -> dict[str, DataFrame]:
-    head = spark.read.parquet(f"{path}/_snapshot").first()
-    if head["version"] != version:
-        raise ValueError(f"snapshot of version {head['version']}, not {version}")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in head["tables"]}
-
-
 def training_pairs(facts: DataFrame) -> DataFrame:
     """(task, draft, target): text pairs of each positive fact."""
     say = F.concat_ws(" ", "s", "r", "o")

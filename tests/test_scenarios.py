@@ -137,14 +137,6 @@ def test_sources(spark, tmp_path):
         triples.read_log(spark, str(log)).collect()
 
 
-def test_snapshot(spark, tmp_path):
-    f = facts(spark, *STAIRS)
-    triples.save({"facts": f}, str(tmp_path / "snap"))
-    assert got(triples.load(spark, str(tmp_path / "snap"))["facts"], "s", "o") == got(f, "s", "o")
-    with pytest.raises(ValueError):
-        triples.load(spark, str(tmp_path / "snap"), version=2)
-
-
 def test_text_functions(spark):
     df = spark.createDataFrame([("Hello, world! It is 5.",)], "t string")
     r = df.select(text.tokens(F.col("t")).alias("a"), F.size(text.sentences(F.col("t"))).alias("n"), text.detokenize(text.tokens(F.col("t"))).alias("d")).first()
