@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import traits
 from ..sources import scratch
 
+#: Rows of a vocabulary that are broadcast at most.
+VOCABULARY_ROWS = 200_000
+
 
 def positive(facts: DataFrame) -> DataFrame:
     return facts.where(~traits.is_negative(F.col("r")))
@@ -117,7 +120,9 @@ def summaries(facts: DataFrame) -> DataFrame:
 def told_by(facts: DataFrame, provenance: DataFrame, names: DataFrame, most: int = 12) -> DataFrame:
     """(name, summary, n) of names (name): the first facts whose source is the name or holds it, as sentences, at most so many."""
     own = facts.groupBy("s", "r", "o").agg(F.min("seq").alias("seq")).join(provenance.select("s", "r", "o", "source"), ["s", "r", "o"])
-    kinds = own.select("source").distinct().join(names.select("name").distinct(), F.contains("source", "name"))  # sources are few beside facts
+    n = F.length("source")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr("source", i, k))))
+    kinds = own.select("source").distinct().where(n > 0).select("source", F.explode(F.array_distinct(parts)).alias("name")).join(names.select("name").distinct(), "name")
     first = own.join(kinds, "source").withColumn("n", F.row_number().over(W.partitionBy("name").orderBy("seq", "s", "r", "o"))).where(F.col("n") <= most)
     line = F.struct("n", F.concat_ws(" ", "s", "r", "o").alias("line"))
     return first.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.concat(x["line"], F.lit("."))), " ").alias("summary"), F.count("*").alias("n"))
@@ -181,8 +186,8 @@ def vocabulary(texts: DataFrame, words, size: int, least: int = 1) -> DataFrame:
 
 
 def encode_words(texts: DataFrame, key: str, words, vocab: DataFrame, unknown: int = 3) -> DataFrame:
-    """(key, ids): each word's id, unknown ones the same. The vocabulary is a bounded table; Spark broadcasts it if it is small enough."""
-    at = texts.select(key, F.posexplode_outer(words).alias("pos", "word")).join(vocab.select("word", "id"), "word", "left")
+    """(key, ids): each word's id, unknown ones the same. The stored vocabulary is broadcast up to a counted size, so that words aren't moved to be looked up."""
+    at = texts.select(key, F.posexplode_outer(words).alias("pos", "word")).join(scratch.near(vocab.select("word", "id"), VOCABULARY_ROWS), "word", "left")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))), lambda x: x["id"].cast("string"))
     return at.where("pos IS NOT NULL").groupBy(key).agg(F.array_join(ids, " ").alias("ids"))
 

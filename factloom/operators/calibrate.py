@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import ranks
+from ..plans.ranks import numbered
+from ..sources import scratch
 
 
 def category(score: Column, know: float = 0.20, think: float = 0.10, guess: float = 0.05) -> Column:
@@ -58,22 +60,42 @@ def _pooled(blocks: Iterable[tuple[float, float, float]]) -> list[tuple[float, f
 def isotonic(samples: DataFrame, smoothing: float = 1.0) -> DataFrame:
     """(upto, probability, n): steps that rise with the score, by pooling adjacent violators.
 
-    Equal scores are one block from the start. Violators are pooled within ranges of
-    scores first, and then over the blocks that are left; blocks are smoothed by so
-    many samples of either outcome, and pooled again where that breaks their order.
+    Equal scores are one block from the start. Blocks are smoothed by so many samples
+    of either outcome, and pooled again where that breaks their order.
     """
     table = samples.groupBy("score").agg(F.sum(F.col("correct").cast("double")).alias("right"), F.count("*").cast("double").alias("n"))
 
-    def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame(_pooled(r for b in batches for r in b.itertuples(index=False)), columns=["score", "right", "n"])
+    blocks = _flat(table.select(F.col("score").alias("upto"), F.col("right").alias("total"), "n"))
+    smooth = blocks.select("upto", ((F.col("total") + smoothing) / (F.col("n") + 2 * smoothing) * F.col("n")).alias("total"), "n")
+    return _flat(smooth).select("upto", (F.col("total") / F.col("n")).alias("probability"), "n")
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame({"score": [], "right": [], "n": []}), *batches]).sort_values("score")
-        steps = [(upto, (right + smoothing) / (n + 2 * smoothing) * n, n) for upto, right, n in _pooled(rows.itertuples(index=False))]
-        yield pd.DataFrame([(upto, t / n, n) for upto, t, n in _pooled(steps)], columns=["upto", "probability", "n"])
 
-    ranges = table.repartitionByRange("score").sortWithinPartitions("score").mapInPandas(pool, "score double, right double, n double")
-    return ranges.repartition(1).mapInPandas(finish, "upto double, probability double, n double")
+#: Blocks that one task pools at once.
+POOL = 10_000
+
+
+def _flat(blocks: DataFrame) -> DataFrame:
+    """Blocks (upto, total, n) pooled until their means rise.
+
+    Blocks are numbered by ranges and pooled in groups of ``POOL``, whose borders move
+    by half a group each round. When two rounds in a row have pooled nothing, no
+    neighbours are left that should be pooled, so no task ever holds all blocks.
+    """
+
+    def pool(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_pooled(rows.sort_values("upto")[["upto", "total", "n"]].itertuples(index=False)), columns=["upto", "total", "n"])
+
+    blocks, still, k = scratch.keep(blocks, "blocks"), 0, 0
+    n = blocks.count()
+    while still < 2 and n > 1:
+        group = F.floor((F.col("place") + k % 2 * (POOL // 2)) / POOL).alias("group")
+        placed = numbered(blocks, "upto").select("upto", "total", "n", group)
+        blocks = scratch.keep(placed.groupBy("group").applyInPandas(pool, "upto double, total double, n double"), "blocks")
+        was, n = n, blocks.count()
+        if k % 2 == 0 and was <= POOL:
+            break  # all were in one group
+        still, k = (still + 1 if was == n else 0), k + 1
+    return blocks
 
 
 def accuracy(samples: DataFrame, sure: float = 0.20) -> DataFrame:

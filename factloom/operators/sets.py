@@ -16,7 +16,7 @@ def intersect(facts: DataFrame, constraints: DataFrame) -> DataFrame:
     """(group, value, score): subjects that satisfy all constraints of a group; the geometric mean of scores."""
     n = constraints.groupBy("group").agg(F.count_distinct("constraint").alias("n"))
     hits = satisfied(facts, constraints).groupBy("group", "value").agg(F.count("*").alias("got"), F.exp(F.avg(F.ln(F.greatest("score", F.lit(1e-9))))).alias("score"))
-    return hits.join(F.broadcast(n), "group").where("got = n").select("group", "value", "score")
+    return hits.join(n, "group").where("got = n").select("group", "value", "score")
 
 
 def union(facts: DataFrame, constraints: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import traits
-from ..sources import scratch
-from . import analytics, beliefs, derive, episodes, pattern, provenance
+from ..sources import scratch, sessions
+from . import analytics, beliefs, derivations, derive, episodes, pattern, provenance
 
 TRIPLE = ["s", "r", "o"]
 
@@ -18,7 +18,8 @@ def maintained(facts: DataFrame, records: DataFrame, rounds: int = 3) -> dict[st
     Induction adds facts and negation denials; then, of functional facts that
     disagree, those that lose are taken out.
     """
-    new = derive.cascade(facts.select("seq", *TRIPLE).select(*TRIPLE), rounds).select(*TRIPLE)
+    facts = scratch.keep(facts, "base")
+    new = derive.cascade(facts.select(*TRIPLE), rounds).select(*TRIPLE)
     denied = derive.propagate_negations(facts)
     lost = beliefs.resolve(facts, records).where("NOT keep").select(*TRIPLE)
     new, denied, lost = (scratch.keep(x, name) for x, name in ((new, "induced"), (denied, "denied"), (lost, "lost")))
@@ -28,6 +29,44 @@ def maintained(facts: DataFrame, records: DataFrame, rounds: int = 3) -> dict[st
     return {"facts": all_, "report": counts[0].union(counts[1]).union(counts[2])}
 
 
+def passed(facts: DataFrame, records: DataFrame, skills: DataFrame, seen: DataFrame, rules: list[tuple[list[str], str]], rounds: int = 2, hot: int = 10, path: str | None = None) -> dict[str, DataFrame]:
+    """A whole pass: ``facts`` (s, r, o, how), ``rules``, ``answers`` and its ``report`` (step, n), each step over what those before have left.
+
+    Chains induce facts, rules add to them, denials go down to members, and of told
+    facts that disagree those that lose are taken out. Then families of skills
+    become rules, episodes settle on answers or are flagged, and the answers to the
+    most asked signatures are made ready. With a path all of it is kept as a session.
+    """
+    told = scratch.keep(facts, "told")
+    induced = scratch.keep(derive.cascade(told.select(*TRIPLE), rounds).select(*TRIPLE), "induced")
+    known = told.select(*TRIPLE).union(induced)
+    ruled = scratch.keep(derivations.rule_rounds(known, rules, rounds).select(*TRIPLE), "ruled")
+    known = known.union(ruled)
+    denied = scratch.keep(derive.propagate_negations(known), "denied")
+    lost = scratch.keep(beliefs.resolve(told, records).where("NOT keep").select(*TRIPLE), "lost")
+    kept = told.select(*TRIPLE).distinct().join(lost, TRIPLE, "left_anti").withColumn("how", F.lit("told"))
+    for rows, how in ((induced, "induced"), (ruled, "rule"), (denied, "denied")):
+        kept = kept.union(rows.withColumn("how", F.lit(how)))
+    after = scratch.keep(kept, "after")
+    own = derive.extract_rules(skills)
+    fresh = scratch.keep(derive.promoted_families(skills).join(own.select("body", "head"), ["body", "head"], "left_anti"), "promoted")
+    settled = scratch.keep(episodes.consolidated(seen), "settled")
+    asked = episodes.hot_signatures(seen, hot)
+    ready = scratch.keep(asked.join(settled.where("verdict = 'stable'").select("subject", "relation", F.col("mode").alias("answer")), ["subject", "relation"]), "ready")
+    counts = {
+        "chain_induction": induced, "rule_cascade": ruled, "negations": denied, "conflicts": lost, "skills_promoted": fresh, "episodes_consolidated": settled.where("verdict = 'stable'"),
+        "episodes_ambiguous": settled.where("often_ambiguous"), "answers_ready": ready, "final_size": after.select(*TRIPLE).distinct(),
+    }
+    report = None
+    for step, rows in counts.items():
+        one = rows.agg(F.lit(step).alias("step"), F.count("*").alias("n"))
+        report = one if report is None else report.union(one)
+    out = {"facts": after, "rules": own.unionByName(fresh), "answers": ready, "report": report}
+    if path is not None:
+        sessions.save(out, path)
+    return out
+
+
 def consolidated(facts: DataFrame, records: DataFrame, seen: DataFrame, support: int = 5, factor: float = 0.999, forget: float = 0.02, often: int = 3) -> dict[str, DataFrame]:
     """``facts`` (s, r, o), ``provenance`` and ``report`` (step, n) after a pass over facts, their records and episodes.
 
@@ -81,7 +120,7 @@ def hard_questions(facts: DataFrame, per_category: int = 5) -> DataFrame:
     two = one.join(one.select(F.col("s").alias("answer"), F.col("r").alias("r2"), F.col("answer").alias("end")), "answer")
     single = one.where(F.col("r").isin(*traits.SINGLE_VALUED))
     wrong = single.join(single.groupBy("r").agg(F.min("answer").alias("least"), F.max("answer").alias("most")), "r").where("least != most")
-    stem = F.regexp_extract("s", r"^(\\w+)[ _]", 1)
+    stem = F.regexp_extract("s", r"^(\w+)[ _]", 1)
     names = one.select("s").distinct()
     close = names.where(stem != "").join(names.select(F.col("s").alias("part")), F.col("part") == stem)
     say = lambda *xs: F.concat(*[F.lit(x) if i % 2 == 0 else F.col(x) for i, x in enumerate(xs)])

@@ -370,6 +370,17 @@ def oracle_sql() -> dict[str, str]:
         f"WITH lost AS (SELECT s, r, o FROM ({out['conflict_resolution']}) WHERE NOT keep) SELECT s, r, o, 'told' AS how FROM (SELECT s, r, o FROM {base} EXCEPT SELECT s, r, o FROM lost) "
         f"UNION ALL SELECT s, r, o, 'induced' FROM {_cascade(base, 3)} UNION ALL SELECT s, r, o, 'denied' FROM ({out['negation_propagation']})"
     )
+    more = f("O", "C", "N", "C50", "P", "P2", "NEG", "C2")
+    settled = out["episode_consolidation"].replace(">= 0.5 THEN 'stable'", ">= 0.9 THEN 'stable'")
+    step = lambda t: f"SELECT a.s, h AS r, b.o FROM {t} a JOIN {t} b ON a.o = b.s JOIN (VALUES ('partof', 'locatedin', 'locatedin'), ('locatedin', 'locatedin', 'locatedin'), ('partof', 'category', 'category')) v(x, y, h) ON a.r = x AND b.r = y WHERE a.s <> a.o AND a.o <> b.o AND a.s <> b.o"
+    out["maintenance_pass"] = (
+        f"WITH told AS (SELECT DISTINCT s, r, o FROM {more}), i AS (SELECT * FROM {_cascade(more, 1)}), k AS (SELECT * FROM told UNION SELECT * FROM i), ru AS (SELECT s, r, o FROM ({step('k')}) EXCEPT SELECT s, r, o FROM k), kk AS (SELECT * FROM k UNION SELECT * FROM ru), "
+        "ng AS (SELECT DISTINCT m.s, n.r, n.o FROM kk m JOIN kk n ON m.o = n.s AND starts_with(n.r, 'not_') WHERE m.r IN " + names(traits.LIFTING) + " AND NOT EXISTS (SELECT 1 FROM kk x WHERE x.s = m.s AND x.o = n.o AND (x.r = n.r OR 'not_' || x.r = n.r))), "
+        f"lo AS (SELECT s, r, o FROM ({out['conflict_resolution']}) WHERE NOT keep), ep AS ({settled}), ho AS ({out['hot_signatures']}), pr AS (SELECT body, head FROM {promoted} EXCEPT SELECT pattern, head FROM (SELECT r1 || ',' || r2 || coalesce(',' || r3, '') AS pattern, CASE WHEN r1 = r2 AND coalesce(r3, r1) = r1 AND r1 IN {names(traits.TRANSITIVE)} THEN r1 WHEN r1 IN {names(traits.LIFTING)} THEN coalesce(r3, r2) ELSE 'implies' END AS head FROM {_long_skills()} WHERE success >= 2 AND success / (success + failure) >= 0.5 AND r3 IS NULL)), "
+        "fi AS (SELECT * FROM (SELECT * FROM told EXCEPT SELECT * FROM lo) UNION SELECT * FROM i UNION SELECT * FROM ru UNION SELECT * FROM ng) "
+        "SELECT 'chain_induction' AS step, count(*) AS n FROM i UNION ALL SELECT 'rule_cascade', count(*) FROM ru UNION ALL SELECT 'negations', count(*) FROM ng UNION ALL SELECT 'conflicts', count(*) FROM lo UNION ALL SELECT 'skills_promoted', count(*) FROM pr "
+        "UNION ALL SELECT 'episodes_consolidated', count(*) FROM ep WHERE verdict = 'stable' UNION ALL SELECT 'episodes_ambiguous', count(*) FROM ep WHERE often_ambiguous UNION ALL SELECT 'answers_ready', count(*) FROM ho JOIN ep USING (subject, relation) WHERE verdict = 'stable' UNION ALL SELECT 'final_size', count(*) FROM fi"
+    )
     told = f"{f('C', 'C50', 'P', 'P2', 'P3')}"
     up = f"(SELECT parent AS s, r, o FROM (SELECT k.o AS parent, y.r, y.o FROM {f('P')} k JOIN {f('P2', 'P3')} y USING (s) GROUP BY 1, 2, 3 HAVING count(*) >= 5))"
     gone = f"(SELECT DISTINCT s, r, o FROM {prov('C', 'P')} WHERE confidence * 0.9 < 0.2)"
@@ -380,12 +391,14 @@ def oracle_sql() -> dict[str, str]:
     )
     out["decision_replay"] = "SELECT s AS probe, v AS verdict, a AS against FROM " + f("C", "S") + ", (VALUES ('verified', 'same'), ('state mismatch', 'other')) t(v, a)"
     pick = lambda rows: f"SELECT * FROM (SELECT DISTINCT * FROM ({rows}) ORDER BY question, answer NULLS FIRST LIMIT 5)"
-    kinds = f"(SELECT s, r, o FROM {f('C', 'N', 'P', 'P3')} UNION ALL SELECT s, 'kind', string_split(o, ' ')[-1] FROM {f('P')})"
+    kinds = f"(SELECT s, r, o FROM {f('C', 'N', 'P', 'P3')} UNION ALL SELECT s, 'kind', string_split(o, ' ')[-1] FROM {f('P')} UNION ALL SELECT regexp_split_to_array(lower(n_name), '[ _]')[1], 'has', 'name' FROM nation)"
+    stem = "regexp_extract(a.s, '^([A-Za-z0-9_]+)[ _]', 1)"
     out["hard_questions"] = " UNION ALL ".join(
         (
             pick(f"SELECT 'negation' AS category, 'what is not a ' || o || '?' AS question, 'answer' AS expected, NULL AS answer FROM {kinds} WHERE r IN ('isa', 'kind')"),
             pick(f"SELECT 'compound' AS category, 'what is the ' || y.r || ' of the ' || x.r || ' of ' || x.s || '?' AS question, 'answer' AS expected, y.o AS answer FROM {kinds} x JOIN {kinds} y ON x.o = y.s"),
             pick(f"SELECT 'polysemy' AS category, 'what is ' || s || '?' AS question, 'ask' AS expected, NULL AS answer FROM {kinds} WHERE r IN ('isa', 'kind') GROUP BY s HAVING count(DISTINCT o) > 1"),
+            pick(f"SELECT 'confusion' AS category, 'tell of ' || a.s || ', not of ' || b.s || '.' AS question, 'answer' AS expected, NULL AS answer FROM {kinds} a JOIN {kinds} b ON b.s = {stem} AND {stem} <> ''"),
             pick(
                 f"WITH z AS (SELECT r, min(o) AS lo, max(o) AS hi FROM {kinds} WHERE r IN ('isa', 'kind', 'size') GROUP BY r) "
                 f"SELECT 'contradiction' AS category, 'is the ' || r || ' of ' || s || ' ' || CASE WHEN o = lo THEN hi ELSE lo END || '?' AS question, 'refuse' AS expected, NULL AS answer FROM {kinds} JOIN z USING (r) WHERE lo <> hi"

@@ -250,10 +250,19 @@ def numeric_threshold(spark, d):
     return pattern.threshold(p, "length", ">=", 25000.0)
 
 
+def _regions():
+    """The keys of the five regions, each on a row of its own."""
+    return F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")
+
+
+def _region_names(spark, d):
+    return star.table(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("k"), F.lower("r_name").alias("container"))
+
+
 @query
 def containment(spark, d):
     f = star.facts(spark, d, "C", "N")
-    pairs = star.facts(spark, d, "C").select(F.col("s").alias("contained")).join(star.table(spark, d, "region").select(F.lower("r_name").alias("container")))
+    pairs = star.facts(spark, d, "C").select(F.col("s").alias("contained"), _regions()).join(_region_names(spark, d), "k").select("contained", "container")
     return pattern.inside(f, pairs)
 
 
@@ -344,7 +353,7 @@ def chain_reverse(spark, d):
 @query
 def discover_paths(spark, d):
     f = _geo(spark, d)
-    o = star.facts(spark, d, "O").select(F.col("s").alias("start")).join(star.table(spark, d, "region").select(F.lower("r_name").alias("goal")))
+    o = star.facts(spark, d, "O").select(F.col("s").alias("start"), _regions()).join(_region_names(spark, d), "k").select("start", F.col("container").alias("goal"))
     probes = o.select(F.concat_ws(">", "start", "goal").alias("probe"), "start", "goal")
     return chains.discover(f, probes, depth=3).select("probe", "relations", "nodes", "hops", _r6("confidence").alias("confidence"), "rank")
 
@@ -953,6 +962,14 @@ def maintenance(spark, d):
     return upkeep.maintained(f, star.provenance(spark, d, "C", "C50"))["report"]
 
 
+@query
+def maintenance_pass(spark, d):
+    """What each step of a whole pass does; the session that it leaves is saved."""
+    f = star.facts(spark, d, "O", "C", "N", "C50", "P", "P2", "NEG")
+    rules = [(["partof", "locatedin"], "locatedin"), (["locatedin", "locatedin"], "locatedin"), (["partof", "category"], "category")]
+    return upkeep.passed(f.union(star.facts(spark, d, "C2")), star.provenance(spark, d, "C", "C50"), _long_skills(spark, d), star.episodes(spark, d), rules, 1, path=_folder(spark, "session"))["report"]
+
+
 @query
 def maintained_base(spark, d):
     """The base that a pass leaves, written and read again."""
@@ -989,7 +1006,8 @@ def decision_replay(spark, d):
 def hard_questions(spark, d):
     f = star.facts(spark, d, "C", "N", "P", "P3")
     kinds = star.facts(spark, d, "P").select((F.col("seq") + 20 * star.STEP).alias("seq"), "s", F.lit("kind").alias("r"), F.element_at(F.split("o", " "), -1).alias("o"))
-    return upkeep.hard_questions(f.union(kinds))
+    stems = star.table(spark, d, "nation").select((F.col("n_nationkey") + 30 * star.STEP).alias("seq"), F.element_at(F.split(F.lower("n_name"), "[ _]"), 1).alias("s"), F.lit("has").alias("r"), F.lit("name").alias("o"))
+    return upkeep.hard_questions(f.union(kinds).union(stems))
 
 
 @query

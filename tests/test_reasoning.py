@@ -276,3 +276,35 @@ def test_corpus_order(spark):
             size = max(1, len(tiers[k]) // 10)
             want += [(*x, True) for x in tiers[k - 1][:: max(1, len(tiers[k - 1]) // size)][:size]] if tiers[k - 1] else []
         assert [x[0] for x in sorted(out)] == list(range(len(want))) and [x[1:] for x in sorted(out)] == want
+
+
+def test_isotonic_in_groups_equals_one_pass(spark):
+    from factloom.operators import calibrate
+
+    rng = random.Random(8)
+    rows = [(k / 400, rng.random() < k / 400) for k in range(400) for _ in range(3)] + [(k / 400, False) for k in range(350, 400)] * 5
+    df = spark.createDataFrame(rows, "score double, correct boolean").repartition(4)
+    whole = sorted(map(tuple, calibrate.isotonic(df).collect()))
+    before, calibrate.POOL = calibrate.POOL, 16
+    try:
+        parts = sorted(map(tuple, calibrate.isotonic(df).collect()))
+    finally:
+        calibrate.POOL = before
+    assert len(whole) == len(parts) and all(math.isclose(a, b, rel_tol=1e-9) for x, y in zip(whole, parts, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_hard_questions_of_confusion(spark):
+    from factloom.operators import upkeep
+
+    f = facts(spark, ("york", "isa", "town"), ("york minster", "isa", "church"), ("new_york", "isa", "town"), ("new", "isa", "word"))
+    out = got(upkeep.hard_questions(f).where("category = 'confusion'"), "question")
+    assert out == {("tell of york minster, not of york.",), ("tell of new_york, not of new.",)}
+
+
+def test_summaries_of_parts_of_names(spark):
+    from factloom.operators import analytics
+
+    f = facts(spark, ("a", "isa", "b"), ("c", "isa", "d"))
+    p = records(spark, ("a", "isa", "b", "web.site", 0.5), ("c", "isa", "d", "", 0.5))
+    names = spark.createDataFrame([("site",), ("web.site",), ("x",), ("b.s",)], "name string")
+    assert got(analytics.told_by(f, p, names), "name", "summary") == {("site", "a isa b."), ("web.site", "a isa b."), ("b.s", "a isa b.")}
