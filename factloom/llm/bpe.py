@@ -53,6 +53,7 @@ class Ranks:
         self.coded = [np.int32(i).tobytes() for i in self.ids]
         self.index = {t.decode("latin-1"): k for k, t in enumerate(self.tokens)}
         self.size = [len(t) for t in self.tokens]
+        self.longest = max(self.size, default=0)
         self.findall = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
         for t, k in self.index.items():
@@ -113,12 +114,12 @@ class Ranks:
         if (k := self.index.get(raw)) is not None:
             return self.coded[k]
         find, prefix, size, shorter, compatible = self.index.get, self.automaton.longest_prefix, self.size, self.shorter, self.compatible
-        n, out, before, at, token = len(raw), [], -1, 0, -1
+        n, out, before, at, token, longest = len(raw), [], -1, 0, -1, self.longest
         dead: set[int] = set()
         fresh = True
         while at < n:
             if fresh:  # the longest match here: the longest way into the automaton, cut to an entry
-                end = at + prefix(raw[at:])
+                end = at + prefix(raw[at : at + longest])
                 while end > at and (token := find(raw[at:end], -1)) < 0:
                     end -= 1
             while token >= 0 and (dead and at + size[token] in dead or before >= 0 and not compatible(before, token)):

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -133,24 +134,47 @@ def is_signed_token(header: str, claims: str) -> bool:
     return isinstance(h, dict) and isinstance(c, dict) and isinstance(h.get("alg"), str)
 
 
-def _digits(text: str, at: int, want: int) -> tuple[str, int]:
-    """Up to so many base64 digits from a place, over line ends, and where the last one ends."""
-    parts, have = [], 0
-    while m := _RUN.match(text, at):
-        parts.append(m[0][: want - have])
-        have += len(parts[-1])
-        at += len(parts[-1])
-        if have == want or not (gap := _BREAK.match(text, at)) or not _RUN.match(text, gap.end()):
-            break
-        at = gap.end()
-    return "".join(parts), at
-
-
-def _bytes_at(text: str, at: int, n: int) -> tuple[bytes, int]:
-    """Up to n bytes decoded from a place, and where their digits end."""
-    digits, end = _digits(text, at, -(-4 * n // 3))
-    digits = digits[: len(digits) - (len(digits) % 4 == 1)].translate(_PLAIN)
-    return base64.b64decode(digits + "=" * (-len(digits) % 4))[:n], end
+class _Run:
+    """Base64 digits that begin at a place of a text and go on over line ends, read once for all candidates among them."""
+
+    def __init__(self, text: str, at: int):
+        self.begins, self.before, parts, have = [], [], [], 0
+        while m := _RUN.match(text, at):
+            self.begins.append(at)
+            self.before.append(have)
+            parts.append(m[0])
+            have, self.end = have + len(m[0]), m.end()
+            if not (gap := _BREAK.match(text, m.end())):
+                break
+            at = gap.end()
+        self.digits = "".join(parts).translate(_PLAIN)
+
+    def has(self, at: int) -> bool:
+        """Whether a place of the text is one of the digits."""
+        k = bisect.bisect_right(self.begins, at) - 1
+        return k >= 0 and self.before[k] + at - self.begins[k] < (self.before[k + 1] if k + 1 < len(self.before) else len(self.digits))
+
+    def count(self, at: int) -> int:
+        """How many digits come before a place."""
+        k = bisect.bisect_right(self.begins, at) - 1
+        return self.before[k] + at - self.begins[k]
+
+    def place(self, n: int) -> int:
+        """Where the first n digits end in the text."""
+        k = bisect.bisect_left(self.before, n) - 1
+        return self.begins[k] + n - self.before[k]
+
+    def size(self, first: int) -> int:
+        """Bytes that can be decoded from a digit on."""
+        n = len(self.digits) - first
+        return (n - (n % 4 == 1)) * 3 // 4
+
+    def bytes(self, first: int, at: int, n: int) -> bytes:
+        """Up to n bytes from a place on, counted from a digit."""
+        begin = first + at // 3 * 4
+        part = self.digits[begin : begin + -(-4 * (at % 3 + n) // 3)]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        return base64.b64decode(part + "=" * (-len(part) % 4))[at % 3 : at % 3 + n]
 
 
 def _stated(head: bytes) -> int:
@@ -161,33 +185,42 @@ def _stated(head: bytes) -> int:
     return 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 4 else 0
 
 
-def _openssh_size(b: bytes) -> int:
-    """Bytes of the OpenSSH private key that b begins with: magic, three names, keys and the private part, each after its length; 0 if there is none."""
+def _openssh_size(read, size: int) -> int:
+    """Bytes of the OpenSSH private key that begins there: magic, three names, keys and the private part, each after its length; 0 if there is none."""
     at, left, keys = len(_OPENSSH), 3, False
-    while b.startswith(_OPENSSH) and at + 4 <= len(b):
-        n = int.from_bytes(b[at : at + 4], "big")
+    if read(0, at) != _OPENSSH:
+        return 0
+    while at + 4 <= size:
+        n = int.from_bytes(read(at, 4), "big")
         at += 4
         if left == 0 and not keys:  # how many public keys there are; the private part comes after them
             keys, left = True, n + 1
             continue
         at, left = at + n, left - 1
         if left == 0 and keys:
-            return at if at <= len(b) else 0
+            return at if at <= size else 0
     return 0
 
 
-def _key_at(text: str, at: int) -> tuple[str, int] | None:
-    """The kind of the base64 key that begins at a place, and where it ends."""
+def _key_at(text: str, at: int, run: _Run) -> tuple[str, int] | None:
+    """The kind of the base64 key that begins at a place of a run, and where it ends; only what may be a key is decoded whole."""
+    first = run.count(at)
+    size, kind = run.size(first), None
     if text[at] == "M":
-        raw, end = _bytes_at(text, at, _stated(_bytes_at(text, at, 6)[0]))
-        found = key_kind(raw)
-        kind = found[0] if found and found[1] == len(raw) else None
+        head = run.bytes(first, 0, 8)
+        stated = _stated(head)
+        inner = 2 + (head[1] & 127 if head[1] >= 128 else 0) if len(head) > 1 else 0
+        if not 0 < stated <= size or inner >= len(head) or head[inner] not in (0x02, 0x30):
+            return None
+        found = key_kind(run.bytes(first, 0, stated))
+        kind = found[0] if found and found[1] == stated else None
+        size = stated
     else:
-        size = _openssh_size(_bytes_at(text, at, len(text))[0])
-        kind, end = "private_key" if size else None, _bytes_at(text, at, size)[1]
+        size = _openssh_size(lambda k, n: run.bytes(first, k, n), size)
+        kind = "private_key" if size else None
     if kind is None:
         return None
-    end = _PADS.match(text, end).end()
+    end = _PADS.match(text, run.place(min(first + -(-4 * size // 3), len(run.digits)))).end()
     return None if _RUN.match(text, end) else (kind, end)
 
 
@@ -195,10 +228,12 @@ def _structures(text: str) -> Iterator[tuple[str, int, int]]:
     for m in TOKEN.finditer(text):
         if is_signed_token(m[1], m[2]):
             yield "signed_token", *m.span()
-    at = 0
+    at, run = 0, None
     while m := KEY_B64.search(text, at):
         at = m.end()
-        if found := _key_at(text, m.start()):
+        if run is None or not run.has(m.start()):
+            run = _Run(text, m.start())
+        if found := _key_at(text, m.start(), run):
             kind, at = found
             yield kind, m.start(), at
     for m in KEY_HEX.finditer(text):

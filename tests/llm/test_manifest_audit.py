@@ -291,3 +291,36 @@ def test_op11(spark):
             middle, apart = band[d["lang"]]
             reach = apart * np.sqrt(1 + perplexity.SHORT / len(spelt(d["text"])))
             assert r["kept"] == (middle - perplexity.WIDTHS[0] * reach <= r["log_perplexity"] <= middle + perplexity.WIDTHS[1] * reach)
+
+
+# linear time of ops 1 and 10, and ids that are null
+
+
+def seconds(run):
+    import time
+
+    begin = time.perf_counter()
+    run()
+    return time.perf_counter() - begin
+
+
+def test_long_pieces_and_key_like_lines_take_time_in_proportion():
+    from factloom.llm import bpe, secrets
+
+    ranks = bpe.Ranks(open(queries.VOCABULARY, "rb").read(), queries.PATTERN)
+    piece = "".join(RNG.choice("abcdefgh") for _ in range(4_000_000))
+    short = min(seconds(lambda: ranks.encode_piece(piece[:500_000])) for _ in range(2))
+    assert seconds(lambda: ranks.encode_piece(piece)) < 16 * short + 1
+    for line in ("MIT/AAAAAAAAAAAAAAAA\n", "b3BlbnNzaC1rZXktdjEAAAAABG5vbmU\n"):
+        short = min(seconds(lambda x=line: secrets.scan(x * 12_500)) for _ in range(2))
+        assert seconds(lambda x=line: secrets.scan(x * 100_000)) < 16 * short + 1
+
+
+def test_held_out_is_never_null(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))
+    docs.unionByName(odd).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    for q in (queries.op2_language_id, queries.op3_quality):
+        out = q(spark, str(tmp_path))
+        assert out.where("held_out IS NULL").count() == 0 and out.where("doc_id IS NULL").count() == 1
