@@ -32,14 +32,12 @@ BUCKET_BITS = 15
 DIM = 16
 SIZES = (2, 3, 4, 5)
 UNKNOWN = "und"
-#: The bound of the training sample: rows of each label, labels, characters of a row.
+#: The bound of the training sample: rows of each label, fewer where labels are many, rows in all, least rows of a label, characters of a row.
 ROWS_PER_LABEL = 500
-MAX_LABELS = 64
+MAX_ROWS, LEAST_ROWS = 32_000, 20
 MAX_SAMPLE_CHARS = 20_000
-#: Share of right predictions on the calibration rows that may be rejected.
+#: Share of right predictions on the calibration rows, passages of two words among them, that may be rejected.
 MAX_REJECTED = 0.001
-#: A prediction at or above this score is never rejected.
-SURE = 0.35
 
 #: Bytes that belong to words: a-z and all of non-ASCII letters (UTF-8).
 _LETTER = np.zeros(256, bool)
@@ -157,7 +155,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7, epochs: int = 4, ra
     t = min(grid, key=lambda t: -np.log(scores(t)[np.arange(len(y)), y] + 1e-12).mean())
     s = scores(t)
     right = np.sort(s.max(1)[s.argmax(1) == y])
-    at = min(SURE, float(right[int(MAX_REJECTED * len(right))])) if len(right) else 0.0
+    at = float(right[int(MAX_REJECTED * len(right))]) if len(right) else 0.0
     return Model(labels, table.astype(np.float32), bias, float(t), at)
 
 
@@ -167,16 +165,17 @@ def sample(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str
     if where is not None:
         rows = rows.where(where)
     rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 40)).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_ROWS // LEAST_ROWS).collect()
     if not counts:
         return [], []
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 1.3 * ROWS_PER_LABEL / r["count"]) * (1 << 40))))])
-    got = rows.where(F.col("h") < share[F.col("lang")]).limit(2 * ROWS_PER_LABEL * len(counts)).collect()
+    most = min(ROWS_PER_LABEL, MAX_ROWS // len(counts))
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 1.3 * most / r["count"]) * (1 << 40))))])
+    got = rows.where(F.col("h") < share[F.col("lang")]).orderBy("h", "text").limit(2 * most * len(counts)).collect()
     seen: dict[str, int] = {}
     texts, langs = [], []
     for r in sorted(got, key=lambda r: (r["h"], r["text"])):
         seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] <= ROWS_PER_LABEL:
+        if seen[r["lang"]] <= most:
             texts.append(r["text"])
             langs.append(r["lang"])
     return texts, langs

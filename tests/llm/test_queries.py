@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 
 import duckdb
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from factloom.llm import queries, secrets
+from factloom.llm import langid, quality, queries, secrets
 
 from ..conftest import SF
 from ..test_queries import rows
@@ -108,3 +109,83 @@ def test_op10(spark, texts):
         assert ([r["n_assign"], r["n_access"], r["n_hex"]], r["base_sha256"]) == (n, hashed(want))
         spans = r["spans"].split(",") if r["spans"] else []
         assert [x for x in spans if x.split(":")[0] in secrets.BASE] == (want.split(",") if want else [])
+
+
+def plain_language(model, text):
+    """The scores of a text, worked out n-gram by n-gram from a model's table."""
+    m32 = (1 << 32) - 1
+    s = re.sub(rb"[^a-z\x80-\xff]+", b" ", b" " + (text or "").lower().encode() + b" ")
+    total, count = np.zeros(len(model.labels)), 0
+    for n in langid.SIZES:
+        for i in range(len(s) - n + 1):
+            g = s[i : i + n]
+            if b" " in g[1:-1] or g == b"  ":
+                continue
+            h = g[0]
+            for c in g[1:]:
+                h = (h * 0x01000193 + c) & m32
+            k = ((h ^ (n * 0x9E3779B1 & m32)) * 0x85EBCA6B) & m32
+            k ^= k >> 15
+            total += model.table[(k * 0xC2B2AE35 & m32) >> (32 - langid.BUCKET_BITS)]
+            count += 1
+    z = (total / max(count, 1) + model.bias) / model.temperature
+    p = np.exp(z - z.max())
+    return p / p.sum()
+
+
+def test_op2_by_plain_python(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(*langid.sample(docs, where=queries.remainder(3) != 1))
+    assert model.threshold > 0.3
+    for r in queries.op2_language_id(spark, SF).collect()[:60]:
+        text = texts[r["doc_id"]]
+        if not re.search(r"[^\W\d_]", text or ""):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        p = plain_language(model, text)
+        assert r["lang_pred"] == model.labels[p.argmax()] and math.isclose(r["score"], p.max(), rel_tol=1e-4) and r["rejected"] == (r["score"] < model.threshold)
+
+
+def test_language_rejects_what_it_has_not_learned(spark, texts, db):
+    lang = dict(db.execute("SELECT doc_id, lang FROM documents").fetchall())
+    own = [(t, lang[i]) for i, t in texts.items() if t and lang[i] and len(t) < 5000]
+    model = langid.train([t for t, _ in own], [x for _, x in own])
+    rng = np.random.default_rng(2)
+    make = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(80))
+    odd = [make("абвгдежзиклмнопрстуфхцчшы") for _ in range(40)] + [make("abcdefghijklmnopqrstuvwxyz") for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(odd + [t for t, _ in own])), "doc_id long, text string")
+    got = {r["doc_id"]: r["language"]["rejected"] for r in langid.identify(rows, model).collect()}
+    assert sum(got[i] for i in range(80)) >= 72 and sum(got[80 + i] for i in range(len(own))) <= 0.03 * len(own)
+
+
+def plain_quality(model, text):
+    """The score of a text, worked out word by word from a model's weights."""
+    m64 = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m64
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & m64
+        return h ^ h >> 31
+
+    def word(w):
+        power, total, b = 1, len(w), 0x9E3779B97F4A7C15 | 1
+        for c in w:
+            power = power * b & m64
+            total += (c + 1) * power
+        return mix(total & m64)
+
+    h = [word(w) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff \t\n\x0b\x0c\r]+", (text or "").encode())]
+    steps = [(2 * k * 0xD1342543DE82EF95 + 1) & m64 for k in (1, 2)]
+    pairs = [1 << 63 if a == b else mix((mix(a * steps[0] & m64) + mix(b * steps[1] & m64)) & m64) for a, b in zip(h, h[1:], strict=False)]
+    keys = sorted({x >> (64 - quality.BITS) for x in h + pairs})
+    length = math.sqrt(sum(float(model.squares[k]) for k in keys))
+    margin = sum(float(model.weights[k]) for k in keys) / max(length, 1e-12) + model.bias
+    return 1 / (1 + math.exp(-max(-35, min(35, model.slope * margin + model.shift))))
+
+
+def test_op3_by_plain_python(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where(queries.remainder(5) != 0)
+    model = quality.train(*quality.sample(docs, labels))
+    for r in queries.op3_quality(spark, SF).collect():
+        assert math.isclose(r["score"], plain_quality(model, texts[r["doc_id"]]), rel_tol=1e-4, abs_tol=1e-7)
