@@ -29,9 +29,9 @@ def queries() -> dict[str, Query]:
 
 def catalog() -> tuple:
     from .catalog import derivations as derived
-    from .catalog import corpus, dialogue, replay, search, streams
+    from .catalog import briefs, corpus, dialogue, replay, search, streams
 
-    return (derived, replay, search, dialogue, streams, corpus)
+    return (derived, replay, search, dialogue, streams, corpus, briefs)
 
 
 def oracle_sql() -> dict[str, str]:
