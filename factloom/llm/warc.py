@@ -15,9 +15,12 @@ tables give no rows; extra columns are not looked at.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+
 #: Responses made from pages have no date of their own.
 DATE = "1970-01-01T00:00:00Z"
 NEWLINE = "\r\n"
@@ -129,26 +132,79 @@ def _field(head: Column, name: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)), F.lit(""))
 
 
+#: Character sets of pages by the names they are given, and the ones in which they are read; others are read as UTF-8.
+CHARSETS = {
+    "iso-8859-1": "ISO-8859-1", "iso8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "latin-1": "ISO-8859-1", "windows-1252": "ISO-8859-1", "us-ascii": "US-ASCII", "ascii": "US-ASCII",
+    "utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE",
+}
+
+
+def text_of(payload: Column, http_headers: Column) -> Column:
+    """Bytes as text, in the character set that the headers name; those that aren't of it are replacement characters."""
+    name = F.lower(F.regexp_extract(http_headers, r"(?im)^content-type:[^\r\n]*charset=[\"']?([A-Za-z0-9_-]+)", 1))
+    out = None
+    for charset in sorted(set(CHARSETS.values())):
+        test = name.isin(*[k for k, v in CHARSETS.items() if v == charset])
+        own = F.decode(payload, charset)
+        out = F.when(test, own) if out is None else out.when(test, own)
+    return out.otherwise(F.make_valid_utf8(payload.cast("string")))
+
+
+
+def _starts(pieces: pd.DataFrame) -> pd.DataFrame:
+    """The first piece of the record that each piece of a file is of: records go on as far as their lengths say."""
+    pieces = pieces.sort_values(["begin", "row"], ignore_index=True)
+    out, first, at, end = [], 0, 0, 0
+    for k, (size, want) in enumerate(zip(pieces["size"], pieces["want"], strict=True)):
+        if at >= end:
+            first, end = k, at + want
+        out.append(first)
+        at += size + len(RECORD)
+    return pd.DataFrame({"source": pieces["source"], "begin": pieces["begin"], "row": pieces["row"], "first_begin": pieces["begin"].iloc[out].to_numpy(), "first_row": pieces["row"].iloc[out].to_numpy()})
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """(source, head, raw) of the records of files: text up to the next begin of a record, and beyond those that a record's own content holds.
+
+    The pieces of a record that is cut are found by an index of their sizes, a few
+    bytes for each piece and a group for each file, and only these pieces are moved.
+    """
+    lines = spark.read.option("lineSep", RECORD).text(path).select(F.input_file_name().alias("source"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("row"), "value")
+    head = F.substring_index("value", BLANK, 1)
+    n = F.when(head.rlike(r"^(WARC/1\.)?\d+\r\n"), F.coalesce(_field(head, "Content-Length").try_cast("long"), F.lit(0)) + F.octet_length(head) + len(BLANK))
+    index = lines.select("source", "begin", "row", F.octet_length("value").cast("long").alias("size"), F.coalesce(n, F.lit(0)).alias("want"))
+    short = index.where("want > size").select("source").distinct()  # files in which a record goes on or is cut off
+    told = index.join(short, "source", "left_semi").groupBy("source").applyInPandas(_starts, "source string, begin long, row long, first_begin long, first_row long")
+    told = scratch.keep(told, "warc-index")
+    own = lines.join(scratch.near(told), ["source", "begin", "row"], "left") if not told.isEmpty() else lines.withColumn("first_begin", F.lit(None).cast("long")).withColumn("first_row", F.lit(None).cast("long"))
+    parts = own.where("first_row IS NOT NULL")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "row", F.hex(F.col("value").cast("binary")).alias("x")))), lambda e: e["x"]), RECORD.encode().hex())
+    whole = parts.groupBy("source", "first_begin", "first_row").agg(F.unhex(joined).alias("raw")).select("source", "raw")
+    all_ = own.where("first_row IS NULL").select("source", F.col("value").cast("binary").alias("raw")).union(whole)
+    return all_.withColumn("head", F.substring_index(F.col("raw").cast("string"), BLANK, 1)).where(F.col("head").rlike(r"^(WARC/1\.)?\d+\r\n"))
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records (source, type, record_id, target_uri, date, refers_to, http_headers, payload, payload_bytes, payload_digest, block_digest, truncated) of WARC files, plain or compressed.
 
     Files are read as text whose lines end where the next record begins, so that Spark
     streams compressed files and splits plain ones, and a task holds records, not
-    files. Bytes stay as they are; ``payload`` shows those that aren't UTF-8 by
-    replacement characters. ``source`` is the file. A record whose file ends, or
-    whose content holds the begin of a record, before its stated length is truncated.
+    files; a record goes on as far as its Content-Length says, whatever it holds.
+    ``payload`` is in the character set of the HTTP headers, ``payload_bytes`` as it
+    was sent. A payload without a stated digest gets the SHA-256 of its bytes.
+    ``source`` is the file. A record whose file ends before its stated length is truncated.
     """
-    lines = spark.read.option("lineSep", RECORD).text(path).select(F.input_file_name().alias("source"), "value")
-    rows = lines.select("source", F.substring_index("value", BLANK, 1).alias("head"), F.col("value").cast("binary").alias("raw")).where(F.col("head").rlike(r"^(WARC/1\.)?\d+\r\n"))
+    rows = _records(spark, path)
     rows = rows.withColumn("n", F.coalesce(_field(F.col("head"), "Content-Length").try_cast("long"), F.lit(0)).cast("int"))
     rows = rows.withColumn("block", F.expr(f"substring(raw, octet_length(head) + {len(BLANK) + 1}, n)")).drop("raw")
     is_http = F.lower(F.coalesce(_field(F.col("head"), "Content-Type"), F.lit(""))).startswith("application/http")
     rows = rows.withColumn("http", F.when(is_http, F.substring_index(F.col("block").cast("string"), BLANK, 1)))
     rows = rows.withColumn("payload_bytes", F.when(is_http, F.expr(f"substring(block, octet_length(http) + {len(BLANK) + 1}, n)")).otherwise(F.col("block")))
     own = lambda name, as_: _field(F.col("head"), name).alias(as_)
+    stated = F.coalesce(_field(F.col("head"), "WARC-Payload-Digest"), F.when(is_http, F.concat(F.lit("sha256:"), F.sha2("payload_bytes", 256))))
     return rows.select(
         "source", own("WARC-Type", "type"), own("WARC-Record-ID", "record_id"), own("WARC-Target-URI", "target_uri"), own("WARC-Date", "date"), own("WARC-Refers-To", "refers_to"), F.make_valid_utf8("http").alias("http_headers"),
-        F.make_valid_utf8(F.col("payload_bytes").cast("string")).alias("payload"), "payload_bytes", own("WARC-Payload-Digest", "payload_digest"), own("WARC-Block-Digest", "block_digest"), (F.octet_length("block") < F.col("n")).alias("truncated"),
+        text_of(F.col("payload_bytes"), F.coalesce("http", F.lit(""))).alias("payload"), "payload_bytes", stated.alias("payload_digest"), own("WARC-Block-Digest", "block_digest"), (F.octet_length("block") < F.col("n")).alias("truncated"),
     )
 
 

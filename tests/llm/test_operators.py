@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import base64
+import gzip
 import hashlib
 import json
 import random
@@ -171,7 +172,6 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_warc_files_of_all_kinds(spark, tmp_path):
-    import gzip
 
     def record(kind, block, more=b""):
         return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:x>\r\n" + more + b"Content-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -534,3 +534,29 @@ def test_secrets(spark):
     assert not any(kinds[i] for i in range(len(texts)) if i not in (n + 6, n + 7, n + 8, n + 9))
     masked = by_id(secrets.mask_secrets(table(spark, texts)))
     assert masked[0]["text"] is None and "hunter22" not in masked[n]["text"] and masked[n + 9]["text"] == "[SECRET]" and masked[10]["text"] == texts[10]
+
+
+def test_warc_records_go_on_as_long_as_they_say(spark, tmp_path):
+    def record(content, n=None, more=b""):
+        return b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\n" + more + b"Content-Length: " + str(len(content) if n is None else n).encode() + b"\r\n\r\n" + content + b"\r\n\r\n"
+
+    inner = b"WARC/1.0\r\nWARC-Type: fake\r\nContent-Length: 99999\r\n\r\n"
+    http = lambda body, kind=b"text/plain": b"HTTP/1.1 200 OK\r\nContent-Type: " + kind + b"\r\n\r\n" + body
+    bodies = [b"first", b"holds \r\n\r\n" + inner + b" and \r\n\r\n" + inner + b"end", "café ’".encode(), b""]
+    latin = http("café".encode("latin-1"), b"text/html; charset=ISO-8859-1")
+    parts = [record(http(b)) for b in bodies] + [record(latin, more=b"WARC-Payload-Digest: sha1:ABC\r\n")]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    (tmp_path / "c.warc").write_bytes(parts[0] + record(http(b"cut"), 5000))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+    try:
+        rows = warc.read_warc(spark, str(tmp_path / "*.warc*")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name in ("a.warc", "b.warc.gz"):
+        own = [r for r in rows if r["source"].endswith(name)]
+        assert sorted(bytes(r["payload_bytes"]) for r in own) == sorted([*bodies, "café".encode("latin-1")]) and not any(r["truncated"] for r in own)
+        assert {r["payload"] for r in own} >= {"café", "café ’", ""}
+        assert {r["payload_digest"] for r in own} == {"sha1:ABC", *("sha256:" + hashlib.sha256(b).hexdigest() for b in bodies)}
+    assert sorted(r["truncated"] for r in rows if r["source"].endswith("c.warc")) == [False, True]
