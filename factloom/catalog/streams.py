@@ -51,7 +51,7 @@ def _events(spark, d):
 def stream_sessions(spark, d):
     """Sessions of users that the watermark has closed; all events in one micro-batch, so that none is late."""
     out = _streamed(spark, _events(spark, d), lambda x: twins.session_stream(x, f"{GAP_S} seconds", f"{LATE_S} seconds"), files=10_000)
-    return out.select("subject", F.col("begin").cast("timestamp_ntz").alias("begin"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+    return out.select("subject", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("begin", "end")], "n")
 
 
 def stream_distinct(spark, d):
@@ -71,7 +71,7 @@ def sql() -> dict[str, str]:
         "stream_reinforced": "SELECT 'user#' || user_id AS s, 'did' AS r, event_type AS o, CASE WHEN count(DISTINCT event_id % 2) > 1 THEN 'multi' WHEN min(event_id % 2) = 0 THEN 'user' ELSE 'external' END AS source, round(1 - (1 - arg_min(value, event_id) / 1000) * pow(0.9, count(*) - 1), 6) AS confidence, count(*) AS count, max(event_id) AS last_seen FROM events GROUP BY user_id, event_type",
         "stream_sessions": (
             f"WITH g AS (SELECT *, sum(CASE WHEN ts < was + INTERVAL {GAP_S} SECOND THEN 0 ELSE 1 END) OVER (PARTITION BY subject ORDER BY ts, id) AS k FROM (SELECT *, lag(ts) OVER (PARTITION BY subject ORDER BY ts, id) AS was FROM {src})) "
-            f"SELECT subject, min(ts) AS begin, max(ts) + INTERVAL {GAP_S} SECOND AS \"end\", count(*) AS n FROM g GROUP BY subject, k HAVING max(ts) + INTERVAL {GAP_S} SECOND <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL {LATE_S} SECOND"
+            f"SELECT subject, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS begin, strftime(max(ts) + INTERVAL {GAP_S} SECOND, '%Y-%m-%d %H:%M:%S.%f') AS \"end\", count(*) AS n FROM g GROUP BY subject, k HAVING max(ts) + INTERVAL {GAP_S} SECOND <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL {LATE_S} SECOND"
         ),
         "stream_distinct": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1",
     }
