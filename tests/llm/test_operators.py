@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -560,3 +561,17 @@ def test_warc_records_go_on_as_long_as_they_say(spark, tmp_path):
         assert {r["payload"] for r in own} >= {"café", "café ’", ""}
         assert {r["payload_digest"] for r in own} == {"sha1:ABC", *("sha256:" + hashlib.sha256(b).hexdigest() for b in bodies)}
     assert sorted(r["truncated"] for r in rows if r["source"].endswith("c.warc")) == [False, True]
+
+
+def test_passages_of_rows_without_ids(spark):
+    rng = random.Random(12)
+    base = prose(120, rng).split()
+    texts = []
+    for _ in range(400):  # near copies of one text, each with a word of its own
+        w = list(base)
+        w[rng.randrange(20, 100)] = "own" + str(rng.random())
+        texts.append(" ".join(w))
+    rows = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    begin = time.perf_counter()
+    out = passages.repeated_passages(rows).collect()
+    assert len(out) == 400 and time.perf_counter() - begin < 90

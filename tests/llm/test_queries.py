@@ -189,3 +189,20 @@ def test_op3_by_plain_python(spark, texts):
     model = quality.train(*quality.sample(docs, labels))
     for r in queries.op3_quality(spark, SF).collect():
         assert math.isclose(r["score"], plain_quality(model, texts[r["doc_id"]]), rel_tol=1e-4, abs_tol=1e-7)
+
+
+def test_op7(spark, texts):
+    """Exact repeats of 51 words are all found, and what is found is nearly a repeat."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for i, t in texts.items()}
+    where, grams = {}, {}
+    for i, w in words.items():
+        for k in range(len(w) - 50):
+            where.setdefault(tuple(w[k : k + 51]), set()).add(i)
+        grams[i] = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    exact = {i for docs in where.values() if len(docs) > 1 for i in docs}
+    rows = queries.op7_passages(spark, SF).collect()
+    found = {r["doc_id"] for r in rows}
+    assert exact and exact <= found
+    for r in rows:
+        own = set(grams[r["doc_id"]][r["start_word"] : r["end_word"] - 4])
+        assert r["end_word"] - r["start_word"] >= 45 and max(len(own & set(grams[x["doc_id"]])) for x in rows if x["class_id"] == r["class_id"] and x["doc_id"] != r["doc_id"]) >= 0.5 * min(len(own), 60)
