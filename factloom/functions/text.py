@@ -110,3 +110,8 @@ def cache_key(text: Column) -> Column:
 def symbol(text: Column) -> Column:
     """A name as one word for sentences."""
     return F.regexp_replace(text, r"[^A-Za-z0-9]+", "_")
+
+
+def factorial(n: Column) -> Column:
+    """For integers from 0 to 20, beyond which it has more than 63 bits; null for others."""
+    return F.factorial(n)

@@ -101,3 +101,21 @@ def _flat(blocks: DataFrame) -> DataFrame:
 def accuracy(samples: DataFrame, sure: float = 0.20) -> DataFrame:
     """(n, accuracy, confident_wrong)."""
     return samples.agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg(((F.col("score") >= sure) & ~F.col("correct")).cast("double")).alias("confident_wrong"))
+
+
+def hits(answers: DataFrame, expected: DataFrame, sure: float = 0.20) -> DataFrame:
+    """(n, top1, top3, none, wrong_sure) of answers (probe, value, score, rank) to expected (probe, value), of which any may be right."""
+    right = answers.join(expected.select("probe", "value").distinct(), ["probe", "value"], "left_semi").groupBy("probe").agg(F.min("rank").alias("at"))
+    first = answers.where("rank = 1").select("probe", "score")
+    rows = expected.select("probe").distinct().join(right, "probe", "left").join(first, "probe", "left")
+    good = F.coalesce(F.col("at") == 1, F.lit(False))
+    return rows.agg(F.count("*").alias("n"), F.count_if(good).alias("top1"), F.count_if(F.col("at") <= 3).alias("top3"), F.count_if(F.col("score").isNull()).alias("none"), F.count_if(~good & (F.col("score") >= sure)).alias("wrong_sure"))
+
+
+def percentiles(rows: DataFrame, value: str, key: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99, 1.0)) -> DataFrame:
+    """(share, value): the value at place min(n - 1, floor(share * n)) of the sorted values; places come from ranges, not from one sorted task."""
+    placed = scratch.keep(numbered(rows.select(value, key).where(F.col(value).isNotNull()), value, key), "values")
+    n = placed.count()
+    wanted = [(p, min(n - 1, int(p * n))) for p in shares] if n else []
+    spark = rows.sparkSession
+    return placed.join(F.broadcast(spark.createDataFrame(wanted, "share double, place long")), "place").select("share", F.col(value).alias("value"))

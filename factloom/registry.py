@@ -29,9 +29,9 @@ def queries() -> dict[str, Query]:
 
 def catalog() -> tuple:
     from .catalog import derivations as derived
-    from .catalog import briefs, corpus, dialogue, intake, replay, search, streams
+    from .catalog import briefs, corpus, dialogue, intake, replay, search, streams, writing
 
-    return (derived, replay, search, dialogue, streams, corpus, briefs, intake)
+    return (derived, replay, search, dialogue, streams, corpus, briefs, intake, writing)
 
 
 def oracle_sql() -> dict[str, str]:

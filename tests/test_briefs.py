@@ -74,3 +74,25 @@ def test_whole_pass_is_kept_as_a_session(spark, tmp_path):
     kept = sessions.load(spark, str(tmp_path / "s"))
     assert ("c", "locatedin", "m") not in got(kept["facts"], *TRIPLE) and ("x", "not_has", "z") in got(kept["facts"], *TRIPLE) and ("o", "locatedin", "r") in got(kept["facts"], *TRIPLE)
     assert got(kept["facts"].where("s = 'o' AND r = 'locatedin'"), "o", "how") == {("n", "induced"), ("m", "induced"), ("r", "induced")}
+
+
+def test_texts_are_edited(spark):
+    from factloom.functions import text
+    from factloom.operators import calibrate, writing
+
+    df = spark.createDataFrame([(1, "The cat is an animal. it has fur. It has fur! a apple is a fruit. Why? so."), (2, "One only"), (3, ""), (4, None)], "id long, text string")
+    t = F.col("text")
+    rows = {r["id"]: r for r in df.select("id", writing.shortened(t).alias("a"), writing.polished(t).alias("b"), writing.summarised(t).alias("c")).collect()}
+    assert rows[1]["a"] == "The cat is an animal. it has fur. It has fur!" and rows[2]["a"] == "One only" and rows[3]["a"] == ""
+    assert rows[1]["b"] == "The cat is an animal. Also, it has fur. Additionally, it has fur! Moreover, an apple is a fruit. And why? Plus, so." and rows[4]["b"] is None
+    assert rows[1]["c"].startswith("Summary:\n- cat isa animal\n- it has fur") and rows[2]["c"] == "One only" and rows[4]["c"] == ""
+    f = facts(spark, ("cat", "isa", "animal"), ("cat", "color", "black"), ("cat", "has", "claws"), ("cat", "size", "small"))
+    out = {r["id"]: r["text"] for r in writing.expanded(df, f).collect()}
+    assert out[1].startswith("The cat is an animal. Note also: the color of cat is black. Note also: the size of cat is small. it has fur.") and set(out) == {1, 2, 3, 4}
+    probes = spark.createDataFrame([("p", "what color?", "cat", "color"), ("q", "what?", "kitten", "color"), ("z", "who?", "dog", "color")], "probe string, question string, s string, r string")
+    told = {r["probe"]: (r["answer"], r["told"]) for r in writing.narrated(f.union(facts(spark, ("kitten", "isa", "cat"))), probes).collect()}
+    assert told["p"] == ("black", 'Let me think about "what color?"... I know that The cat is black. So the answer is black.') and told["q"][0] == "black" and "So I can infer that The kitten is black." in told["q"][1] and told["z"][0] is None
+    values = spark.createDataFrame([(i, float(i)) for i in range(100)] + [(200, None)], "k long, v double").repartition(4)
+    assert got(calibrate.percentiles(values, "v", "k"), "share", "value") == {(0.5, 50.0), (0.95, 95.0), (0.99, 99.0), (1.0, 99.0)}
+    assert calibrate.percentiles(values.limit(0), "v", "k").count() == 0
+    assert [r["f"] for r in spark.createDataFrame([(0,), (5,), (20,), (21,), (-1,)], "n int").select(text.factorial(F.col("n")).alias("f")).collect()] == [1, 120, 2432902008176640000, None, None]
