@@ -30,6 +30,8 @@ from .components import near
 FANOUT = 3
 #: Equal rows are dealt to so many ranges at most.
 SALTS = 1024
+#: Paths are stored every so many levels, so that a plan has as many joins at most.
+STORED = 4
 #: The group of the tree of subroots.
 TOP = -1
 
@@ -92,6 +94,8 @@ def _proved(nodes: DataFrame, runs: list[DataFrame], groups: DataFrame) -> DataF
         above = each.select("grp", "kid.*", F.concat(F.array(step), "path").alias("path"), "subroot", "root")
         if k > 1:
             above = above.select("grp", "i", "path", "subroot", "root")
+        if k > 1 and k % STORED == 1:
+            above = scratch.keep(above, "merkle-paths")
     alone = nodes.where("size = 1").drop("size").join(groups, "grp")
     return alone if above is None else above.unionByName(alone.select(*above.columns))
 
