@@ -7,23 +7,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import traits
+from ..plans import ranks
 
 KEY = ("subject", "relation")
 
 
 def drift(episodes: DataFrame) -> DataFrame:
-    """Episodes whose state or symbol differs from the one before of the same subject and relation, with what was before."""
-    w = W.partitionBy(*KEY).orderBy("ts", "id")
-    was = episodes.withColumn("was_state", F.lag("state").over(w)).withColumn("was_symbol", F.lag("symbol").over(w)).withColumn("n", F.row_number().over(w))
-    changed = ~(F.col("state").eqNullSafe(F.col("was_state")) & F.col("symbol").eqNullSafe(F.col("was_symbol")))
-    return was.where((F.col("n") > 1) & changed).select("id", *KEY, "was_state", "state", "was_symbol", "symbol")
+    """Episodes whose state or symbol differs from the one before of the same subject and relation, with what was before.
+
+    What was before is carried by ranges of the order, so a signature with very many
+    episodes is worked on by many tasks.
+    """
+    here = F.struct("state", "symbol")
+    rows = episodes.select("id", *KEY, "state", "symbol", F.struct(*KEY).alias("key"), F.struct("ts", "id").alias("at"), here.alias("here"))
+    was = ranks.carried(rows, "key", "at", {"was": "here"})
+    changed = F.col("was").isNotNull() & ~F.col("here").eqNullSafe(F.col("was"))
+    return was.where(changed).select("id", *KEY, F.col("was.state").alias("was_state"), "state", F.col("was.symbol").alias("was_symbol"), "symbol")
 
 
 def drifted(episodes: DataFrame) -> DataFrame:
-    """(subject, relation, drifted): whether any episode differs from the first."""
-    w = W.partitionBy(*KEY).orderBy("ts", "id")
-    here, first = F.struct("state", "symbol"), F.first(F.struct("state", "symbol")).over(w)
-    return episodes.select(*KEY, (~here.eqNullSafe(first)).alias("differs")).groupBy(*KEY).agg(F.bool_or("differs").alias("drifted"))
+    """(subject, relation, drifted): whether any episode differs from the first, that is whether there are two kinds of them."""
+    return episodes.groupBy(*KEY, "state", "symbol").agg(F.count("*").alias("n")).groupBy(*KEY).agg((F.count("*") > 1).alias("drifted"))
 
 
 def states(episodes: DataFrame) -> DataFrame:
