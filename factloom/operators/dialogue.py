@@ -22,17 +22,18 @@ OPEN = "_open_"
 
 def read(turns: DataFrame) -> DataFrame:
     """Adds own_entity and own_relation to turns (conv, turn, text); null where they are open or there are none."""
-    t = text.tokens(F.col("text"))
-    rest = questions.follow_up(F.col("text"))
-    asked = questions.factual(questions.with_first(t, F.lit(OPEN)))
+    rows = turns.withColumn("_rest", questions.follow_up(F.col("text"))).withColumn("_asked", questions.factual(questions.with_first(text.tokens(F.col("text")), F.lit(OPEN))))
+    rest, asked = F.col("_rest"), F.col("_asked")
     begins_open = F.get(rest, F.lit(0)).isin(*questions.PRONOUNS)
     entity = F.when(rest.isNotNull(), F.when(~begins_open, F.try_element_at(rest, F.lit(-1)))).otherwise(F.nullif(asked["entity"], F.lit(OPEN)))
-    return turns.withColumn("own_entity", entity).withColumn("own_relation", F.when(rest.isNull(), asked["relation"])).withColumn("asks", rest.isNotNull() | asked.isNotNull())
+    rows = rows.withColumn("own_entity", entity).withColumn("own_relation", F.when(rest.isNull(), asked["relation"])).withColumn("asks", rest.isNotNull() | asked.isNotNull())
+    return rows.drop("_rest", "_asked")
 
 
 def written(rows: DataFrame) -> DataFrame:
     """(conv, turn, question, entity, relation) of read turns with last_entity and last_relation."""
-    rest, t = questions.follow_up(F.col("text")), text.tokens(F.col("text"))
+    rows = rows.withColumn("_rest", questions.follow_up(F.col("text"))).withColumn("_t", text.tokens(F.col("text")))
+    rest, t = F.col("_rest"), F.col("_t")
     last = F.col("last_entity")
     named = F.when(F.get(rest, F.lit(0)).isin(*questions.PRONOUNS) & last.isNotNull(), F.concat(F.array(last), F.slice(rest, 2, F.size(rest)))).otherwise(rest)
     again = F.concat(F.lit("what "), F.col("last_relation"), F.lit(" is the "), F.array_join(named, " "), F.lit("?"))
