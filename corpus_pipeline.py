@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all of docs. All but the last
 return the columns of ``documents``. Decisions name rows by KEY, id and text, so that
 rows whose ids are null or repeat are decided each; rows equal in both share a decision.
+Null and letterless texts go in the first stage; texts are read whole, however long, and
+those of fewer than five words are one shingle. An empty table stays empty in each stage,
+and other columns than those of ``documents`` are dropped by the first.
 """
 
 from __future__ import annotations
