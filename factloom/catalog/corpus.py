@@ -63,7 +63,7 @@ def _session(spark, d, *names):
 
 def session_snapshot(spark, d):
     """A session of an older schema saved, a newer one begun and left without its manifest, and the older one loaded and converted."""
-    path = f"{scratch.folder(spark)}/sessions-{scratch.uuid.uuid4().hex}"
+    path = scratch.place(spark, "sessions")
     old = _session(spark, d, "C", "P2")
     sessions.save(old | {"records": old["records"].drop("last_seen")}, path, 1)
     old["facts"].limit(1).write.parquet(f"{path}/2-broken/facts")

@@ -39,7 +39,7 @@ def dialogue_answers(spark, d):
 
 def stream_dialogue(spark, d):
     """The same turns through a stream with a state for each conversation, which a second run goes on with."""
-    base = f"{scratch.folder(spark)}/stream-{scratch.uuid.uuid4().hex}"
+    base = scratch.place(spark, "stream")
     turns = _turns(spark, d).withColumn("ts", F.timestamp_seconds(1_700_000_000 + 60 * F.col("turn")))
     for part in (turns.where("turn < 3"), turns.where("turn >= 3")):
         part.write.mode("append").parquet(f"{base}/in")

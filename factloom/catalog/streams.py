@@ -14,7 +14,7 @@ GAP_S, LATE_S = 1800, 3600
 
 def _streamed(spark, rows, through, mode="append", files=2):
     """What a stream leaves that reads rows from a folder, some files at a time."""
-    base = f"{scratch.folder(spark)}/stream-{scratch.uuid.uuid4().hex}"
+    base = scratch.place(spark, "stream")
     rows.write.parquet(f"{base}/in")
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     out = through(source)
@@ -28,7 +28,7 @@ def stream_fold(spark, d):
     key = F.pmod("seq", F.lit(star.STEP))
     more = log.where(key % 7 == 0).select((F.col("seq") + 10 * star.STEP).alias("seq"), F.lit("forget").alias("op"), "s", "r", "o")
     rows = log.select("seq", F.lit("store").alias("op"), "s", "r", "o").union(more)
-    base = f"{scratch.folder(spark)}/stream-{scratch.uuid.uuid4().hex}"
+    base = scratch.place(spark, "stream")
     rows.repartitionByRange(4, "seq").write.parquet(f"{base}/in")
     source = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
     twins.run_once(twins.fold_stream(source), lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{base}/out"), f"{base}/checkpoint", "update")

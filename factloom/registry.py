@@ -108,7 +108,7 @@ def training_corpus(spark, d):
 
 
 def _folder(spark, name: str) -> str:
-    return f"{scratch.folder(spark)}/{name}-{scratch.uuid.uuid4().hex}"
+    return scratch.place(spark, name)
 
 
 @query
@@ -1024,7 +1024,7 @@ def stream_tally(spark, d):
 @query
 def stream_drift(spark, d):
     """The drift operator's streaming twin over the stored log; it gives the batch operator's rows."""
-    base = f"{scratch.folder(spark)}/stream-{scratch.uuid.uuid4().hex}"
+    base = scratch.place(spark, "stream")
     star.episodes(spark, d).write.parquet(f"{base}/in")
     rows = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
     twins.run_once(twins.drift_stream(rows), lambda df, k: df.write.mode("append").parquet(f"{base}/out"), f"{base}/checkpoint")

@@ -38,13 +38,19 @@ def batches(spark: SparkSession, rows: int):
         spark.conf.set(BATCH, before)
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new folder's path within the shared one; what is written there goes when the session's process ends."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def keep(df: DataFrame, name: str, batch: int = 1000) -> DataFrame:
     """Writes df to a new table of the shared folder and reads it back; the table goes when the session's process ends."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     with batches(spark, batch):
         df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
