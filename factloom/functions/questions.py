@@ -163,9 +163,18 @@ def follow_up(question: Column) -> Column:
 
 
 def with_first(t: Column, replacement: Column) -> Column:
-    """Words joined by spaces, the first pronoun replaced."""
-    where = F.array_min(F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: F.element_at(t, i).isin(*PRONOUNS)))
-    return F.array_join(F.transform(t, lambda w, i: F.when(i + 1 == where, replacement).otherwise(w)), " ")
+    """Words joined by spaces, the first pronoun replaced.
+
+    Nothing is captured in a lambda that is made of the words, as it would be made
+    again for each of them.
+    """
+
+    def tell(w: Column) -> Column:
+        at = F.array_position(F.transform(w, lambda x: x.isin(*PRONOUNS)), True).cast("int")
+        put = F.concat(F.slice(w, 1, at - 1), F.array(replacement), F.slice(w, at + 1, F.size(w)))
+        return F.array_join(F.when(at > 0, put).otherwise(w), " ")
+
+    return F.get(F.transform(F.array(t), tell), F.lit(0))
 
 
 def has_pronoun(t: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +145,15 @@ def test_dialogue(spark):
     assert said[1, 0] == ("blue", None) and said[1, 4] == ("space", "blue") and said[1, 6] == ("space", "space") and said[2, 1] == (None, None)
 
 
+def test_long_turns_take_time_in_proportion(spark):
+    """Words of a turn aren't taken apart again for each of its words; twelve such turns took a minute and more."""
+    said = "so " + "word " * 600 + "it and them"
+    turns = spark.createDataFrame([(1, 0, "what size is the cat?"), *[(1, k, said) for k in range(1, 13)]], "conv long, turn long, text string")
+    began = time.time()
+    rows = got(dialogue.resolved(turns), "turn", "question")
+    assert rows[5][1] == said.replace("it", "cat") and time.time() - began < 20
+
+
 def test_dialogue_stream_and_its_end(spark, tmp_path):
     schema = "conv long, turn long, text string, ts timestamp"
     rows = [(x[0], x[1], x[2]) for x in SPOKEN]
