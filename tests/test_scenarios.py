@@ -113,6 +113,26 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     spark.sql("SELECT 1").collect()
 
 
+def test_streams_over_many_batches_work_on_buckets(spark, tmp_path):
+    """Several micro-batches with keys of all kinds give the batch operators' rows; Python is called for buckets, not for each key."""
+    many = [(k, "forget" if k * 7 % 5 < 2 else "store", None if k % 11 == 0 else f"s{k * k % 37}", "r", f"o{k % 3}") for k in range(600)]
+    log = spark.createDataFrame(many, "seq long, op string, s string, r string, o string")
+    e = log.select(F.expr("seq + 9007199254740993 AS id"), F.expr("timestamp'2024-01-01' + make_interval(0,0,0,0,0,seq)").alias("ts"), F.col("s").alias("subject"), F.col("o").alias("relation"), F.when(F.col("seq") % 4 != 0, F.col("op")).alias("state"), F.when(F.col("seq") % 3 != 0, "x").alias("symbol"))
+    for rows, through, mode in ((log, twins.fold_stream, "update"), (e, twins.drift_stream, "append")):
+        at = tmp_path / through.__name__
+        for k in range(3):
+            rows.where(F.floor(F.col(rows.columns[0]) % 600 / 200) == k if rows is log else F.floor((F.col("id") - 9007199254740993) / 200) == k).coalesce(1).write.mode("append").parquet(str(at / "in"))
+            stream = spark.readStream.schema(rows.schema).parquet(str(at / "in"))
+            twins.run_once(through(stream), lambda df, b, at=at: df.withColumn("b", F.lit(b)).write.mode("append").parquet(str(at / "out")), str(at / "cp"), mode)
+    fold = spark.read.parquet(str(tmp_path / "fold_stream" / "out")).groupBy("s", "r", "o").agg(F.max_by("n", "b").alias("n")).where("n > 0")
+    key = lambda rows: sorted(map(str, rows))
+    assert key(map(tuple, fold.collect())) == key(map(tuple, episodes.folded(log).collect()))
+    drift = spark.read.parquet(str(tmp_path / "drift_stream" / "out")).drop("b")
+    assert key(map(tuple, drift.collect())) == key(map(tuple, episodes.drift(e).collect()))
+    plan = twins.fold_stream(spark.readStream.schema(log.schema).parquet(str(tmp_path / "fold_stream" / "in")))._jdf.queryExecution().analyzed().toString()
+    assert "_bucket" in plan
+
+
 def test_windowed_tally(spark, tmp_path):
     rows = spark.sql("SELECT timestamp'2024-01-01' + make_interval(0,0,0,0,id) AS ts, IF(id % 2 = 0, 'known', 'idk') AS state FROM range(48)")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
