@@ -48,10 +48,12 @@ def similar(facts: DataFrame, subjects: DataFrame | None = None, least: int = 1,
     both = left.join(parts.withColumnRenamed("c", "d"), ["r", "o"]).groupBy("c", "d").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
     both = both.join(size, "c").join(size.select(F.col("c").alias("d"), F.col("n").alias("m")), "d").withColumn("jaccard", F.col("overlap") / (F.col("n") + F.col("m") - F.col("overlap")))
     order = W.partitionBy("c").orderBy(F.desc("overlap"), F.desc("jaccard"), "other")
-    named = both.join(first.withColumnRenamed("c", "d"), "d").withColumn("k", F.row_number().over(order)).where(F.col("k") <= top + 1).select("c", "other", "overlap", "jaccard")
+    named = both.join(first.withColumnRenamed("c", "d"), "d").withColumn("k", F.row_number().over(order)).where(F.col("k") <= top + 1)
+    lists = scratch.keep(named.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("k", "other", "overlap", "jaccard"))).alias("x")), "named")
     asking = own.select("s", "c") if subjects is None else own.select("s", "c").join(subjects.select("s").distinct(), "s", "left_semi")
-    out = asking.join(named, "c").where("s != other")
-    return out.withColumn("rank", F.row_number().over(W.partitionBy("s").orderBy(F.desc("overlap"), F.desc("jaccard"), "other"))).where(F.col("rank") <= top).select("s", "other", "overlap", "jaccard", "rank")
+    others = F.slice(F.filter("x", lambda e: e["other"] != F.col("s")), 1, top)  # in order, so that no subject's rows are sorted again
+    out = asking.join(scratch.near(lists), "c").select("s", F.posexplode(others).alias("at", "e"))
+    return out.select("s", "e.other", "e.overlap", "e.jaccard", (F.col("at") + 1).alias("rank"))
 
 
 def importance(facts: DataFrame, episodes: DataFrame, top: int = 20) -> DataFrame:
