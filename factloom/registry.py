@@ -571,13 +571,21 @@ def rule_composition(spark, d):
 
 
 def _long_skills(spark, d):
-    """Skills of two and of three relations."""
+    """Skills of two and of three relations.
+
+    Paths are counted, not made: links that end at a node times those that go on
+    from it. Links that go on from no other's end are left out before.
+    """
     f = star.facts(spark, d, "O", "C", "C2", "N", "L", "P", "P2")
-    step = lambda k: f.select(F.col("s").alias(f"n{k - 1}"), F.col("r").alias(f"r{k}"), F.col("o").alias(f"n{k}"), F.pmod("seq", F.lit(9)).alias(f"q{k}"))
-    two = step(1).join(step(2), "n1")
-    three = two.join(step(3), "n2")
-    n = lambda df, pattern: df.groupBy(pattern.alias("pattern")).agg(F.count_if(F.col("q1") != 0).alias("success"), F.count_if(F.col("q1") == 0).alias("failure"))
-    return n(two, F.array("r1", "r2")).union(n(three, F.array("r1", "r2", "r3")))
+    failed = F.pmod("seq", F.lit(9)) == 0
+    ends = scratch.keep(f.groupBy(F.col("o").alias("n1"), F.col("r").alias("r1")).agg(F.count_if(~failed).alias("success"), F.count_if(failed).alias("failure")), "ends")
+    inner = scratch.keep(f.select("s", "r", "o").join(ends.select(F.col("n1").alias("s")).distinct(), "s", "left_semi"), "inner")
+    begins = inner.groupBy("s", "r").agg(F.count("*").alias("n"))
+    one = begins.select(F.col("s").alias("n1"), F.col("r").alias("r2"), "n")
+    links = inner.select(F.col("s").alias("n1"), F.col("r").alias("r2"), F.col("o").alias("s")).join(begins.withColumnRenamed("r", "r3"), "s")
+    two = links.groupBy("n1", "r2", "r3").agg(F.sum("n").alias("n"))
+    n = lambda rows, *rs: ends.join(rows, "n1").groupBy(F.array("r1", *rs).alias("pattern")).agg(*[F.sum(F.col(c) * F.col("n")).alias(c) for c in ("success", "failure")])
+    return scratch.keep(n(one, "r2").union(n(two, "r2", "r3")), "skills")
 
 
 @query

@@ -192,3 +192,20 @@ def test_explain_tree(spark):
 def test_empty_facts(spark):
     f = facts(spark, ("a", "r", "b")).limit(0)
     assert derive.cascade(f).count() == 0 and analytics.cooccurrence(f).count() == 0 and beliefs.functional_conflicts(f).count() == 0
+
+
+def test_similar_ranks_by_class(spark):
+    """Others are ranked once for each class: no subject's rows are sorted again."""
+    f = facts(spark, *[(f"s{k:02}", "has", f"x{k % 2}") for k in range(30)], *[(f"s{k:02}", "size", "big") for k in range(30)])
+    out = analytics.similar(f, least=2, top=3)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["s"], r["other"], r["rank"]) for r in out.where("s IN ('s02', 's29')").collect()} == {("s02", "s00", 1), ("s02", "s04", 2), ("s02", "s06", 3), ("s29", "s01", 1), ("s29", "s03", 2), ("s29", "s05", 3)}
+
+
+def test_long_skills_are_counted_once(spark):
+    """Skills are stored counts: what reads them twice joins no links again."""
+    from factloom import registry
+
+    skills = registry._long_skills(spark, "/root/testdata/sf0.001")
+    assert "Join" not in skills._jdf.queryExecution().optimizedPlan().toString()
+    assert skills.schema["success"].dataType.simpleString() == "bigint" and {tuple(r["pattern"]) for r in skills.collect()} >= {("partof", "category"), ("partof", "locatedin", "locatedin")}
