@@ -146,7 +146,7 @@ def test_dialogue(spark):
 
 
 def test_long_turns_take_time_in_proportion(spark):
-    """Words of a turn aren't taken apart again for each of its words; twelve such turns took a minute and more."""
+    """Words of a turn aren't taken apart again for each of its words."""
     said = "so " + "word " * 600 + "it and them"
     turns = spark.createDataFrame([(1, 0, "what size is the cat?"), *[(1, k, said) for k in range(1, 13)]], "conv long, turn long, text string")
     began = time.time()
