@@ -87,12 +87,22 @@ def effects(facts: DataFrame, starts: DataFrame, depth: int = 3, relation: str =
 
 
 def siblings(facts: DataFrame, relation: str = "isa", most_children: int | None = None) -> DataFrame:
-    """(s, sibling, n_shared) of subjects with a shared parent; parents of more children than most_children are left out, if it is given."""
+    """(s, sibling, n_shared) of subjects with a shared parent; parents of more children than most_children are left out, if it is given.
+
+    Subjects with the same parents are one class, and shared parents are counted for
+    pairs of classes, so that pairs of subjects, which are the result, are made last
+    and never moved.
+    """
     kids = facts.where(F.col("r") == relation).select("s", "o").distinct()
     if most_children is not None:
         kids = kids.join(kids.groupBy("o").count().where(F.col("count") <= most_children).select("o"), "o", "left_semi")
-    other = kids.select(F.col("s").alias("sibling"), "o")
-    return kids.join(other, "o").where("s != sibling").groupBy("s", "sibling").agg(F.count("*").alias("n_shared"))
+    own = scratch.keep(kids.groupBy("s").agg(F.array_sort(F.collect_list("o")).alias("set")), "parents")
+    classes = scratch.keep(own.groupBy("set").agg(F.min("s").alias("c")), "classes")
+    parts = classes.select("c", F.explode("set").alias("o"))
+    shared = parts.join(parts.withColumnRenamed("c", "d"), "o").groupBy("c", "d").agg(F.count("*").alias("n_shared"))
+    members = scratch.keep(own.join(scratch.near(classes), "set").select("s", "c"), "members")
+    spread = members.repartition("s").join(scratch.near(scratch.keep(shared, "shared")), "c")  # a subject makes many pairs, so tasks share them
+    return spread.join(scratch.near(members.select(F.col("s").alias("sibling"), F.col("c").alias("d"))), "d").where("s != sibling").select("s", "sibling", "n_shared")
 
 
 def property_causes(facts: DataFrame, properties: DataFrame, top: int = 8) -> DataFrame:

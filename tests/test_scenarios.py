@@ -209,3 +209,16 @@ def test_long_skills_are_counted_once(spark):
     skills = registry._long_skills(spark, "/root/testdata/sf0.001")
     assert "Join" not in skills._jdf.queryExecution().optimizedPlan().toString()
     assert skills.schema["success"].dataType.simpleString() == "bigint" and {tuple(r["pattern"]) for r in skills.collect()} >= {("partof", "category"), ("partof", "locatedin", "locatedin")}
+
+
+def test_siblings_make_pairs_last(spark):
+    rows = [(f"s{k}", "isa", p) for k in range(12) for p in ("a", "b", "c") if k % (ord(p) - 95)] + [("s1", "isa", "b"), ("z", "isa", "alone"), ("s1", "has", "x")]
+    out = chains.siblings(facts(spark, *rows))
+    kids = {(s, o) for s, r, o in rows if r == "isa"}
+    shared = {}
+    for s, o in kids:
+        for t, p in kids:
+            if o == p and s != t:
+                shared[s, t] = shared.get((s, t), 0) + 1
+    assert {(r["s"], r["sibling"]): r["n_shared"] for r in out.collect()} == shared and out.count() == len(shared)
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()  # pairs of subjects aren't moved to be counted
