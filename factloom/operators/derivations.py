@@ -18,7 +18,7 @@ from ..functions import confidence as conf
 from ..functions import traits
 from ..plans.ranks import numbered
 from ..sources import scratch
-from .derive import BEGINS, ENDS, head
+from .derive import BEGINS, ENDS, head, marked
 from .provenance import REINFORCE
 
 TRIPLE = ["s", "r", "o"]
@@ -27,6 +27,8 @@ KINDS = ("n_user", "n_other", "n_unknown", "n_induced")
 #: Cost of a link is in such parts of a natural logarithm; scores below the least count as it.
 UNIT, LEAST_SCORE = 1_000_000, 1e-9
 TREE = ("hops", "cost", "total", "depth", *KINDS)
+#: Marks of a fact's nodes, see ``derive.marked``.
+MARKS = ("starts", "goes_on")
 
 
 def certainty(hops: Column, cost: Column) -> Column:
@@ -46,17 +48,17 @@ def told(facts: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(s, r, o, mid, r1, r2, *TREE): what two facts in a row give, with the tree of both."""
-    a = left.where(F.col("r").isin(*BEGINS)).select("s", F.col("r").alias("r1"), F.col("o").alias("mid"), *[F.col(c).alias(f"a_{c}") for c in TREE])
-    b = right.where(F.col("r").isin(*ENDS)).select(F.col("s").alias("mid"), F.col("r").alias("r2"), "o", *[F.col(c).alias(f"b_{c}") for c in TREE])
+    """(s, r, o, mid, r1, r2, *TREE, *MARKS): what two facts in a row give, with the tree of both."""
+    a = left.where(F.col("goes_on") & F.col("r").isin(*BEGINS)).select("s", "starts", F.col("r").alias("r1"), F.col("o").alias("mid"), *[F.col(c).alias(f"a_{c}") for c in TREE])
+    b = right.where(F.col("starts") & F.col("r").isin(*ENDS)).select(F.col("s").alias("mid"), F.col("r").alias("r2"), "o", "goes_on", *[F.col(c).alias(f"b_{c}") for c in TREE])
     rows = a.join(b, "mid").where("s != o AND mid != o AND s != mid").where(F.coalesce(traits.inverse(F.col("r1")) != F.col("r2"), F.lit(True)))
     both = {c: F.col(f"a_{c}") + F.col(f"b_{c}") for c in TREE}
     both |= {"total": both["total"] + 1, "n_induced": both["n_induced"] + 1, "depth": F.greatest("a_depth", "b_depth") + 1}
-    return rows.withColumn("r", head(F.col("r1"), F.col("r2"), F.col("r1") == F.col("r2"))).where("r IS NOT NULL").select(*TRIPLE, "mid", "r1", "r2", *[both[c].alias(c) for c in TREE])
+    return rows.withColumn("r", head(F.col("r1"), F.col("r2"), F.col("r1") == F.col("r2"))).where("r IS NOT NULL").select(*TRIPLE, "mid", "r1", "r2", *[both[c].alias(c) for c in TREE], *MARKS)
 
 
 def _best(rows: DataFrame) -> DataFrame:
-    rest = ["mid", "r1", "r2", *TREE]
+    rest = ["mid", "r1", "r2", *TREE, *MARKS]
     return rows.groupBy(*TRIPLE).agg(F.min_by(F.struct(*rest), F.struct("hops", "cost", "mid", "r1", "r2")).alias("x")).select(*TRIPLE, *[f"x.{c}" for c in rest])
 
 
@@ -66,23 +68,25 @@ def closure(facts: DataFrame, records: DataFrame, rounds: int = 5) -> DataFrame:
     Rounds are synchronous and stored, and join only with what the last one added. A
     fact keeps the best derivation of the first round that gives it, so that
     premises are always of earlier rounds and explanations end. Denied and told
-    facts aren't derived.
+    facts aren't derived. Facts whose nodes aren't middles of chains aren't moved by
+    joins, nor those that no chain can give by the search for known ones.
     """
     positive = facts.where(~traits.is_negative(F.col("r")))
     denied = facts.where(traits.is_negative(F.col("r"))).select("s", traits.denegate(F.col("r")).alias("r"), "o").distinct()
     useful = F.col("r").isin(*(BEGINS | ENDS))
-    known = new = scratch.keep(told(positive.where(useful), records).drop("source"), "told")
+    known, given = marked(scratch.keep(told(positive.where(useful), records).drop("source"), "told"))
+    new = known
     old = added = None
     for k in range(1, rounds + 1):
         ways = _joined(new, known)
         if old is not None:
             ways = ways.unionByName(_joined(old, new))
-        fresh = _best(ways).join(known.select(*TRIPLE), TRIPLE, "left_anti").join(denied, TRIPLE, "left_anti")
+        fresh = _best(ways).join(known.where(F.col("r").isin(*given)).select(*TRIPLE), TRIPLE, "left_anti").join(denied, TRIPLE, "left_anti")
         step = scratch.keep(fresh.withColumn("round", F.lit(k)), "derived")
-        added = step if added is None else added.unionByName(step)
-        if step.isEmpty():
+        added = step.drop(*MARKS) if added is None else added.unionByName(step.drop(*MARKS))
+        if k == rounds or step.isEmpty():
             break
-        new, old = step.select(*TRIPLE, *TREE), known
+        new, old = step.select(*TRIPLE, *TREE, *MARKS), known
         known = known.unionByName(new)
     return added.withColumn("confidence", certainty(F.col("hops"), F.col("cost")))
 

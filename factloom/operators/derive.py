@@ -49,6 +49,29 @@ BEGINS = frozenset({*traits.TRANSITIVE, *(x for firsts, _ in traits.TRANSFERS fo
 ENDS = frozenset({*traits.TRANSITIVE, *(x for _, lasts in traits.TRANSFERS for x in lasts)})
 
 
+def heads(firsts, lasts) -> set[str]:
+    """The relations that ``head`` gives for chains of two of these relations."""
+    same = {a for a in firsts if a in lasts and a in traits.TRANSITIVE}
+    return same | {b for a in firsts for b in lasts if a in traits.LIFTING and any(a in xs and b in ys for xs, ys in traits.TRANSFERS)}
+
+
+def marked(facts: DataFrame) -> tuple[DataFrame, list[str]]:
+    """A kept table of facts (s, r, o) with ``starts`` and ``goes_on``: whether s and o are middles; and the relations of what chains over middles can give.
+
+    A middle is both a subject and an object. Induction adds no nodes, so what it adds
+    has its marks from its premises, and facts that aren't marked stay out of all joins.
+    """
+    node = facts.select(F.col("s").alias("node")).distinct()
+    middles = scratch.near(scratch.keep(facts.select(F.col("o").alias("node")).distinct().join(node, "node", "left_semi"), "middles"))
+    own = facts.join(middles.select(F.col("node").alias("s"), F.lit(True).alias("starts")), "s", "left").join(middles.select(F.col("node").alias("o"), F.lit(True).alias("goes_on")), "o", "left")
+    own = scratch.keep(own.select(*facts.columns, F.coalesce("starts", F.lit(False)).alias("starts"), F.coalesce("goes_on", F.lit(False)).alias("goes_on")), "marked")
+    kinds = own.where(_in(F.col("r"), BEGINS | ENDS)).select("r", "starts", "goes_on").distinct().collect()  # of fixed relations
+    firsts, lasts, out = {k["r"] for k in kinds if k["goes_on"]}, {k["r"] for k in kinds if k["starts"]}, set()
+    while more := heads((firsts | out) & BEGINS, (lasts | out) & ENDS) - out:
+        out |= more
+    return own, sorted(out)
+
+
 def two_hops(left: DataFrame, right: DataFrame) -> DataFrame:
     """Chains of two facts (s, r, o) that the gates of relations and cycles let through, with their head.
 

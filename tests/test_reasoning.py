@@ -317,3 +317,20 @@ def test_summaries_of_parts_of_names(spark):
     p = records(spark, ("a", "isa", "b", "web.site", 0.5), ("c", "isa", "d", "", 0.5))
     names = spark.createDataFrame([("site",), ("web.site",), ("x",), ("b.s",)], "name string")
     assert got(analytics.told_by(f, p, names), "name", "summary") == {("site", "a isa b."), ("web.site", "a isa b."), ("b.s", "a isa b.")}
+
+
+def test_closure_leaves_out_what_cannot_join(spark):
+    rows = [("o1", "partof", "c1"), ("c1", "locatedin", "n1"), ("n1", "locatedin", "w"), ("x", "memberof", "y"), ("y", "has", "z"), ("v", "isa", "x"), *[(f"o{k}", "kind", "low") for k in range(50)]]
+    f = facts(spark, *rows)
+    own, given = derive.marked(f.select(*TRIPLE))
+    assert given == ["has", "locatedin"]  # neither partof nor kind, which meet nothing, are searched again
+    assert got(own.where("starts OR goes_on"), "s") == {("o1",), ("c1",), ("n1",), ("x",), ("y",), ("v",)}
+    known = records(spark, ("o1", "partof", "c1", "user", 0.5))
+    assert got(derivations.closure(f, known), *TRIPLE) == got(derive.cascade(f), *TRIPLE) >= {("o1", "locatedin", "w"), ("x", "has", "z"), ("v", "has", "z")}
+
+
+def test_explain_carries_what_is_told_of_premises(spark):
+    how = spark.createDataFrame([("f", "a", "user"), ("f", "g", "induced"), ("g", "a", "user"), ("g", "f", "induced"), ("h", "g", "induced")], "fact string, premise string, source string")
+    roots = spark.createDataFrame([("h", "induced"), ("told", "user")], "root string, source string")
+    want = {("h", "h", 0, False, "induced"), ("h", "g", 1, False, "induced"), ("h", "a", 2, True, "user"), ("h", "f", 2, False, "induced"), ("told", "told", 0, True, "user")}
+    assert got(provenance.explain(how, roots), "root", "fact", "depth", "leaf", "source") == want
