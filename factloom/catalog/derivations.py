@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import derivations, provenance
 from ..oracle import _INV, _head, f, prov
 from ..plans import star
-from ..sources import scratch
 
 ROUNDS = 3
 BASE = ("O", "C", "N", "O2")
@@ -26,21 +25,24 @@ def cascade_derivations(spark, d):
 
 def explained_facts(spark, d):
     """The tree of premises of each induced fact, with the source of each node."""
-    derived = scratch.keep(_closure(spark, d), "closure")
+    derived = _closure(spark, d)
     key = derivations.key("s", "r", "o")
-    tree = provenance.explain(derivations.premises(derived), derived.select(key.alias("root")), 2 * ROUNDS)
-    leaves = derivations.told(star.facts(spark, d, *BASE), star.provenance(spark, d, *RECORDED)).select(key.alias("fact"), "source")
-    return tree.join(leaves.union(derived.select(key, F.lit("induced"))), "fact").select("root", "fact", "depth", "leaf", "source")
+    leaves = derivations.told(star.facts(spark, d, *BASE), star.provenance(spark, d, *RECORDED)).select(key.alias("premise"), "source")
+    sourced = derivations.premises(derived).join(leaves, "premise", "left").withColumn("source", F.coalesce("source", F.lit("induced")))
+    tree = provenance.explain(sourced, derived.select(key.alias("root"), F.lit("induced").alias("source")), 2 * ROUNDS)
+    return tree.select("root", "fact", "depth", "leaf", "source")
 
 
 def derivation_records(spark, d):
     """Records after the facts that induction adds were stored, half of them twice, and told facts told again."""
     step = "array<struct<s:string,r:string,o:string>>"
     old = star.provenance(spark, d, *RECORDED).withColumn("derivation", F.lit(None).cast(step))
-    made = scratch.keep(derivations.as_records(_closure(spark, d)), "records")
+    made = derivations.as_records(_closure(spark, d))
     told = lambda rows, source, confidence, ts, how: rows.select("s", "r", "o", F.lit(source).alias("source"), confidence.alias("confidence"), F.lit(float(ts)).alias("ts"), how.alias("derivation"))
-    again = made.where(F.length("s") % 2 == 0)
-    tells = told(made, "induced", F.col("confidence"), 2000, F.col("derivation")).union(told(again, "rule", F.lit(0.5), 2001, F.lit(None).cast(step))).union(told(old.where("count > 2"), "user", F.lit(0.9), 1500, F.lit(None).cast(step)))
+    tell = lambda source, confidence, ts, how: F.struct(F.lit(source).alias("source"), confidence.alias("confidence"), F.lit(float(ts)).alias("ts"), how.alias("derivation"))
+    first, again = tell("induced", F.col("confidence"), 2000, F.col("derivation")), tell("rule", F.lit(0.5), 2001, F.lit(None).cast(step))
+    both = made.select("s", "r", "o", F.explode(F.when(F.length("s") % 2 == 0, F.array(first, again)).otherwise(F.array(first))).alias("x"))  # both of a fact in one task, so they are added up before they move
+    tells = both.select("s", "r", "o", "x.*").union(told(old.where("count > 2"), "user", F.lit(0.9), 1500, F.lit(None).cast(step)))
     how = F.array_join(F.transform("derivation", lambda x: F.concat_ws("|", x["s"], x["r"], x["o"])), " & ")
     return derivations.recorded(old, tells).select("s", "r", "o", "source", F.round("confidence", 6).alias("confidence"), "count", "last_seen", how.alias("derivation"))
 

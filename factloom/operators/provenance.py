@@ -35,15 +35,24 @@ def pruned(facts: DataFrame, provenance: DataFrame, least: float = 0.1, few: int
 
 
 def explain(derivations: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
-    """(root, fact, depth, leaf) of derivations (fact, premise): the tree below each root, each fact at its least depth."""
-    front = scratch.keep(roots.select("root").distinct().withColumn("fact", F.col("root")), "front")
-    seen = front.withColumn("depth", F.lit(0))
-    step = scratch.keep(derivations.select("fact", "premise").distinct(), "edges")
+    """(root, fact, depth, leaf) of derivations (fact, premise): the tree below each root, each fact at its least depth.
+
+    Leaves are told apart once, on the derivations, and nothing is looked for below
+    them. Further columns of derivations tell of the premise and are kept; roots have them too.
+    """
+    more = [c for c in derivations.columns if c not in ("fact", "premise")]
+    edges = derivations.select("fact", "premise", *more)
+    inner = edges.select("fact").distinct()
+    is_leaf = F.coalesce("leaf", F.lit(True)).alias("leaf")
+    step = scratch.keep(edges.join(inner.select(F.col("fact").alias("premise"), F.lit(False).alias("leaf")), "premise", "left").select("fact", "premise", *more, is_leaf), "edges")
+    top = roots.select(F.col("root").alias("fact"), *more).distinct().join(inner.withColumn("leaf", F.lit(False)), "fact", "left")
+    rows = scratch.keep(top.select(F.col("fact").alias("root"), "fact", *more, is_leaf), "front")
+    seen, above = rows.withColumn("depth", F.lit(0)), rows.where("NOT leaf").select("root", "fact")
     for d in range(1, depth + 1):
-        new = front.join(step, "fact").select("root", F.col("premise").alias("fact")).distinct()
-        front = scratch.keep(new.join(seen.select("root", "fact"), ["root", "fact"], "left_anti"), "front")
-        if front.isEmpty():
+        new = rows.where("NOT leaf").select("root", "fact").join(step, "fact").select("root", F.col("premise").alias("fact"), *more, "leaf")
+        inside = new.where("NOT leaf").distinct().join(above, ["root", "fact"], "left_anti")
+        rows = scratch.keep(new.where("leaf").union(inside), "front")
+        if rows.isEmpty():
             break
-        seen = seen.union(front.withColumn("depth", F.lit(d)))
-    inner = step.select("fact", F.lit(False).alias("leaf")).distinct()
-    return seen.join(inner, "fact", "left").select("root", "fact", "depth", F.coalesce("leaf", F.lit(True)).alias("leaf"))
+        seen, above = seen.unionByName(rows.withColumn("depth", F.lit(d))), above.union(rows.where("NOT leaf").select("root", "fact"))
+    return seen.groupBy("root", "fact").agg(F.min("depth").alias("depth"), F.first("leaf").alias("leaf"), *[F.first(c).alias(c) for c in more])
