@@ -170,8 +170,9 @@ def instances(facts: DataFrame, rules: list[Rule]) -> DataFrame:
         found = one if found is None else found.unionByName(one)
     if found is None:
         raise ValueError("no rule has a sound body of two relations or more")
-    first = found.groupBy(*TRIPLE).agg(F.min_by(F.struct("rule", "prior", "seqs", "nodes"), F.struct("rule", "seqs", "nodes")).alias("x")).select(*TRIPLE, "x.*")
-    stored = own.select(*TRIPLE)
+    dealt = found.repartition(*TRIPLE)  # few rows of a body give the same, so they are sorted once, after they have moved
+    first = dealt.groupBy(*TRIPLE).agg(F.min_by(F.struct("rule", "prior", "seqs", "nodes"), F.struct("rule", "seqs", "nodes")).alias("x")).select(*TRIPLE, "x.*")
+    stored = own.where(F.col("r").isin(*{h for _, h, _ in rules})).select(*TRIPLE)  # what a rule gives has its head
     denials = own.where(traits.is_negative(F.col("r"))).select("s", traits.denegate(F.col("r")).alias("r"), "o", F.lit(1).alias("denied"))
     tried = first.join(stored, TRIPLE, "left_anti").join(denials, TRIPLE, "left").withColumn("denied", F.coalesce("denied", F.lit(0)))
     placed = scratch.keep(numbered(tried, "rule", "seqs", *TRIPLE, sums={"failed": "denied"}), "tries")
