@@ -61,8 +61,11 @@ def in_order(facts: DataFrame, candidates: DataFrame, rounds: int = 3) -> DataFr
     base, denied = _base(facts)
     told = base.withColumn("v", F.lit(0).cast("long")).union(candidates.select(*TRIPLE, F.col("candidate").cast("long")))
     known = new = scratch.keep(told.groupBy(*TRIPLE).agg(F.min("v").alias("v")).withColumn("told", F.lit(True)), "told")
-    for _ in range(rounds):
-        ways = _ways(new, known, False).union(_ways(known, new, False)).groupBy(*TRIPLE).agg(F.min("v").alias("v"))
+    for k in range(rounds):
+        ways = _ways(new, known, False)
+        if k:  # at first both are all facts
+            ways = ways.union(_ways(known, new, False))
+        ways = ways.groupBy(*TRIPLE).agg(F.min("v").alias("v"))
         both = ways.join(known.withColumnRenamed("v", "was"), TRIPLE, "left").join(denied, TRIPLE, "left_anti")
         new = scratch.keep(both.where("was IS NULL OR v < was").select(*TRIPLE, "v", F.coalesce("told", F.lit(False)).alias("told")), "better")
         if new.isEmpty():
