@@ -74,7 +74,7 @@ def beam_search(ways: DataFrame, probes: DataFrame, depth: int = 4, width: int =
     for k in range(1, depth + 1):
         grown = front.withColumnRenamed("cost", "c0").withColumnRenamed("priority", "p0").join(ways, "at").where(~F.array_contains("nodes", F.col("o")))
         grown = grown.select("probe", "goal", F.col("o").alias("at"), (F.col("c0") + F.col("cost")).alias("cost"), (F.col("p0") + F.col("priority")).alias("priority"), F.array_append("relations", F.col("r")).alias("relations"), F.array_append("nodes", F.col("o")).alias("nodes"))
-        grown = scratch.keep(grown, "grown")
+        grown = scratch.keep(grown if k < depth else grown.where("at = goal"), "grown")  # what isn't there after the last link is nobody's
         hits = grown.where("at = goal").groupBy("probe", "relations").agg(F.min_by(F.struct("cost", "nodes"), F.struct("cost", "nodes")).alias("x"))
         hits = hits.select("probe", "relations", "x.nodes", F.lit(k).alias("hops"), "x.cost", _sure(k, F.col("x.cost")).alias("confidence"))
         found = scratch.keep((hits if found is None else found.unionByName(hits)).withColumn("rank", F.row_number().over(W.partitionBy("probe").orderBy(F.desc("confidence"), "hops", "relations"))).where(F.col("rank") <= top).drop("rank"), "found")
