@@ -69,10 +69,14 @@ def ring(item, values: tuple[str, ...], step: int):
 
 
 def successors(texts: DataFrame, key: str, words, order: int = 2, top: int = 3) -> DataFrame:
-    """(context, next, n, rank): what follows so many words, most frequent first."""
+    """(context, next, n, rank): what follows so many words, most frequent first.
+
+    Rows are dealt by context once, for the counts and for the ranks: most are seen
+    once, so that adding them up before they move would hardly make them fewer.
+    """
     at = texts.select(key, words.alias("w")).where(F.size("w") > order)
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - order), lambda i: F.struct(F.array_join(F.slice("w", i, order), " ").alias("context"), F.element_at("w", i + order).alias("next")))
-    n = at.select(F.explode(grams).alias("g")).groupBy("g.context", "g.next").agg(F.count("*").alias("n"))
+    n = at.select(F.explode(grams).alias("g")).select("g.context", "g.next").repartition("context").groupBy("context", "next").agg(F.count("*").alias("n"))
     return n.withColumn("rank", F.row_number().over(W.partitionBy("context").orderBy(F.desc("n"), "next"))).where(F.col("rank") <= top)
 
 

@@ -222,3 +222,10 @@ def test_siblings_make_pairs_last(spark):
                 shared[s, t] = shared.get((s, t), 0) + 1
     assert {(r["s"], r["sibling"]): r["n_shared"] for r in out.collect()} == shared and out.count() == len(shared)
     assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()  # pairs of subjects aren't moved to be counted
+
+
+def test_successors_are_dealt_once(spark):
+    texts = spark.createDataFrame([(1, ["a", "b", "c", "a", "b", "d", "a", "b", "d"]), (2, ["a"])], "id long, w array<string>")
+    out = episodes.successors(texts, "id", F.col("w"), 2, 2)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert ("a b", "d", 2, 1) in got(out, "context", "next", "n", "rank") and ("a b", "c", 1, 2) in got(out, "context", "next", "n", "rank")
