@@ -376,6 +376,20 @@ def test_near_passages_are_found_as_brute_force_finds_them(spark):
     assert not [i for i in found if i >= clean]
 
 
+def test_passages_around_a_line_of_all_texts(spark):
+    """Passages that differ only beside a line that all texts have are no neighbours in its runs, and yet all are found."""
+    rng = random.Random(2)
+    words = lambda n: [f"w{rng.randrange(20000)}" for _ in range(n)]
+    line, texts = words(44), []
+    for _ in range(100):
+        own = words(4) + line + words(4)
+        texts += [" ".join(words(60) + own + words(60)) for _ in range(2)]
+    found = {}
+    for r in passages.repeated_passages(table(spark, texts)).collect():
+        found.setdefault(r["doc_id"], set()).add(r["class_id"])
+    assert all(found.get(i, set()) & found.get(i + 1, set()) for i in range(0, 200, 2))
+
+
 def test_compact_windows_stand_for_all_stretches():
     rng = np.random.default_rng(2)
     tokens = np.append(rng.integers(0, 40, 150).astype(np.uint64), np.uint64(0))
