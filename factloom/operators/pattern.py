@@ -100,15 +100,29 @@ def infer(facts: DataFrame, probes: DataFrame, depth: int = 3, inherit: tuple[st
 
 
 def boolean(facts: DataFrame, probes: DataFrame, depth: int = 5) -> DataFrame:
-    """(probe, verdict, how) of probes (probe, s, r, o): true, false or null."""
+    """(probe, verdict, how) of probes (probe, s, r, o): true, false or null.
+
+    Steps are stored, each in tasks of so many rows, and what holds of a probe is
+    gathered by one aggregate, so that no task sorts for several joins at once.
+    """
+    spark = probes.sparkSession
+    with scratch.dealt(spark, facts.count()):
+        probes = scratch.keep(probes, "probes")
+    with scratch.dealt(spark, facts.count() + probes.count()):
+        return scratch.keep(_boolean(facts, probes, depth), "verdicts")
+
+
+def _boolean(facts: DataFrame, probes: DataFrame, depth: int) -> DataFrame:
     isa = probes.where(F.col("r").isin("isa", "kind", "category"))
     up = ancestors(facts, isa, depth, ("isa", "kind", "category")).select("s", F.col("ancestor").alias("o"))
-    member = isa.join(up, ["s", "o"], "left_semi").select("probe", F.lit(True).alias("member"))
-    direct = probes.join(facts.select("s", "r", "o").distinct(), ["s", "r", "o"], "left_semi").select("probe", F.lit(True).alias("direct"))
-    other = probes.where(F.col("r").isin(*traits.SINGLE_VALUED)).join(answers(facts).select("s", "r"), ["s", "r"], "left_semi").select("probe", F.lit(True).alias("other"))
-    inferred = infer(facts, probes.select("probe", "s", "r")).select("probe", F.col("answer").alias("inferred"))
-    out = probes.select("probe", "o").join(member, "probe", "left").join(direct, "probe", "left").join(other, "probe", "left").join(inferred, "probe", "left")
-    how = F.when(F.col("member"), "isa-transitive").when(F.col("direct"), "direct").when(F.col("other"), "contradicted").when(F.col("inferred") == F.col("o"), "inferred")
+    member = isa.join(up, ["s", "o"], "left_semi").select("probe", F.lit(0).alias("mark"))
+    direct = probes.join(facts.select("s", "r", "o").distinct(), ["s", "r", "o"], "left_semi").select("probe", F.lit(1).alias("mark"))
+    other = probes.where(F.col("r").isin(*traits.SINGLE_VALUED)).join(answers(facts).select("s", "r"), ["s", "r"], "left_semi").select("probe", F.lit(2).alias("mark"))
+    first = scratch.keep(member.union(direct).union(other).groupBy("probe").agg(F.min("mark").alias("mark")), "marks")
+    inferred = scratch.keep(infer(facts, probes.select("probe", "s", "r")).select("probe", F.col("answer").alias("inferred")), "inferred")
+    out = probes.select("probe", "o").join(first, "probe", "left").join(inferred, "probe", "left")
+    mark = F.col("mark")
+    how = F.when(mark == 0, "isa-transitive").when(mark == 1, "direct").when(mark == 2, "contradicted").when(F.col("inferred") == F.col("o"), "inferred")
     return out.select("probe", F.when(how == "contradicted", False).when(how.isNotNull(), True).alias("verdict"), how.alias("how"))
 
 

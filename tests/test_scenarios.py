@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import confidence, text
 from factloom.operators import analytics, beliefs, calibrate, chains, derive, episodes, pattern, provenance, sets, writing
-from factloom.sources import triples
+from factloom.sources import scratch, triples
 from factloom.streaming import twins
 
 
@@ -229,3 +229,16 @@ def test_successors_are_dealt_once(spark):
     out = episodes.successors(texts, "id", F.col("w"), 2, 2)
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert ("a b", "d", 2, 1) in got(out, "context", "next", "n", "rank") and ("a b", "c", 1, 2) in got(out, "context", "next", "n", "rank")
+
+
+def test_verdicts_in_many_small_tasks(spark, monkeypatch):
+    """Verdicts are the same in tasks of few rows, and stored, so that no task sorts for all their joins at once."""
+    f = spark.createDataFrame([(k, f"p{k}", "isa", "tool") for k in range(30)] + [(100 + k, f"p{k}", "size", "small") for k in range(30)], "seq long, s string, r string, o string")
+    asked = f.select("s", "r", "o").union(f.where("r = 'size'").select("s", "r", F.lit("huge"))).select(F.concat_ws("|", "s", "r", "o").alias("probe"), "s", "r", "o")
+    whole = pattern.boolean(f, asked)
+    assert "Join" not in whole._jdf.queryExecution().toString()
+    monkeypatch.setattr(scratch, "ROWS", 7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert sorted(map(tuple, pattern.boolean(f, asked).collect())) == sorted(map(tuple, whole.collect()))
+    assert whole.groupBy("verdict").count().collect() and whole.where("verdict").count() == 60 and whole.where("NOT verdict").count() == 30
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
