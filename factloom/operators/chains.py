@@ -146,6 +146,8 @@ def round_trip(facts: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
 
 def beliefs_and_truth(beliefs: DataFrame, facts: DataFrame) -> DataFrame:
     """(b, s, r, o, truth, agrees): what each believer holds beside the stored answer."""
+    beliefs = scratch.keep(beliefs, "beliefs")
+    beliefs = beliefs.repartition(scratch.shares(beliefs.sparkSession, beliefs.count()), "s", "r")
     return beliefs.join(answers(facts).select("s", "r", F.col("answer").alias("truth")), ["s", "r"], "left").select("b", "s", "r", "o", "truth", F.col("o").eqNullSafe(F.col("truth")).alias("agrees"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 #: seq is the table's rank times this, plus the key.
 STEP = 10**17
 #: Upper bounds of p_size for each size.
@@ -84,9 +86,11 @@ def provenance(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 
 
 def beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(b, s, r, o): what suppliers hold of parts."""
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.select(F.lower("s_name").alias("b"), _tag("part", "l_partkey").alias("s"), F.lit("madeof").alias("r"), F.concat(F.lit("brand#"), ((F.col("l_partkey") + F.col("l_suppkey")) % 25 + 1).cast("string")).alias("o")).distinct()
+    """(b, s, r, o): what suppliers hold of parts; rows are dealt once, by subject, to tasks of so many rows."""
+    lines, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    rows = lines.join(scratch.near(supplier), F.col("l_suppkey") == F.col("s_suppkey"))
+    held = rows.select(F.lower("s_name").alias("b"), _tag("part", "l_partkey").alias("s"), F.lit("madeof").alias("r"), F.concat(F.lit("brand#"), ((F.col("l_partkey") + F.col("l_suppkey")) % 25 + 1).cast("string")).alias("o"))
+    return held.repartition(scratch.shares(spark, lines.count()), "s").distinct()
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:

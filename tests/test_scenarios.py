@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 
 from factloom.functions import confidence, text
 from factloom.operators import analytics, beliefs, calibrate, chains, derive, episodes, pattern, provenance, sets, writing
+from factloom.plans import star
 from factloom.sources import scratch, triples
 from factloom.streaming import twins
 
+from .conftest import SF
+
 
 def facts(spark, *rows):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq long, s string, r string, o string")
@@ -231,6 +234,17 @@ def test_successors_are_dealt_once(spark):
     assert ("a b", "d", 2, 1) in got(out, "context", "next", "n", "rank") and ("a b", "c", 1, 2) in got(out, "context", "next", "n", "rank")
 
 
+def test_beliefs_in_many_small_tasks(spark, monkeypatch):
+    """What suppliers hold is dealt to tasks of so many rows, at first and when it is joined with what is stored."""
+    held = star.beliefs(spark, SF)
+    whole = sorted(map(tuple, chains.beliefs_and_truth(held, star.facts(spark, SF, "P2")).collect()))
+    monkeypatch.setattr(scratch, "ROWS", 500)
+    few = star.beliefs(spark, SF)
+    assert few.rdd.getNumPartitions() == -(-star.table(spark, SF, "lineitem").count() // 500)
+    out = chains.beliefs_and_truth(few, star.facts(spark, SF, "P2"))
+    assert out.rdd.getNumPartitions() == -(-held.count() // 500) and sorted(map(tuple, out.collect())) == whole
+
+
 def test_verdicts_in_many_small_tasks(spark, monkeypatch):
     """Verdicts are the same in tasks of few rows, and stored, so that no task sorts for all their joins at once."""
     f = spark.createDataFrame([(k, f"p{k}", "isa", "tool") for k in range(30)] + [(100 + k, f"p{k}", "size", "small") for k in range(30)], "seq long, s string, r string, o string")
