@@ -95,14 +95,16 @@ def consolidated(facts: DataFrame, records: DataFrame, seen: DataFrame, support:
 
 def decisions(facts: DataFrame, probes: DataFrame) -> DataFrame:
     """(probe, s, r, state, top, score, n_values, base) of probes (probe, s, r): the answers to them, and the hash of the base that gave them."""
-    answered = pattern.epistemic(facts, probes).join(probes, "probe")
-    base = analytics.state_hash(facts).select(F.col("hash").alias("base"))  # one row
-    return answered.crossJoin(F.broadcast(base)).select("probe", "s", "r", "state", "top", "score", "n_values", "base")
+    with scratch.dealt(probes.sparkSession, facts.count() + probes.count()):
+        said = scratch.keep(pattern.epistemic(facts, probes), "said")
+        base = analytics.state_hash(facts).select(F.col("hash").alias("base"))  # one row
+        return scratch.keep(said.join(probes, "probe").crossJoin(F.broadcast(base)).select("probe", "s", "r", "state", "top", "score", "n_values", "base"), "decisions")
 
 
 def replayed(records: DataFrame, facts: DataFrame) -> DataFrame:
     """(probe, verdict) of records of decisions: "verified" or "diverged" by the answers that facts give now, or "state mismatch" if the base is another."""
     now = decisions(facts, records.select("probe", "s", "r"))
+    now = now.repartition(scratch.shares(now.sparkSession, now.count()), "probe")
     both = records.join(now.select("probe", F.col("state").alias("_state"), F.col("top").alias("_top"), F.col("base").alias("_base")), "probe")
     same = F.col("state").eqNullSafe(F.col("_state")) & F.col("top").eqNullSafe(F.col("_top"))
     return both.select("probe", F.when(F.col("base") != F.col("_base"), "state mismatch").when(same, "verified").otherwise("diverged").alias("verdict"))

@@ -155,3 +155,16 @@ def test_clean_up_in_blocks(spark, monkeypatch):
         s = w @ q[k] / n / np.linalg.norm(q[k])
         own = [(r["symbol"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query"] == k]
         assert [x for x, _ in own] == [f"w{i:02}" for i in np.argsort(-s)[:3]] and np.allclose([x for _, x in own], np.sort(s)[::-1][:3])
+
+
+def test_decisions_in_many_small_tasks(spark, monkeypatch):
+    """Decisions are stored step by step, and replayed in tasks of so many records."""
+    from factloom.sources import scratch
+
+    f = spark.createDataFrame([(k, f"c{k}", "locatedin", f"n{k % 3}") for k in range(40)], "seq long, s string, r string, o string")
+    monkeypatch.setattr(scratch, "ROWS", 4)
+    records = upkeep.decisions(f, f.selectExpr("s AS probe", "s", "r"))
+    assert "Join" not in records._jdf.queryExecution().toString()
+    out = upkeep.replayed(records, f)
+    assert [(r["verdict"], r["count"]) for r in out.groupBy("verdict").count().collect()] == [("verified", 40)]
+    assert records.where("state = 'known'").count() == 40
