@@ -390,6 +390,19 @@ def test_passages_around_a_line_of_all_texts(spark):
     assert all(found.get(i, set()) & found.get(i + 1, set()) for i in range(0, 200, 2))
 
 
+def test_passages_a_short_line_of_all_texts_makes_no_links(spark, monkeypatch):
+    """Windows meet around a line of 30 words, but what is beside it is of one text, so that no pair of texts is joined for it."""
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, rest, given = words(30), passages.rest_links, []
+    pair = words(60)
+    texts = [" ".join(words(60) + line + words(60) + (pair if i < 2 else [])) for i in range(120)]
+    monkeypatch.setattr(passages, "rest_links", lambda *args: given.append(rest(*args)) or given[0])
+    found = passages.repeated_passages(table(spark, texts)).collect()
+    assert sorted(r["doc_id"] for r in found) == [0, 1]
+    assert len(given) == 1 and (given[0] is None or given[0].count() < 120)
+
+
 def test_compact_windows_stand_for_all_stretches():
     rng = np.random.default_rng(2)
     tokens = np.append(rng.integers(0, 40, 150).astype(np.uint64), np.uint64(0))
