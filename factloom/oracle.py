@@ -211,7 +211,7 @@ def oracle_sql() -> dict[str, str]:
         "SELECT r1, r2, k AS \"both\", x.n - k AS only1, y.n - k AS only2, round(k / (x.n + y.n - k), 6) AS jaccard FROM p JOIN n x ON x.r = r1 JOIN n y ON y.r = r2 WHERE k >= 2"
     )
     out["similar_entities"] = (
-        f"WITH d AS (SELECT DISTINCT s, r, o FROM {f('P2', 'P3')}), q AS (SELECT s FROM {f('P')}), p AS (SELECT a.s, b.s AS other, count(*) AS overlap FROM d a JOIN d b ON a.r = b.r AND a.o = b.o AND a.s <> b.s WHERE a.s IN (SELECT s FROM q) GROUP BY 1, 2 HAVING count(*) >= 2) "
+        f"WITH d AS (SELECT DISTINCT s, r, o FROM {f('P2', 'P3')}), q AS (SELECT s FROM {f('P')}), p AS (SELECT a.s, b.s AS other, count(*) AS overlap FROM d a JOIN d b ON a.r = b.r AND a.o = b.o AND a.s <> b.s WHERE a.s IN (SELECT s FROM q) GROUP BY 1, 2) "
         "SELECT s, other, overlap, round(overlap / (4 - overlap), 6) AS jaccard, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY overlap DESC, other) AS rank FROM p) WHERE rank <= 10"
     )
     out["subject_importance"] = (

@@ -445,7 +445,7 @@ def relation_cooccurrence(spark, d):
 
 @query
 def similar_entities(spark, d):
-    return analytics.similar(star.facts(spark, d, "P2", "P3"), star.facts(spark, d, "P"), least=2).withColumn("jaccard", _r6("jaccard"))
+    return analytics.similar(star.facts(spark, d, "P2", "P3"), star.facts(spark, d, "P")).withColumn("jaccard", _r6("jaccard"))
 
 
 @query

@@ -256,3 +256,18 @@ def test_verdicts_in_many_small_tasks(spark, monkeypatch):
     assert sorted(map(tuple, pattern.boolean(f, asked).collect())) == sorted(map(tuple, whole.collect()))
     assert whole.groupBy("verdict").count().collect() and whole.where("verdict").count() == 60 and whole.where("NOT verdict").count() == 30
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_similar_subjects_may_share_one_fact(spark):
+    """Parts have two facts each; others that share only one of them are similar too."""
+    from factloom import registry
+
+    parts = {r["p_partkey"]: {("b", r["p_brand"]), ("s", min(-(-max(r["p_size"], 1) // 10), 5))} for r in star.table(spark, SF, "part").collect()}
+    got = {}
+    for r in registry.similar_entities(spark, SF).collect():
+        got.setdefault(r["s"], []).append((r["rank"], r["overlap"], r["other"]))
+    names = {f"part#{k}": x for k, x in parts.items()}
+    for s, own in names.items():
+        near = sorted((-len(own & x), t) for t, x in names.items() if t != s and own & x)[:10]
+        assert sorted(got[s]) == [(k + 1, -n, t) for k, (n, t) in enumerate(near)]
+    assert {n for x in got.values() for _, n, _ in x} == {1, 2}
