@@ -56,7 +56,7 @@ def _ruled(spark, d):
 def rule_attempts(spark, d):
     """What two rules give, denied tries among them, each with the confidence that its rule has by then."""
     rules = [(["has", "madeof"], "madeof", 0.9), (["partof", "locatedin"], "locatedin", 0.6), (["partof", "haspart"], "kind", 0.5)]
-    out = derivations.instances(_ruled(spark, d), rules)
+    out = derivations.instances(_ruled(spark, d), rules, nodes=False)
     return out.select("s", "r", "o", "rule", "denied", "attempt", F.round("confidence", 6).alias("confidence"))
 
 

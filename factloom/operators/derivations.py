@@ -150,37 +150,57 @@ def bindings(steps: list[DataFrame]) -> DataFrame:
     return out.select(*[f"n{k}" for k in range(n + 1)], F.array(*[f"q{k}" for k in range(n)]).alias("seqs"))
 
 
-def instances(facts: DataFrame, rules: list[Rule]) -> DataFrame:
+def _tried(own: DataFrame, first: DataFrame, rules: list[Rule], nodes: bool) -> DataFrame:
+    """(s, r, o, rule, seqs, nodes, denied): what rules give from facts of ``first`` on, unless first has it."""
+    found = None
+    for k, (body, head_, _) in enumerate(rules):
+        if not sound(body):
+            continue
+        rows = bindings([(own if j else first).where(F.col("r") == r).select("seq", "s", "o") for j, r in enumerate(body)])
+        between = [F.array(*[f"n{j}" for j in range(len(body) + 1)]).alias("nodes")] * nodes
+        one = rows.select(F.col("n0").alias("s"), F.lit(head_).alias("r"), F.col(f"n{len(body)}").alias("o"), F.lit(k).alias("rule"), "seqs", *between)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        raise ValueError("no rule has a sound body of two relations or more")
+    dealt = found.repartition(*TRIPLE)  # few rows of a body give the same, so they are sorted once, after they have moved
+    best = F.struct("rule", "seqs", *["nodes"] * nodes)
+    tried = dealt.groupBy(*TRIPLE).agg(F.min(best).alias("x")).select(*TRIPLE, "x.*")
+    stored = first.where(F.col("r").isin(*{h for _, h, _ in rules})).select(*TRIPLE)  # what a rule gives has its head
+    denials = first.where(traits.is_negative(F.col("r"))).select("s", traits.denegate(F.col("r")).alias("r"), "o", F.lit(1).alias("denied"))
+    return tried.join(stored, TRIPLE, "left_anti").join(denials, TRIPLE, "left").withColumn("denied", F.coalesce("denied", F.lit(0)))
+
+
+#: Facts that are bound to rules at once, by their subjects, so that what is shuffled for them doesn't grow with the input.
+SLICE = 20_000_000
+
+
+def instances(facts: DataFrame, rules: list[Rule], nodes: bool = True) -> DataFrame:
     """(s, r, o, rule, nodes, denied, attempt, confidence): what rules (body, head, confidence) give, each with the confidence its rule has by then.
 
     A rule's tries are taken in the order of the facts they begin with. A denied one
     fails; the rule's confidence before a try is (successes + 1) / (tries + 2), and
     its own before the first. Stored facts aren't tried. What several rules give is
     the first rule's. Tries are numbered by ranges, so one rule may have most rows.
+    Subjects are taken in slices of about SLICE facts, one after another; nodes can be left out.
     """
     used = {r for body, h, _ in rules for r in (*body, h, traits.NOT + h)}
     own = scratch.keep(facts.where(F.col("r").isin(*used)).groupBy(*TRIPLE).agg(F.min("seq").alias("seq")), "facts")
-    found = None
-    for k, (body, head_, prior) in enumerate(rules):
-        if not sound(body):
-            continue
-        rows = bindings([own.where(F.col("r") == r).select("seq", "s", "o") for r in body])
-        nodes = F.array(*[f"n{j}" for j in range(len(body) + 1)])
-        one = rows.select(F.col("n0").alias("s"), F.lit(head_).alias("r"), F.col(f"n{len(body)}").alias("o"), F.lit(k).alias("rule"), F.lit(prior).alias("prior"), "seqs", nodes.alias("nodes"))
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        raise ValueError("no rule has a sound body of two relations or more")
-    dealt = found.repartition(*TRIPLE)  # few rows of a body give the same, so they are sorted once, after they have moved
-    first = dealt.groupBy(*TRIPLE).agg(F.min_by(F.struct("rule", "prior", "seqs", "nodes"), F.struct("rule", "seqs", "nodes")).alias("x")).select(*TRIPLE, "x.*")
-    stored = own.where(F.col("r").isin(*{h for _, h, _ in rules})).select(*TRIPLE)  # what a rule gives has its head
-    denials = own.where(traits.is_negative(F.col("r"))).select("s", traits.denegate(F.col("r")).alias("r"), "o", F.lit(1).alias("denied"))
-    tried = first.join(stored, TRIPLE, "left_anti").join(denials, TRIPLE, "left").withColumn("denied", F.coalesce("denied", F.lit(0)))
-    placed = scratch.keep(numbered(tried, "rule", "seqs", *TRIPLE, sums={"failed": "denied"}), "tries")
+    n = -(-own.count() // SLICE)
+    if n > 1:
+        whole, own = own, scratch.keep(own.withColumn("slice", F.pmod(F.xxhash64("s"), F.lit(n))), "facts", by=("slice",))
+        scratch.drop(whole)
+        parts = kept = [scratch.keep(_tried(own.drop("slice"), own.where(F.col("slice") == i).drop("slice"), rules, nodes), "tried") for i in range(n)]
+        scratch.drop(own)
+    else:
+        parts, kept = [_tried(own, own, rules, nodes)], [own]
+    placed = numbered(reduce(DataFrame.unionByName, parts), "rule", "seqs", *TRIPLE, sums={"failed": "denied"})
+    scratch.drop(*kept)
     begins = placed.groupBy("rule").agg(F.min("place").alias("p0"), F.min("failed").alias("f0"))
+    begins = begins.withColumn("prior", F.element_at(F.array(*[F.lit(float(prior)) for *_, prior in rules]), F.col("rule") + 1))
     rows = placed.join(F.broadcast(begins), "rule").withColumn("attempt", F.col("place") - F.col("p0"))  # a row for each rule, which the driver gave
     passed = F.col("attempt") - (F.col("failed") - F.col("f0"))
     running = F.when(F.col("attempt") == 0, F.col("prior")).otherwise((passed + 1) / (F.col("attempt") + 2))
-    return rows.select(*TRIPLE, "rule", "nodes", (F.col("denied") > 0).alias("denied"), "attempt", running.alias("confidence"))
+    return rows.select(*TRIPLE, "rule", *["nodes"] * nodes, (F.col("denied") > 0).alias("denied"), "attempt", running.alias("confidence"))
 
 
 def rule_rounds(facts: DataFrame, rules: list[tuple[list[str], str]], rounds: int = 4) -> DataFrame:

@@ -71,6 +71,34 @@ def test_rules_run_with_the_confidence_they_have(spark):
         derivations.instances(facts(spark, *rows), [(["in", "in"], "far", 0.5)])
 
 
+def test_rules_are_tried_in_slices(spark, monkeypatch, tmp_path):
+    """Slices of subjects give what all facts give at once; of what was stored for it only the tries are left, and what was shuffled goes."""
+    from factloom.sources import scratch
+
+    rows = [(f"x{i}", "in", f"m{i % 7}") for i in range(60)] + [(f"m{i}", "of", f"e{i % 3}") for i in range(7)] + [(f"x{i}", "not_far", f"e{(i % 7) % 3}") for i in range(0, 60, 4)] + [("x1", "far", "e1")]
+    f, rules = facts(spark, *rows), [(["in", "of"], "far", 0.7), (["of", "in"], "near", 0.4)]
+    whole = sorted(map(tuple, derivations.instances(f, rules).collect()))
+    monkeypatch.setattr(scratch, "folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(derivations, "SLICE", 20)
+    out = derivations.instances(f, rules)
+    assert {p.name.partition("-")[0] for p in tmp_path.iterdir()} == {"ranges"}
+    assert len(whole) == 59 and sorted(map(tuple, out.collect())) == whole
+    bare = derivations.instances(f, rules, nodes=False)
+    assert "nodes" not in bare.columns and sorted(map(tuple, bare.collect())) == sorted(map(tuple, out.drop("nodes").collect()))
+
+
+def test_running_sums_are_made_as_rows_are_stored(spark):
+    """Rows are dealt to ranges once: places and sums need no second exchange of all rows."""
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("v"))
+    out = ranks.numbered(df, "k", sums={"upto": "v"})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") == 1 and "_range" in plan and out.columns == ["k", "v", "place", "upto"]
+    total = 0
+    for i, r in enumerate(sorted(out.collect())):
+        assert (r["k"], r["place"], r["upto"]) == (i, i, total)
+        total += r["v"] or 0
+
+
 def test_beam_is_linear_on_hubs(spark):
     spokes = [(f"n{i}", "isa", "hub") for i in range(400)] + [(f"n{i}", "madeof", f"m{i % 40}") for i in range(400)] + [("n7", "near", "n8"), ("n8", "size", "goal"), ("m3", "size", "goal")]
     f = facts(spark, *spokes)
