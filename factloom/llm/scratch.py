@@ -1,5 +1,5 @@
 """Tables that cut lineage, in the folder that the cluster shares."""
 
-from ..sources.scratch import BATCH, batches, folder, keep, near, small
+from ..sources.scratch import BATCH, batches, drop, folder, keep, near, small
 
-__all__ = ["BATCH", "batches", "folder", "keep", "near", "small"]
+__all__ = ["BATCH", "batches", "drop", "folder", "keep", "near", "small"]

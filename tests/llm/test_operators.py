@@ -403,6 +403,25 @@ def test_passages_a_short_line_of_all_texts_makes_no_links(spark, monkeypatch):
     assert len(given) == 1 and (given[0] is None or given[0].count() < 120)
 
 
+def test_passages_leave_two_tables(spark, monkeypatch, tmp_path):
+    """What is stored on the way goes when nothing reads it any more; the result reads the texts' fingerprints and the passages."""
+    from factloom.sources import scratch
+
+    rng = random.Random(2)
+    words = lambda n: [f"w{rng.randrange(20000)}" for _ in range(n)]
+    line, texts = words(44), []
+    for _ in range(12):
+        own = words(4) + line + words(4)
+        texts += [" ".join(words(60) + own + words(60)) for _ in range(2)]
+    monkeypatch.setattr(scratch, "folder", lambda spark: str(tmp_path))
+    found = passages.repeated_passages(table(spark, texts))
+    assert {p.name.partition("-")[0] for p in tmp_path.iterdir()} == {"texts", "final"}
+    classes = {}
+    for r in found.collect():
+        classes.setdefault(r["doc_id"], set()).add(r["class_id"])
+    assert all(classes.get(i, set()) & classes.get(i + 1, set()) for i in range(0, 24, 2))
+
+
 def test_compact_windows_stand_for_all_stretches():
     rng = np.random.default_rng(2)
     tokens = np.append(rng.integers(0, 40, 150).astype(np.uint64), np.uint64(0))
